@@ -6,20 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_dedup, quality_rules, substring_dedup
+from . import decontaminate, mixing, near_dedup, quality_rules, substring_dedup, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_url_filter": url_filter.op1_url_filter,
         "op3_substring_dedup": substring_dedup.op3_substring_dedup,
         "op5_decontamination": decontaminate.op5_decontamination,
         "op6_near_dedup": near_dedup.op6_near_dedup,
+        "op7_mixing": mixing.op7_mixing,
         "op8_quality_rules": quality_rules.op8_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_url_filter": url_filter.ORACLE_SQL,
         "op5_decontamination": decontaminate.ORACLE_SQL,
+        "op7_mixing": mixing.ORACLE_SQL,
         "op8_quality_rules": quality_rules.ORACLE_SQL,
     }
