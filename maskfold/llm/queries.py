@@ -6,17 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, near_dedup, quality_rules, substring_dedup, url_filter
+from . import decontaminate, language_id, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": url_filter.op1_url_filter,
+        "op2_quality_classifier": quality_classifier.op2_quality_classifier,
         "op3_substring_dedup": substring_dedup.op3_substring_dedup,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op5_decontamination": decontaminate.op5_decontamination,
         "op6_near_dedup": near_dedup.op6_near_dedup,
         "op7_mixing": mixing.op7_mixing,
         "op8_quality_rules": quality_rules.op8_quality_rules,
+        "op10_language_id": language_id.op10_language_id,
     }
 
 
