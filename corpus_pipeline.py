@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskfold.llm import decontaminate, near_dedup, quality_rules, substring_dedup
+from maskfold.llm import decontaminate, mixing, near_dedup, quality_rules, substring_dedup
 from maskfold.llm.common import saved, table
 
 
@@ -36,11 +36,18 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each source is taken up to its target: the documents with a part in the mix, with size, source_size,
+    target, epochs and taken (words, repeats counted; the one document that a budget cuts gives its first words)."""
+    return mixing.mixed(docs).where("taken > 0")
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", rules),
     ("near_dedup", near_duplicates),
     ("substring_dedup", repeated_passages),
     ("decontamination", benchmark_passages),
+    ("mixing", mix),
 ]
 
 ORACLE_SQL = None

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, toxicity, url_filter
+from . import decontaminate, html_extract, language_id, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_near_dedup": near_dedup.op6_near_dedup,
         "op7_mixing": mixing.op7_mixing,
         "op8_quality_rules": quality_rules.op8_quality_rules,
+        "op9_html_extraction": html_extract.op9_html_extraction,
         "op10_language_id": language_id.op10_language_id,
     }
 
