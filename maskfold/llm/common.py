@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,6 +55,13 @@ def remove(spark: SparkSession, *frames: DataFrame | None) -> None:
             path.getFileSystem(hadoop).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that are done. It does so only once its driver has collected
+    the garbage, which a short job may never do by itself while the files of each phase add up."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def row_key(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``_th``, a hash of the text. (doc_id, _th) names a row by its content, so that it
     is the same after a task is run again; rows with both equal get equal results."""

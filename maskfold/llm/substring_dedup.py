@@ -8,8 +8,11 @@ groups of one. What is left after the last pass are exactly the repeated windows
   It depends on the window's bytes alone, so equal windows have equal anchors, and neighbouring
   windows share one: a run of windows goes as one row, about one for 85 bytes of text.
 * Second digit: the bytes of the whole run. Runs equal in it are repeated as they stand.
-* Last digit: the ``LENGTH`` bytes of each window, only for one run of each kind whose anchor also
-  occurs in other runs: the borders of repeated passages.
+* Third digit, for one run of each kind whose anchor also occurs in other runs (the borders of repeated
+  passages): runs are cut into segments of ``SEGMENT`` windows at fixed distances from the anchor; the
+  digit is the bytes that all windows of a segment share.
+* Last digit: the few bytes to the left and right of those that each window has for itself. They travel as
+  they are, so the texts need not be read again.
 
 A group's size is found by a count that starts in each task, so a passage of a third of all
 documents is no hot key. Texts are joined by their rows, never by what they share.
@@ -25,26 +28,39 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
-from .common import remove, row_key, saved, table
+from .common import release, remove, row_key, saved, table
 
 LENGTH = 200
 ANCHOR = 32
 _POSITION_BITS = np.uint64(30)
 
-_RUN = [T.StructField(n, T.LongType()) for n in ("first", "last", "anchor", "run")]
+SEGMENT = 16
+
+#: place: start of the first window * 2**32 + (windows - 1) * 2**16 + distance from that start to the anchor.
+_RUN = [T.StructField(n, T.LongType()) for n in ("place", "anchor", "run")]
+_SEGMENT = [
+    T.StructField("start", T.LongType()),  # of the segment, whether or not the run has that window
+    T.StructField("low", T.IntegerType()),  # first and last window that the run has, from there
+    T.StructField("high", T.IntegerType()),
+    T.StructField("single", T.BooleanType()),
+    T.StructField("core", T.LongType()),
+    T.StructField("left", T.BinaryType()),
+    T.StructField("right", T.BinaryType()),
+]
 
 
 def runs_of(data: np.ndarray, at: np.ndarray, length: int = LENGTH, size: int = ANCHOR) -> tuple[np.ndarray, ...]:
-    """Document, first and last window start (in the document), anchor hash and hash of the bytes, for each run."""
+    """Document, place, anchor hash and hash of the bytes, for each run of windows that share an anchor."""
     n = len(data) - length + 1
     none = np.zeros(0, np.int64)
     if n <= 0 or not (np.diff(at) >= length).any():
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none.astype(np.uint64), none.astype(np.uint64)
     sums = tk.running_hash(data)
     place = np.arange(len(data) - size + 1)
     anchor = tk.span_hash(sums, place, place + size)
@@ -68,7 +84,7 @@ def runs_of(data: np.ndarray, at: np.ndarray, length: int = LENGTH, size: int =
     end = np.append(begin[1:], len(start)) - 1
     first, last, of, where = start[begin], start[end], doc[begin], least[begin]
     run = tk.span_hash(sums, first, last + length) ^ tk.mix((where - first).astype(np.uint64))
-    return of, first - at[of], last - at[of], anchor[where], run
+    return of, (first - at[of] << 32) | (last - first << 16) | (where - first), anchor[where], run
 
 
 def _runs(length: int):
@@ -76,36 +92,55 @@ def _runs(length: int):
         for b in batches:
             data, at = tk.utf8(b.column("text"))
             for i, j in tk.slices(at):
-                of, first, last, anchor, run = runs_of(data[at[i] : at[j]], at[i : j + 1] - at[i], length, min(ANCHOR, length))
+                of, place, anchor, run = runs_of(data[at[i] : at[j]], at[i : j + 1] - at[i], length, min(ANCHOR, length))
                 keys = b.select(["doc_id", "_th"]).take(pa.array(of + i))
-                yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(first), pa.array(last), pa.array(anchor.view(np.int64)), pa.array(run.view(np.int64))], names=["doc_id", "_th", "first", "last", "anchor", "run"])
+                yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(place), pa.array(anchor.view(np.int64)), pa.array(run.view(np.int64))], names=["doc_id", "_th", "place", "anchor", "run"])
 
     return scan
 
 
-def _windows(length: int):
-    """Hashes of each window of the listed runs: one row for each 'single' run's window, to be found again, or just the hash."""
+def _bytes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The byte strings from start to end."""
+    n = end - start
+    ends = np.concatenate([[0], np.cumsum(n)])
+    taken = data[np.repeat(start - ends[:-1], n) + np.arange(ends[-1])]
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(taken)])
+
+
+def _segments(length: int, width: int):
+    """The segments of the listed runs."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "_th", *[f.name for f in _SEGMENT]]
         for b in batches:
             data, at = tk.utf8(b.column("text"))
-            runs = b.column("runs").to_pylist()
+            runs = b.column("runs")
+            count = np.asarray(pc.list_value_length(runs))
+            flat = runs.flatten()
+            place, single = np.asarray(flat.field("place")), flat.field("single").to_numpy(zero_copy_only=False)
+            until = np.concatenate([[0], np.cumsum(count)])
             for i, j in tk.slices(at):
-                sums = tk.running_hash(data[at[i] : at[j]])
-                row, start, single = [], [], []
-                for k in range(i, j):
-                    for r in runs[k]:
-                        n = r["last"] - r["first"] + 1
-                        row.append(np.full(n, k))
-                        start.append(np.arange(r["first"], r["last"] + 1))
-                        single.append(np.full(n, r["single"]))
-                if not row:
+                mine = slice(until[i], until[j])
+                row = np.repeat(np.arange(i, j), count[i:j])
+                if not len(row):
                     continue
-                row, start, single = np.concatenate(row), np.concatenate(start), np.concatenate(single)
-                begin = start + at[row] - at[i]
-                h = tk.span_hash(sums, begin, begin + length)
-                keys = b.select(["doc_id", "_th"]).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(start), pa.array(single), pa.array(h.view(np.int64))], names=["doc_id", "_th", "start", "single", "window"])
+                first, more, anchor = place[mine] >> 32, place[mine] >> 16 & 0xFFFF, place[mine] & 0xFFFF
+                # windows counted backwards from the anchor, so that segments of equal runs lie alike
+                far, near = anchor, anchor - more
+                n = far // width - near // width + 1
+                which = np.repeat(np.arange(len(row)), n)
+                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                block = (far // width)[which] - step
+                start = (first + anchor)[which] - (block + 1) * width + 1
+                low = np.maximum(first[which] - start, 0)
+                high = np.minimum((first + more)[which] - start, width - 1)
+                piece = data[at[i] : at[j]]
+                base = (at[row] - at[i])[which] + start
+                core = tk.span_hash(tk.running_hash(piece), base + width - 1, base + length)
+                core = tk.mix(core + block.astype(np.uint64))
+                keys = b.select(["doc_id", "_th"]).take(pa.array(row[which]))
+                left, right = _bytes(piece, base + low, base + width - 1), _bytes(piece, base + length, base + length + high)
+                yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(start), pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(single[mine][which]), pa.array(core.view(np.int64)), left, right], names=names)
 
     return scan
 
@@ -122,27 +157,44 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, _th, ranges) for rows that have repeated windows: ranges are first and last window starts, in bytes."""
     keyed = row_key(docs.select("doc_id", "text"))
     ids = [f for f in keyed.schema.fields if f.name != "text"]
+    spark, width = docs.sparkSession, min(SEGMENT, length)
     runs = saved(keyed.where(F.octet_length("text") >= length).mapInArrow(_runs(length), T.StructType([*ids, *_RUN])), "runs")
     # first digit
     anchors = runs.groupBy(F.col("anchor").alias("_a")).agg(F.count("*").alias("n"), (F.min("run") != F.max("run")).alias("mixed")).where("n > 1").select("_a", "mixed")
     alike = saved(runs.join(anchors, F.col("anchor") == F.col("_a")).drop("_a"), "alike")
-    remove(docs.sparkSession, runs)
+    remove(spark, runs)
+    release(spark)
     # second digit
     mixed = alike.where("mixed")
-    kinds = saved(mixed.groupBy("anchor", "run").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "_th", "first", "last")).alias("at")), "kinds")
+    kinds = saved(mixed.groupBy("anchor", "run").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "_th", "place")).alias("at")), "kinds")
     often = kinds.where("n > 1").select(F.col("anchor").alias("_a"), F.col("run").alias("_r"))
     whole = alike.where("not mixed").unionByName(mixed.join(often, (F.col("anchor") == F.col("_a")) & (F.col("run") == F.col("_r")), "left_semi"))
-    # last digit
-    looked = kinds.select(F.col("at.doc_id").alias("_d"), F.col("at._th").alias("_h"), F.struct(F.col("at.first").alias("first"), F.col("at.last").alias("last"), (F.col("n") == 1).alias("single")).alias("r"))
+    first = F.shiftright("place", 32)
+    whole = saved(whole.select("doc_id", "_th", first.alias("first"), (first + F.shiftright("place", 16).bitwiseAND(F.lit(0xFFFF))).alias("last")), "ranges")
+    # third digit
+    looked = kinds.select(F.col("at.doc_id").alias("_d"), F.col("at._th").alias("_h"), F.struct(F.col("at.place").alias("place"), (F.col("n") == 1).alias("single")).alias("r"))
     looked = looked.groupBy("_d", "_h").agg(F.collect_list("r").alias("runs"))
     texts = keyed.join(looked, _same_row()).select("doc_id", "_th", "text", "runs")
     if not keyed.groupBy("doc_id", "_th").count().where("count > 1").isEmpty():
         texts = texts.dropDuplicates(["doc_id", "_th"])
-    schema = T.StructType([*ids, T.StructField("start", T.LongType()), T.StructField("single", T.BooleanType()), T.StructField("window", T.LongType())])
-    windows = saved(texts.mapInArrow(_windows(length), schema), "windows")
-    twice = windows.groupBy(F.col("window").alias("_w")).agg(F.count("*").alias("n")).where("n > 1").select("_w")
-    found = windows.where("single").join(twice, F.col("window") == F.col("_w"), "left_semi")
-    parts = whole.select("doc_id", "_th", "first", "last").unionByName(found.select("doc_id", "_th", F.col("start").alias("first"), F.col("start").alias("last")))
+    segments = saved(texts.mapInArrow(_segments(length, width), T.StructType([*ids, *_SEGMENT])), "segments")
+    remove(spark, alike, kinds)
+    release(spark)
+    own = F.xxhash64("low", "high", "left", "right")
+    cores = segments.groupBy(F.col("core").alias("_c")).agg(F.count("*").alias("n"), (F.min(own) != F.max(own)).alias("mixed")).where("n > 1").select("_c", "mixed")
+    close = saved(segments.join(cores, F.col("core") == F.col("_c")).drop("_c"), "close")
+    remove(spark, segments)
+    # last digit
+    forms = saved(close.where("mixed").groupBy("core", "low", "high", "left", "right").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "_th", "start", "single")).alias("at")), "forms")
+    same = close.where("single and mixed").join(forms.where("n > 1").select("core", "low", "high", "left", "right"), ["core", "low", "high", "left", "right"], "left_semi")
+    full = close.where("single and not mixed").unionByName(same.select(close.columns)).select("doc_id", "_th", (F.col("start") + F.col("low")).alias("first"), (F.col("start") + F.col("high")).alias("last"))
+    i = F.col("i")
+    before = F.substring("left", F.length("left") - (width - 1 - i) + 1, width - 1 - i)
+    windows = forms.withColumn("i", F.explode(F.sequence("low", "high"))).select(F.xxhash64("core", "i", before, F.substring("right", F.lit(1), i)).alias("window"), "n", "at", "i")
+    twice = windows.groupBy(F.col("window").alias("_w")).agg(F.count("*").alias("m")).where("m > 1").select("_w")
+    start = F.col("at.start") + i
+    found = windows.where("n = 1 and at.single").join(twice, F.col("window") == F.col("_w"), "left_semi").select("at.doc_id", "at._th", start.alias("first"), start.alias("last"))
+    parts = whole.unionByName(full).unionByName(found)
     return parts.groupBy("doc_id", "_th").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
 
 
