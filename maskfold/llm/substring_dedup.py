@@ -161,8 +161,9 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     runs = saved(keyed.where(F.octet_length("text") >= length).mapInArrow(_runs(length), T.StructType([*ids, *_RUN])), "runs")
     # first digit
     anchors = runs.groupBy(F.col("anchor").alias("_a")).agg(F.count("*").alias("n"), (F.min("run") != F.max("run")).alias("mixed")).where("n > 1").select("_a", "mixed")
+    anchors = saved(anchors, "anchors")  # so that both sides of the join are dealt anew, and a hot anchor is split
     alike = saved(runs.join(anchors, F.col("anchor") == F.col("_a")).drop("_a"), "alike")
-    remove(spark, runs)
+    remove(spark, runs, anchors)
     release(spark)
     # second digit
     mixed = alike.where("mixed")
@@ -182,8 +183,9 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     release(spark)
     own = F.xxhash64("low", "high", "left", "right")
     cores = segments.groupBy(F.col("core").alias("_c")).agg(F.count("*").alias("n"), (F.min(own) != F.max(own)).alias("mixed")).where("n > 1").select("_c", "mixed")
+    cores = saved(cores, "cores")
     close = saved(segments.join(cores, F.col("core") == F.col("_c")).drop("_c"), "close")
-    remove(spark, segments)
+    remove(spark, segments, cores)
     # last digit
     forms = saved(close.where("mixed").groupBy("core", "low", "high", "left", "right").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "_th", "start", "single")).alias("at")), "forms")
     same = close.where("single and mixed").join(forms.where("n > 1").select("core", "low", "high", "left", "right"), ["core", "low", "high", "left", "right"], "left_semi")

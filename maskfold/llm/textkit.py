@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 1 << 21
+SLICE = 1 << 19
 
 U = np.uint64
 _random = np.random.Generator(np.random.PCG64(20240229))
