@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import partial_mask
+from ..functions.scalars import partial_mask, pinned
 from . import entities as en
 from .synthesis import synthesize
 
@@ -53,13 +53,18 @@ def masked(docs: DataFrame, mode: str = "partial", text: str = "text", session:
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     t = F.col(text)
+    pin = pinned if names or mode == "synthetic" else lambda c: c
+    before = docs.columns
+    docs = docs.withColumn("decisions", pin(F.col("decisions")))
     persons = en.people(F.col("decisions")) if names else en.no_people()
-    out = docs.withColumn("_people", persons).withColumn("_entities", en.entity_ids(F.col("decisions"), F.col("_people")))
-    out = out.withColumn("mappings", F.when(F.col("_entities").isNull(), F.array().cast(f"array<{en.MAPPING}>")).otherwise(en.mappings(F.col("_entities"), F.col("_people"))))
+    out = docs.withColumn("_people", persons).withColumn("_entities", pin(en.entity_ids(F.col("decisions"), F.col("_people"))))
+    made = F.when(F.col("_entities").isNull(), F.array().cast(f"array<{en.MAPPING}>")).otherwise(en.mappings(F.col("_entities"), F.col("_people")))
+    out = out.withColumn("mappings", pin(made))
     if mode == "synthetic":
         if session is None:
             raise ValueError("surrogates need a session column")
-        made = F.udf(synthesize, f"struct<new:array<string>,mappings:array<{en.MAPPING}>>", useArrow=True).asNondeterministic()(t, F.col(session).cast("string"), F.col("_entities"), F.col("mappings"), F.col("_people"))
+        out = out.withColumn("_session", pin(F.col(session).cast("string")))
+        made = F.udf(synthesize, f"struct<new:array<string>,mappings:array<{en.MAPPING}>>", useArrow=True).asNondeterministic()(t, F.col("_session"), F.col("_entities"), F.col("mappings"), F.col("_people"))
         out = out.withColumn("_made", made).withColumn("mappings", F.col("_made.mappings"))
         new = lambda e, i: F.get(F.col("_made.new"), i)
     elif mode == "token":
@@ -67,9 +72,9 @@ def masked(docs: DataFrame, mode: str = "partial", text: str = "text", session:
     else:
         new = lambda e, i: partial_mask(e["type"], e["value"])
     spans = F.transform("_entities", lambda e, i: F.struct(e["start"].alias("start"), e["end"].alias("end"), new(e, i).alias("replacement"), e["entity_id"].alias("entity_id")))
-    done = out.withColumn("_done", splice(t, spans))
+    done = out.withColumn("_done", pin(splice(t, spans)))
     counts = F.size(F.filter("decisions", lambda d: d["decision"] == "MASK"))
     return done.select(
-        *[c for c in docs.columns if c not in ("masked_text", "occurrences", "mappings", "mode", "n_detected", "n_masked")], F.lit(mode).alias("mode"), F.col("_done.text").alias("masked_text"),
+        *[c for c in before if c not in ("masked_text", "occurrences", "mappings", "mode", "n_detected", "n_masked")], F.lit(mode).alias("mode"), F.col("_done.text").alias("masked_text"),
         F.col("_done.occurrences").alias("occurrences"), "mappings", F.size("decisions").alias("n_detected"), counts.alias("n_masked"),
     )
