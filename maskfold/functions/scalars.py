@@ -18,7 +18,7 @@ def let(value: Column, body) -> Column:
 def pinned(value: Column) -> Column:
     """The value in a projection of its own. A nested expression that the optimizer moves into a Python function's
     arguments is computed again for each of them, and some such functions are not taken out of the plan at all."""
-    return F.when(F.monotonically_increasing_id() >= 0, value)
+    return F.when(F.spark_partition_id() >= 0, value)
 
 
 def digits(value: Column) -> Column:

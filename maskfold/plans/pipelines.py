@@ -44,6 +44,30 @@ def process(requests: DataFrame, vault: DataFrame, mode: str, now: Column, secre
     return known.unionByName(reworded).unionByName(new.select(keep))
 
 
+#: What a text shows that was masked before: a token, or stars in a row.
+TRACES = r"<[A-Z_]+_\d+>|\*\*"
+
+
+def without_vault(requests: DataFrame, secret: str | None = None) -> DataFrame:
+    """Answers (status, result) where no record can be read: only texts that need none are echoed. One that may
+    be a masked text, or that holds personal data, fails closed with 503."""
+    found = masked(analyze(requests, "payload"), "partial", "payload")
+    safe = (F.size("mappings") == 0) & ~F.col("payload").rlike(TRACES)
+    return found.select(*requests.columns, F.when(safe, 200).otherwise(503).alias("status"), F.when(safe, F.col("payload")).alias("result"))
+
+
+# HTTP status of each kind of error.
+STATUS = {"not_found": 403, "disabled": 403, "conflict": 409, "unavailable": 503, "too_large": 413, "overloaded": 429}
+
+
+def status_of_error(category: Column) -> Column:
+    """200 without an error, 500 for one that is not listed. Error texts are never part of an answer."""
+    out = F.when(category.isNull(), 200)
+    for name, status in STATUS.items():
+        out = out.when(category == name, status)
+    return out.otherwise(500)
+
+
 def exact_round_trip(done: DataFrame, text: str = "text") -> DataFrame:
     """``done``, from masked(), with ``restored_exactly``."""
     return done.withColumn("restored_exactly", put_back(F.col("masked_text"), F.col("occurrences"), True).eqNullSafe(F.col(text)))
