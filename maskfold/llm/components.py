@@ -14,11 +14,14 @@ from .common import remove, saved
 
 
 def _flat(parents: DataFrame) -> DataFrame:
-    """(node, root) of a forest given as (node, parent), parent below node; nodes without parent are roots."""
+    """(node, root) of a forest given as (node, root) with a parent below its node for root; nodes without parent are roots.
+    Each step follows two parents."""
     now = saved(parents, "parents")
     while True:
-        up = now.select(F.col("node").alias("_n"), F.col("root").alias("_up"))
-        step = saved(now.join(up, F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_up", "root").alias("root"), F.col("_up").isNotNull().alias("moved")), "parents")
+        up = lambda s: now.select(F.col("node").alias(f"_{s}"), F.col("root").alias(f"_up_{s}"))  # noqa: B023, E731
+        two = now.join(up("a"), F.col("root") == F.col("_a"), "left").select("node", F.coalesce("_up_a", "root").alias("root"))
+        step = two.join(up("b"), F.col("root") == F.col("_b"), "left").select("node", F.coalesce("_up_b", "root").alias("root"), F.col("_up_b").isNotNull().alias("moved"))
+        step = saved(step, "parents")
         moved = step.where("moved").limit(1).count()
         remove(now.sparkSession, now)
         now = step.select("node", "root")

@@ -2,16 +2,19 @@
 
 1. A scan turns each text into its set of distinct 5-word shingles (64-bit hashes), a 128-bit
    identity of the set, and a signature of ``SYMBOLS`` MinHash values. Documents with one set are one class.
-2. Signatures are cut into ``CHUNKS`` chunks of four symbols. By the pigeonhole principle, two
+2. Signatures are cut into ``CHUNKS`` chunks of ``CHUNK`` symbols. By the pigeonhole principle, two
    signatures that differ in at most 2 * CHUNKS - 1 symbols have a chunk with one error at most;
-   its four keys, each leaving one symbol out, enumerate the allowed error. All pairs within that
+   its keys, each leaving one symbol out, enumerate the allowed error. All pairs within that
    distance therefore meet in a bucket: classes that share a key.
-3. Within a bucket no pairs are listed at first: each class is held against the bucket's smallest
-   one. What is linked thereby becomes one component, and then only pairs of classes still in
-   different components are joined, and only where their signatures are near.
-4. Every link is confirmed on the full shingle sets, and components are found by contraction.
+3. Within a bucket no pairs are listed at first. Each class is held against the smallest class that it
+   meets in any bucket, then in some rounds against one class of each bucket whose component is still
+   another, and at last the pairs of classes in one bucket and still in different components are joined. Linked
+   groups have become one component by then, so a group of n near copies costs some n comparisons.
+4. Pairs whose sketches (the least hash of each of 256 ranges, in four bits) tell them apart by more than
+   ``MARGIN`` standard deviations go no further; every other one is confirmed on the full shingle sets, and
+   components are found by contraction.
 
-At the similarity of 0.75 a linked pair shares a bucket with probability 1 - 2e-6 or more.
+At the similarity of 0.75 a linked pair shares a bucket with probability 1 - 6e-6 or more.
 
 Defined results: a null text or one without words has an empty set and is linked with nothing; a
 text of one to four words is one shingle; ties and repeated rows fall in one class; a component's
@@ -30,16 +33,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
-from .common import remove, row_key, saved, table
+from .common import release, remove, row_key, saved, table
 from .components import components
 
 SHINGLE = 5
 SIMILARITY = (75, 100)
-CHUNKS, CHUNK = 10, 4
+CHUNKS, CHUNK = 12, 5
+#: Rounds in which buckets are held against one of their classes before the pairs that are left are listed.
+ROUNDS = 2
 SYMBOLS = CHUNKS * CHUNK
-#: Differing symbols beyond which a pair needs no exact look: at a similarity of 0.75, more than so many of 40 have a chance of 1e-8.
-FAR_SYMBOLS = 26
-LANES = SYMBOLS // 8
+#: Ranges of hashes with four bits of the least hash in each; 0 is an empty range.
+RANGES = 256
+LANES = RANGES // 16
+#: Bits of a signature's symbol; a chunk's symbols make one number.
+BITS = 12
+#: Standard deviations: a pair at the threshold is passed over with a chance of about 1e-5.
+MARGIN = 4.5
 
 _random = np.random.Generator(np.random.PCG64(7))
 _XOR = _random.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64)
@@ -85,17 +94,31 @@ def signatures(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
     return ids, sig
 
 
-def chunk_keys(sig: np.ndarray) -> np.ndarray:
-    """Keys of each signature: each chunk with each one of its symbols left out."""
-    symbols = (sig >> np.uint64(48)).reshape(len(sig), CHUNKS, CHUNK)
+def sketches(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each non-empty set, four bits for each range of hashes, from the least hash in it; hashes are in order."""
+    n = np.diff(first)
+    of = np.repeat(np.arange((n > 0).sum()), n[n > 0])
+    place = of * RANGES + (hashes >> np.uint64(56)).astype(np.int64)
+    least = np.ones(len(place), bool)
+    least[1:] = place[1:] != place[:-1]
+    bits = np.zeros((n > 0).sum() * RANGES, np.uint8)
+    bits[place[least]] = 1 + tk.mix(hashes[least]) % np.uint64(15)
+    return (bits[0::2] | bits[1::2] << 4).view(np.int64).reshape(-1, LANES)
+
+
+def chunks_of(sig: np.ndarray) -> np.ndarray:
+    """Each signature's chunks, as numbers of ``CHUNK`` symbols."""
+    symbols = (sig >> np.uint64(64 - BITS)).reshape(len(sig), CHUNKS, CHUNK)
+    return (symbols << (np.arange(CHUNK, dtype=np.uint64) * np.uint64(BITS))).sum(axis=2, dtype=np.uint64)
+
+
+def chunk_keys(chunks: np.ndarray) -> np.ndarray:
+    """Keys of each signature, in order of chunks: the chunk with each one of its symbols left out."""
     out = []
     for c in range(CHUNKS):
         for skip in range(CHUNK):
-            key = np.full(len(sig), c * CHUNK + skip, np.uint64)
-            for k in range(CHUNK):
-                if k != skip:
-                    key = (key << np.uint64(16)) | symbols[:, c, k]
-            out.append(key)
+            rest = chunks[:, c] & ~np.uint64(((1 << BITS) - 1) << (BITS * skip))
+            out.append(tk.mix(rest + np.uint64(c * CHUNK + skip + 1) * np.uint64(0xD6E8FEB86659FD93)))
     return np.stack(out, axis=1)
 
 
@@ -108,9 +131,9 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.diff(first)
             ids, sig = signatures(hashes, first)
             some = iter(range(len(ids)))
-            key = chunk_keys(sig).view(np.int64)
-            lane = ((sig >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8).reshape(len(sig), LANES, 8)
-            lane = np.ascontiguousarray(lane).view(np.int64).reshape(len(sig), LANES)
+            parts = chunks_of(sig)
+            key = chunk_keys(parts).view(np.int64)
+            lane = np.concatenate([sketches(hashes, first), parts.view(np.int64)], axis=1)
             sizes.append(n)
             for x in n:
                 k = next(some) if x else -1
@@ -129,22 +152,48 @@ def described(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(_describe, T.StructType([*kept, *_FIELDS]))
 
 
-def differing(a: str, b: str) -> Column:
-    """How many of the signatures' symbols differ."""
-    total = F.lit(0)
-    for k in range(LANES):
-        x = F.col(a)[k].bitwiseXOR(F.col(b)[k])
-        for shift in (4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        total = total + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
-    return total
+def _filled(x: Column) -> Column:
+    """How many groups of four bits are not 0."""
+    for shift in (2, 1):
+        x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+    return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
 
 
-def _near(pairs: DataFrame) -> DataFrame:
-    """Pairs that sizes and signatures do not rule out."""
+def near() -> Column:
+    """Whether sizes and sketches leave it open that a pair (sides a and b) is similar enough.
+
+    A pair at the threshold has (size_a + size_b) / (1 + similarity) shingles in its union. The ranges filled on
+    either side are a sample of those, without replacement; the fewer are left out, the less the sample strays.
+    """
     low, high = SIMILARITY
-    sizes = (high * F.least("size_a", "size_b") >= low * F.greatest("size_a", "size_b"))
-    return pairs.where((F.col("a") != F.col("b")) & sizes & (differing("sig_a", "sig_b") <= FAR_SYMBOLS))
+    sizes = high * F.least("size_a", "size_b") >= low * F.greatest("size_a", "size_b")
+    differ, either = F.lit(0), F.lit(0)
+    for k in range(LANES):
+        differ += _filled(F.col("sig_a")[k].bitwiseXOR(F.col("sig_b")[k]))
+        either += _filled(F.col("sig_a")[k].bitwiseOR(F.col("sig_b")[k]))
+    share = (1 - low / high) * 15 / 16  # different shingles have equal bits by chance, 1 in 15 where neither range is empty
+    union = (F.col("size_a") + F.col("size_b")) * (high / (high + low))
+    strays = F.sqrt(either * F.greatest(F.lit(0.0), 1 - either / union))
+    return sizes & (differ <= either * share + MARGIN * (share * (1 - share)) ** 0.5 * strays + 0.5)
+
+
+def _wrong_symbols(a: Column, b: Column) -> Column:
+    """How many symbols differ between two chunks."""
+    x = a.bitwiseXOR(b)
+    for shift in (6, 3):
+        x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+    x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2))
+    return F.bit_count(x.bitwiseAND(F.lit(sum(1 << (BITS * k) for k in range(CHUNK)))))
+
+
+def first_meeting() -> Column:
+    """Whether the bucket of this ``slot`` is the first that a pair (sides a and b) meets in, so that it is listed once."""
+    part = lambda s, c: F.get(F.col(f"sig_{s}"), c + LANES)
+    out = F.lit(True)
+    for c in range(CHUNKS - 1):
+        out &= (F.col("slot_a") < (c + 1) * CHUNK) | (_wrong_symbols(part("a", c), part("b", c)) > 1)
+    own = F.floor(F.col("slot_a") / CHUNK).cast("int")
+    return out & ((F.col("slot_a") % CHUNK == 0) | (_wrong_symbols(part("a", own), part("b", own)) == 1))
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,41 +221,70 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a binary, b binary")
 
 
+def _near(pairs: DataFrame) -> DataFrame:
+    return pairs.where(near()).select("a", "b")
+
+
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` (node, ...) with root, which is the node itself unless ``roots`` has it."""
+    to = roots.select(F.col("node").alias("_n"), F.col("root").alias("_root"))
+    return rows.join(to, F.col("node") == F.col("_n"), "left").withColumn("root", F.coalesce("_root", "node")).drop("_n", "_root")
+
+
+def _mixed(member: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, slot, node, root) of the buckets that hold several components."""
+    placed = saved(_rooted(member.select("key", "slot", "node"), roots), "placed")
+    mixed = saved(placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"), "mixed")
+    return placed.join(mixed, "key", "left_semi")
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` once components that ``links`` connect are one."""
+    ends = _rooted(_rooted(links.withColumnRenamed("a", "node"), roots).select(F.col("root").alias("a"), F.col("b").alias("node")), roots)
+    more = components(ends.select("a", F.col("root").alias("b")))
+    moved = _rooted(roots.select(F.col("root").alias("node"), F.col("node").alias("_own")), more).select(F.col("_own").alias("node"), "root")
+    return saved(moved.unionByName(more), "roots")
+
+
 def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, _th, n_shingles, node) for each row, and (node, root) for each class that is linked
     to another and is not its component's root."""
     rows = saved(described(docs), "described")
     first = F.min(F.struct("doc_id", "_th"))
     classes = saved(rows.where("node is not null").groupBy("node").agg(first.alias("at"), F.first("n_shingles").alias("size"), F.first("keys").alias("keys"), F.first("sig").alias("sig")), "classes")
-    entries = classes.select("node", F.explode("keys").alias("key"))
+    entries = classes.select("node", F.posexplode("keys").alias("slot", "key"))
     buckets = saved(entries.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot <> other").select("key", "pivot"), "buckets")
+    release(docs.sparkSession)
     member = saved(entries.join(buckets, "key"), "members")
+    release(docs.sparkSession)
     node = lambda s: classes.select(F.col("node").alias(s), F.col("size").alias(f"size_{s}"), F.col("sig").alias(f"sig_{s}"))
     # the texts of all classes that share a bucket
     wanted = member.select("node").distinct().join(classes, "node").select("node", F.col("at.doc_id").alias("_d"), F.col("at._th").alias("_h"))
     texts = row_key(docs.select("doc_id", "text")).join(wanted, (F.col("_th") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d")))
     texts = saved(texts.select("node", "text").dropDuplicates(["node"]), "texts")
-    # each class against the smallest of its buckets
-    stars = member.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct().where("a <> b")
-    stars = _near(stars.join(node("a"), "a").join(node("b"), "b"))
-    links = saved(confirmed(stars, texts), "links")
-    roots = components(links)
-    # pairs of one bucket in different components
-    root = roots.select(F.col("node").alias("_n"), "root")
-    placed = member.join(root, F.col("node") == F.col("_n"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    open_ = placed.join(mixed, "key").join(classes.select("node", "size", "sig"), "node")
-    open_ = saved(open_, "open")
-    side = lambda s: open_.select(F.col("key").alias(f"key_{s}"), *[F.col(c).alias(t) for c, t in (("node", s), ("root", f"root_{s}"), ("size", f"size_{s}"), ("sig", f"sig_{s}"))])
-    low, high = SIMILARITY
-    rest = side("a").join(
-        side("b"),
-        (F.col("key_a") == F.col("key_b")) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))
-        & (high * F.least("size_a", "size_b") >= low * F.greatest("size_a", "size_b")) & (differing("sig_a", "sig_b") <= FAR_SYMBOLS),
-    )
-    more = saved(confirmed(rest, texts), "links")
-    if not more.isEmpty():
-        roots = components(links.unionByName(more))
+    release(docs.sparkSession)
+    # each class against the smallest class of its buckets
+    nearest = member.groupBy(F.col("node").alias("b")).agg(F.min("pivot").alias("a")).where("a <> b")
+    roots = components(saved(confirmed(_near(nearest.join(node("a"), "a").join(node("b"), "b")), texts), "links"))
+    # then against one class of each bucket, another in each round, while buckets hold several components
+    for k in range(ROUNDS):
+        release(docs.sparkSession)
+        placed = _mixed(member, roots)
+        order = F.col("node") if k == 0 else F.xxhash64("node", F.lit(k))
+        pivots = placed.groupBy("key").agg(F.min_by(F.struct("node", "root"), order).alias("p"))
+        stars = placed.join(pivots, "key").where(F.col("p.root") != F.col("root"))
+        stars = stars.select(F.least("p.node", "node").alias("a"), F.greatest("p.node", "node").alias("b")).distinct()
+        links = saved(confirmed(_near(stars.join(node("a"), "a").join(node("b"), "b")), texts), "links")
+        if links.isEmpty():
+            break
+        roots = _merged(roots, links)
+    # and at last all pairs of one bucket in different components
+    open_ = saved(_mixed(member, roots).join(classes.select("node", "size", "sig"), "node"), "open")
+    side = lambda s: open_.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("key", "slot", "root", "size", "sig")])
+    rest = side("a").join(side("b"), (F.col("key_a") == F.col("key_b")) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & near() & first_meeting())
+    links = saved(confirmed(rest, texts), "links")
+    if not links.isEmpty():
+        roots = _merged(roots, links)
     remove(docs.sparkSession, texts, member, buckets, open_)
     return rows.select("doc_id", "_th", "n_shingles", "node"), roots
 
