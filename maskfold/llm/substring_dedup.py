@@ -154,7 +154,7 @@ def _renamed(df: DataFrame) -> DataFrame:
 
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, _th, ranges) for rows that have repeated windows: ranges are first and last window starts, in bytes."""
+    """(doc_id, _th, _ranges) for rows that have repeated windows: ranges are first and last window starts, in bytes."""
     keyed = row_key(docs.select("doc_id", "text"))
     ids = [f for f in keyed.schema.fields if f.name != "text"]
     spark, width = docs.sparkSession, min(SEGMENT, length)
@@ -197,7 +197,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     start = F.col("at.start") + i
     found = windows.where("n = 1 and at.single").join(twice, F.col("window") == F.col("_w"), "left_semi").select("at.doc_id", "at._th", start.alias("first"), start.alias("last"))
     parts = whole.unionByName(full).unionByName(found)
-    return parts.groupBy("doc_id", "_th").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
+    return parts.groupBy("doc_id", "_th").agg(F.collect_set(F.struct("first", "last")).alias("_ranges"))
 
 
 def spans(ranges: list[dict] | None, n: int, length: int = LENGTH) -> list[tuple[int, int]]:
@@ -220,7 +220,7 @@ def cut(raw: bytes, where: list[tuple[int, int]]) -> bytes:
 
 
 def with_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``docs`` with _th and column ranges (null where nothing is repeated)."""
+    """``docs`` with _th and column _ranges (null where nothing is repeated)."""
     found = _renamed(repeated_ranges(docs, length))
     return row_key(docs).join(found, _same_row(), "left").drop("_d", "_h")
 
@@ -232,7 +232,7 @@ def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             columns = {n: b.column(n) for n in names}
-            texts, ranges = b.column("text").to_pylist(), b.column("ranges").to_pylist()
+            texts, ranges = b.column("text").to_pylist(), b.column("_ranges").to_pylist()
             new = [t if not r else cut(raw := t.encode(), spans(r, len(raw), length)).decode(errors="ignore") for t, r in zip(texts, ranges, strict=True)]
             columns["text"] = pa.array(new, pa.string())
             if "n_chars" in columns:
@@ -246,7 +246,7 @@ def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
-        for t, r in zip(b.column("text").to_pylist(), b.column("ranges").to_pylist(), strict=True):
+        for t, r in zip(b.column("text").to_pylist(), b.column("_ranges").to_pylist(), strict=True):
             raw = (t or "").encode()
             where = spans(r, len(raw))
             rows.append((len(raw), sum(e - s for s, e in where), len(where), hashlib.sha256(cut(raw, where)).hexdigest()))
