@@ -27,7 +27,7 @@ from .samples import held_out, labelled, texts_of
 SAMPLE = 20_000
 FOLDS, FOLD = 4, 2
 THRESHOLD = 0.7
-BINS, DEPTH, TREES, RATE, RIDGE, LEAST = 64, 4, 80, 0.15, 1.0, 5.0
+BINS, DEPTH, TREES, RATE, RIDGE, LEAST = 64, 4, 80, 0.15, 1.0, 1.0
 
 STATISTICS = ("log_words", "word_length", "symbols", "upper", "bangs", "repeats", "dup_lines", "log_line", "digits", "stops", "twins", "beyond_ascii", "commas")
 _DIGITS = np.zeros(256, bool)
