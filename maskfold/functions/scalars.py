@@ -16,8 +16,8 @@ def let(value: Column, body) -> Column:
 
 
 def pinned(value: Column) -> Column:
-    """The value in a projection of its own. A nested expression that the optimizer moves into a Python function's
-    arguments is computed again for each of them, and some such functions are not taken out of the plan at all."""
+    """The value in a projection of its own. Else the optimizer moves it into the expressions that use it, where a lambda
+    computes it again at every element, and a Python function with it among its arguments may not be taken out of the plan."""
     return F.when(F.spark_partition_id() >= 0, value)
 
 

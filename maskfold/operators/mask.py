@@ -53,9 +53,8 @@ def masked(docs: DataFrame, mode: str = "partial", text: str = "text", session:
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     t = F.col(text)
-    pin = pinned if names or mode == "synthetic" else lambda c: c
+    pin = pinned
     before = docs.columns
-    docs = docs.withColumn("decisions", pin(F.col("decisions")))
     persons = en.people(F.col("decisions")) if names else en.no_people()
     out = docs.withColumn("_people", persons).withColumn("_entities", pin(en.entity_ids(F.col("decisions"), F.col("_people"))))
     made = F.when(F.col("_entities").isNull(), F.array().cast(f"array<{en.MAPPING}>")).otherwise(en.mappings(F.col("_entities"), F.col("_people")))

@@ -107,8 +107,8 @@ def keyword_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pl.analyze(src.ru_corpus(spark, sf_dir))
-    return rows_of(out, "decisions", ("decision",)).join(rows_of(out.select("doc_id", "decisions"), "decisions", ("reasons",)).select("doc_id", "start", F.array_join("reasons", ",").alias("reasons")), ["doc_id", "start"])
+    out = pl.analyze(src.ru_corpus(spark, sf_dir)).select("doc_id", F.explode("decisions").alias("d"))
+    return out.select("doc_id", "d.type", "d.value", "d.start", "d.end", F.round("d.confidence", 2).alias("confidence"), "d.decision", F.array_join("d.reasons", ",").alias("reasons"))
 
 
 def decisions_structured(spark: SparkSession, sf_dir: str) -> DataFrame:
