@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, saved
+from .common import release, remove, saved
 
 
 def _flat(parents: DataFrame) -> DataFrame:
@@ -52,4 +52,5 @@ def components(edges: DataFrame) -> DataFrame:
             remove(left.sparkSession, roots, hooked)
         remove(left.sparkSession, left)
         left, roots = after, merged
+        release(left.sparkSession)
     return roots if roots is not None else left.select(F.col("a").alias("node"), F.col("b").alias("root"))
