@@ -171,7 +171,7 @@ def near() -> Column:
     for k in range(LANES):
         differ += _filled(F.col("sig_a")[k].bitwiseXOR(F.col("sig_b")[k]))
         either += _filled(F.col("sig_a")[k].bitwiseOR(F.col("sig_b")[k]))
-    share = (1 - low / high) * 15 / 16  # different shingles have equal bits by chance, 1 in 15 where neither range is empty
+    share = 1 - low / high  # where one of the ranges is empty, different shingles never have equal bits by chance
     union = (F.col("size_a") + F.col("size_b")) * (high / (high + low))
     strays = F.sqrt(either * F.greatest(F.lit(0.0), 1 - either / union))
     return sizes & (differ <= either * share + MARGIN * (share * (1 - share)) ** 0.5 * strays + 0.5)

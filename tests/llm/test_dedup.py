@@ -118,6 +118,19 @@ def test_one_large_group_of_near_copies(spark):
     assert {r.component_id for r in out.collect()} == {0}
 
 
+def test_short_pairs_at_the_threshold_are_all_linked(spark):
+    rng = random.Random(4)
+    texts = []
+    for i in range(300):
+        base = [f"p{i}w{k}" for k in range(39)]  # 35 shingles; 30 of 40 are shared once an inner word is another
+        copy = base[:]
+        copy[rng.randrange(4, 35)] = "other"
+        texts += [" ".join(base), " ".join(copy)]
+    out = near_dedup.labelled(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert brute_components(texts) == [(35, k - k % 2) for k in range(600)]
+    assert {r.doc_id: r.component_id for r in out.collect()} == {k: k - k % 2 for k in range(600)}
+
+
 @pytest.mark.parametrize("edges", [[], [(1, 1)], [(1, 2), (2, 3), (3, 1)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 30)] + [(50, 51)]])
 def test_components(spark, edges):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
