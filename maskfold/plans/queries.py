@@ -192,7 +192,7 @@ def vault_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def process_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second round of requests against the first round's records: known, masked, reworded and new texts."""
-    docs = src.table(spark, sf_dir, "documents").where("contains(text, '@')").select(F.col("doc_id").cast("string").alias("payload_id"), F.col("text").alias("payload"))
+    docs = src.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("payload_id"), F.col("text").alias("payload"))
     done = mk.masked(pl.analyze(docs, "payload", only=FLAGSHIP), "token", "payload", names=False)
     vault = vt.records(done, "payload", F.lit("2024-01-01").cast("timestamp"))
     k = F.col("payload_id").cast("bigint") % 4
