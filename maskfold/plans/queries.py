@@ -82,7 +82,7 @@ def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates made from orders: many that overlap for each customer."""
-    o = src.table(spark, sf_dir, "orders").where("o_orderkey % 4 < 3")
+    o = src.table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     c = F.struct(F.lit("PIN").alias("type"), k.cast("string").alias("value"), (k * 13 % 97).cast("int").alias("start"), (k * 13 % 97 + 3 + k % 11).cast("int").alias("end"), F.lit("own").alias("detector"), ((k % 4 + 5) / 10.0).alias("confidence"), (k % 1000003).cast("int").alias("det_order"), F.lit(None).cast(dt.META).alias("meta")).cast(dt.CANDIDATE)
     return o.groupBy(F.col("o_custkey").alias("doc_id")).agg(F.collect_list(c).alias("candidates"))

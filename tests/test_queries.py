@@ -39,3 +39,17 @@ def test_process_directions_answers_every_document(spark, small):
     assert sorted(r.payload_id.removeprefix("new") for r in told) == sorted(str(r.doc_id) for r in docs.select("doc_id").collect())
     plain = {str(r.doc_id): r.text for r in docs.where("not contains(text, '@')").collect()}
     assert {r.direction for r in told if r.payload_id in plain} == {"retry_mask", "demask"}
+
+
+def test_overlaps_of_all_orders_against_brute_force(spark, small):
+    ranked = []
+    for r in spark.read.parquet(f"{small}/orders.parquet").select("o_custkey", "o_orderkey").collect():
+        k, start = r.o_orderkey, r.o_orderkey * 13 % 97
+        ranked.append((r.o_custkey, -(k % 4), -(3 + k % 11), start, k % 1000003, k))
+    chosen = {}
+    for customer, _, length, start, _, k in sorted(ranked):
+        own = chosen.setdefault(customer, [])
+        if not any(s < start - length and start < e for _, s, e in own):
+            own.append((str(k), start, start - length))
+    want = sorted((c, *x) for c, own in chosen.items() for x in own)
+    assert sorted((r.doc_id, r.value, r.start, r.end) for r in QUERIES["o1_overlaps"](spark, small).collect()) == want
