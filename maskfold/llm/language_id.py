@@ -3,12 +3,14 @@
 Texts are lower-cased, everything but letters becomes one kind of gap, and n-grams of one to three code
 points are hashed to ``BUCKETS``. A text's features are n-gram shares times inverse document
 frequencies. Weights are learned by follow-the-regularised-leader steps with an elastic-net penalty from a bounded
-sample (``SAMPLE`` documents, and a short piece of each, so that short texts are known as well), and a
-temperature fitted on a tenth of the sample, kept out of training, calibrates the probabilities.
+sample: some ``SAMPLE`` documents, dealt evenly over the languages (a language of few documents gives all of them), and a short piece
+of each, so that short texts are known as well. Of each text at most ``FEATURES`` features, the largest, come to the driver. A
+temperature calibrates the probabilities; it is fitted on a tenth of the sampled documents, whole texts and pieces, that training never sees.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; if nothing could be learned,
-so is every text; ties go to the first language in code-point order; repeated rows are predicted alike; lang, source
-and doc_id are never inputs of a prediction.
+so is every text; very long texts are read whole; ties go to the first language in code-point order; repeated rows are learned from once and predicted
+alike; an empty table gives an empty result; lang, source and doc_id are never inputs of a prediction; other columns stay, whatever their names,
+but for those named lang_pred and score.
 """
 
 from __future__ import annotations
@@ -23,10 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
-from .common import table
+from .common import boxed, scan, table, unboxed
 from .samples import held_out
 
 SAMPLE = 4_000
+LEAST_SAMPLE = 20  # documents of a language, however many languages there are
+FEATURES = 4_096
 FOLDS, FOLD = 4, 2
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -41,8 +45,8 @@ _letters: np.ndarray | None = None
 def _is_letter(points: np.ndarray) -> np.ndarray:
     global _letters
     if _letters is None:
-        _letters = np.array([chr(i).isalpha() for i in range(0x20000)])
-    return _letters[np.minimum(points, 0x1FFFF)]
+        _letters = np.array([chr(i).isalpha() for i in range(0x110000)])
+    return _letters[points]
 
 
 def grams(texts: list[str | None]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
@@ -79,8 +83,11 @@ def _slices(texts: list[str | None], limit: int = tk.SLICE // 4) -> Iterator[tup
 
 @dataclass
 class Model:
+    """Weights of the buckets that have any: ``place`` gives a bucket's row in ``weight``, the last row for all others, which is zero."""
+
     langs: list[str]
-    weight: np.ndarray  # buckets x languages, inverse document frequencies multiplied in
+    place: np.ndarray
+    weight: np.ndarray  # rows x languages, inverse document frequencies multiplied in
     bias: np.ndarray
     temperature: float
 
@@ -91,8 +98,11 @@ class Model:
             logits = np.tile(self.bias, (j - i, 1))
             for bucket, doc in found:
                 n = np.maximum(np.bincount(doc, minlength=j - i), 1)
+                row = self.place[bucket]
+                some = row < len(self.weight) - 1
+                row, doc = row[some], doc[some]
                 for k in range(len(self.langs)):
-                    logits[:, k] += np.bincount(doc, self.weight[:, k][bucket], j - i) / n
+                    logits[:, k] += np.bincount(doc, self.weight[:, k][row], j - i) / n
             if not self.langs:
                 has[:] = False
                 logits = np.zeros((j - i, 1))
@@ -103,6 +113,14 @@ class Model:
         return names, np.concatenate([np.zeros(0), *scores])
 
 
+def sparse_model(langs: list[str], weight: np.ndarray, bias: np.ndarray, temperature: float) -> Model:
+    """From weights of all buckets; those of buckets without any are not kept."""
+    used = np.flatnonzero((weight != 0).any(axis=1))
+    place = np.full(BUCKETS, len(used), np.int32)
+    place[used] = np.arange(len(used))
+    return Model(langs, place, np.concatenate([weight[used], np.zeros((1, len(langs)))]).astype(np.float32), bias, temperature)
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)
@@ -128,19 +146,22 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             piece = _sparse([t[(at := len(t) // 3) : at + PIECE] for t in texts[i:j]])
             for k in range(i, j):
                 for n, (bucket, value) in enumerate((whole[k - i], piece[k - i])):
+                    if len(value) > FEATURES:
+                        most = np.sort(np.argsort(-value, kind="stable")[:FEATURES])
+                        bucket, value = bucket[most], value[most]
                     rows.append((k, n, bucket.astype(np.uint16).tobytes(), value.astype(np.float32).tobytes()))
-        keys = b.select(["doc_id", "lang"]).take(pa.array([r[0] for r in rows], pa.int64()))
-        yield pa.RecordBatch.from_arrays([*keys.columns, pa.array([r[1] for r in rows], pa.int32()), *[pa.array([r[k] for r in rows], pa.binary()) for k in (2, 3)]], names=["doc_id", "lang", "part", "bucket", "value"])
+        keys = b.select(["key", "lang"]).take(pa.array([r[0] for r in rows], pa.int64()))
+        yield pa.RecordBatch.from_arrays([*keys.columns, pa.array([r[1] for r in rows], pa.int32()), *[pa.array([r[k] for r in rows], pa.binary()) for k in (2, 3)]], names=["key", "lang", "part", "bucket", "value"])
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], langs: list[str], y: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, l1: float = L1, l2: float = L2) -> Model:
-    """FTRL-proximal for each bucket and language, then the temperature on each tenth example."""
-    k, n = len(langs), len(rows)
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], langs: list[str], y: np.ndarray, kept_out: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, l1: float = L1, l2: float = L2) -> Model:
+    """FTRL-proximal for each bucket and language on the rows that are not kept out, then the temperature on those that are."""
+    k, n = len(langs), int((~kept_out).sum())
     if k == 0:
-        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0)
+        return sparse_model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0)
     df = np.zeros(BUCKETS)
-    for bucket, _ in rows:
-        df[bucket] += 1
+    for (bucket, _), out in zip(rows, kept_out, strict=True):
+        df[bucket] += not out
     idf = np.log((n + 1) / (df + 1)) + 1
     z, s = np.zeros((BUCKETS + 1, k)), np.zeros((BUCKETS + 1, k))
 
@@ -150,7 +171,6 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], langs: list[str], y: np.ndarr
         return np.where(np.abs(zi) <= shrink, 0.0, (np.sign(zi) * shrink - zi) / ((1 + np.sqrt(s[i])) / rate + l2 * n))
 
     order = np.random.Generator(np.random.PCG64(5))
-    kept_out = np.arange(n) % 10 == 9
     inputs = [(np.append(b, BUCKETS), np.append(v * idf[b] * SCALE, 1.0)) for b, v in rows]
     for _ in range(epochs):
         for r in order.permutation(np.flatnonzero(~kept_out)):
@@ -167,34 +187,41 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], langs: list[str], y: np.ndarr
     truth = y[kept_out]
     loss = lambda t: -np.log(np.maximum(_softmax(logits / t)[np.arange(len(truth)), truth], 1e-12)).mean() if len(truth) else t
     temperature = min(np.exp(np.linspace(-2.5, 2.5, 101)), key=loss) if len(truth) else 1.0
-    return Model(langs, w[:-1] * (idf * SCALE)[:, None], w[-1], float(temperature))
+    return sparse_model(langs, w[:-1] * (idf * SCALE)[:, None], w[-1], float(temperature))
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, folds: int = FOLDS, fold: int = FOLD) -> Model:
-    """Learns from the ``sample`` documents outside the held-out fold whose ids have the smallest hashes."""
+    """Learns from documents outside the held-out fold: of each language those whose hash (of id and text) lies below the share that
+    gives it about ``sample`` / languages documents, so that no language is too rare to be learned."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), folds, fold))
-    ids = known.select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(sample).distinct()
-    rows = known.join(F.broadcast(ids), ["doc_id", "lang"]).select("doc_id", "lang", "text")
-    got = rows.mapInArrow(_sample_features, "doc_id bigint, lang string, part int, bucket binary, value binary").limit(2 * sample).toArrow()
-    got = got.sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("part", "ascending")])
+    known = known.select("lang", "text", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text").alias("key"))
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    each = F.greatest(F.lit(sample) / F.greatest(F.lit(counts.count()), F.lit(1)), F.lit(LEAST_SAMPLE))
+    share = counts.select(F.col("lang").alias("_lang"), F.least(each / F.col("n"), F.lit(1.0)).alias("share"))
+    chance = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1 << 32)) / F.lit(float(1 << 32))
+    rows = known.join(share, F.col("lang") == F.col("_lang")).where(chance < F.col("share"))
+    rows = rows.groupBy("lang", "key").agg(F.max("text").alias("text"))  # repeated rows once
+    got = scan(rows, _sample_features, "key bigint, lang string, part int, bucket binary, value binary").toArrow()
+    got = got.sort_by([("lang", "ascending"), ("key", "ascending"), ("part", "ascending")])
     names = got.column("lang").to_pylist()
     langs = sorted(set(names))
     found = [(np.frombuffer(b, np.uint16).astype(np.int64), np.frombuffer(v, np.float32).astype(float)) for b, v in zip(got.column("bucket").to_pylist(), got.column("value").to_pylist(), strict=True)]
-    return fit(found, langs, np.array([langs.index(x) for x in names], np.int64))
+    kept_out = tk.mix(got.column("key").to_numpy().astype(np.int64).view(np.uint64)) % np.uint64(10) == 9
+    return fit(found, langs, np.array([langs.index(x) for x in names], np.int64), kept_out)
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with lang_pred and score; columns of those names are replaced."""
-    docs = docs.drop("lang_pred", "score")
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers a language
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the buckets that have weights, a number a language each
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names, scores = shared.value.predict(b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores)], names=[*b.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(predict, schema)
+    rows = boxed(docs)
+    out = scan(rows, predict, T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return unboxed(out, docs, "lang_pred", "score", without=("lang_pred", "score"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

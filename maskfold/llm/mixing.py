@@ -8,9 +8,10 @@ The running sum is made in two steps so that no source is sorted in one task: si
 and by bucket of the key, running sums over the buckets find the one that the budget cuts, and only
 that bucket is sorted. The document that the budget cuts gives just the words that are missing.
 
-Only DataFrame functions are used. Defined results: a null text has no words and none are taken; a null
-source is a source of its own, the last; repeated rows have one key and go in an order that rows alike
-cannot tell; an empty table gives an empty result.
+Only DataFrame functions are used. Defined results: a null text has no words and none are taken; very long texts count
+whole; a null source is a source of its own, the last; repeated rows have one key and go in an order that rows alike
+cannot tell (as do equal keys, by doc_id and size); an empty table gives an empty result; other columns are carried under numbers of our
+own, so no name clashes, and one that has the name of a result is replaced by it.
 """
 
 from __future__ import annotations
@@ -19,12 +20,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import lookup, saved, table
+from .common import boxed, lookup, saved, table, unboxed
 
 WEIGHTS = (5, 2, 1)
 SHARE_PERCENT = 150
 MAX_EPOCHS = 2
-BUCKETS = 4096
+#: Rows that a bucket of keys has on average, so that a task can sort the one that a budget cuts; and buckets at least.
+BUCKET_ROWS, LEAST_BUCKETS = 10_000, 4096
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -67,29 +69,32 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int =
 def mixed(docs: DataFrame, weight: Column | None = None, carry_text: bool = True) -> DataFrame:
     """``docs`` (doc_id, text, source, ...) with size, source_size, target, epochs and taken.
 
-    ``weight`` is a positive column, the document's quality weight. Columns of those names are replaced.
+    ``weight`` is a positive column of ``docs``, the document's quality weight. Columns of the results' names are replaced.
     """
-    docs = docs.drop("size", "source_size", "target", "epochs", "taken")
-    key = -F.ln(uniform(F.col("doc_id"), F.col("text"))) / (quality_weight(F.col("text")) if weight is None else weight)
-    sized = docs.withColumn("size", n_words(F.col("text"))).withColumn("_key", key)
-    sized = sized.withColumn("_bucket", F.floor(F.col("_key") / (F.col("_key") + 1) * BUCKETS).cast("int"))
+    added = ("size", "source_size", "target", "epochs", "taken")
+    weight = quality_weight(F.col("text")) if weight is None else weight
+    rows = boxed(docs, "doc_id", "source", extra=(weight.alias("weight"),))
+    key = -F.ln(uniform(F.col("doc_id"), F.col("text"))) / F.col("weight")
+    sized = rows.withColumn("size", n_words(F.col("text"))).withColumn("key", key).drop("weight")
     sized = saved(sized if carry_text else sized.drop("text"), "sized")
-    cells = saved(sized.groupBy("source", "_bucket").agg(F.sum("size").alias("n")), "cells")
+    buckets = max(LEAST_BUCKETS, sized.count() // BUCKET_ROWS)
+    sized = sized.withColumn("bucket", F.floor(F.col("key") / (F.col("key") + 1) * buckets).cast("int"))
+    cells = saved(sized.groupBy("source", "bucket").agg(F.sum("size").alias("n")), "cells")
     plan = targets(cells.groupBy("source").agg(F.sum("n").alias("source_size")))
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint"))
-    plan = saved(plan.withColumn("_budget", F.round("target").cast("bigint") - F.col("epochs") * F.col("source_size")), "plan")
+    plan = saved(plan.withColumn("budget", F.round("target").cast("bigint") - F.col("epochs") * F.col("source_size")), "plan")
     # the bucket of each source that its budget cuts
-    upto = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    run = cells.withColumn("_before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
-    cuts = lookup(run, plan.select("source", "_budget"), ["source"]).where("_before < _budget and _before + n >= _budget")
-    cuts = cuts.groupBy("source").agg(F.min("_bucket").alias("_cut"), F.min_by("_before", "_bucket").alias("_cut_before"))
+    upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    run = cells.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
+    cuts = lookup(run, plan.select("source", "budget"), ["source"]).where("before < budget and before + n >= budget")
+    cuts = cuts.groupBy("source").agg(F.min("bucket").alias("cut"), F.min_by("before", "bucket").alias("cut_before"))
     placed = lookup(sized, saved(lookup(plan, saved(cuts, "cuts"), ["source"]), "plan"), ["source"])
-    apart = placed.where("not (_bucket <=> _cut)").withColumn("_extra", F.when(F.col("_bucket") < F.col("_cut"), F.col("size")).otherwise(F.lit(0)))
-    inside = Window.partitionBy("source").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    so_far = F.col("_cut_before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    edge = placed.where("_bucket <=> _cut").withColumn("_extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("_budget") - so_far)))
-    both = apart.unionByName(edge).withColumn("taken", F.col("epochs") * F.col("size") + F.col("_extra"))
-    return both.select(*[c for c in docs.columns if c != "text" or carry_text], "size", "source_size", "target", "epochs", "taken")
+    apart = placed.where("not (bucket <=> cut)").withColumn("extra", F.when(F.col("bucket") < F.col("cut"), F.col("size")).otherwise(F.lit(0)))
+    inside = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = F.col("cut_before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
+    edge = placed.where("bucket <=> cut").withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("budget") - so_far)))
+    both = apart.unionByName(edge).withColumn("taken", F.col("epochs") * F.col("size") + F.col("extra"))
+    return unboxed(both, docs, *added, without=added if carry_text else (*added, "text"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,7 +66,7 @@ def shingle_sets(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Hashes of each document's distinct shingles in order, and where each document's begin."""
     data = tk.LOWER[data]
     start, end, doc = tk.word_spans(data, at, tk.NOT_SPACE)
-    word = tk.span_hash(tk.running_hash(data), start, end)
+    word = tk.span_hash(data, start, end)
     windows = tk.window_hash(word, SHINGLE)
     inside = tk.windows_inside(doc, SHINGLE)
     docs = len(at) - 1

@@ -4,8 +4,10 @@ Statistics of whole texts are counted by a vectorised scan. Trees are grown on a
 (``SAMPLE`` rows, the driver holds their statistics alone) from histograms of binned values, and laid out as
 complete binary trees in flat arrays, so that a batch of documents walks all trees with a few numpy steps.
 
-Defined results: null and empty texts have zero statistics and get the score these lead to; without labels
-of both kinds every score is the share of 1 (0.5 without any); repeated rows score alike; neither labels nor lang, source or doc_id is an input of a score.
+Defined results: null and empty texts have zero statistics and get the score these lead to; very long texts are
+counted whole; without labels of both kinds every score is the share of 1 (0.5 without any); a score that equals the threshold is predicted 1;
+an id with labels that tie is learned as 1; repeated rows score alike; an empty table gives an empty result; neither labels nor lang, source or doc_id is an input
+of a score; other columns stay, whatever their names, but for those named score and predicted.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import types as T
 
 from . import quality_rules as qr
 from . import textkit as tk
-from .common import table
+from .common import boxed, scan, table, unboxed
 from .samples import held_out, labelled, texts_of
 
 SAMPLE = 20_000
@@ -52,7 +54,7 @@ def statistics(text: pa.Array) -> np.ndarray:
         c = qr._count_slice(piece, ends)
         each = lambda flags: np.diff(tk.counts_before(flags)[ends])  # noqa: B023, E731
         start, end, doc = tk.word_spans(piece, ends, tk.NOT_SPACE)
-        word = tk.span_hash(tk.running_hash(piece), start, end)
+        word = tk.span_hash(piece, start, end)
         twins = np.zeros(len(word), bool)
         twins[1:] = (word[1:] == word[:-1]) & (doc[1:] == doc[:-1])
         words, chars = np.maximum(c["n_words"], 1), np.maximum(c["word_chars"], 1)
@@ -142,30 +144,29 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, b
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = FOLDS, fold: int = FOLD) -> Forest:
     """The forest for label 1 of ``labels.quality``, from at most ``sample`` labelled rows outside the held-out fold."""
-    rows = texts_of(docs, labelled(labels, "quality", sample, folds, fold), sample)
+    rows = texts_of(docs, labelled(labels, "quality", sample, folds, fold))
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = statistics(b.column("text"))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(STATISTICS)).cast(pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
+            x = pa.FixedSizeListArray.from_arrays(pa.array(statistics(b.column("text")).ravel()), len(STATISTICS))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), x.cast(pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
-    got = rows.select("doc_id", "y", "text").mapInArrow(scan, "doc_id bigint, y int, x array<double>").limit(sample).toArrow().sort_by("doc_id")
+    got = scan(rows.select("doc_id", "y", "text"), measure, "doc_id bigint, y int, x array<double>").toArrow().sort_by("doc_id")
     x = np.array(got.column("x").to_pylist()).reshape(-1, len(STATISTICS))
     return grow(x, got.column("y").to_numpy().astype(float))
 
 
 def scored(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with score and predicted; columns of those names are replaced."""
-    docs = docs.drop("score", "predicted")
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     model = docs.sparkSession.sparkContext.broadcast(forest)  # some 80 trees of 31 nodes
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = model.value.scores(statistics(b.column("text")))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.value.scores(statistics(b.column("text"))))], names=[*b.schema.names, "score"])
 
-    return docs.mapInArrow(score, schema)
+    rows = boxed(docs)
+    out = scan(rows, score, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
+    return unboxed(out, docs, "score", (F.col("score") >= threshold).cast("int").alias("predicted"), without=("score", "predicted"))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,12 +3,15 @@
 Each document gets whole-text counts. A limit for each measure is read from a mergeable quantile
 sketch of its language and source: a histogram over integers with 32 buckets to a power of two
 (relative error below 1/32). Sketches merge by adding counts, so they are made by a plain grouped
-count in two steps, and a small group falls back on its language's sketch and then on the whole
-corpus's, both merged from the same counts.
+count in two steps. The quartiles of a group are drawn towards those of its language by ``PRIOR`` documents, and
+those of a language towards the corpus's: the fewer documents, the more, without a step at any size.
 
-Defined results: a null or empty text has no words, fails the base rule and is not kept; null
-languages and sources are groups of their own; repeated rows are judged alike; other columns are
-not looked at.
+Texts are scanned once: the counts are written to the shared folder, and both the sketches and the verdicts are read from there.
+
+Defined results: a null or empty text has no words, fails the base rule and is not kept; very long texts are counted
+whole; null languages and sources are groups of their own; repeated rows are judged alike, and a value that equals its
+limit passes; an empty table gives an empty result; other columns are carried under numbers of our own, so
+no name clashes, and one that has the name of a result is replaced by it.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import textkit as tk
-from .common import lookup, saved, table
+from .common import boxed, lookup, saved, scan, table, unboxed
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower", "n_bangs")
 WINDOW = 5
@@ -42,7 +45,7 @@ MEASURES = {
     "word_length": ("100 * word_chars div greatest(n_words, 1)", 60, "both"),
 }
 FENCE = 4  # spreads beyond the quartiles
-MIN_ROWS = 100  # rows that a group's own sketch needs
+PRIOR = 50  # documents of the wider group that each quartile is drawn towards
 MAX_REPEAT_PERCENT = 20
 MIN_WORDS = 10
 
@@ -59,7 +62,6 @@ def _count_slice(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     each = lambda flags: np.diff(tk.counts_before(flags)[at])
     inside = tk.NOT_SPACE[data]
     start, end, doc = tk.word_spans(data, at, tk.NOT_SPACE)
-    sums = tk.running_hash(data)
     out = {
         "n_words": np.bincount(doc, minlength=docs),
         "word_chars": each(inside & ((data & 0xC0) != 0x80)),
@@ -68,7 +70,7 @@ def _count_slice(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
         "n_lower": each((data >= 0x61) & (data <= 0x7A)),
         "n_bangs": each(_BANGS[data]),
     }
-    windows = tk.window_hash(tk.span_hash(sums, start, end), WINDOW)
+    windows = tk.window_hash(tk.span_hash(data, start, end), WINDOW)
     ok = np.flatnonzero(tk.windows_inside(doc, WINDOW))
     twice = ok[tk.repeated(tk.keyed(doc[ok], windows[ok]))]
     out["n_repeat_words"] = np.bincount(doc[tk.covered(twice, WINDOW, len(doc))], minlength=docs)
@@ -81,7 +83,7 @@ def _count_slice(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     words = tk.counts_before(inside)
     has = words[ends] > words[starts]
     starts, ends, of = starts[has], ends[has], of[has]
-    keys = np.unique(tk.keyed(of, tk.span_hash(sums, starts, ends)), return_index=True)[1]
+    keys = np.unique(tk.keyed(of, tk.span_hash(data, starts, ends)), return_index=True)[1]
     out["n_lines"] = np.bincount(of, minlength=docs)
     out["n_dup_lines"] = out["n_lines"] - np.bincount(of[keys], minlength=docs)
     return out
@@ -95,9 +97,10 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             counts = count_batch(b.column(text))
-            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(counts[c], pa.int64()) for c in COUNTS]], names=[*b.schema.names, *COUNTS])
+            added = [pa.array(counts[c], pa.int64()) for c in COUNTS]
+            yield pa.RecordBatch.from_arrays([*b.columns, *added], names=[*b.schema.names, *COUNTS])
 
-    return docs.mapInArrow(count, schema)
+    return scan(docs, count, schema)
 
 
 def _measures() -> list[Column]:
@@ -118,7 +121,12 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def limits(counted: DataFrame, min_rows: int = MIN_ROWS, fence: int = FENCE) -> DataFrame:
+def _drawn(rows: str, own: str, wide: str, prior: int) -> Column:
+    """A quartile of ``rows`` documents, drawn towards the wider group's."""
+    return F.expr(f"({rows} * {own} + {prior} * {wide}) div ({rows} + {prior})")
+
+
+def limits(counted: DataFrame, prior: int = PRIOR, fence: int = FENCE) -> DataFrame:
     """A row for each language and source with the least and most that each measure may be.
 
     Only documents that pass the base rule are sketched. ``counted`` is from :func:`with_counts`.
@@ -126,50 +134,59 @@ def limits(counted: DataFrame, min_rows: int = MIN_ROWS, fence: int = FENCE) ->
     seen = counted.where(~base_failed()).select("lang", "source", *_measures())
     names = list(MEASURES)
     pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("m"), _bucket(F.col(k)).alias("bucket")) for i, k in enumerate(names)])).alias("p")
-    cells = saved(seen.select("lang", "source", pairs).groupBy("lang", "source", "p.m", "p.bucket").agg(F.count("*").alias("n")), "sketches")
+    cells = seen.select("lang", "source", pairs).groupBy("lang", "source", "p.m", "p.bucket").agg(F.count("*").alias("n"))
+    cells = saved(cells, "sketches")
 
-    def quartiles(by: list[str]) -> DataFrame:
+    def quartiles(by: list[str], name: str) -> DataFrame:
         merged = cells.groupBy(*by, "m", "bucket").agg(F.sum("n").alias("n"))
         w = Window.partitionBy(*by, "m")
         cum = merged.withColumn("total", F.sum("n").over(w)).withColumn("upto", F.sum("n").over(w.orderBy("bucket")))
         at = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("total") * q, F.col("bucket")))
-        return cum.groupBy(*by, "m").agg(F.max("total").alias("rows"), _least(at(1)).alias("q1"), _least(at(3)).alias("q3"))
+        found = cum.groupBy(*by, "m").agg(F.max("total").alias("rows"), _least(at(1)).alias("q1"), _least(at(3)).alias("q3"))
+        return found.select(*[F.col(c).alias(f"_{c}") for c in (*by, "m")], *[F.col(c).alias(f"{name}_{c}") for c in ("rows", "q1", "q3")])
 
-    groups = cells.select("lang", "source", "m").distinct()
-    out = groups
+    out = cells.select("lang", "source", "m").distinct()
     for name, by in (("own", ["lang", "source"]), ("lang", ["lang"]), ("all", [])):
-        q = quartiles(by).select(*[F.col(c).alias(f"_{c}") for c in (*by, "m")], *[F.when(F.col("rows") >= (0 if name == "all" else min_rows), F.col(c)).alias(f"{name}_{c}") for c in ("q1", "q3")])
-        out = out.join(q, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*by, "m")], "left").drop(*[f"_{c}" for c in (*by, "m")])
+        on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*by, "m")]
+        out = out.join(quartiles(by, name), on, "left").drop(*[f"_{c}" for c in (*by, "m")])
+    for q in ("q1", "q3"):
+        out = out.withColumn(q, _drawn("lang_rows", f"lang_{q}", f"all_{q}", prior))
+        out = out.withColumn(q, _drawn("own_rows", f"own_{q}", q, prior))
     spread = F.element_at(F.array(*[F.lit(s) for _, s, _ in MEASURES.values()]), F.col("m") + 1)
-    out = out.select("lang", "source", "m", *[F.coalesce(*[F.when(F.col("own_q1").isNotNull() if n == "own" else F.col("lang_q1").isNotNull() if n == "lang" else F.lit(True), F.col(f"{n}_{q}")) for n in ("own", "lang", "all")]).alias(q) for q in ("q1", "q3")])
     reach = F.lit(fence) * F.greatest(F.col("q3") - F.col("q1"), spread)
     ends = out.select("lang", "source", "m", (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
     picked = [F.max(F.when(F.col("m") == i, F.col(side))).alias(f"{side}_{k}") for i, k in enumerate(names) for side in ("low", "high")]
     return ends.groupBy("lang", "source").agg(*picked)
 
 
-def judge(docs: DataFrame, min_rows: int = MIN_ROWS, fence: int = FENCE) -> DataFrame:
-    """``docs`` (doc_id, text, lang, source and others) with the counts, base_failed and kept."""
-    counted = with_counts(docs)
-    found = saved(limits(with_counts(docs.select("text", "lang", "source")), min_rows, fence), "limits")
+def _judged(docs: DataFrame, prior: int, fence: int, carry_text: bool) -> DataFrame:
+    """row, text (if carried), counts, base_failed and kept."""
+    counted = with_counts(boxed(docs, "lang", "source"))
+    counted = saved(counted if carry_text else counted.drop("text"), "counted")
+    found = saved(limits(counted, prior, fence), "limits")
     joined = lookup(counted.withColumn("base_failed", base_failed()), found, ["lang", "source"])
     fine = F.lit(True)
-    for (k, (e, _, side)) in MEASURES.items():
+    for k, (e, _, side) in MEASURES.items():
         fine &= F.expr(e) <= F.col(f"high_{k}")
         if side == "both":
             fine &= F.expr(e) >= F.col(f"low_{k}")
-    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(fine, F.lit(True))).drop(*found.drop("lang", "source").columns)
+    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(fine, F.lit(True)))
+
+
+def judge(docs: DataFrame, prior: int = PRIOR, fence: int = FENCE, carry_text: bool = True) -> DataFrame:
+    """``docs`` (text, lang, source and others) with the counts, base_failed and kept; without the text unless it is carried."""
+    added = (*COUNTS, "base_failed", "kept")
+    return unboxed(_judged(docs, prior, fence, carry_text), docs, *added, without=added if carry_text else (*added, "text"))
 
 
 def keep(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their own columns and no others."""
-    taken = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text", "lang", "source")
-    return judge(taken).where("kept").select("_row.*")
+    return unboxed(_judged(docs, PRIOR, FENCE, True).where("kept"), docs)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return judge(docs).select("doc_id", *COUNTS, "base_failed", "kept")
+    return judge(docs, carry_text=False).select("doc_id", *COUNTS, "base_failed", "kept")
 
 
 _MEASURE_SQL = ",\n  ".join(f"{e.replace(' div ', ' // ')} AS {k}" for k, (e, _, _) in MEASURES.items())
@@ -179,14 +196,14 @@ _FINE_SQL = " AND ".join(f"{k} <= h{i}" + (f" AND {k} >= l{i}" if side == "both"
 _PICK_SQL = ", ".join(f"max(CASE WHEN m = {i} THEN low END) AS l{i}, max(CASE WHEN m = {i} THEN high END) AS h{i}" for i in range(len(MEASURES)))
 
 
-def _quartile_sql(name: str, by: str, least: int) -> str:
+def _quartile_sql(name: str, by: str) -> str:
     part = f"{by}, m" if by else "m"
     return f"""{name} AS (
-  SELECT {part}, max(total) AS total,
+  SELECT {part}, max(total)::BIGINT AS n,
     min(CASE WHEN upto * 4 >= total THEN low_end END) AS q1, min(CASE WHEN upto * 4 >= total * 3 THEN low_end END) AS q3
   FROM (SELECT {part}, low_end, sum(count(*)) OVER (PARTITION BY {part}) AS total,
       sum(count(*)) OVER (PARTITION BY {part} ORDER BY low_end) AS upto FROM cells GROUP BY {part}, low_end)
-  GROUP BY {part} HAVING max(total) >= {least})"""
+  GROUP BY {part})"""
 
 
 ORACLE_SQL = f"""
@@ -211,16 +228,13 @@ judged AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT
 seen AS (SELECT * FROM judged WHERE NOT base_failed),
 flat AS ({_UNPIVOT_SQL}),
 cells AS (SELECT lang, source, m, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) AS low_end FROM flat),
-{_quartile_sql('own', 'lang, source', MIN_ROWS)},
-{_quartile_sql('bylang', 'lang', MIN_ROWS)},
-{_quartile_sql('corpus', '', 0)},
-q AS (SELECT g.lang, g.source, g.m,
-  CASE WHEN o.q1 IS NOT NULL THEN o.q1 WHEN b.q1 IS NOT NULL THEN b.q1 ELSE c.q1 END AS q1,
-  CASE WHEN o.q1 IS NOT NULL THEN o.q3 WHEN b.q1 IS NOT NULL THEN b.q3 ELSE c.q3 END AS q3
-  FROM (SELECT DISTINCT lang, source, m FROM cells) g
-  LEFT JOIN own o ON o.m = g.m AND o.lang IS NOT DISTINCT FROM g.lang AND o.source IS NOT DISTINCT FROM g.source
-  LEFT JOIN bylang b ON b.m = g.m AND b.lang IS NOT DISTINCT FROM g.lang
-  LEFT JOIN corpus c ON c.m = g.m),
+{_quartile_sql('own', 'lang, source')},
+{_quartile_sql('bylang', 'lang')},
+{_quartile_sql('corpus', '')},
+ql AS (SELECT b.lang, b.m, (b.n * b.q1 + {PRIOR} * c.q1) // (b.n + {PRIOR}) AS q1, (b.n * b.q3 + {PRIOR} * c.q3) // (b.n + {PRIOR}) AS q3
+  FROM bylang b JOIN corpus c ON c.m = b.m),
+q AS (SELECT o.lang, o.source, o.m, (o.n * o.q1 + {PRIOR} * l.q1) // (o.n + {PRIOR}) AS q1, (o.n * o.q3 + {PRIOR} * l.q3) // (o.n + {PRIOR}) AS q3
+  FROM own o JOIN ql l ON l.m = o.m AND l.lang IS NOT DISTINCT FROM o.lang),
 ends AS (SELECT lang, source, m, q1 - {FENCE} * greatest(q3 - q1, {_SPREAD_SQL}) AS low, q3 + {FENCE} * greatest(q3 - q1, {_SPREAD_SQL}) AS high FROM q),
 lim AS (SELECT lang, source, {_PICK_SQL} FROM ends GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, n_lower, n_bangs, base_failed,

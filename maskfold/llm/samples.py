@@ -25,6 +25,8 @@ def labelled(labels: DataFrame, label: str, rows: int, folds: int, fold: int, ba
     return known.where("y = 1").orderBy(*order).limit(rows // 2).unionByName(known.where("y = 0").orderBy(*order).limit(rows // 2))
 
 
-def texts_of(docs: DataFrame, sample: DataFrame, rows: int) -> DataFrame:
-    """(doc_id, text, y) of the sampled ids. The sample has ``rows`` rows at most, so it is broadcast."""
-    return docs.select("doc_id", "text").join(F.broadcast(sample.limit(rows)), "doc_id")
+def texts_of(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """(doc_id, text, y) of the sampled ids, one row each: of several texts with one id the last in order. ``sample`` is from
+    :func:`labelled`, so its size is bounded and it is broadcast."""
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    return found.groupBy("doc_id", "y").agg(F.max("text").alias("text"))

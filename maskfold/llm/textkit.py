@@ -1,9 +1,11 @@
 """Vectorised scanning of UTF-8 text in Arrow batches.
 
 Everything here works on the bytes of a whole batch at once: word borders from a table of
-byte classes, 64-bit polynomial hashes of any span from one running sum, and windows of words.
-Batches are cut into slices of about ``SLICE`` bytes, never inside a document, so memory follows
-the longest document and not the batch.
+byte classes, hashes of spans, and windows of words. Batches are cut into slices of about ``SLICE`` bytes,
+never inside a document, so memory follows the longest document and not the batch.
+
+Spans are hashed by a polynomial modulo the prime 2**61 - 1. (Modulo a power of two every odd base fails on one and
+the same pairs of texts, Thue-Morse sequences and their complements; a prime has none of that kind.)
 """
 
 from __future__ import annotations
@@ -14,15 +16,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 1 << 19
+SLICE = 1 << 17
 
 U = np.uint64
 _random = np.random.Generator(np.random.PCG64(20240229))
-#: A random number for each byte value, so that the sums below are not those of small integers.
-_BYTE = _random.integers(1, 1 << 63, 256, dtype=np.uint64)
-_BASE = 0xD1342543DE82EF95
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _STEPS = _random.integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
+PRIME = (1 << 61) - 1
+_BASE = 0x0DF3A1C7B2E4956B % PRIME
+#: Bytes that one sum of products may cover: each is below 2**40.
+_PIECE = 1 << 20
 
 #: Bytes that are not white space: words ``[^\x20\x09-\x0D]+``.
 NOT_SPACE = np.ones(256, bool)
@@ -34,19 +36,34 @@ ALNUM_LOWER[0x30:0x3A] = ALNUM_LOWER[0x61:0x7B] = ALNUM_LOWER[0x80:] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-_powers = np.ones(1, np.uint64)
-_inverses = np.ones(1, np.uint64)
+_powers: list[np.ndarray] = []
+
+
+def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base modulo the prime, for at least n steps: their low 31 bits and the rest."""
+    if not _powers or len(_powers[0]) < n:
+        out, step = np.ones(1, U), _BASE
+        while len(out) < max(n, 1 << 12):
+            out = np.concatenate([out, _times(out, step)])
+            step = step * step % PRIME
+        _powers[:] = [out & U((1 << 31) - 1), out >> U(31)]
+    return _powers[0], _powers[1]
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & U(PRIME)) + (x >> U(61))
+    return np.where(x >= U(PRIME), x - U(PRIME), x)
+
 
+def _shifted(x: np.ndarray) -> np.ndarray:
+    """x * 2**31 modulo the prime, not fully reduced; x is below 2**62."""
+    return (x >> U(30)) + ((x & U((1 << 30) - 1)) << U(31))
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers, _inverses
-    if len(_powers) < n:
-        size = max(1 << 16, 1 << int(n - 1).bit_length())
-        for base, which in ((_BASE, "_powers"), (_BASE_INVERSE, "_inverses")):
-            out = np.full(size, U(base))
-            out[0] = 1
-            globals()[which] = np.cumprod(out, dtype=np.uint64)
-    return _powers, _inverses
+
+def _times(a: np.ndarray, b: int) -> np.ndarray:
+    """a * b modulo the prime."""
+    a0, a1, b0, b1 = a & U((1 << 31) - 1), a >> U(31), U(b & ((1 << 31) - 1)), U(b >> 31)
+    return _reduced(_reduced(a0 * b0) + _reduced(U(2) * a1 * b1) + _reduced(_shifted(a0 * b1 + a1 * b0)))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -81,18 +98,37 @@ def slices(at: np.ndarray, limit: int = SLICE) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def running_hash(data: np.ndarray) -> np.ndarray:
-    """What :func:`span_hash` needs: running sums of bytes times powers of the base, modulo 2**64."""
-    powers, _ = _power_tables(len(data) + 1)
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * powers[: len(data)], out=out[1:])
-    return out
-
-
-def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of the bytes from start to end that does not depend on where they lie."""
-    _, inverses = _power_tables(len(sums))
-    return mix((sums[end] - sums[start]) * inverses[start] + (end - start).astype(np.uint64))
+def _sums(data: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The polynomial of each of some non-empty spans that have at most ``_PIECE`` bytes each."""
+    begin = np.cumsum(n) - n
+    within = np.arange(n.sum()) - np.repeat(begin, n)
+    low, high = _power_table(int(n.max()))
+    value = data[np.repeat(start, n) + within].astype(U) + U(1)
+    low, high = np.add.reduceat(low[within] * value, begin), np.add.reduceat(high[within] * value, begin)
+    return _reduced(_reduced(low) + _reduced(_shifted(high)))
+
+
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each span, which must not be empty; it does not depend on where they lie."""
+    n = end - start
+    out = np.zeros(len(n), U)
+    at = np.concatenate([[0], np.cumsum(n)])
+    i = 0
+    while i < len(n):
+        if n[i] > _PIECE:
+            total = 0
+            for k in range(int(start[i]), int(end[i]), _PIECE):
+                piece = _sums(data, np.array([k]), np.array([min(_PIECE, int(end[i]) - k)]))
+                total += int(piece[0]) * pow(_BASE, k - int(start[i]), PRIME)
+            out[i] = total % PRIME
+            i += 1
+            continue
+        j = max(i + 1, int(np.searchsorted(at, at[i] + _PIECE, "right")) - 1)
+        if (long := np.flatnonzero(n[i:j] > _PIECE)).size:
+            j = i + int(long[0])
+        out[i:j] = _sums(data, start[i:j], n[i:j])
+        i = j
+    return mix(out + n.astype(U) * U(0x9E3779B97F4A7C15))
 
 
 def counts_before(flags: np.ndarray) -> np.ndarray:

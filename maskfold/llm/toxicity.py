@@ -2,12 +2,14 @@
 
 Features are the distinct words, pairs of neighbours and pairs with one word between them of the whole text,
 lower-cased (A-Z) and hashed to 32 bits. Training runs on a bounded sample of labelled rows (``SAMPLE``, half of
-them toxic as far as there are so many), whose features alone come to the driver. Per-coordinate rates and an
-L1 penalty leave some hundreds of weights; these are broadcast and looked up by a vectorised scan.
-
-Defined results: null and empty texts have no features and score the bias; without labels of both kinds there are no
-weights and every score is the share of 1 (0 without any); repeated rows score alike; neither labels nor lang, source or doc_id
-is an input of a score.
+them toxic as far as there are so many); of each of them at most ``FEATURES`` features come to the driver, those with the least hashes
+(so the same ones of every text), 100 MB in all at most. Per-coordinate rates and an
+L1 penalty leave some hundreds of weights; these are broadcast and looked up by a vectorised scan of whole texts.
+
+Defined results: null and empty texts have no features and score the bias; very long texts are scored whole; without labels of
+both kinds there are no weights and every score is the share of 1 (0 without any); an id with labels that tie is learned as 1; a score that equals the
+threshold is predicted 1; repeated rows score alike; an empty table gives an empty result; neither labels nor lang, source or doc_id
+is an input of a score; other columns stay, whatever their names, but for those named score and predicted.
 """
 
 from __future__ import annotations
@@ -22,10 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
-from .common import table
+from .common import boxed, scan, table, unboxed
 from .samples import held_out, labelled, texts_of
 
 SAMPLE = 6_000
+#: Features that a text of the sample brings to the driver at most; one of up to some 1,300 words brings all.
+FEATURES = 4_096
 FOLDS, FOLD = 5, 0
 THRESHOLD = 0.5
 RATE, SMOOTH, L1, L2, EPOCHS = 1.0, 1.0, 30.0, 0.1, 16
@@ -36,7 +40,7 @@ def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all n-grams and skip-grams, and their documents (not distinct)."""
     data = tk.LOWER[data]
     start, end, doc = tk.word_spans(data, at, tk.ALNUM_LOWER)
-    word = tk.span_hash(tk.running_hash(data), start, end)
+    word = tk.span_hash(data, start, end)
     found, of = [word >> np.uint64(32)], [doc]
     for gap in (1, 2):
         inside = doc[:-gap] == doc[gap:]
@@ -55,7 +59,7 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             both = np.unique(of.astype(np.uint64) << np.uint64(32) | found)
             cut = np.searchsorted(both >> np.uint64(32), np.arange(j - i + 1))
             low = both.astype(np.uint32)
-            packed += [low[s:e].tobytes() for s, e in zip(cut[:-1], cut[1:], strict=True)]
+            packed += [low[s:e][:FEATURES].tobytes() for s, e in zip(cut[:-1], cut[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(packed, pa.binary())], names=["doc_id", "y", "x"])
 
 
@@ -121,24 +125,24 @@ def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, rate: float
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = FOLDS, fold: int = FOLD) -> Weights:
-    rows = texts_of(docs, labelled(labels, "toxic", sample, folds, fold, balanced=True), sample)
-    got = rows.select("doc_id", "y", "text").mapInArrow(_sample_features, "doc_id bigint, y int, x binary").limit(sample).toArrow().sort_by("doc_id")
+    rows = texts_of(docs, labelled(labels, "toxic", sample, folds, fold, balanced=True))
+    got = scan(rows.select("doc_id", "y", "text"), _sample_features, "doc_id bigint, y int, x binary").toArrow().sort_by("doc_id")
     return fit([np.frombuffer(x, np.uint32) for x in got.column("x").to_pylist()], got.column("y").to_numpy().astype(float))
 
 
 def scored(docs: DataFrame, weights: Weights, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with score and predicted; columns of those names are replaced."""
-    docs = docs.drop("score", "predicted")
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     model = docs.sparkSession.sparkContext.broadcast(weights)  # bounded by the sample's features, in fact some hundreds
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, at = tk.utf8(b.column("text"))
             s = np.concatenate([np.zeros(0), *[model.value.scores(data[at[i] : at[j]], at[i : j + 1] - at[i]) for i, j in tk.slices(at)]])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], names=[*b.schema.names, "score"])
 
-    return docs.mapInArrow(score, schema)
+    rows = boxed(docs)
+    out = scan(rows, score, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
+    return unboxed(out, docs, "score", (F.col("score") >= threshold).cast("int").alias("predicted"), without=("score", "predicted"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,15 +6,18 @@ combinations that imply a block with enough confidence and support become rules.
 inverted index (token to rules) and judge the urls that no curated rule fits: a url is blocked if all tokens
 of a rule occur in it, else allowed.
 
-A rule must name a host label, and tokens of more than half of the labelled urls are no evidence: what is
-left speaks about sites, not about a language path or a top-level domain at large.
-
-Mining is distributed; what comes back is bounded by ``MAX_RULES``, the strongest of the rules that
-survive pruning (a rule whose tokens contain those of another is redundant). Matching is row by row, without a shuffle.
-
-Only DataFrame and SQL functions are used. Defined results: a null url or one without ``://`` has an
-empty host and path, no tokens, no rule and the verdict allow; with no labelled urls nothing is mined and the rest is
-allowed; repeated rows are judged alike; other columns stay.
+A rule has one to ``MAX_TOKENS`` tokens, must name a host label, and tokens of more than half of the labelled urls are no
+evidence: what is left speaks about sites, not about a language path or a top-level domain at large. All rules that qualify
+count; a rule whose tokens contain those of another is redundant and goes.
+
+Nothing comes to the driver. A rule stands in the index under its rarest token alone; the distinct token
+sets of the urls are joined with it, and only a set that has the rarest token is held against the rest of the rule. Spark broadcasts the
+index if it is small, and splits a hot token if not. Only DataFrame and SQL functions are used.
+
+Defined results: a null url or one without ``://`` has an
+empty host and path, no tokens, no rule and the verdict allow; very long urls are read whole; with no labelled urls nothing is mined and the rest is
+allowed; of curated rules the longest wins, and of equally long ones the last in order; repeated rows are judged alike; an empty table gives an empty result;
+other columns are carried under numbers of our own, so no name clashes, and one that has the name of a result is replaced by it.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import boxed, saved, table, unboxed
 
 #: host, path, verdict
 CURATED = (
@@ -37,7 +40,6 @@ MIN_SUPPORT = 0.01
 MIN_CONFIDENCE = 0.8
 MAX_TOKENS = 3
 MAX_SHARE = 0.5
-MAX_RULES = 2_000
 BLOCK = "label=block"
 
 
@@ -68,54 +70,59 @@ def tokens(host: Column, path: Column) -> Column:
     top = F.transform(F.slice(labels, -1, 1), lambda x: F.concat(F.lit("top="), x))
     names = F.transform(F.slice(labels, 1, F.greatest(F.size(labels) - 1, F.lit(0))), lambda x: F.concat(F.lit("host="), x))
     first = F.transform(F.slice(parts, 1, 1), lambda x: F.concat(F.lit("path="), x))
-    depth = F.when(host == "", F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("depth="), F.least(F.size(parts), F.lit(9)).cast("string"))))
+    depth = F.when(host == "", F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("depth="), F.size(parts).cast("string"))))
     return F.array_distinct(F.concat(F.when(F.size(labels) > 0, top).otherwise(F.array().cast("array<string>")), names, first, depth))
 
 
-def mine(labelled: DataFrame, support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE, most: int = MAX_RULES) -> list[list[str]]:
-    """Token lists of the rules that imply a block, strongest first. ``labelled`` has tokens and verdict."""
-    items = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("label="), F.col("verdict")))).alias("items"))
-    if items.isEmpty():
-        return []
+def _key(tokens: Column) -> Column:
+    return F.concat_ws("\n", F.array_sort(tokens))
+
+
+def mine(labelled: DataFrame, support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """(token, tokens): the rules that imply a block, each under its rarest token. ``labelled`` has tokens and verdict."""
+    items = saved(labelled.select(F.concat("tokens", F.array(F.concat(F.lit("label="), F.col("verdict")))).alias("items")), "items")
+    total = items.count()
+    if not total:
+        return labelled.select(F.lit("").alias("token"), "tokens").where("false")
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
-    sets = model.freqItemsets.where(F.size("items") <= MAX_TOKENS + 1)
+    sets = saved(model.freqItemsets.where(F.size("items") <= MAX_TOKENS + 1), "itemsets")
     is_label = lambda x: F.startswith(x, F.lit("label="))
-    key = F.concat_ws("\n", F.array_sort(F.filter("items", lambda x: ~is_label(x))))
-    plain = sets.where(~F.exists("items", is_label)).select(key.alias("tokens"), F.col("freq").alias("n"))
-    blocked = sets.where(F.array_contains("items", BLOCK) & (F.size("items") > 1)).select(key.alias("tokens"), F.col("freq").alias("n_block"))
-    # at most twice as many as an url has tokens, as each is in half of the urls
-    stop = [r.t for r in sets.where((F.size("items") == 1) & ~F.exists("items", is_label) & (F.col("freq") > F.lit(MAX_SHARE) * items.count())).select(F.element_at("items", 1).alias("t")).collect()]
-    words = F.split("tokens", "\n")
-    sites = F.exists(words, lambda x: F.startswith(x, F.lit("host="))) & ~F.arrays_overlap(words, F.array(*map(F.lit, stop)).cast("array<string>"))
-    rules = blocked.join(plain, "tokens").where((F.col("n_block") / F.col("n") >= confidence) & sites)
-    best = rules.orderBy(F.desc(F.col("n_block") / F.col("n")), F.desc("n_block"), "tokens").limit(most)
-    found = [r.tokens.split("\n") for r in best.select("tokens").collect()]
-    return [r for r in found if not any(set(o) < set(r) for o in found)]
-
-
-def matches(have: Column, rules: list[list[str]]) -> Column:
-    """Whether all tokens of a rule are among ``have``, by an inverted index: the rules of each token
-    present are gathered, and a rule fires if it is gathered as often as it has tokens."""
-    if not rules:
-        return F.lit(False)
-    index: dict[str, list[int]] = {}
-    for i, r in enumerate(rules):
-        for t in r:
-            index.setdefault(t, []).append(i)
-    entries = F.create_map(*[x for t, ids in index.items() for x in (F.lit(t), F.array(*map(F.lit, ids)))])
-    need = F.array(*[F.lit(len(r)) for r in rules])
-    gathered = F.flatten(F.transform(F.filter(have, lambda t: F.map_contains_key(entries, t)), lambda t: F.element_at(entries, t)))
-    return F.exists(F.array_distinct(gathered), lambda i: F.size(F.filter(gathered, lambda j: j == i)) == F.element_at(need, i + 1))
+    plain = sets.where(~F.exists("items", is_label)).select(_key(F.col("items")).alias("key"), F.col("freq").alias("n"))
+    blocked = sets.where(F.array_contains("items", BLOCK) & (F.size("items") > 1))
+    blocked = blocked.select(F.array_sort(F.filter("items", lambda x: ~is_label(x))).alias("tokens"), F.col("freq").alias("n_block")).withColumn("key", _key(F.col("tokens")))
+    sure = blocked.join(plain, "key").where(F.col("n_block") / F.col("n") >= confidence).where(F.exists("tokens", lambda x: F.startswith(x, F.lit("host="))))
+    # how often each token of a rule occurs: no rule may have one of over MAX_SHARE
+    common = sets.where((F.size("items") == 1) & ~F.exists("items", is_label)).select(F.element_at("items", 1).alias("token"), F.col("freq").alias("often"))
+    each = sure.select("key", "tokens", F.explode("tokens").alias("token")).join(common, "token")
+    rules = each.groupBy("key", "tokens").agg(F.max("often").alias("most"), F.min(F.struct("often", "token")).alias("rarest"))
+    rules = saved(rules.where(F.col("most") <= F.lit(MAX_SHARE) * total).select("key", "tokens", F.col("rarest.token").alias("token")), "rules")
+    # smaller rules that a rule contains: leave one or two of its tokens out
+    one = F.transform("tokens", lambda t: F.array_except(F.col("tokens"), F.array(t)))
+    parts = F.concat(one, F.transform("tokens", lambda t: F.array(t)))
+    inner = rules.where(F.size("tokens") > 1).select(F.col("key").alias("outer"), F.explode(parts).alias("part"))
+    redundant = inner.withColumn("part", _key(F.col("part"))).join(rules.select(F.col("key").alias("part")), "part", "left_semi").select(F.col("outer").alias("key"))
+    return rules.join(redundant, "key", "left_anti").select("token", "tokens")
+
+
+def blocked_sets(sets: DataFrame, rules: DataFrame) -> DataFrame:
+    """Those of the distinct token sets (``tokens``) that hold all tokens of a rule."""
+    entries = rules.select(F.col("token").alias("_token"), F.col("tokens").alias("rule"))
+    found = sets.select("tokens", F.explode("tokens").alias("token")).join(entries, F.col("token") == F.col("_token"))
+    return found.where(F.size(F.array_except("rule", "tokens")) == 0).select("tokens").distinct()
 
 
 def judge(pages: DataFrame, support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """``pages`` (url and others) with host, path, rule and verdict; columns of those names are replaced."""
-    pages = pages.drop("host", "path", "rule", "verdict")
-    parsed = pages.withColumn("host", F.coalesce(host_of(F.col("url")), F.lit(""))).withColumn("path", F.coalesce(path_of(F.col("url")), F.lit("")))
-    ruled = parsed.withColumn("_fit", curated_rule(F.col("host"), F.col("path"))).withColumn("_tokens", tokens(F.col("host"), F.col("path")))
-    rules = mine(ruled.where("_fit is not null").select(F.col("_tokens").alias("tokens"), "_fit.verdict"), support, confidence)
-    by_method = F.when(matches(F.col("_tokens"), rules), "block").otherwise("allow")
-    return ruled.select(*pages.columns, "host", "path", F.col("_fit.rule").alias("rule"), F.coalesce("_fit.verdict", by_method).alias("verdict"))
+    added = ("host", "path", "rule", "verdict")
+    parsed = boxed(pages, text="url").withColumn("host", F.coalesce(host_of(F.col("url")), F.lit(""))).withColumn("path", F.coalesce(path_of(F.col("url")), F.lit("")))
+    ruled = parsed.withColumn("fit", curated_rule(F.col("host"), F.col("path"))).withColumn("tokens", tokens(F.col("host"), F.col("path")))
+    rules = mine(ruled.where("fit is not null").select("tokens", "fit.verdict"), support, confidence)
+    open_ = F.when(F.col("fit").isNull(), F.col("tokens"))
+    blocked = blocked_sets(ruled.where("fit is null").select("tokens").distinct(), rules)
+    out = ruled.join(blocked.select(F.col("tokens").alias("bad")), open_ == F.col("bad"), "left")
+    verdict = F.coalesce("fit.verdict", F.when(F.col("bad").isNotNull(), "block").otherwise("allow"))
+    out = out.select("row", "url", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"))
+    return unboxed(out, pages, *added, without=added, text="url")
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +140,7 @@ hp AS (SELECT r, page_id, CASE WHEN ok THEN translate(regexp_extract(rest, '^[^/
 f AS (SELECT *, {_RULE_SQL} AS fit, list_filter(string_split(host, '.'), lambda x: x <> '') AS labels, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM hp),
 t AS (SELECT r, page_id, host, path, fit, list_distinct(list_concat(
   CASE WHEN len(labels) > 0 THEN ['top=' || labels[-1]] ELSE [] END, list_transform(labels[1 : len(labels) - 1], lambda x: 'host=' || x),
-  list_transform(parts[1:1], lambda x: 'path=' || x), CASE WHEN host = '' THEN [] ELSE ['depth=' || least(len(parts), 9)::VARCHAR] END)) AS toks FROM f),
+  list_transform(parts[1:1], lambda x: 'path=' || x), CASE WHEN host = '' THEN [] ELSE ['depth=' || len(parts)::VARCHAR] END)) AS toks FROM f),
 one AS (SELECT r, fit, unnest(toks) AS t FROM t),
 lab AS (SELECT r, t, fit LIKE '% block' AS bad FROM one WHERE fit IS NOT NULL
   AND t NOT IN (SELECT t FROM one WHERE fit IS NOT NULL GROUP BY t HAVING count(*) > {MAX_SHARE} * (SELECT count(*) FROM t WHERE fit IS NOT NULL))),

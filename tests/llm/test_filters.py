@@ -2,10 +2,11 @@
 
 import re
 
+import pyarrow as pa
 import pytest
 
 from conftest import same_rows
-from maskfold.llm import decontaminate, mixing, queries, quality_rules, url_filter
+from maskfold.llm import decontaminate, mixing, near_dedup, queries, quality_rules, substring_dedup, url_filter
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -33,6 +34,29 @@ def test_mined_rules_block_like_hosts(spark):
     assert got["http://bad.other.org/x/1"] == "block" and got["http://good.org/de/1"] == "allow"
 
 
+def test_thousands_of_mined_rules_all_count(spark):
+    rows = [(f"http://bad{i}.x.net/fr/{k}",) for i in range(2500) for k in range(2)] + [(f"http://good{i}.com/de/1",) for i in range(2600)]
+    rows += [(f"http://bad{i}.y.org/zz",) for i in range(2500)] + [("http://good1.y.org/zz",)]
+    got = {r.url: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "url string"), support=0.0002).collect()}
+    assert sum(v == "block" for u, v in got.items() if ".y.org" in u) == 2500 and got["http://good1.y.org/zz"] == "allow"
+
+
+def test_names_of_our_own_columns_do_not_clash(spark):
+    """Whatever an operator names its own columns, the caller's keep their values."""
+    names = ("row", "text_", "key", "bucket", "tokens", "fit", "hits", "_hits", "_th", "_d", "_h", "cut", "budget", "weight", "high_symbols", "new", "node", "_weight", "bad", "n_lines2")
+    rows = [(i, f"word{i} " * 12 + "and so on", "en", "s", *[f"{n}{i}" for n in names]) for i in range(6)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", *names])
+    pages = docs.withColumnRenamed("text", "url")
+    bench = spark.createDataFrame([(1, "no such words")], "item_id long, text string")
+    outs = [
+        quality_rules.judge(docs), mixing.mixed(docs), decontaminate.decontaminate(docs, bench), url_filter.judge(pages),
+        near_dedup.keep(docs), substring_dedup.removed(docs), quality_rules.keep(docs),
+    ]
+    for out in outs:
+        for r in out.collect():
+            assert all(r[n] == f"{n}{r.doc_id}" for n in names)
+
+
 def brute_counts(text):
     words = WORD.findall(text or "")
     windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
@@ -56,6 +80,13 @@ def test_quality_counts_against_brute_force(spark):
     assert quality_rules.keep(docs).columns == docs.columns
 
 
+def test_lines_that_polynomials_of_two_cannot_tell_apart():
+    """A Thue-Morse line and its complement have one hash modulo 2**64 at every odd base."""
+    line = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    counts = quality_rules.count_batch(pa.array([line + "\n" + line.translate({97: "b", 98: "a"}), line + "\n" + line]))
+    assert counts["n_dup_lines"].tolist() == [0, 1]
+
+
 def test_thresholds_follow_the_group(spark):
     rows = [(i, " ".join(f"word{i}x{k}#" for k in range(30)), "code") for i in range(200)] + [(1000 + i, " ".join(f"word{i}x{k}" for k in range(30)), "prose") for i in range(200)]
     rows += [(2000, " ".join(f"odd{k}###" for k in range(30)), "prose")]
@@ -69,7 +100,7 @@ def test_decontamination_edges(spark):
     docs = spark.createDataFrame([(1, f"x {item.upper()}! y"), (2, "a SHORT-item b"), (3, None), (4, ""), (5, "w0 w1 w2"), (6, "lost words"), (1, f"x {item.upper()}! y")], "doc_id long, text string")
     got = sorted((r.doc_id, r._hits.n_words, list(zip(r._hits.hit_from, r._hits.hit_to)), r._hits["items"]) for r in decontaminate.with_hits(docs, bench).collect())
     assert got == [(1, 14, [(1, 13)], [1])] * 2 + [(2, 4, [(1, 3)], [2]), (3, 0, [], []), (4, 0, [], []), (5, 3, [], []), (6, 2, [(0, 2)], [])]
-    blocks = sorted((r.doc_id, list(r._hits.hit_from), r._hits["items"]) for r in decontaminate.with_hits(docs, bench, block=2).collect())
+    blocks = sorted((r.doc_id, list(r._hits.hit_from), r._hits["items"]) for r in decontaminate.with_hits(docs, bench, block=300).collect())
     assert blocks == sorted((d, [a for a, _ in hits], items) for d, _, hits, items in got)
     cleaned = {r.doc_id: r.text for r in decontaminate.decontaminate(docs, bench, drop_share=0.6).collect()}
     assert cleaned == {2: "a  b", 3: None, 4: "", 5: "w0 w1 w2"}
