@@ -1,25 +1,28 @@
 """Near-duplicate documents: a multi-index Hamming join of b-bit MinHash signatures.
 
 1. A scan turns each text into its set of distinct 5-word shingles (64-bit hashes), a 128-bit
-   identity of the set, and a signature of ``SYMBOLS`` MinHash values. Documents with one set are one class.
+   identity of the set, and a signature of ``SYMBOLS`` MinHash values. Documents with one set are one class; its name begins with
+   its smallest doc_id, so that the smallest class of a component names the component.
 2. Signatures are cut into ``CHUNKS`` chunks of ``CHUNK`` symbols. By the pigeonhole principle, two
    signatures that differ in at most 2 * CHUNKS - 1 symbols have a chunk with one error at most;
    its keys, each leaving one symbol out, enumerate the allowed error. All pairs within that
    distance therefore meet in a bucket: classes that share a key.
-3. Within a bucket no pairs are listed at first. Each class is held against the smallest class that it
+3. Within a bucket no pairs are listed. Each class is held against the smallest class that it
    meets in any bucket, then in some rounds against one class of each bucket whose component is still
-   another, and at last the pairs of classes in one bucket and still in different components are joined. Linked
-   groups have become one component by then, so a group of n near copies costs some n comparisons.
-4. Pairs whose sketches (the least hash of each of 256 ranges, in four bits) tell them apart by more than
-   ``MARGIN`` standard deviations go no further; every other one is confirmed on the full shingle sets, and
-   components are found by contraction.
+   another. Linked groups have become one component by then, so a group of n near copies costs some n comparisons.
+4. Classes whose buckets still hold several components are joined once more, on a prefix of their shingles, rarest
+   first: sets of given sizes that are similar enough share one of so many of their rarest shingles. Templated pages whose similarity lies below the
+   threshold differ in those, so they part before pairs are made. The shingles of one large component in a key are not paired with one another.
+5. Pairs that set sizes and sketches (the least hash of each of ``RANGES`` ranges, in four bits) prove to be too different go no
+   further: each range that differs holds a shingle of one side alone. This bound drops no link. Every other pair is confirmed on the
+   full shingle sets, and components are found by contraction.
 
-At the similarity of 0.75 a linked pair shares a bucket with probability 1 - 6e-6 or more.
+At the similarity of 0.75 a linked pair shares a bucket with probability 1 - 6e-6 or more (computed).
 
 Defined results: a null text or one without words has an empty set and is linked with nothing; a
-text of one to four words is one shingle; ties and repeated rows fall in one class; a component's
+text of one to four words is one shingle; very long texts are read whole; ties and repeated rows fall in one class; a component's
 id is its smallest non-null doc_id, and null where there is none; a row with null doc_id is kept
-only if its whole component has none.
+only if its whole component has none; an empty table gives an empty result; other columns are carried under numbers of our own, so no name clashes.
 """
 
 from __future__ import annotations
@@ -31,24 +34,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from . import textkit as tk
-from .common import release, remove, row_key, saved, table
+from .common import boxed, release, remove, row_key, saved, scan, table, unboxed
 from .components import components
 
 SHINGLE = 5
 SIMILARITY = (75, 100)
 CHUNKS, CHUNK = 12, 5
-#: Rounds in which buckets are held against one of their classes before the pairs that are left are listed.
+#: Rounds in which buckets are held against one of their classes before prefixes are joined.
 ROUNDS = 2
 SYMBOLS = CHUNKS * CHUNK
 #: Ranges of hashes with four bits of the least hash in each; 0 is an empty range.
-RANGES = 256
+RANGES = 512
 LANES = RANGES // 16
 #: Bits of a signature's symbol; a chunk's symbols make one number.
 BITS = 12
-#: Standard deviations: a pair at the threshold is passed over with a chance of about 1e-5.
-MARGIN = 4.5
+#: Sizes of sets in one band differ by this factor at most.
+BAND = 1.03
 
 _random = np.random.Generator(np.random.PCG64(7))
 _XOR = _random.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64)
@@ -98,7 +102,7 @@ def sketches(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     """For each non-empty set, four bits for each range of hashes, from the least hash in it; hashes are in order."""
     n = np.diff(first)
     of = np.repeat(np.arange((n > 0).sum()), n[n > 0])
-    place = of * RANGES + (hashes >> np.uint64(56)).astype(np.int64)
+    place = of * RANGES + (hashes >> np.uint64(55)).astype(np.int64)
     least = np.ones(len(place), bool)
     least[1:] = place[1:] != place[:-1]
     bits = np.zeros((n > 0).sum() * RANGES, np.uint8)
@@ -118,7 +122,8 @@ def chunk_keys(chunks: np.ndarray) -> np.ndarray:
     for c in range(CHUNKS):
         for skip in range(CHUNK):
             rest = chunks[:, c] & ~np.uint64(((1 << BITS) - 1) << (BITS * skip))
-            out.append(tk.mix(rest + np.uint64(c * CHUNK + skip + 1) * np.uint64(0xD6E8FEB86659FD93)))
+            slot = (c * CHUNK + skip + 1) * 0xD6E8FEB86659FD93 % (1 << 64)
+            out.append(tk.mix(rest + np.uint64(slot)))
     return np.stack(out, axis=1)
 
 
@@ -131,9 +136,8 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.diff(first)
             ids, sig = signatures(hashes, first)
             some = iter(range(len(ids)))
-            parts = chunks_of(sig)
-            key = chunk_keys(parts).view(np.int64)
-            lane = np.concatenate([sketches(hashes, first), parts.view(np.int64)], axis=1)
+            key = chunk_keys(chunks_of(sig)).view(np.int64)
+            lane = sketches(hashes, first)
             sizes.append(n)
             for x in n:
                 k = next(some) if x else -1
@@ -149,7 +153,7 @@ def described(docs: DataFrame) -> DataFrame:
     """doc_id, _th and the set's size, identity, bucket keys and signature for each row of ``docs``."""
     docs = row_key(docs.select("doc_id", "text"))
     kept = [f for f in docs.schema.fields if f.name != "text"]
-    return docs.mapInArrow(_describe, T.StructType([*kept, *_FIELDS]))
+    return scan(docs, _describe, T.StructType([*kept, *_FIELDS]))
 
 
 def _filled(x: Column) -> Column:
@@ -162,38 +166,15 @@ def _filled(x: Column) -> Column:
 def near() -> Column:
     """Whether sizes and sketches leave it open that a pair (sides a and b) is similar enough.
 
-    A pair at the threshold has (size_a + size_b) / (1 + similarity) shingles in its union. The ranges filled on
-    either side are a sample of those, without replacement; the fewer are left out, the less the sample strays.
+    In a range whose least hashes differ the smaller one is a shingle of one side alone. With s shingles on both sides and d of one side alone
+    the similarity is (s - d) / (s + d), so more than s * (1 - low) / (1 + low) of them rule a link out.
     """
     low, high = SIMILARITY
     sizes = high * F.least("size_a", "size_b") >= low * F.greatest("size_a", "size_b")
-    differ, either = F.lit(0), F.lit(0)
+    differ = F.lit(0)
     for k in range(LANES):
         differ += _filled(F.col("sig_a")[k].bitwiseXOR(F.col("sig_b")[k]))
-        either += _filled(F.col("sig_a")[k].bitwiseOR(F.col("sig_b")[k]))
-    share = 1 - low / high  # where one of the ranges is empty, different shingles never have equal bits by chance
-    union = (F.col("size_a") + F.col("size_b")) * (high / (high + low))
-    strays = F.sqrt(either * F.greatest(F.lit(0.0), 1 - either / union))
-    return sizes & (differ <= either * share + MARGIN * (share * (1 - share)) ** 0.5 * strays + 0.5)
-
-
-def _wrong_symbols(a: Column, b: Column) -> Column:
-    """How many symbols differ between two chunks."""
-    x = a.bitwiseXOR(b)
-    for shift in (6, 3):
-        x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-    x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2))
-    return F.bit_count(x.bitwiseAND(F.lit(sum(1 << (BITS * k) for k in range(CHUNK)))))
-
-
-def first_meeting() -> Column:
-    """Whether the bucket of this ``slot`` is the first that a pair (sides a and b) meets in, so that it is listed once."""
-    part = lambda s, c: F.get(F.col(f"sig_{s}"), c + LANES)
-    out = F.lit(True)
-    for c in range(CHUNKS - 1):
-        out &= (F.col("slot_a") < (c + 1) * CHUNK) | (_wrong_symbols(part("a", c), part("b", c)) > 1)
-    own = F.floor(F.col("slot_a") / CHUNK).cast("int")
-    return out & ((F.col("slot_a") % CHUNK == 0) | (_wrong_symbols(part("a", own), part("b", own)) == 1))
+    return sizes & ((high + low) * differ <= (high - low) * (F.col("size_a") + F.col("size_b")))
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +199,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     side = lambda s: texts.select(F.col("node").alias(f"_{s}"), F.col("text").alias(f"text_{s}"))
     pairs = pairs.select("a", "b").distinct()
     joined = pairs.join(side("b"), F.col("b") == F.col("_b")).join(side("a"), F.col("a") == F.col("_a"))
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a binary, b binary")
+    return scan(joined.select("a", "b", "text_a", "text_b"), _confirm, "a binary, b binary")
 
 
 def _near(pairs: DataFrame) -> DataFrame:
@@ -232,10 +213,58 @@ def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _mixed(member: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, slot, node, root) of the buckets that hold several components."""
-    placed = saved(_rooted(member.select("key", "slot", "node"), roots), "placed")
+    """(key, node, root) of the buckets that hold several components."""
+    placed = saved(_rooted(member.select("key", "node"), roots), "placed")
     mixed = saved(placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"), "mixed")
-    return placed.join(mixed, "key", "left_semi")
+    out = saved(placed.join(mixed, "key", "left_semi"), "open")
+    remove(member.sparkSession, placed, mixed)
+    return out
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        data, at = tk.utf8(b.column("text"))
+        for i, j in tk.slices(at):
+            hashes, first = shingle_sets(data[at[i] : at[j]], at[i : j + 1] - at[i])
+            of = pa.array(np.repeat(np.arange(i, j), np.diff(first)))
+            yield pa.RecordBatch.from_arrays([b.column("node").take(of), pa.array(hashes.view(np.int64))], names=["node", "shingle"])
+
+
+def _band(size: Column) -> Column:
+    return F.floor(F.ln(size) / F.lit(float(np.log(BAND)))).cast("int")
+
+
+def prefix_pairs(classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): pairs of ``classes`` (node, root, size, sig) with different roots that could be linked. None that is linked is missed.
+
+    In the order of a set's shingles, rarest first, a pair with an overlap of at least o has a common one among the first size - o + 1 of both.
+    The overlap that a link needs follows from both sizes; the partner's is known within a band.
+    """
+    low, high = SIMILARITY
+    own = scan(texts.join(classes.select("node"), "node", "left_semi").select("node", "text"), _shingles, "node binary, shingle bigint")
+    own = saved(own, "shingles")
+    often = saved(own.groupBy(F.col("shingle").alias("_s")).agg(F.count("*").alias("often")).where("often > 1"), "often")
+    ranked = own.join(often, F.col("shingle") == F.col("_s")).select("node", "shingle", "often")
+    # shingles of one class alone come first and pair with nothing; the last of a set has its size as place
+    w = Window.partitionBy("node").orderBy(F.desc("often"), "shingle")
+    ranked = ranked.withColumn("behind", F.row_number().over(w) - 1).join(classes.select("node", "root", "size"), "node")
+    partner = F.explode(F.sequence(_band(F.col("size") * low / high) - 1, _band(F.col("size") * high / low) + 1)).alias("other")
+    least = F.floor(F.pow(F.lit(BAND), F.col("other"))) - 1  # sizes of the other band are not below
+    needed = F.ceil(low * (F.col("size") + least) / F.lit(float(high + low)) - 1e-6)
+    first = ranked.where(high * F.col("behind") >= (low * F.col("size") - high)).select("*", _band(F.col("size")).alias("band"), partner)
+    first = saved(first.where(F.col("behind") + 1 >= needed).select("shingle", "band", "other", "node", "root"), "prefixes")
+    keys = ["shingle", "lower", "upper"]
+    keyed = first.select("shingle", F.least("band", "other").alias("lower"), F.greatest("band", "other").alias("upper"), "band", "node", "root")
+    counts = keyed.groupBy(*keys, "root").agg(F.count("*").alias("n"))
+    main = counts.groupBy(*keys).agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
+    open_ = saved(keyed.join(main.select(*keys, "main"), keys), "keys")
+    side = lambda rows, s: rows.select(*[F.col(k).alias(f"{k}_{s}") for k in keys], F.col("band").alias(f"band_{s}"), F.col("node").alias(s), F.col("root").alias(f"root_{s}"))
+    on = [F.col(f"{k}_a") == F.col(f"{k}_b") for k in keys] + [F.col("root_a") != F.col("root_b"), F.col("band_a") + F.col("band_b") == F.col("lower_a") + F.col("upper_a")]
+    pairs = side(open_.where("root <> main"), "a").join(side(open_, "b"), on)
+    pairs = saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    remove(own.sparkSession, own, often, first, open_)
+    node = lambda s: classes.select(F.col("node").alias(s), F.col("size").alias(f"size_{s}"), F.col("sig").alias(f"sig_{s}"))
+    return pairs.join(node("a"), "a").join(node("b"), "b").where(near()).select("a", "b")
 
 
 def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -246,59 +275,74 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     return saved(moved.unionByName(more), "roots")
 
 
-def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, _th, n_shingles, node) for each row, and (node, root) for each class that is linked
-    to another and is not its component's root."""
+def _named(doc_id: Column, node: Column) -> Column:
+    """A class's name: whether it has no doc_id, its smallest one so that names are in that order, and its identity."""
+    number = F.lpad(F.hex(doc_id.cast("bigint").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.concat(F.when(doc_id.isNull(), F.unhex(F.lit("01" + "0" * 16))).otherwise(F.unhex(F.concat(F.lit("00"), number))), node)
+
+
+def _doc_id(name: Column) -> Column:
+    """The doc_id that a class's name begins with."""
+    number = F.conv(F.hex(F.substring(name, 2, 8)), 16, 10).cast("decimal(20,0)") - F.lit(str(1 << 63)).cast("decimal(20,0)")
+    return F.when(F.hex(F.substring(name, 1, 1)) == "00", number.cast("bigint"))
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, _th, n_shingles, root) for each row: root is the smallest class of the row's component, null for an empty set."""
+    spark = docs.sparkSession
     rows = saved(described(docs), "described")
-    first = F.min(F.struct("doc_id", "_th"))
-    classes = saved(rows.where("node is not null").groupBy("node").agg(first.alias("at"), F.first("n_shingles").alias("size"), F.first("keys").alias("keys"), F.first("sig").alias("sig")), "classes")
-    entries = classes.select("node", F.posexplode("keys").alias("slot", "key"))
+    at = F.min(F.struct("doc_id", "_th"))
+    parts = (F.first("n_shingles").alias("size"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
+    classes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), at.alias("at"), *parts)
+    classes = saved(classes.select(_named(F.col("least"), F.col("node")).alias("node"), F.col("node").alias("set"), "at", "size", "keys", "sig"), "classes")
+    entries = classes.select("node", F.explode("keys").alias("key"))
     buckets = saved(entries.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot <> other").select("key", "pivot"), "buckets")
-    release(docs.sparkSession)
+    release(spark)
     member = saved(entries.join(buckets, "key"), "members")
-    release(docs.sparkSession)
+    release(spark)
     node = lambda s: classes.select(F.col("node").alias(s), F.col("size").alias(f"size_{s}"), F.col("sig").alias(f"sig_{s}"))
     # the texts of all classes that share a bucket
     wanted = member.select("node").distinct().join(classes, "node").select("node", F.col("at.doc_id").alias("_d"), F.col("at._th").alias("_h"))
     texts = row_key(docs.select("doc_id", "text")).join(wanted, (F.col("_th") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d")))
     texts = saved(texts.select("node", "text").dropDuplicates(["node"]), "texts")
-    release(docs.sparkSession)
+    release(spark)
     # each class against the smallest class of its buckets
     nearest = member.groupBy(F.col("node").alias("b")).agg(F.min("pivot").alias("a")).where("a <> b")
-    roots = components(saved(confirmed(_near(nearest.join(node("a"), "a").join(node("b"), "b")), texts), "links"))
+    links = saved(confirmed(_near(nearest.join(node("a"), "a").join(node("b"), "b")), texts), "links")
+    roots = components(links)
+    remove(spark, links, buckets)
     # then against one class of each bucket, another in each round, while buckets hold several components
     for k in range(ROUNDS):
-        release(docs.sparkSession)
+        release(spark)
         placed = _mixed(member, roots)
         order = F.col("node") if k == 0 else F.xxhash64("node", F.lit(k))
         pivots = placed.groupBy("key").agg(F.min_by(F.struct("node", "root"), order).alias("p"))
         stars = placed.join(pivots, "key").where(F.col("p.root") != F.col("root"))
         stars = stars.select(F.least("p.node", "node").alias("a"), F.greatest("p.node", "node").alias("b")).distinct()
         links = saved(confirmed(_near(stars.join(node("a"), "a").join(node("b"), "b")), texts), "links")
+        remove(spark, placed)
         if links.isEmpty():
             break
         roots = _merged(roots, links)
-    # and at last all pairs of one bucket in different components
-    open_ = saved(_mixed(member, roots).join(classes.select("node", "size", "sig"), "node"), "open")
-    side = lambda s: open_.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("key", "slot", "root", "size", "sig")])
-    rest = side("a").join(side("b"), (F.col("key_a") == F.col("key_b")) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & near() & first_meeting())
-    links = saved(confirmed(rest, texts), "links")
+        remove(spark, links)
+    # and at last whatever shares a bucket with another component
+    placed = _mixed(member, roots)
+    open_ = saved(placed.select("node", "root").distinct().join(classes.select("node", "size", "sig"), "node"), "open")
+    remove(spark, placed, member)
+    release(spark)
+    links = saved(confirmed(prefix_pairs(open_, texts), texts), "links")
     if not links.isEmpty():
         roots = _merged(roots, links)
-    remove(docs.sparkSession, texts, member, buckets, open_)
-    return rows.select("doc_id", "_th", "n_shingles", "node"), roots
+    remove(spark, texts, open_, links)
+    named = classes.select(F.col("set").alias("_set"), "node").join(roots, "node", "left").select("_set", F.coalesce("root", "node").alias("root"))
+    return rows.join(named, F.col("node") == F.col("_set"), "left").select("doc_id", "_th", "n_shingles", "root")
 
 
 def labelled(docs: DataFrame) -> DataFrame:
     """doc_id, _th, n_shingles, component_id, kept and _root (null for empty sets) for each row of ``docs``."""
-    rows, roots = groups(docs)
-    named = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    placed = named.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
-    smallest = placed.groupBy("root").agg(F.min("least").alias("component"))
-    final = placed.join(smallest, "root").select(F.col("node").alias("_node"), "component", F.col("root").alias("_root"))
-    out = rows.join(final, F.col("node") == F.col("_node"), "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "_th", "n_shingles", component.alias("component_id"), "_root").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(_doc_id(F.col("root")).cast(docs.schema["doc_id"].dataType))
+    out = groups(docs).select("doc_id", "_th", "n_shingles", component.alias("component_id"), F.col("root").alias("_root"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep(docs: DataFrame) -> DataFrame:
@@ -308,10 +352,10 @@ def keep(docs: DataFrame) -> DataFrame:
     first = flags.where("_root is not null").groupBy("_root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_th")).alias("x"))
     stay = first.select(F.col("x.doc_id").alias("_d"), F.col("x._th").alias("_h"))
     stay = stay.unionByName(flags.where("_root is null").select(F.col("doc_id").alias("_d"), F.col("_th").alias("_h")).distinct())
-    held = row_key(docs).join(stay, (F.col("_th") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
+    held = row_key(boxed(docs, "doc_id")).join(stay, (F.col("_th") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
     if not flags.where("_root is not null").groupBy("doc_id", "_th").count().where("count > 1").isEmpty():
         held = held.where("text is null").unionByName(held.where("text is not null").dropDuplicates(["doc_id", "_th"]))
-    return held.drop("_th")
+    return unboxed(held, docs)
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from maskfold.llm import near_dedup, substring_dedup
 from maskfold.llm.components import components
@@ -131,6 +132,45 @@ def test_short_pairs_at_the_threshold_are_all_linked(spark):
     assert {r.doc_id: r.component_id for r in out.collect()} == {k: k - k % 2 for k in range(600)}
 
 
+def templated(n, rng, own, same):
+    """Pages of one template: ``same`` words in common, ``own`` words of each page alone, in one run."""
+    base = [f"t{k}" for k in range(same)]
+    return [" ".join(base[: same // 2] + [f"d{i}x{k}" for k in range(own)] + base[same // 2 :]) for i in range(n)]
+
+
+def test_templated_pages_below_the_threshold_make_no_pairs(spark):
+    texts = templated(1500, random.Random(1), 40, 160)  # 196 shingles, 152 of 240 shared: 0.63
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = near_dedup.saved(near_dedup.described(docs), "d")
+    classes = rows.select(F.col("node"), F.col("node").alias("root"), F.col("n_shingles").alias("size"), "sig")
+    t = docs.select("doc_id", "text").join(rows.select("doc_id", "node"), "doc_id").select("node", "text")
+    assert near_dedup.prefix_pairs(classes, t).count() == 0
+    assert near_dedup.labelled(docs).where("kept").count() == 1500
+
+
+def test_prefixes_find_all_links(spark):
+    """The last join alone, every class a component of its own, against brute force."""
+    texts = [t for t in dict.fromkeys(x for x in near_texts() if x and x.strip())]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = near_dedup.saved(near_dedup.described(docs).dropDuplicates(["node"]), "d")
+    classes = rows.select(F.col("node"), F.col("node").alias("root"), F.col("n_shingles").alias("size"), "sig")
+    t = docs.join(rows.select("doc_id", "node"), "doc_id").select("node", "text")
+    links = near_dedup.confirmed(near_dedup.prefix_pairs(classes, t), t)
+    number = rows.select("doc_id", "node")
+    got = links.join(number.selectExpr("doc_id as x", "node as a"), "a").join(number.selectExpr("doc_id as y", "node as b"), "b")
+    ids = {r.doc_id for r in rows.collect()}
+    words = lambda t: t.lower().split()
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i in ids for w in [words(texts[i])]}
+    want = {(i, j) for i in ids for j in ids if i < j and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    assert {(min(r.x, r.y), max(r.x, r.y)) for r in got.collect()} == want and len(want) > 30
+
+
+def test_negative_and_large_ids_name_components(spark):
+    ids = [-5, 3, -(1 << 63), (1 << 63) - 1, 0]
+    docs = spark.createDataFrame([(i, "a b c d e f g h") for i in ids[:2]] + [(i, "q r s t u v w x") for i in ids[2:]], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in near_dedup.labelled(docs).collect()} == {(-5, -5), (3, -5), (ids[2], ids[2]), (ids[3], ids[2]), (0, ids[2])}
+
+
 @pytest.mark.parametrize("edges", [[], [(1, 1)], [(1, 2), (2, 3), (3, 1)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 30)] + [(50, 51)]])
 def test_components(spark, edges):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
