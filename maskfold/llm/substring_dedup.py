@@ -1,4 +1,4 @@
-"""Exact removal of long repeated substrings, after a depth-limited suffix sort.
+"""Exact removal of long repeated substrings, after a depth-limited radix sort of suffixes.
 
 Only suffixes that agree in their first ``LENGTH`` bytes matter, so they are sorted no deeper, and only
 by equality of digits: each pass splits the groups of the pass before by the next digit and drops
@@ -6,19 +6,22 @@ groups of one. What is left after the last pass are exactly the repeated windows
 
 * First digit: the anchor, the leftmost least of the hashes of the ``ANCHOR``-byte strings in the window.
   It depends on the window's bytes alone, so equal windows have equal anchors, and neighbouring
-  windows share one: a run of windows goes as one row, about one for 85 bytes of text.
-* Second digit: the bytes of the whole run. Runs equal in it are repeated as they stand.
+  windows share one: a run of windows goes as one row, about one for 85 bytes of text. This pass only drops groups of one: nothing is taken for
+  equal because of it.
+* Second digit: the bytes of the whole run, as 128 bits of their SHA-256. Runs equal in it are repeated as they stand.
 * Third digit, for one run of each kind whose anchor also occurs in other runs (the borders of repeated
   passages): runs are cut into segments of ``SEGMENT`` windows at fixed distances from the anchor; the
-  digit is the bytes that all windows of a segment share.
-* Last digit: the few bytes to the left and right of those that each window has for itself. They travel as
-  they are, so the texts need not be read again.
+  digit is the bytes that all windows of a segment share, again by SHA-256.
+* Last digit: the few bytes to the left and right of those that each window has for itself, as they are. They travel with
+  the segment, so the texts need not be read again.
 
 A group's size is found by a count that starts in each task, so a passage of a third of all
-documents is no hot key. Texts are joined by their rows, never by what they share.
+documents is no hot key. Texts are joined by their rows, never by what they share. Very long texts are gone through in pieces
+that overlap by a window; a run that a piece cuts is settled by its segments.
 
 Defined results: null is an empty text; a text shorter than ``LENGTH`` loses nothing; matches never
-cross rows; repeated rows (even with equal ids) repeat each other and lose all windows; other columns are not looked at.
+cross rows; repeated rows (even with equal ids) repeat each other and lose all windows; of equal hashes the leftmost is the anchor; an empty table gives
+an empty result; other columns are carried under numbers of our own, so no name clashes.
 """
 
 from __future__ import annotations
@@ -34,39 +37,61 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
-from .common import release, remove, row_key, saved, table
+from .common import boxed, release, remove, row_key, saved, scan, table, unboxed, with_lengths
 
 LENGTH = 200
 ANCHOR = 32
-_POSITION_BITS = np.uint64(30)
-
 SEGMENT = 16
+#: Bytes of a text that are gone through at once; positions in such a piece have fewer bits than this.
+PIECE = 1 << 20
+_POSITION_BITS = np.uint64(24)
+_GRAM = 8
 
 #: place: start of the first window * 2**32 + (windows - 1) * 2**16 + distance from that start to the anchor.
-_RUN = [T.StructField(n, T.LongType()) for n in ("place", "anchor", "run")]
+_RUN = [T.StructField(n, T.LongType()) for n in ("place", "anchor", "run", "run2")]
 _SEGMENT = [
     T.StructField("start", T.LongType()),  # of the segment, whether or not the run has that window
     T.StructField("low", T.IntegerType()),  # first and last window that the run has, from there
     T.StructField("high", T.IntegerType()),
     T.StructField("single", T.BooleanType()),
+    T.StructField("block", T.IntegerType()),  # which segment it is, counted from the anchor
     T.StructField("core", T.LongType()),
+    T.StructField("core2", T.LongType()),
     T.StructField("left", T.BinaryType()),
     T.StructField("right", T.BinaryType()),
 ]
 
 
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128 bits of the SHA-256 of each string, as two numbers."""
+    view = memoryview(np.ascontiguousarray(data))
+    found = b"".join([hashlib.sha256(view[a:b]).digest()[:16] for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+    return np.frombuffer(found, np.int64).reshape(-1, 2)
+
+
+def _anchor_hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the ``size`` bytes from each position: the sum of the hashes of the short strings in them. It only picks anchors."""
+    gram = min(_GRAM, size)
+    n = len(data) - gram + 1
+    value = np.zeros(n, np.uint64)
+    for k in range(gram):
+        value = value << np.uint64(8) | data[k : k + n]
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(tk.mix(value + np.uint64(1)), out=sums[1:])
+    width = size - gram + 1
+    return tk.mix(sums[width:] - sums[:-width])
+
+
 def runs_of(data: np.ndarray, at: np.ndarray, length: int = LENGTH, size: int = ANCHOR) -> tuple[np.ndarray, ...]:
-    """Document, place, anchor hash and hash of the bytes, for each run of windows that share an anchor."""
+    """Document, first and last window, place of the anchor and its hash, for each run of windows that share an anchor."""
     n = len(data) - length + 1
     none = np.zeros(0, np.int64)
     if n <= 0 or not (np.diff(at) >= length).any():
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
-    sums = tk.running_hash(data)
-    place = np.arange(len(data) - size + 1)
-    anchor = tk.span_hash(sums, place, place + size)
+        return none, none, none, none, none.astype(np.uint64)
+    anchor = _anchor_hashes(data, size)
     width = length - size + 1
     # the least of each `width` neighbours: within blocks, from the left and from the right
-    order = (anchor >> _POSITION_BITS << _POSITION_BITS) | place.astype(np.uint64)
+    order = (anchor >> _POSITION_BITS << _POSITION_BITS) | np.arange(len(anchor), dtype=np.uint64)
     blocks = -(-len(order) // width)
     padded = np.full(blocks * width, np.iinfo(np.uint64).max, np.uint64)
     padded[: len(order)] = order
@@ -74,6 +99,7 @@ def runs_of(data: np.ndarray, at: np.ndarray, length: int = LENGTH, size: int =
     left = np.minimum.accumulate(grid, axis=1).ravel()
     right = np.ascontiguousarray(np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1]).ravel()
     least = np.minimum(right[:n], left[width - 1 : width - 1 + n]) & ((np.uint64(1) << _POSITION_BITS) - np.uint64(1))
+    del order, padded, grid, left, right
     start = np.arange(n)
     doc = np.searchsorted(at, start, "right") - 1
     inside = start + length <= at[doc + 1]
@@ -82,21 +108,33 @@ def runs_of(data: np.ndarray, at: np.ndarray, length: int = LENGTH, size: int =
     new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
     begin = np.flatnonzero(new)
     end = np.append(begin[1:], len(start)) - 1
-    first, last, of, where = start[begin], start[end], doc[begin], least[begin]
-    run = tk.span_hash(sums, first, last + length) ^ tk.mix((where - first).astype(np.uint64))
-    return of, (first - at[of] << 32) | (last - first << 16) | (where - first), anchor[where], run
+    return doc[begin], start[begin], start[end], least[begin], anchor[least[begin]]
+
+
+def _pieces(at: np.ndarray, length: int) -> Iterator[tuple[int, int, int, int]]:
+    """Ranges of documents, and of bytes in them: whole documents, or the pieces of a long one."""
+    for i, j in tk.slices(at):
+        if at[j] - at[i] <= PIECE:
+            yield i, j, int(at[i]), int(at[j])
+            continue
+        for a in range(int(at[i]), int(at[j]) - length + 1, PIECE):
+            yield i, j, a, min(a + PIECE + length - 1, int(at[j]))
 
 
 def _runs(length: int):
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, at = tk.utf8(b.column("text"))
-            for i, j in tk.slices(at):
-                of, place, anchor, run = runs_of(data[at[i] : at[j]], at[i : j + 1] - at[i], length, min(ANCHOR, length))
+            for i, j, s, e in _pieces(at, length):
+                ends = np.clip(at[i : j + 1], s, e) - s
+                of, first, last, where, anchor = runs_of(data[s:e], ends, length, min(ANCHOR, length))
+                both = digests(data[s:e], first, last + length)
+                place = (first + s - at[of + i] << 32) | (last - first << 16) | (where - first)
                 keys = b.select(["doc_id", "_th"]).take(pa.array(of + i))
-                yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(place), pa.array(anchor.view(np.int64)), pa.array(run.view(np.int64))], names=["doc_id", "_th", "place", "anchor", "run"])
+                found = [place, anchor.view(np.int64), both[:, 0], both[:, 1]]
+                yield pa.RecordBatch.from_arrays([*keys.columns, *map(pa.array, found)], names=["doc_id", "_th", *[f.name for f in _RUN]])
 
-    return scan
+    return look
 
 
 def _bytes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
@@ -110,7 +148,7 @@ def _bytes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
 def _segments(length: int, width: int):
     """The segments of the listed runs."""
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "_th", *[f.name for f in _SEGMENT]]
         for b in batches:
             data, at = tk.utf8(b.column("text"))
@@ -136,40 +174,36 @@ def _segments(length: int, width: int):
                 high = np.minimum((first + more)[which] - start, width - 1)
                 piece = data[at[i] : at[j]]
                 base = (at[row] - at[i])[which] + start
-                core = tk.span_hash(tk.running_hash(piece), base + width - 1, base + length)
-                core = tk.mix(core + block.astype(np.uint64))
+                core = digests(piece, base + width - 1, base + length)
                 keys = b.select(["doc_id", "_th"]).take(pa.array(row[which]))
+                found = [start, low.astype(np.int32), high.astype(np.int32), single[mine][which], block.astype(np.int32), core[:, 0], core[:, 1]]
                 left, right = _bytes(piece, base + low, base + width - 1), _bytes(piece, base + length, base + length + high)
-                yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(start), pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(single[mine][which]), pa.array(core.view(np.int64)), left, right], names=names)
+                yield pa.RecordBatch.from_arrays([*keys.columns, *map(pa.array, found), left, right], names=names)
 
-    return scan
+    return look
 
 
 def _same_row() -> Column:
     return (F.col("_th") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d"))
 
 
-def _renamed(df: DataFrame) -> DataFrame:
-    return df.withColumnRenamed("doc_id", "_d").withColumnRenamed("_th", "_h")
-
-
 def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, _th, _ranges) for rows that have repeated windows: ranges are first and last window starts, in bytes."""
     keyed = row_key(docs.select("doc_id", "text"))
     ids = [f for f in keyed.schema.fields if f.name != "text"]
     spark, width = docs.sparkSession, min(SEGMENT, length)
-    runs = saved(keyed.where(F.octet_length("text") >= length).mapInArrow(_runs(length), T.StructType([*ids, *_RUN])), "runs")
+    runs = saved(scan(keyed.where(F.octet_length("text") >= length), _runs(length), T.StructType([*ids, *_RUN])), "runs")
     # first digit
-    anchors = runs.groupBy(F.col("anchor").alias("_a")).agg(F.count("*").alias("n"), (F.min("run") != F.max("run")).alias("mixed")).where("n > 1").select("_a", "mixed")
+    differ = (F.min("run") != F.max("run")) | (F.min("run2") != F.max("run2"))
+    anchors = runs.groupBy(F.col("anchor").alias("_a")).agg(F.count("*").alias("n"), differ.alias("mixed")).where("n > 1").select("_a", "mixed")
     anchors = saved(anchors, "anchors")  # so that both sides of the join are dealt anew, and a hot anchor is split
     alike = saved(runs.join(anchors, F.col("anchor") == F.col("_a")).drop("_a"), "alike")
     remove(spark, runs, anchors)
     release(spark)
     # second digit
-    mixed = alike.where("mixed")
-    kinds = saved(mixed.groupBy("anchor", "run").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "_th", "place")).alias("at")), "kinds")
-    often = kinds.where("n > 1").select(F.col("anchor").alias("_a"), F.col("run").alias("_r"))
-    whole = alike.where("not mixed").unionByName(mixed.join(often, (F.col("anchor") == F.col("_a")) & (F.col("run") == F.col("_r")), "left_semi"))
+    mixed, run = alike.where("mixed"), ["anchor", "run", "run2"]
+    kinds = saved(mixed.groupBy(*run).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "_th", "place")).alias("at")), "kinds")
+    whole = alike.where("not mixed").unionByName(mixed.join(kinds.where("n > 1").select(*run), run, "left_semi"))
     first = F.shiftright("place", 32)
     whole = saved(whole.select("doc_id", "_th", first.alias("first"), (first + F.shiftright("place", 16).bitwiseAND(F.lit(0xFFFF))).alias("last")), "ranges")
     # third digit
@@ -178,24 +212,27 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     texts = keyed.join(looked, _same_row()).select("doc_id", "_th", "text", "runs")
     if not keyed.groupBy("doc_id", "_th").count().where("count > 1").isEmpty():
         texts = texts.dropDuplicates(["doc_id", "_th"])
-    segments = saved(texts.mapInArrow(_segments(length, width), T.StructType([*ids, *_SEGMENT])), "segments")
+    segments = saved(scan(texts, _segments(length, width), T.StructType([*ids, *_SEGMENT])), "segments")
     remove(spark, alike, kinds)
     release(spark)
-    own = F.xxhash64("low", "high", "left", "right")
-    cores = segments.groupBy(F.col("core").alias("_c")).agg(F.count("*").alias("n"), (F.min(own) != F.max(own)).alias("mixed")).where("n > 1").select("_c", "mixed")
-    cores = saved(cores, "cores")
-    close = saved(segments.join(cores, F.col("core") == F.col("_c")).drop("_c"), "close")
+    core = ["block", "core", "core2"]
+    cores = saved(segments.groupBy(*core).agg(F.count("*").alias("n")).where("n > 1").select(*core), "cores")
+    close = saved(segments.join(cores, core), "close")
     remove(spark, segments, cores)
-    # last digit
-    forms = saved(close.where("mixed").groupBy("core", "low", "high", "left", "right").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "_th", "start", "single")).alias("at")), "forms")
-    same = close.where("single and mixed").join(forms.where("n > 1").select("core", "low", "high", "left", "right"), ["core", "low", "high", "left", "right"], "left_semi")
-    full = close.where("single and not mixed").unionByName(same.select(close.columns)).select("doc_id", "_th", (F.col("start") + F.col("low")).alias("first"), (F.col("start") + F.col("high")).alias("last"))
+    # last digit: all windows of a segment at once, and one by one where segments of one core differ
+    form = [*core, "low", "high", "left", "right"]
+    forms = saved(close.groupBy(*form).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "_th", "start", "single")).alias("at")), "forms")
+    same = close.where("single").join(forms.where("n > 1").select(*form), form, "left_semi")
+    full = same.select("doc_id", "_th", (F.col("start") + F.col("low")).alias("first"), (F.col("start") + F.col("high")).alias("last"))
+    several = forms.groupBy(*core).agg(F.count("*").alias("m")).where("m > 1").select(*core)
     i = F.col("i")
     before = F.substring("left", F.length("left") - (width - 1 - i) + 1, width - 1 - i)
-    windows = forms.withColumn("i", F.explode(F.sequence("low", "high"))).select(F.xxhash64("core", "i", before, F.substring("right", F.lit(1), i)).alias("window"), "n", "at", "i")
-    twice = windows.groupBy(F.col("window").alias("_w")).agg(F.count("*").alias("m")).where("m > 1").select("_w")
+    window = [*core, "i", "before", "after"]
+    windows = forms.join(several, core).withColumn("i", F.explode(F.sequence("low", "high")))
+    windows = windows.select(*core, "i", before.alias("before"), F.substring("right", F.lit(1), i).alias("after"), "n", "at")
+    twice = windows.groupBy(*window).agg(F.count("*").alias("m")).where("m > 1").select(*window)
     start = F.col("at.start") + i
-    found = windows.where("n = 1 and at.single").join(twice, F.col("window") == F.col("_w"), "left_semi").select("at.doc_id", "at._th", start.alias("first"), start.alias("last"))
+    found = windows.where("n = 1 and at.single").join(twice, window, "left_semi").select("at.doc_id", "at._th", start.alias("first"), start.alias("last"))
     parts = whole.unionByName(full).unionByName(found)
     return parts.groupBy("doc_id", "_th").agg(F.collect_set(F.struct("first", "last")).alias("_ranges"))
 
@@ -219,28 +256,29 @@ def cut(raw: bytes, where: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, raw[at:]])
 
 
+def _ranged(docs: DataFrame, length: int) -> DataFrame:
+    """row, text and ranges (null where nothing is repeated)."""
+    found = repeated_ranges(docs, length).select(F.col("doc_id").alias("_d"), F.col("_th").alias("_h"), F.col("_ranges").alias("ranges"))
+    return row_key(boxed(docs, "doc_id")).join(found, _same_row(), "left").select("row", "text", "ranges")
+
+
 def with_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``docs`` with _th and column _ranges (null where nothing is repeated)."""
-    found = _renamed(repeated_ranges(docs, length))
-    return row_key(docs).join(found, _same_row(), "left").drop("_d", "_h")
+    """``docs`` with column _ranges (null where nothing is repeated); a column of that name is replaced."""
+    return unboxed(_ranged(docs, length), docs, F.col("ranges").alias("_ranges"), without=("_ranges",))
 
 
 def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``docs`` without the repeated passages. A character that a passage cuts goes as a whole; columns stay as they are."""
-    joined, schema, names = with_ranges(docs, length), docs.schema, docs.columns
+    """``docs`` without the repeated passages. A character that a passage cuts goes as a whole; columns stay as they are, but
+    n_chars follows a text that is cut."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            columns = {n: b.column(n) for n in names}
-            texts, ranges = b.column("text").to_pylist(), b.column("_ranges").to_pylist()
+            texts, ranges = b.column("text").to_pylist(), b.column("ranges").to_pylist()
             new = [t if not r else cut(raw := t.encode(), spans(r, len(raw), length)).decode(errors="ignore") for t, r in zip(texts, ranges, strict=True)]
-            columns["text"] = pa.array(new, pa.string())
-            if "n_chars" in columns:
-                old = b.column("n_chars")
-                columns["n_chars"] = pa.array([o if not r else len(t) for o, t, r in zip(old.to_pylist(), new, ranges, strict=True)], pa.int64()).cast(old.type)
-            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(new, pa.string()), pa.array([bool(r) for r in ranges], pa.bool_())], names=["row", "text", "new"])
 
-    return joined.mapInArrow(apply, schema)
+    joined = _ranged(docs, length)
+    return with_lengths(scan(joined, apply, T.StructType([*joined.schema.fields[:2], T.StructField("new", T.BooleanType())])), docs)
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,4 +293,4 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return with_ranges(docs).mapInArrow(_digest, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return scan(with_ranges(docs), _digest, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,10 +41,30 @@ def texts_with_repeats():
 def test_substrings_against_brute_force(spark):
     texts = texts_with_repeats()
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_dedup.with_ranges(docs).mapInArrow(substring_dedup._digest, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string").collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_dedup.scan(substring_dedup.with_ranges(docs), substring_dedup._digest, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string").collect()}
     assert [got[i] for i in range(len(texts))] == brute_ranges(texts)
 
 
+def test_substrings_of_long_texts_in_pieces(spark, monkeypatch):
+    """Pieces of a long text give runs that are cut at their borders; the windows are the same."""
+    rng = random.Random(8)
+    prose = lambda n: "".join(rng.choice("abcdefg ") for _ in range(n))
+    shared = [prose(260) for _ in range(9)]
+    texts = [prose(90).join(shared) for _ in range(2)] + ["x".join(shared[4:])]
+    data = pa.array(texts)
+    want = brute_ranges(texts)
+    monkeypatch.setattr(substring_dedup, "PIECE", 500)
+    monkeypatch.setattr(substring_dedup.tk, "SLICE", 500)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3), pa.int64()), data, pa.array(range(3), pa.int64())], names=["doc_id", "text", "_th"])
+    found = {i: set() for i in range(3)}
+    for b in substring_dedup._runs(200)(iter([batch])):
+        for doc, place in zip(b.column("doc_id").to_pylist(), b.column("place").to_pylist(), strict=True):
+            first, more = place >> 32, place >> 16 & 0xFFFF
+            assert not found[doc] & set(range(first, first + more + 1))
+            found[doc] |= set(range(first, first + more + 1))
+    assert [len(found[i]) for i in range(3)] == [len(t) - 199 for t in texts] and want[0][1] > 0
+
+
 def test_substring_edges(spark):
     long = "".join(chr(97 + i * i % 26) + str(i) for i in range(120))
     docs = spark.createDataFrame([(1, long, 5), (1, long, 6), (None, long + "q", 7), (2, None, 8), (3, "", 9)], "doc_id long, text string, ranges long")
