@@ -252,14 +252,16 @@ def prefix_pairs(classes: DataFrame, texts: DataFrame) -> DataFrame:
     least = F.floor(F.pow(F.lit(BAND), F.col("other"))) - 1  # sizes of the other band are not below
     needed = F.ceil(low * (F.col("size") + least) / F.lit(float(high + low)) - 1e-6)
     first = ranked.where(high * F.col("behind") >= (low * F.col("size") - high)).select("*", _band(F.col("size")).alias("band"), partner)
-    first = saved(first.where(F.col("behind") + 1 >= needed).select("shingle", "band", "other", "node", "root"), "prefixes")
+    first = saved(first.where(F.col("behind") + 1 >= needed).select("shingle", "band", "other", "node", "root", "size", "behind"), "prefixes")
     keys = ["shingle", "lower", "upper"]
-    keyed = first.select("shingle", F.least("band", "other").alias("lower"), F.greatest("band", "other").alias("upper"), "band", "node", "root")
+    keyed = first.select("shingle", F.least("band", "other").alias("lower"), F.greatest("band", "other").alias("upper"), "band", "node", "root", "size", "behind")
     counts = keyed.groupBy(*keys, "root").agg(F.count("*").alias("n"))
     main = counts.groupBy(*keys).agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
     open_ = saved(keyed.join(main.select(*keys, "main"), keys), "keys")
-    side = lambda rows, s: rows.select(*[F.col(k).alias(f"{k}_{s}") for k in keys], F.col("band").alias(f"band_{s}"), F.col("node").alias(s), F.col("root").alias(f"root_{s}"))
+    side = lambda rows, s: rows.select(F.col("node").alias(s), *[F.col(k).alias(f"{k}_{s}") for k in (*keys, "band", "root", "size", "behind")])
     on = [F.col(f"{k}_a") == F.col(f"{k}_b") for k in keys] + [F.col("root_a") != F.col("root_b"), F.col("band_a") + F.col("band_b") == F.col("lower_a") + F.col("upper_a")]
+    # what both have from here on must still reach the overlap of a link
+    on.append((high + low) * (F.least("behind_a", "behind_b") + 1) >= low * (F.col("size_a") + F.col("size_b")))
     pairs = side(open_.where("root <> main"), "a").join(side(open_, "b"), on)
     pairs = saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     remove(own.sparkSession, own, often, first, open_)
@@ -315,7 +317,7 @@ def groups(docs: DataFrame) -> DataFrame:
     for k in range(ROUNDS):
         release(spark)
         placed = _mixed(member, roots)
-        order = F.col("node") if k == 0 else F.xxhash64("node", F.lit(k))
+        order = F.col("node") if k == 0 else F.xxhash64("node", "key", F.lit(k))  # each bucket its own, so that a class meets many
         pivots = placed.groupBy("key").agg(F.min_by(F.struct("node", "root"), order).alias("p"))
         stars = placed.join(pivots, "key").where(F.col("p.root") != F.col("root"))
         stars = stars.select(F.least("p.node", "node").alias("a"), F.greatest("p.node", "node").alias("b")).distinct()
