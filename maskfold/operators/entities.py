@@ -146,13 +146,15 @@ def mappings(entities: Column, persons: Column) -> Column:
     def one(e: Column) -> Column:
         same = F.filter(entities, lambda o: o["entity_id"] == e["entity_id"])
         person = F.get(F.filter(persons, lambda p: p["start"] == e["start"]), F.lit(0))
+        # what the first mention does not tell comes from the first that does
+        told = lambda field: F.get(F.filter(F.transform(same, lambda o: o["meta"][field]), lambda x: x.isNotNull()), F.lit(0))
+        gender = F.coalesce(person["gender"], told("gender"))
         nominal = F.concat_ws(" ", person["surname"], person["first"], person["patronymic"])
-        nominal = F.coalesce(F.when(nominal != "", nominal), e["meta"]["nominal_form"], e["value"])
-        gender = F.coalesce(person["gender"], e["meta"]["gender"])
+        nominal = F.coalesce(F.when(nominal != "", nominal), told("nominal_form"), e["value"])
         identity = F.when(person.isNotNull(), F.struct(person["surname"], person["first"], person["patronymic"], gender.alias("gender")))
         return F.struct(
             e["entity_id"].alias("entity_id"), e["type"].alias("type"), e["value"].alias("original"), F.concat(F.lit("<"), e["entity_id"], F.lit(">")).alias("token"), null.alias("synthetic"),
-            partial_mask(e["type"], nominal).alias("partial"), nominal.alias("original_nominal"), null.alias("synthetic_nominal"), F.coalesce(e["meta"]["gram_case"], F.lit("nomn")).alias("grammatical_case"),
+            partial_mask(e["type"], nominal).alias("partial"), nominal.alias("original_nominal"), null.alias("synthetic_nominal"), F.coalesce(told("gram_case"), F.lit("nomn")).alias("grammatical_case"),
             gender.alias("gender"), F.array_sort(F.array_distinct(F.transform(same, lambda o: o["value"]))).alias("aliases"), person["alias_types"].alias("alias_types"), identity.alias("original_identity"),
             F.lit(None).cast("struct<surname:string,first:string,patronymic:string,gender:string>").alias("synthetic_identity"), null.alias("synthetic_fallback"),
         ).cast(MAPPING)

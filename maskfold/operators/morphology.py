@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import lru_cache
 
-from ..functions.fixed_values import CASES, FEMALE_FIRST, MALE_FIRST, PUBLIC_SURNAMES
+from ..functions.fixed_values import CASES, FEMALE_FIRST, MALE_FIRST, PUBLIC_SURNAMES, ROLES
 
 SURNAME, NAME, PATRONYMIC = "Surn", "Name", "Patr"
 MASC, FEMN = "masc", "femn"
@@ -31,6 +31,8 @@ _SHORT_STEMS = {"Лев": "Льв", "Пётр": "Петр", "Павел": "Па
 _NOT_SURNAMES = frozenset(
     "магазин один гражданин господин россиянин хозяин бензин витамин термин причин готов основ слов условий договоров банков клиентов документов паспортов счетов годов часов дней домов городов".split()
 ) | {"магазина", "магазине", "магазину", "господина", "гражданина", "гражданину", "господину", "снова", "основа", "слова", "готова", "причина", "середина", "половина", "единый"}
+#: Words that are never a name, whatever stands beside them: what texts call people.
+COMMON = frozenset((*ROLES, "клиентка", "клиентке", "клиентку", "гражданка", "гражданке", "гражданину", "господин", "госпожа", "уважаемый", "уважаемая", "письмо", "договор", "заявка"))
 _OTHER_SURNAMES = {"Шостакович": "noun"}
 
 _BACK = "гкхжчшщ"
@@ -193,3 +195,25 @@ def guess_gender(word: str) -> str:
         if r.role == NAME:
             return r.gender
     return next((r.gender for r in readings(word)), MASC)
+
+
+def detect_case(word: str, gender: str | None = None) -> str:
+    """The first case, in their order, that a reading of the word (of the gender, if it has such a one) is in; nominative if nothing is known."""
+    found = readings(word)
+    fitting = [r for r in found if r.gender == gender] or found
+    return min((r.case for r in fitting), key=CASES.index, default="nomn")
+
+
+def inflect_full_name(name: str, case: str, gender: str | None = None) -> str:
+    """A nominative full name, word by word, in another case."""
+    return " ".join(inflect(w, case, gender) for w in name.split())
+
+
+def undecline(word: str, case: str, gender: str, role: str) -> str:
+    """The nominative of a given name that no list has, if the endings of its gender lead from there to the word; else the word."""
+    if role != NAME or case == "nomn":
+        return word
+    for head in (word[: len(word) - n] + e for n in (0, 1, 2) for e in (("", "й", "ь") if gender == MASC else ("а", "я", "ь"))):
+        if len(head) > 2 and _decline(head, gender, "name")[CASES.index(case)] == word:
+            return head
+    return word

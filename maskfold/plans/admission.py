@@ -1,13 +1,19 @@
-"""Admission control, load states and service metrics as analytics over logs.
+"""Admission control, load states, health and service metrics as analytics over logs.
 
 What decides from one event to the next (limits, smoothed rates, breakers) is an ordered fold over the events of one
-worker, user or backend; such a group is a log of one process and its events are few fields each. All else is plain grouping.
+worker, user or backend. Logs are dealt by that key and sorted, and each task goes through its part once, holding
+the state of one key: a log of any length needs the memory of its open requests. All else is plain grouping.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # The service's defaults.
 BASE_COST, PER_CHAR = 500.0, 1.0
@@ -49,57 +55,132 @@ def status_of(size: Column, admitted: Column, wait: Column) -> tuple[Column, Col
     return status, F.when(status == 429, F.ceil(wait))
 
 
-def _in_order(log: DataFrame, by: str, order: str, fields: list[str]) -> DataFrame:
-    return log.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(order, *[f for f in fields if f != order]))).alias("log"))
+def _folded(log: DataFrame, by: str, order: list[str], fields: list[str], start: Callable[[], list], step: Callable[[list, tuple], tuple], schema: T.StructType, last_only: bool = False) -> DataFrame:
+    """``step(state, fields)`` for the events of each key in order, whose results are rows of ``schema`` after the key; of each key
+    only the last one if so wished."""
+    names = [by, *fields]
+    rows = log.select(*[F.col(c) for c in dict.fromkeys([by, *order, *fields])]).repartition(by).sortWithinPartitions(by, *order)
+    out_schema = T.StructType([log.schema[by], *schema.fields])
+    arrow = to_arrow_schema(out_schema)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing = object()
+        key, state, pending = nothing, [], None
+        for b in batches:
+            out = []
+            for now, *event in zip(*[b.column(n).to_pylist() for n in names], strict=True):
+                if now != key:
+                    if pending is not None:
+                        out.append(pending)
+                    key, state, pending = now, start(), None
+                row = (now, *step(state, tuple(event)))
+                if last_only:
+                    pending = row
+                else:
+                    out.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(arrow)], schema=arrow)
+        if pending is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(pending, arrow, strict=True)], schema=arrow)
+
+    return rows.mapInArrow(walk, out_schema)
+
+
+def _fields(**kinds: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(k, v) for k, v in kinds.items()])
 
 
 def smoothed_rate(log: DataFrame, by: str, ts: str, amount: str, alpha: float = ALPHA) -> DataFrame:
     """(by, n, rate): amounts per second, exponentially smoothed; the first event only sets the clock."""
-    start = F.struct(F.lit(0.0).alias("rate"), F.lit(None).cast("timestamp").alias("last"))
+    timed = log.withColumn(ts, F.unix_micros(F.col(ts).cast("timestamp"))).withColumn(amount, F.col(amount).cast("double"))
+
+    def step(state: list, event: tuple) -> tuple:
+        now, value = event
+        if state[2] is not None:
+            seconds = max((now - state[2]) / 1e6, LEAST_SECONDS)
+            state[1] = alpha * (value / seconds) + (1 - alpha) * state[1]
+        state[0] += 1
+        state[2] = now
+        return state[0], state[1]
+
+    schema = _fields(n=T.IntegerType(), rate=T.DoubleType())
+    return _folded(timed, by, [ts, amount], [ts, amount], lambda: [0, 0.0, None], step, schema, last_only=True)
+
+
+def admission_gate(log: DataFrame, by: str = "worker", max_in_flight: int = MAX_IN_FLIGHT, max_backlog: float = MAX_BACKLOG, rss_limit: float = RSS_LIMIT) -> DataFrame:
+    """(by, seq, event, admitted, reason) for a log of acquire and release events (seq, event, request, payload_size and, if known,
+    rss_mb): a request is turned away under critical memory, then at the limit of requests, then at that of work; a release counts if its
+    request was admitted."""
+    if "rss_mb" not in log.columns:
+        log = log.withColumn("rss_mb", F.lit(0.0))
+
+    def step(state: list, event: tuple) -> tuple:
+        seq, kind, request, size, rss = event
+        open_, backlog = state
+        if kind != "acquire":
+            state[1] = backlog - open_.pop(request, 0.0)
+            return seq, kind, None, None
+        cost = BASE_COST + PER_CHAR * size
+        reason = None
+        if rss is not None and rss > rss_limit:
+            reason = "critical_pressure"
+        elif len(open_) >= max_in_flight:
+            reason = "in_flight_limit"
+        elif backlog + cost > max_backlog:
+            reason = "backlog_limit"
+        if reason is None:
+            open_[request] = cost
+            state[1] = backlog + cost
+        return seq, kind, reason is None, reason
+
+    schema = _fields(seq=T.LongType(), event=T.StringType(), admitted=T.BooleanType(), reason=T.StringType())
+    return _folded(log, by, ["seq"], ["seq", "event", "request", "payload_size", "rss_mb"], lambda: [{}, 0.0], step, schema)
 
-    def step(acc: Column, e: Column) -> Column:
-        seconds = F.greatest((F.unix_micros(e[ts]) - F.unix_micros(acc["last"])) / F.lit(1e6), F.lit(LEAST_SECONDS))
-        rate = F.when(acc["last"].isNull(), acc["rate"]).otherwise(F.lit(alpha) * (e[amount] / seconds) + F.lit(1 - alpha) * acc["rate"])
-        return F.struct(rate.alias("rate"), e[ts].alias("last"))
 
-    return _in_order(log, by, ts, [amount]).select(by, F.size("log").alias("n"), F.aggregate("log", start, step, lambda a: a["rate"]).alias("rate"))
+def breaker_states(log: DataFrame, by: str = "backend", failures: int = FAILURES, cooldown: float = COOLDOWN) -> DataFrame:
+    """(by, seq, state) before each outcome of a log (seq, ts, ok): open after so many failures in a row, half open after the cooldown, open again after a failed probe."""
+    timed = log.withColumn("ts", F.unix_micros("ts"))
 
+    def step(state: list, event: tuple) -> tuple:
+        seq, now, ok = event
+        failed, since = state
+        said = "closed" if failed < failures else "half_open" if now - since >= cooldown * 1e6 else "open"
+        if said != "open":
+            state[0] = 0 if ok else failed + 1
+            state[1] = now if state[0] >= failures else since if not ok else None
+        return seq, said
 
-def admission_gate(log: DataFrame, by: str = "worker", max_in_flight: int = MAX_IN_FLIGHT, max_backlog: float = MAX_BACKLOG) -> DataFrame:
-    """(by, seq, event, admitted, reason) for a log of acquire and release events (seq, event, request, payload_size):
-    a request is turned away at the limit of requests or of work; a release counts if its request was admitted."""
-    row = "struct<seq:bigint,event:string,admitted:boolean,reason:string>"
-    start = F.struct(F.array().cast("array<struct<request:bigint,work:double>>").alias("open"), F.array().cast(f"array<{row}>").alias("out"))
+    return _folded(timed, by, ["seq"], ["seq", "ts", "ok"], lambda: [0, None], step, _fields(seq=T.LongType(), state=T.StringType()))
 
-    def step(acc: Column, e: Column) -> Column:
-        cost = work(e["payload_size"])
-        backlog = F.aggregate(acc["open"], F.lit(0.0), lambda s, x: s + x["work"])
-        reason = F.when(F.size(acc["open"]) >= max_in_flight, "in_flight_limit").when(backlog + cost > max_backlog, "backlog_limit")
-        asks = e["event"] == "acquire"
-        admitted = F.when(asks, reason.isNull())
-        more = F.array_append(acc["open"], F.struct(e["request"].cast("bigint").alias("request"), cost.cast("double").alias("work")))
-        less = F.filter(acc["open"], lambda x: x["request"] != e["request"])
-        now = F.when(asks & reason.isNull(), more).when(asks, acc["open"]).otherwise(less)
-        done = F.struct(e["seq"].cast("bigint").alias("seq"), e["event"].alias("event"), admitted.alias("admitted"), F.when(asks, reason).alias("reason")).cast(row)
-        return F.struct(now.alias("open"), F.array_append(acc["out"], done).alias("out"))
 
-    folded = _in_order(log, by, "seq", ["event", "request", "payload_size"]).withColumn("r", F.explode(F.aggregate("log", start, step, lambda a: a["out"])))
-    return folded.select(by, "r.*")
+#: Upper bounds of a Retry-After histogram's buckets. Fixed values.
+RETRY_BUCKETS = (1, 2, 5, 10, 15, 30)
 
 
-def breaker_states(log: DataFrame, by: str = "backend", failures: int = FAILURES, cooldown: float = COOLDOWN) -> DataFrame:
-    """(by, seq, state) before each outcome of a log (seq, ts, ok): open after so many failures in a row, half open after the cooldown, open again after a failed probe."""
-    start = F.struct(F.lit(0).alias("failed"), F.lit(None).cast("timestamp").alias("since"), F.array().cast("array<struct<seq:bigint,state:string>>").alias("out"))
+def request_metrics(answers: DataFrame, by: tuple[str, ...] = ("direction", "outcome")) -> DataFrame:
+    """Requests, errors, rejects, latency and waits by direction and outcome, from answers (direction, status, seconds, retry_after, tokens)."""
+    outcome = F.when(F.col("status") < 400, "ok").when(F.col("status") == 429, "rejected").otherwise("error")
+    waits = [F.count_if(F.col("retry_after") <= b).alias(f"wait_le_{b}") for b in RETRY_BUCKETS]
+    return answers.withColumn("outcome", outcome).groupBy(*by).agg(
+        F.count("*").alias("requests"), F.count_if(F.col("outcome") == "error").alias("errors"), F.count_if(F.col("status") == 429).alias("rejects"),
+        F.sum("tokens").alias("tokens"), F.sum("seconds").alias("seconds"), F.max("seconds").alias("slowest"), *waits,
+    )
+
+
+def gauges(decisions: DataFrame, by: str = "worker") -> DataFrame:
+    """(by, in_flight, rejected) after a log's last event, from :func:`admission_gate` joined with nothing else: admitted requests less releases of them."""
+    return decisions.groupBy(by).agg(F.count_if(F.col("admitted")).alias("admitted"), F.count_if(F.col("reason").isNotNull()).alias("rejected"), F.count_if(F.col("event") != "acquire").alias("releases"))
 
-    def step(acc: Column, e: Column) -> Column:
-        waited = (F.unix_micros(e["ts"]) - F.unix_micros(acc["since"])) / F.lit(1e6)
-        state = F.when(acc["failed"] < failures, "closed").when(waited >= cooldown, "half_open").otherwise("open")
-        called = state != "open"
-        failed = F.when(~called, acc["failed"]).when(e["ok"], 0).otherwise(acc["failed"] + 1)
-        since = F.when(~called, acc["since"]).when(e["ok"], F.lit(None).cast("timestamp")).when(failed >= failures, e["ts"]).otherwise(acc["since"])
-        return F.struct(failed.alias("failed"), since.alias("since"), F.array_append(acc["out"], F.struct(e["seq"].cast("bigint").alias("seq"), state.alias("state"))).alias("out"))
 
-    return _in_order(log, by, "seq", ["ts", "ok"]).select(by, F.explode(F.aggregate("log", start, step, lambda a: a["out"])).alias("r")).select(by, "r.*")
+def health(load: DataFrame, breakers: DataFrame) -> DataFrame:
+    """One row of status: the worst load state of the workers (worker, state) and the circuits of the backends (backend, state): storage is ok
+    if all are closed, degraded if one is not, and not configured without any."""
+    rank = F.array(*[F.lit(x) for x in ("NORMAL", "CACHE_DEGRADED", "OVERLOADED", "STORAGE_DEGRADED", "CRITICAL")])
+    worst = load.agg(F.element_at(rank, F.max(F.array_position(rank, F.col("state"))).cast("int")).alias("load_state"))
+    circuits = breakers.agg(F.count("*").alias("backends"), F.count_if(F.col("state") != "closed").alias("not_closed"))
+    storage = F.when(F.col("backends") == 0, "not-configured").when(F.col("not_closed") == 0, "ok").otherwise("degraded")
+    one = F.lit(1)
+    both = worst.withColumn("_one", one).join(circuits.withColumn("_one", one), "_one")
+    return both.select(F.lit("ok").alias("status"), storage.alias("storage"), F.coalesce("load_state", F.lit("NORMAL")).alias("load_state"), "backends", "not_closed")
 
 
 def service_metrics(answers: DataFrame, by: list[str]) -> DataFrame:

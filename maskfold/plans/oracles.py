@@ -124,7 +124,7 @@ SELECT doc_id, coalesce(n, 0)::INT AS n_found, CASE WHEN n IS NULL THEN text ELS
 
 _OVERLAPS = """WITH RECURSIVE c AS (SELECT o_custkey AS doc_id, o_orderkey AS k, (o_orderkey * 13 % 97)::INT AS s, (o_orderkey * 13 % 97 + 3 + o_orderkey % 11)::INT AS e,
   row_number() OVER (PARTITION BY o_custkey ORDER BY -((o_orderkey % 4 + 5) / 10.0), (o_orderkey * 13 % 97) - (o_orderkey * 13 % 97 + 3 + o_orderkey % 11), o_orderkey * 13 % 97, o_orderkey % 1000003) AS i
-  FROM orders WHERE o_orderkey % 4 < 3),
+  FROM orders),
 g AS (SELECT doc_id, 1 AS i, [struct_pack(k := k, s := s, e := e)] AS acc FROM c WHERE i = 1
   UNION ALL SELECT g.doc_id, g.i + 1, CASE WHEN len(list_filter(acc, lambda x: x.s < c.e AND c.s < x.e)) > 0 THEN acc ELSE list_append(acc, struct_pack(k := c.k, s := c.s, e := c.e)) END
   FROM g JOIN c ON c.doc_id = g.doc_id AND c.i = g.i + 1),
@@ -148,7 +148,43 @@ SELECT doc_id, entity_id, type, original, '<' || entity_id || '>' AS token, n::I
   WHEN 'CARD_NUMBER' THEN substr(original, 1, 4) || regexp_replace(substr(original, 5, length(original) - 8), '[0-9]', '*', 'g') || substr(original, -4)
   ELSE regexp_replace(original, '[\\p{{L}}\\p{{N}}]', '*', 'g') END AS partial FROM i"""
 
+# Ordered folds by recursion: one step for each event of every worker, backend or user.
+_GATE = """WITH RECURSIVE e AS (SELECT user_id % 50 AS worker, event_id AS seq, event_id % 3 = 2 AS rel, CASE WHEN event_id % 3 = 2 THEN event_id - 2 ELSE event_id END AS request,
+    500.0::DOUBLE + event_id * 31 % 5000 AS cost, event_id * 37 % 12500 AS rss, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) AS i FROM events),
+  g AS (SELECT worker, 0::BIGINT AS i, 0::BIGINT AS seq, NULL::VARCHAR AS event, NULL::BOOLEAN AS admitted, NULL::VARCHAR AS reason, []::STRUCT(r BIGINT, c DOUBLE)[] AS open FROM (SELECT DISTINCT worker FROM e)
+  UNION ALL SELECT worker, i, seq, CASE WHEN rel THEN 'release' ELSE 'acquire' END, CASE WHEN NOT rel THEN why IS NULL END, why,
+    CASE WHEN rel THEN list_filter(open, lambda x: x.r <> request) WHEN why IS NULL THEN list_append(open, {'r': request, 'c': cost}) ELSE open END
+  FROM (SELECT e.*, g.open, CASE WHEN e.rel THEN NULL WHEN e.rss > 12288 THEN 'critical_pressure' WHEN len(g.open) >= 6 THEN 'in_flight_limit'
+      WHEN coalesce(list_sum(list_transform(g.open, lambda x: x.c)), 0) + e.cost > 20000 THEN 'backlog_limit' END AS why
+    FROM g JOIN e ON e.worker = g.worker AND e.i = g.i + 1))
+SELECT worker, seq, event, coalesce(admitted, false) AS admitted, coalesce(reason, '') AS reason FROM g WHERE i > 0"""
+_BREAKER = """WITH RECURSIVE e AS (SELECT user_id % 50 AS backend, event_id AS seq, epoch_us(ts) AS t, event_id * 7919 % 10 < 4 AS ok,
+    row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) AS i FROM events),
+  g AS (SELECT backend, 0::BIGINT AS i, 0::BIGINT AS seq, ''::VARCHAR AS state, 0 AS failed, NULL::BIGINT AS since FROM (SELECT DISTINCT backend FROM e)
+  UNION ALL SELECT backend, i, seq, now, CASE WHEN now = 'open' THEN failed WHEN ok THEN 0 ELSE failed + 1 END,
+    CASE WHEN now = 'open' THEN since WHEN ok THEN NULL WHEN failed + 1 >= 3 THEN t ELSE since END
+  FROM (SELECT e.*, g.failed, g.since, CASE WHEN g.failed < 3 THEN 'closed' WHEN e.t - g.since >= 10000000 THEN 'half_open' ELSE 'open' END AS now
+    FROM g JOIN e ON e.backend = g.backend AND e.i = g.i + 1))
+SELECT backend, seq, state FROM g WHERE i > 0"""
+_RATES = """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS t, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, value) AS i FROM events WHERE ts IS NOT NULL AND value IS NOT NULL),
+  g AS (SELECT user_id, i, t, 0.0::DOUBLE AS rate FROM e WHERE i = 1
+  UNION ALL SELECT e.user_id, e.i, e.t, 0.2::DOUBLE * (e.value / greatest((e.t - g.t)::DOUBLE / 1e6::DOUBLE, 0.001::DOUBLE)) + (1 - 0.2::DOUBLE) * g.rate FROM g JOIN e ON e.user_id = g.user_id AND e.i = g.i + 1)
+SELECT user_id, max(i)::INT AS n, round(arg_max(rate, i), 6) AS rate FROM g GROUP BY user_id"""
+
 ORACLES: dict[str, str] = {
+    "a02_admission_gate": _GATE,
+    "a05_smoothed_rates": _RATES,
+    "a07_breaker": _BREAKER,
+    "a09_request_metrics": """WITH a AS (SELECT ['mask', 'retry_mask', 'demask'][(event_id % 3 + 1)::INT] AS direction, CASE WHEN event_id % 17 = 0 THEN 429 WHEN event_id % 23 = 0 THEN 503 WHEN event_id % 29 = 0 THEN 409 ELSE 200 END AS status,
+        (event_id % 64)::DOUBLE / 64 AS seconds, CASE WHEN event_id % 17 = 0 THEN event_id % 31 END AS wait, event_id % 900 AS tokens FROM events)
+      SELECT direction, CASE WHEN status < 400 THEN 'ok' WHEN status = 429 THEN 'rejected' ELSE 'error' END AS outcome, count(*) AS requests, count(*) FILTER (status NOT IN (200, 429)) AS errors, count(*) FILTER (status = 429) AS rejects,
+        sum(tokens)::BIGINT AS tokens, sum(seconds) AS seconds, max(seconds) AS slowest, """
+    + ", ".join(f"count(*) FILTER (wait <= {b}) AS wait_le_{b}" for b in (1, 2, 5, 10, 15, 30))
+    + " FROM a GROUP BY ALL",
+    "a10_health": f"""WITH s AS (SELECT backend, arg_max(state, seq) AS state FROM ({_BREAKER}) GROUP BY backend),
+      w AS (SELECT bool_or(event_id % 5 = 0) AS over FROM events)
+      SELECT 'ok' AS status, CASE WHEN (SELECT count(*) FROM s) = 0 THEN 'not-configured' WHEN (SELECT count(*) FROM s WHERE state <> 'closed') = 0 THEN 'ok' ELSE 'degraded' END AS storage,
+        CASE WHEN over THEN 'OVERLOADED' ELSE 'CACHE_DEGRADED' END AS load_state, (SELECT count(*) FROM s) AS backends, (SELECT count(*) FROM s WHERE state <> 'closed') AS not_closed FROM w""",
     "flagship_mask": _FLAGSHIP,
     "c01_checksums": f"""WITH c AS (SELECT c_custkey, lpad(((c_custkey * 7919 + 13) % 10000000000000)::VARCHAR, 16, '0') AS card, lpad(((c_custkey * 104729) % 10000000000)::VARCHAR, 10, '0') AS a,
       lpad(((c_custkey * 1000003) % 1000000000000)::VARCHAR, 12, '0') AS b FROM customer) SELECT c_custkey, {_luhn('card')} AS luhn, {_inn('a')} AS inn10, {_inn('b')} AS inn12 FROM c""",
@@ -194,8 +230,6 @@ ORACLES: dict[str, str] = {
       alive AS (SELECT * FROM a WHERE ts + INTERVAL 600 SECOND > TIMESTAMP '2024-01-15'),
       b AS (SELECT user_id, arg_min(event_id, (ts, event_id::VARCHAR)) AS id FROM e WHERE event_id % 2 = 1 GROUP BY user_id)
       SELECT user_id::VARCHAR AS payload_id, id::VARCHAR AS original_fingerprint FROM alive UNION ALL SELECT user_id::VARCHAR, id::VARCHAR FROM b WHERE user_id NOT IN (SELECT user_id FROM alive)""",
-    "x01_sentence_windows": r"""WITH d AS (SELECT doc_id, text, substr(text, 1, 40) AS b, substr(text, 51, 220) AS a FROM documents WHERE length(text) > 60)
-      SELECT doc_id, (40 - length(regexp_extract(b, '[^.!?\n]*$')))::INT AS low, (50 + length(regexp_extract(a, '^[^.!?\n]*[.!?\n]?')))::INT AS high FROM d""",
     "x03_keyword_hits": f"WITH {RU}, w AS (SELECT doc_id, lower(text) AS t FROM ru) SELECT doc_id, array_to_string(list_sort(list_filter([{_HITS}], lambda x: x IS NOT NULL)), ',') AS hits FROM w",
     "a01_admission_work": """WITH d AS (SELECT doc_id, strlen(text) * 300 AS size FROM documents), s AS (SELECT *, CASE WHEN size > 3000000 THEN 413 WHEN size % 3 > 0 THEN 200 ELSE 429 END AS status FROM d)
       SELECT doc_id, 500.0::DOUBLE + size AS work, status, CASE WHEN status = 429 THEN ceil(1.5::DOUBLE * (doc_id % 7))::BIGINT ELSE 0 END AS retry_after FROM s""",
@@ -206,3 +240,7 @@ ORACLES: dict[str, str] = {
     "a09_metrics": f"""WITH m AS (SELECT doc_id, count(*) AS n FROM ({_found('documents', _EMAIL)}) GROUP BY doc_id)
       SELECT lang, count(*) AS requests, sum(CASE WHEN length(text) = 0 THEN 0 ELSE greatest(length(text) // 4, 1) END)::BIGINT AS tokens, coalesce(sum(n), 0)::BIGINT AS detected, coalesce(sum(n), 0)::BIGINT AS masked FROM documents LEFT JOIN m USING (doc_id) GROUP BY lang""",
 }
+
+from .oracles_flow import FLOWS  # noqa: E402  it is built from the statements above
+
+ORACLES |= FLOWS

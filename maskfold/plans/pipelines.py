@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.scalars import token_count
+from ..functions.scalars import fingerprint, token_count
 from ..operators.decide import decided
 from ..operators.demask import restored
 from ..operators.detectors import detect
-from ..operators.mask import masked, put_back
-from ..sources.vault import answer, records
+from ..operators.mask import MODES, masked, put_back
+from ..sources.tables import with_policy
+from ..sources.vault import answer, insert_if_absent, live, mark_demasked, records
+from .admission import MAX_PAYLOAD
 
 
 def analyze(docs: DataFrame, text: str = "text", only: tuple[str, ...] | None = None, mask_types: Column | None = None) -> DataFrame:
@@ -27,23 +32,70 @@ def inspect(docs: DataFrame, mode: str = "partial", text: str = "text", mask_typ
     return out.withColumn("round_trip_ok", F.when(F.lit(mode) != "partial", F.col("demasked").eqNullSafe(F.col(text))))
 
 
-def first_requests(requests: DataFrame, mode: str, now: Column, demask: Column | None = None, secret: str | None = None) -> tuple[DataFrame, DataFrame]:
+def first_requests(requests: DataFrame, mode: str, now: Column, demask: Column | None = None, secret: str | None = None, only: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
     """(answers, new records) for requests (payload_id, payload) that have no record: surrogates are seeded by the payload_id."""
-    out = masked(analyze(requests, "payload"), mode, "payload", session="payload_id")
-    return out.select(*requests.columns, F.lit("mask").alias("direction"), F.col("masked_text").alias("result"), "n_detected", "n_masked", token_count(F.col("payload")).alias("tokens")), records(out, "payload", now, demask, secret)
+    names = only is None or "fio" in only
+    out = masked(analyze(requests, "payload", only), mode, "payload", session="payload_id", names=names)
+    answers = out.select(*requests.columns, F.lit("mask").alias("direction"), F.col("masked_text").alias("result"), "n_detected", "n_masked", token_count(F.col("payload")).alias("tokens"))
+    return answers, records(out, "payload", now, demask, secret)
 
 
-def process(requests: DataFrame, vault: DataFrame, mode: str, now: Column, secret: str | None = None) -> DataFrame:
+def process(requests: DataFrame, vault: DataFrame, mode: str, now: Column, secret: str | None = None, only: tuple[str, ...] | None = None) -> DataFrame:
     """Answers to requests (payload_id, payload, allow_demask) from a vault's live records. Requests are first told
     apart by fingerprints; only those without a record run the detectors, only reworded texts are searched."""
-    told = answer(requests, vault, secret)
+    told = answer(requests, live(vault, now), secret)
     keep = ["payload_id", "payload", "direction", "result"]
     known = told.where("way in ('retry_mask', 'echo', 'demask_exact')").select(keep)
     reworded = told.where("way = 'demask_content'").withColumn("result", restored(F.col("payload"), F.col("mode"), F.col("mappings"))).select(keep)
-    new, _ = first_requests(told.where("way = 'mask'").select("payload_id", "payload"), mode, now, secret=secret)
+    new, _ = first_requests(told.where("way = 'mask'").select("payload_id", "payload"), mode, now, secret=secret, only=only)
     return known.unionByName(reworded).unionByName(new.select(keep))
 
 
+def process_batch(requests: DataFrame, vault: DataFrame, dimension: DataFrame, now: Column, secret: str | None = None, only: tuple[str, ...] | None = None, modes: tuple[str, ...] = MODES) -> tuple[DataFrame, DataFrame]:
+    """(answers, vault afterwards) for a batch of requests (payload_id, payload, seq, consumer_id).
+
+    A request without payload_id or payload is rejected (422), one beyond the size limit too (413), as are an unknown (404) and a disabled
+    consumer (403). Of several first texts of one key the first in ``seq`` makes the record: the same text gets the same answer, another one a
+    conflict (409), as nobody has seen the masked text yet. Restored records go over to the grace state. ``modes`` are those that the
+    consumers' policies have; the fewer, the smaller the plan.
+    """
+    mode = F.col("masking_mode")
+    policy = with_policy(requests, dimension)
+    status = (
+        F.when(F.coalesce(F.length("payload_id"), F.lit(0)) == 0, 422)
+        .when(F.col("payload").isNull(), 422)
+        .when(F.length("payload") > MAX_PAYLOAD, 413)
+        .when(F.col("error_category") == "not_found", 404)
+        .when(F.col("error_category") == "disabled", 403)
+        .otherwise(200)
+    )
+    judged = policy.withColumn("status", status)
+    held = live(vault, now)
+    told = answer(judged.where("status = 200").withColumn("allow_demask", F.col("demask")).drop("demask").withColumnRenamed("masking_mode", "asked_mode"), held, secret)
+    fresh = told.where("way = 'mask'")
+    turn = Window.partitionBy("payload_id").orderBy("seq")
+    print_ = fingerprint(F.col("payload"), secret)
+    ranked = fresh.withColumn("_print", print_).withColumn("_first", F.first("_print").over(turn)).withColumn("_n", F.row_number().over(turn))
+    made, added = [], []
+    for kind in modes:
+        winners = ranked.where((F.col("_n") == 1) & (F.coalesce("asked_mode", F.lit("partial")) == kind)).select("payload_id", "payload", "mask_types", "allow_demask")
+        names = only is None or "fio" in only
+        out = masked(analyze(winners, "payload", only, mask_types=F.col("mask_types")), kind, "payload", session="payload_id", names=names)
+        made.append(out.select("payload_id", F.col("masked_text").alias("_masked")))
+        added.append(records(out, "payload", now, F.col("allow_demask"), secret))
+    first, new = reduce(DataFrame.unionByName, made), reduce(DataFrame.unionByName, added)
+    firsts = ranked.join(first, "payload_id").withColumn("status", F.when(F.col("_print") == F.col("_first"), 200).otherwise(409))
+    fields = ["payload_id", "seq", "direction", "status", "result"]
+    answers = firsts.withColumn("result", F.when(F.col("status") == 200, F.col("_masked"))).select(fields)
+    known = told.where("way in ('retry_mask', 'echo', 'demask_exact')").withColumn("status", F.lit(200)).select(fields)
+    reworded = told.where("way = 'demask_content'").withColumn("result", restored(F.col("payload"), F.col("mode"), F.col("mappings"))).withColumn("status", F.lit(200)).select(fields)
+    null = F.lit(None).cast("string")
+    refused = judged.where("status <> 200").select("payload_id", "seq", null.alias("direction"), "status", null.alias("result"))
+    opened = told.where("way in ('demask_exact', 'demask_content')").select("payload_id")
+    after = insert_if_absent(mark_demasked(held, opened, now), new, now)
+    return answers.unionByName(known).unionByName(reworded).unionByName(refused), after
+
+
 #: What a text shows that was masked before: a token, or stars in a row.
 TRACES = r"<[A-Z_]+_\d+>|\*\*"
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions import scalars as s
+from ..functions.spans import find_spans
 from ..operators import decide as dc
 from ..operators import detectors as dt
 from ..operators import entities as en
@@ -94,9 +95,10 @@ def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sentence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = src.table(spark, sf_dir, "documents").where("length(text) > 60").select("doc_id", "text")
-    b = docs.withColumn("b", dc.sentence_bounds(F.col("text"), F.lit(40), F.lit(50)))
-    return b.select("doc_id", "b.low", "b.high")
+    """The sentence around each number of ``documents``, wherever it stands."""
+    docs = src.table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(find_spans(F.col("text"), "[0-9]+")).alias("s"))
+    b = docs.withColumn("b", dc.sentence_bounds(F.col("text"), F.col("s.start"), F.col("s.end")))
+    return b.select("doc_id", "s.start", "b.low", "b.high")
 
 
 def keyword_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,10 +156,12 @@ def partial_mask_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def synthetic_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Surrogates for all types: whether any original is still in the masked text, and what both ways of restoring give."""
     docs = src.ru_corpus(spark, sf_dir).withColumn("session", F.col("doc_id").cast("string"))
     out = mk.masked(pl.analyze(docs), "synthetic", session="session")
     back = restored(F.col("masked_text"), F.lit("synthetic"), F.col("mappings"))
-    return pl.exact_round_trip(out).select("doc_id", "masked_text", "n_masked", "restored_exactly", back.alias("restored"))
+    leaks = F.exists("occurrences", lambda x: x["masked"] == x["original"])
+    return pl.exact_round_trip(out).select("doc_id", "n_masked", leaks.alias("leaks"), "restored_exactly", back.alias("restored"))
 
 
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,14 +196,32 @@ def vault_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def process_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second round of requests against the first round's records: known, masked, reworded and new texts."""
+    now = F.lit("2024-01-01").cast("timestamp")
     docs = src.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("payload_id"), F.col("text").alias("payload"))
     done = mk.masked(pl.analyze(docs, "payload", only=FLAGSHIP), "token", "payload", names=False)
-    vault = vt.records(done, "payload", F.lit("2024-01-01").cast("timestamp"))
+    vault = vt.records(done, "payload", now)
     k = F.col("payload_id").cast("bigint") % 4
-    again = done.select(F.when(k == 3, F.concat(F.lit("new"), "payload_id")).otherwise(F.col("payload_id")).alias("payload_id"), F.when(k == 0, F.col("payload")).when(k == 1, F.col("masked_text")).otherwise(F.concat(F.lit("Re: "), "masked_text")).alias("payload"), F.lit(True).alias("allow_demask"))
-    told = vt.answer(again, vault)
-    result = F.when(F.col("way") == "demask_content", restored_tokens(F.col("payload"), F.col("mappings"))).otherwise(F.col("result"))
-    return told.select("payload_id", "way", "direction", F.sha2(result, 256).alias("result"))
+    again = done.select(
+        F.when(k == 3, F.concat(F.lit("new"), "payload_id")).otherwise(F.col("payload_id")).alias("payload_id"),
+        F.when(k == 0, F.col("payload")).when(k == 1, F.col("masked_text")).otherwise(F.concat(F.lit("Re: "), "masked_text")).alias("payload"),
+        F.lit(True).alias("allow_demask"),
+    )
+    told = pl.process(again, vault, "token", now, only=FLAGSHIP)
+    return told.select("payload_id", "direction", F.sha2("result", 256).alias("result"))
+
+
+def process_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of first requests with repeats, conflicts, missing ids and unknown consumers."""
+    now = F.lit("2024-01-01").cast("timestamp")
+    docs, k = src.table(spark, sf_dir, "documents"), F.col("doc_id")
+    base = docs.select(k.cast("string").alias("id"), F.col("text").alias("payload"), k.alias("k"))
+    consumer = F.when(F.col("k") % 5 == 0, "nobody")
+    one = base.select(F.when(F.col("k") % 7 == 0, "").otherwise(F.col("id")).alias("payload_id"), "payload", (2 * F.col("k")).alias("seq"), consumer.alias("consumer_id"))
+    two = base.where("k % 3 < 2").select(F.col("id").alias("payload_id"), F.when(F.col("k") % 3 == 0, F.col("payload")).otherwise(F.lit("another")).alias("payload"), (2 * F.col("k") + 1).alias("seq"), consumer.alias("consumer_id"))
+    requests = one.unionByName(two)
+    vault = spark.createDataFrame([], f"payload_id string, {vt.RECORD}")
+    answers, _ = pl.process_batch(requests, vault, src.policies(spark), now, only=FLAGSHIP, modes=("partial",))
+    return answers.select("payload_id", "seq", F.coalesce("direction", F.lit("")).alias("direction"), "status", F.sha2(F.coalesce("result", F.lit("")), 256).alias("result"))
 
 
 # --- operations ---
@@ -229,9 +251,28 @@ def breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = src.table(spark, sf_dir, "events")
-    log = e.select((F.col("user_id") % 50).alias("worker"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 3 == 2, "release").otherwise("acquire").alias("event"), (F.col("event_id") - F.when(F.col("event_id") % 3 == 2, 2).otherwise(0)).alias("request"), (F.col("event_id") * 31 % 5000).alias("payload_size"))
-    return ad.admission_gate(log, max_in_flight=6, max_backlog=20_000.0)
+    e, k = src.table(spark, sf_dir, "events"), F.col("event_id")
+    releases = k % 3 == 2
+    log = e.select(
+        (F.col("user_id") % 50).alias("worker"), k.alias("seq"), F.when(releases, "release").otherwise("acquire").alias("event"), (k - F.when(releases, 2).otherwise(0)).alias("request"),
+        (k * 31 % 5000).alias("payload_size"), (k * 37 % 12500).cast("double").alias("rss_mb"),
+    )
+    return ad.admission_gate(log, max_in_flight=6, max_backlog=20_000.0).fillna(False, "admitted").fillna("", "reason")
+
+
+def request_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, k = src.table(spark, sf_dir, "events"), F.col("event_id")
+    direction = F.get(F.array(F.lit("mask"), F.lit("retry_mask"), F.lit("demask")), (k % 3).cast("int"))
+    status = F.when(k % 17 == 0, 429).when(k % 23 == 0, 503).when(k % 29 == 0, 409).otherwise(200)
+    answers = e.select(direction.alias("direction"), status.alias("status"), (k % 64 / F.lit(64.0)).alias("seconds"), F.when(status == 429, k % 31).alias("retry_after"), (k % 900).alias("tokens"))
+    return ad.request_metrics(answers)
+
+
+def health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, k = src.table(spark, sf_dir, "events"), F.col("event_id")
+    load = e.select((F.col("user_id") % 50).alias("worker"), F.when(k % 5 == 0, "OVERLOADED").otherwise("CACHE_DEGRADED").alias("state"))
+    last = breaker(spark, sf_dir).groupBy("backend").agg(F.max_by("state", "seq").alias("state"))
+    return ad.health(load, last)
 
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -276,6 +317,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "s02_inspect": inspect,
     "s05_vault_inserts": vault_inserts,
     "t01_process_directions": process_directions,
+    "t02_process_batch": process_batch,
     "x01_sentence_windows": sentence_windows,
     "x03_keyword_hits": keyword_hits,
     "x06_decisions": decisions,
@@ -285,5 +327,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "a05_smoothed_rates": smoothed_rates,
     "a07_breaker": breaker,
     "a09_metrics": metrics,
+    "a09_request_metrics": request_metrics,
+    "a10_health": health,
 }
 

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from maskfold.functions import scalars as s
@@ -98,3 +99,23 @@ def test_scalars(spark):
     assert get(s.partial_mask(F.lit("PASSPORT"), F.lit("123"))) == "123"
     assert get(s.fingerprint(F.lit("x"), "k" * 100)) != get(s.fingerprint(F.lit("x")))
     assert [get(s.token_count(F.lit("a" * n))) for n in (0, 1, 9)] == [0, 1, 2]
+
+
+@pytest.mark.parametrize("text,value,case,nominal", [
+    ("Алиса Ивановна пришла", "Алиса Ивановна", "nomn", "Алиса Ивановна"), ("Вчера Сергей Шевчук звонил", "Сергей Шевчук", "nomn", "Сергей Шевчук"),
+    ("Передать Марату Ивановичу", "Марату Ивановичу", "datv", "Марат Иванович"), ("Николай Гоголь", "Николай Гоголь", "nomn", "Николай Гоголь"),
+    ("Анна Ковальчук", "Анна Ковальчук", "nomn", "Анна Ковальчук"), ("Иванов Петров", "Иванов Петров", "nomn", "Иванов Петров"),
+    ("Клиент Иван Петрович", "Иван Петрович", "nomn", "Иван Петрович"),
+])
+def test_names_beyond_the_lists(text, value, case, nominal):
+    from maskfold.operators.names import find_names
+
+    (found,) = find_names(text)
+    assert (found[1], found[7][1], found[7][3]) == (value, case, nominal)
+
+
+def test_cases_of_words():
+    from maskfold.operators import morphology as m
+
+    assert m.detect_case("Ивану") == "datv" and m.detect_case("что-то") == "nomn"
+    assert m.inflect_full_name("Иванов Иван Петрович", "datv", "masc") == "Иванову Ивану Петровичу"

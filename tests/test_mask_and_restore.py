@@ -8,7 +8,7 @@ from maskfold.operators import entities, synthesis
 from maskfold.operators.demask import restore
 from maskfold.operators.mask import MODES, masked, put_back
 from maskfold.plans import admission
-from maskfold.plans.pipelines import analyze, inspect, process
+from maskfold.plans.pipelines import analyze, inspect, process, process_batch
 from maskfold.sources import tables, vault
 from maskfold.streaming.process import configure, process_stream
 
@@ -171,3 +171,43 @@ def test_sql_functions(spark):
     assert (row.n, row.ok, row.m, len(row.f)) == (2, True, "*-*", 64)
     names = spark.sql("SELECT n.value, n.nominal FROM (SELECT 'Письмо Ивану Иванову' AS t) d, LATERAL pii_names(d.t) n").collect()
     assert [tuple(r) for r in names] == [("Ивану Иванову", "Иван Иванов")]
+
+
+def test_gate_turns_away_under_critical_memory_first(spark):
+    log = spark.createDataFrame([(1, i, "acquire", i, 100, rss) for i, rss in enumerate([100.0, 13000.0, 100.0, 100.0])], "worker long, seq long, event string, request long, payload_size long, rss_mb double")
+    out = admission.admission_gate(log, max_in_flight=2).orderBy("seq").collect()
+    assert [(r.admitted, r.reason) for r in out] == [(True, None), (False, "critical_pressure"), (True, None), (False, "in_flight_limit")]
+
+
+def test_folds_hold_one_key_at_a_time_over_many_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        log = spark.createDataFrame([(k % 3, k, "acquire", k, 10) for k in range(40)], "worker long, seq long, event string, request long, payload_size long")
+        out = admission.admission_gate(log, max_in_flight=5).collect()
+        assert len(out) == 40 and sum(r.admitted for r in out) == 15
+        rates = admission.smoothed_rate(spark.sql("select id % 3 as u, timestamp_seconds(id) as ts, 1.0D as v from range(30)"), "u", "ts", "v").collect()
+        assert {(r.u, r.n) for r in rates} == {(0, 10), (1, 10), (2, 10)}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+
+
+def test_batch_goes_over_to_grace(spark):
+    now = F.lit("2024-01-01").cast("timestamp")
+    empty = spark.createDataFrame([], f"payload_id string, {vault.RECORD}")
+    one = spark.createDataFrame([("a", "mail a.b@ex.com", 1, None), ("a", "mail a.b@ex.com", 2, None), ("a", "other", 3, None), ("", "x", 4, None), ("b", None, 5, None), ("c", "x", 6, "nobody")], "payload_id string, payload string, seq long, consumer_id string")
+    answers, held = process_batch(one, empty, tables.policies(spark), now, only=("email",), modes=("partial",))
+    assert {r.seq: r.status for r in answers.collect()} == {1: 200, 2: 200, 3: 409, 4: 422, 5: 422, 6: 404}
+    masked_text = answers.where("seq = 1").first().result
+    assert masked_text == "mail *.*@**.***" and held.count() == 1
+    two = spark.createDataFrame([("a", masked_text, 7, None)], one.schema)
+    told, after = process_batch(two, held, tables.policies(spark), now + F.make_dt_interval(secs=F.lit(5)), only=("email",), modes=("partial",))
+    assert told.first().result == "mail a.b@ex.com"
+    row = after.first()
+    assert row.state == vault.GRACE and row.expires_at == dt.datetime(2024, 1, 1, 0, 1, 5)
+
+
+def test_policies_of_a_file(spark, tmp_path):
+    path = tmp_path / "consumers.yaml"
+    path.write_text("default: {masking_mode: token}\nconsumers:\n  a: {enabled: false, mask_types: [EMAIL]}\n  b: {mask_types: []}\n")
+    rows = {r.consumer_id: (r.enabled, r.demask, r.masking_mode, r.mask_types) for r in tables.policies_from_yaml(spark, str(path)).collect()}
+    assert rows == {"default": (True, True, "token", None), "a": (False, True, "partial", ["EMAIL"]), "b": (True, True, "partial", [])}
