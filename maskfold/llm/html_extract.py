@@ -1,18 +1,21 @@
 """Main text of web pages from flat text blocks and a decision tree.
 
-A page is cut into flat text blocks at block-level tags. Each block has its word count and link density,
-those of its neighbours, and where it stands: in an article, in a page without one, beside one, or in a
-container that says what it is (menu, footer, form, advert, comments ...). A decision tree grown on the small
-labelled table below (``EXAMPLES``) says which blocks belong to the main text. Scripts, styles and comments are never blocks.
-
-Defined results: null and empty html have the text ''; unclosed, stray and nested tags are taken as they
-come; whatever is not a tag is text; repeated rows give equal results; other columns stay.
+A page is cut into flat text blocks at block-level tags. Each block has its word count and link density, those of its
+neighbours and of the container it stands in, and what its tags say. A decision tree grown on a small table of labelled
+blocks (:func:`labelled`, made of the pages in ``labelled_pages``) says which blocks belong to the main text. Class names are one
+feature among others, and count only if a whole name is one that is used for such things (``sidebar``, not ``has-sidebar``).
+
+Defined results: null and empty html have the text ''; very long pages are read whole, in time that grows with their length whatever is nested or
+left open in them; unclosed, stray and nested tags are taken as they come; only script, style, title and textarea run to the end of a page if they are not
+closed; whatever is not a tag is text; repeated rows give equal results; an empty table gives an empty result; other columns stay, but for those named text and n_chars.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -22,30 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import table
-
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "place")
-#: Values of ``place``.
-BOILERPLATE, BESIDE, UNKNOWN, ARTICLE = 0, 1, 2, 3
-
-#: Labelled blocks: the features in order, then 1 for main text.
-EXAMPLES = (
-    # menus, footers, adverts, forms, comments in containers that name them
-    (1, 1.0, 0, 0.0, 1, 1.0, BOILERPLATE, 0), (3, 1.0, 4, 1.0, 3, 1.0, BOILERPLATE, 0), (8, 0.0, 2, 1.0, 12, 0.0, BOILERPLATE, 0),
-    (60, 0.0, 8, 0.0, 70, 0.0, BOILERPLATE, 0), (25, 0.1, 110, 0.0, 0, 0.0, BOILERPLATE, 0), (150, 0.0, 90, 0.0, 80, 0.0, BOILERPLATE, 0),
-    (12, 0.4, 60, 0.0, 5, 0.9, BOILERPLATE, 0), (2, 0.0, 2, 0.0, 2, 0.0, BOILERPLATE, 0),
-    # headings, paragraphs and one-word paragraphs of an article
-    (7, 0.0, 8, 0.0, 60, 0.0, ARTICLE, 1), (60, 0.0, 7, 0.0, 1, 0.0, ARTICLE, 1), (1, 0.0, 60, 0.0, 45, 0.0, ARTICLE, 1), (110, 0.1, 1, 0.0, 30, 0.0, ARTICLE, 1),
-    (3, 0.0, 1, 0.0, 2, 0.0, ARTICLE, 1), (2, 1.0, 80, 0.0, 70, 0.0, ARTICLE, 1), (300, 0.0, 0, 0.0, 0, 0.0, ARTICLE, 1), (15, 0.0, 6, 1.0, 9, 1.0, ARTICLE, 1),
-    (3, 0.0, 60, 0.0, 5, 1.0, ARTICLE, 1), (1, 1.0, 4, 1.0, 2, 1.0, ARTICLE, 1), (2, 0.0, 0, 0.0, 8, 0.9, ARTICLE, 1), (6, 0.8, 3, 1.0, 4, 1.0, ARTICLE, 1), (9, 0.0, 50, 0.0, 3, 1.0, ARTICLE, 1),
-    # text on a page that has an article, but outside of it
-    (9, 0.0, 1, 1.0, 10, 0.0, BESIDE, 0), (40, 0.0, 12, 0.0, 80, 0.0, BESIDE, 0), (2, 1.0, 2, 1.0, 2, 1.0, BESIDE, 0), (90, 0.0, 60, 0.0, 4, 0.0, BESIDE, 0),
-    # pages without an article: long blocks and what stands between them
-    (80, 0.0, 3, 1.0, 60, 0.0, UNKNOWN, 1), (45, 0.05, 30, 0.0, 90, 0.0, UNKNOWN, 1), (25, 0.0, 80, 0.0, 50, 0.0, UNKNOWN, 1), (5, 0.0, 70, 0.0, 65, 0.0, UNKNOWN, 1),
-    (1, 0.0, 40, 0.0, 55, 0.0, UNKNOWN, 1), (18, 0.1, 45, 0.0, 2, 1.0, UNKNOWN, 1), (22, 0.0, 2, 1.0, 85, 0.0, UNKNOWN, 1), (7, 0.0, 2, 1.0, 60, 0.0, UNKNOWN, 1),
-    (200, 0.0, 0, 0.0, 0, 0.0, UNKNOWN, 1), (30, 0.0, 0, 0.0, 0, 0.0, UNKNOWN, 1),
-    (2, 1.0, 2, 1.0, 2, 1.0, UNKNOWN, 0), (4, 1.0, 0, 0.0, 3, 1.0, UNKNOWN, 0), (6, 0.8, 40, 0.0, 5, 0.9, UNKNOWN, 0), (30, 0.9, 50, 0.0, 60, 0.0, UNKNOWN, 0),
-    (5, 0.0, 3, 1.0, 4, 1.0, UNKNOWN, 0), (8, 0.1, 60, 0.0, 3, 1.0, UNKNOWN, 0), (4, 0.0, 2, 0.0, 3, 0.0, UNKNOWN, 0), (6, 0.0, 5, 0.0, 0, 0.0, UNKNOWN, 0), (15, 0.6, 5, 1.0, 6, 1.0, UNKNOWN, 0),
+from .common import boxed, scan, table, unboxed
+from .labelled_pages import MAIN, pages
+
+FEATURES = (
+    "words", "links", "words_before", "links_before", "words_after", "links_after", "words_around", "links_around", "blocks_around",
+    "heading", "item", "in_story", "in_side", "named_side", "page_has_story", "page_words",
 )
 
 
@@ -58,8 +43,8 @@ class Node:
     high: Node | None = None
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> Node:
-    """A tree of binary splits, each the one that lowers the Gini impurity most."""
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 3) -> Node:
+    """A tree of binary splits, each the one that lowers the Gini impurity most and leaves ``least`` rows on either side."""
     node = Node(label=int(2 * y.sum() >= len(y)))
     if depth == 0 or y.min() == y.max():
         return node
@@ -69,7 +54,7 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> Node:
         values = np.unique(x[:, f])
         for limit in (values[1:] + values[:-1]) / 2:
             low = x[:, f] <= limit
-            if (left := impurity(y[low]) + impurity(y[~low])) < best:
+            if min(low.sum(), (~low).sum()) >= least and (left := impurity(y[low]) + impurity(y[~low])) < best - 1e-12:
                 best, node.feature, node.limit = left, f, float(limit)
     if node.feature >= 0:
         low = x[:, node.feature] <= node.limit
@@ -83,33 +68,49 @@ def says(node: Node, row: tuple[float, ...]) -> int:
     return node.label
 
 
-@lru_cache(maxsize=1)
-def tree() -> Node:
-    """The tree of the labelled table; its first split need not be on ``place``, but no labelled block is judged wrong."""
-    rows = np.array(EXAMPLES, float)
-    return grow(rows[:, :-1], rows[:, -1])
-
-
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|math|iframe|object|select|textarea|button|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?][^>]*>",
-    re.S | re.I,
-)
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+# Kinds of elements.
+_RAW = frozenset("script style title textarea".split())
+_DROPPED = frozenset("noscript template svg iframe object select button".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover mspace semantics".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements that may say what their text is; others never matter, closed or not.
-_CONTAINERS = frozenset("nav header footer aside form article main section div ul ol dl table figure menu dialog details fieldset head body address blockquote".split())
+_SELF_ENDING = frozenset("p li dt dd tr td th option thead tbody tfoot caption h1 h2 h3 h4 h5 h6 pre".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_ITEMS = frozenset("li dt dd td th option".split())
+_SIDES = frozenset("nav aside form menu dialog fieldset head footer".split())
+_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
+#: Whole class or id names of what is not main text.
 _NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|comments?|replies|disqus|sidebar|side|rail|related|recommend\w*|menu|nav\w*|breadcrumbs?|footer|footnav|masthead|topbar"
-    r"|site-?header|page-?header|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|widget|toolbar|pagination|pager|search|copyright|legal|skip)(?:$|[\s_-])",
+    r"(?:ads?|advert(?:isement|ising)?s?|banner|sponsor(?:ed)?|promo(?:tion)?)(?:[-_](?:box|slot|unit|container|wrapper|banner|block|\d+))?"
+    r"|comments?(?:[-_](?:list|section|form|thread|area|body))?|replies|disqus_thread|sidebar(?:[-_]\w+)?|rail|related(?:[-_]\w+)?|recommend(?:ed|ations)"
+    r"|menu|nav(?:bar|igation)?|breadcrumbs?|masthead|topbar|(?:site|page)[-_]?(?:header|footer|nav)|(?:cookies?|consent|gdpr)(?:[-_](?:notice|banner|bar|popup|consent|message))?|notice"
+    r"|alert|popup|modal|newsletter(?:[-_](?:signup|box|form))?|subscribe|signup|login|shar(?:e|ing)(?:[-_]\w+)?|social(?:[-_]\w+)?|widget|toolbar|pagination|pager|search(?:[-_]form)?|copyright|skip[-_]link",
     re.I,
 )
-_ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|article-?body|post-?body|entry-?content|post-?content|main-?content|story-?body|story)(?:$|[\s_-])", re.I)
+_STORY = re.compile(r"(?:article|article-?body|post-?body|entry-?content|post-?content|main-?content|story-?body|story)", re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
-_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
 _WORD = re.compile(r"\S+")
+PLAIN, STORY, SIDE, NAMED = range(4)
+
+
+def _kind(name: str, attributes: str, in_story: bool) -> int:
+    """What an element's tag says about the text in it."""
+    if name in _SIDES or name == "header" and not in_story:
+        return SIDE
+    out = STORY if name in ("article", "main") else PLAIN
+    if not attributes or name in ("body", "html"):
+        return out
+    for m in _ATTRIBUTE.finditer(attributes):
+        key, value = m[1].lower(), (m[2] or "").strip("\"'")
+        if key == "role" and value.lower() in _ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
+            return SIDE
+        if key in ("class", "id"):
+            names = value.split()
+            if any(_STORY.fullmatch(x) for x in names) or key == "role" and value.lower() in ("main", "article"):
+                out = STORY
+            elif out != STORY and any(_NAMED.fullmatch(x) for x in names):
+                out = NAMED
+    return out
 
 
 @dataclass
@@ -117,40 +118,46 @@ class Block:
     pieces: list[str] = field(default_factory=list)
     words: int = 0
     linked: int = 0
-    place: int = UNKNOWN
+    tag: str = ""
+    container: int = 0
+    place: int = PLAIN
 
     @property
-    def links(self) -> float:
-        return self.linked / self.words if self.words else 0.0
+    def text(self) -> str:
+        return " ".join("".join(self.pieces).split())
 
 
-def _kind(name: str, attributes: str, inside_article: bool) -> int:
-    """What a container says about its text; UNKNOWN if nothing."""
-    if name in ("nav", "aside", "form", "menu", "dialog", "fieldset", "head") or (name in ("header", "footer") and not inside_article) or name == "footer":
-        return BOILERPLATE
-    found = [(m[1].lower(), (m[2] or "").strip("\"'")) for m in _ATTRIBUTE.finditer(attributes)] if attributes else []
-    for key, value in found:
-        if key == "role" and value.lower() in _ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return BOILERPLATE
-        if key in ("class", "id") and _NAMED.search(value):
-            return BOILERPLATE
-    if name in ("article", "main") or any(k in ("class", "id") and _ARTICLE.search(v) or k == "role" and v.lower() in ("main", "article") for k, v in found):
-        return ARTICLE
-    return UNKNOWN
+class _Closings:
+    """Where each dropped element's closing tags are, found once for a page."""
+
+    def __init__(self, page: str):
+        self.page, self.at = page, {}
+
+    def after(self, name: str, position: int) -> int | None:
+        """The end of the next closing tag."""
+        if name not in self.at:
+            found = [(m.start(), m.end()) for m in re.finditer(rf"</{name}\s*>", self.page, re.I)]
+            self.at[name] = ([s for s, _ in found], [e for _, e in found])
+        starts, ends = self.at[name]
+        k = bisect_left(starts, position)
+        return ends[k] if k < len(ends) else None
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's text blocks in order, with their places."""
+    """The page's text blocks in order. A container is the innermost element that is no paragraph, heading or item."""
     out: list[Block] = []
-    stack: list[tuple[str, int]] = []
-    now, place, link, marked = Block(), UNKNOWN, 0, False
+    stack: list[tuple[str, int, int]] = []  # name, kind with what is above, container
+    opened: Counter = Counter()
+    closings, containers = _Closings(page), 0
+    now, link, marked = Block(), 0, PLAIN
 
     def end() -> None:
-        nonlocal now, marked
+        nonlocal now
         if now.words:
-            now.place = BOILERPLATE if marked else place
+            above = stack[-1] if stack else ("", PLAIN, 0)
+            now.container, now.place = above[2], marked if marked in (SIDE, NAMED) else above[1]
             out.append(now)
-        now, marked = Block(), False
+        now = Block()
 
     def add(raw: str) -> None:
         text = entities.unescape(raw) if "&" in raw else raw
@@ -159,71 +166,118 @@ def blocks(page: str) -> list[Block]:
         now.words += n
         now.linked += n if link else 0
 
-    at = 0
-    for m in _TOKEN.finditer(page):
+    at, tag = 0, ""
+    while m := _TAG.search(page, at):
         if m.start() > at:
+            now.tag = now.tag or tag
             add(page[at : m.start()])
         at = m.end()
-        name = (m[3] or "").lower()
+        name, closing = (m[2] or "").lower(), bool(m[1])
         if not name:
-            if m[1]:
+            continue
+        if not closing and name in _RAW | _DROPPED and not m[3].rstrip().endswith("/"):
+            until = closings.after(name, at)
+            if until is not None or name in _RAW:
+                at = len(page) if until is None else until
                 now.pieces.append(" ")
             continue
         if name == "a":
-            link = 0 if m[2] else 1
+            link = 0 if closing else 1
         if name == "br":
             now.pieces.append(" ")
-        if name in _INLINE:
+        if name in _INLINE or name in _DROPPED or name in _RAW:
             continue
         end()
-        link = 0
-        if name not in _CONTAINERS or name in _VOID:
-            marked = not m[2] and bool(m[4]) and _kind(name, m[4], True) == BOILERPLATE  # for this block alone, as it may never be closed
+        link, marked = 0, PLAIN
+        tag = "" if closing else name
+        if name in _VOID:
+            continue
+        above = stack[-1] if stack else ("", PLAIN, 0)
+        if name in _SELF_ENDING:
+            # it may never be closed, so it says something about the next block alone
+            if not closing and m[3]:
+                said = _kind(name, m[3], True)
+                marked = said if said in (SIDE, NAMED) else PLAIN
             continue
-        if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+        if closing:
+            if opened[name]:
+                while stack:
+                    top = stack.pop()
+                    opened[top[0]] -= 1
+                    if top[0] == name:
+                        break
         else:
-            said = _kind(name, m[4] or "", place == ARTICLE)
-            above = stack[-1][1] if stack else UNKNOWN
-            stack.append((name, above if above == BOILERPLATE or said == UNKNOWN else said))
-        place = stack[-1][1] if stack else UNKNOWN
+            said = _kind(name, m[3], above[1] == STORY)
+            kind = above[1] if said == PLAIN or above[1] == SIDE else said
+            containers += 1
+            stack.append((name, kind, containers))
+            opened[name] += 1
     if at < len(page):
+        now.tag = now.tag or tag
         add(page[at:])
     end()
-    if any(b.place == ARTICLE for b in out):
-        for b in out:
-            b.place = BESIDE if b.place == UNKNOWN else b.place
     return out
 
 
-def main_text(page: str | None) -> str:
+def features(found: list[Block]) -> list[tuple[float, ...]]:
+    """A row of :data:`FEATURES` for each block of a page."""
+    words, linked, n = Counter(), Counter(), Counter()
+    for b in found:
+        words[b.container] += b.words
+        linked[b.container] += b.linked
+        n[b.container] += 1
+    story = float(any(b.place == STORY for b in found))
+    total = float(sum(b.words for b in found))
+    share = [b.linked / b.words for b in found]
+    rows = []
+    for k, b in enumerate(found):
+        before = (found[k - 1].words, share[k - 1]) if k else (0, 0.0)
+        after = (found[k + 1].words, share[k + 1]) if k + 1 < len(found) else (0, 0.0)
+        c = b.container
+        rows.append((
+            b.words, share[k], *before, *after, words[c], linked[c] / words[c], n[c], float(b.tag in _HEADINGS), float(b.tag in _ITEMS),
+            float(b.place == STORY), float(b.place == SIDE), float(b.place == NAMED), story, total,
+        ))
+    return rows
+
+
+@lru_cache(maxsize=1)
+def labelled() -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the labelled pages' blocks."""
+    x, y = [], []
+    for page in pages():
+        found = blocks(page)
+        x += features(found)
+        y += [float(MAIN in b.text) for b in found]
+    return np.array(x), np.array(y)
+
+
+@lru_cache(maxsize=1)
+def tree() -> Node:
+    return grow(*labelled())
+
+
+def main_text(page: str | None, judge: Node | None = None) -> str:
     """The blocks of main text, one a line."""
     if not page:
         return ""
-    found, kept, judge = blocks(page), [], tree()
-    nothing = Block()
-    for k, b in enumerate(found):
-        before, after = found[k - 1] if k else nothing, found[k + 1] if k + 1 < len(found) else nothing
-        if says(judge, (b.words, b.links, before.words, before.links, after.words, after.links, b.place)):
-            kept.append(" ".join("".join(b.pieces).split()))
-    return "\n".join(kept)
+    found, judge = blocks(page), judge or tree()
+    return "\n".join(b.text for b, row in zip(found, features(found), strict=True) if says(judge, row))
 
 
-def extracted(pages: DataFrame) -> DataFrame:
-    """``pages`` (html and others) with text and n_chars in place of html; columns of those names are replaced."""
-    pages = pages.drop("text", "n_chars")
-    kept = [f for f in pages.schema.fields if f.name != "html"]
-    schema = T.StructType([*kept, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+def extracted(web: DataFrame) -> DataFrame:
+    """``web`` (html and others) with text and n_chars in place of html; columns of those names are replaced."""
+    judge = tree()  # some dozens of nodes, sent along with the tasks
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(x) for x in b.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in kept], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
+            texts = [main_text(x, judge) for x in b.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["row", "main", "n_chars"])
 
-    return pages.mapInArrow(scan, schema)
+    rows = boxed(web, text="html")
+    schema = T.StructType([rows.schema.fields[0], T.StructField("main", T.StringType()), T.StructField("n_chars", T.LongType())])
+    out = scan(rows, read, schema).withColumnRenamed("main", "text")
+    return unboxed(out, web, "text", "n_chars", without=("html", "text", "n_chars"), text="html")
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,9 @@
 """Classifiers by held-out accuracy, extraction on fixtures, and the pipeline."""
 
+import math
+from collections import Counter, defaultdict
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,8 +78,145 @@ def test_extraction():
     assert html_extract.main_text("<article><p>a < b &lt;c&gt; <p") is not None
 
 
-def test_every_labelled_block_is_judged_right():
-    assert all(html_extract.says(html_extract.tree(), r[:-1]) == r[-1] for r in html_extract.EXAMPLES)
+def test_labelled_blocks_are_judged_right():
+    x, y = html_extract.labelled()
+    wrong = sum(html_extract.says(html_extract.tree(), row) != label for row, label in zip(x, y))
+    assert len(y) > 2000 and wrong <= 0.005 * len(y)
+
+
+W = "word " * 30
+
+
+@pytest.mark.parametrize("page,words", [
+    (f"<body class='has-sidebar nav-open'><p>{W * 2}</p></body>", 60), (f"<div id='comments-on-war'><article><p>{W}</p></article></div>", 30),
+    (f"<article class='story legal'><p>{W}</p></article>", 30), (f"<article><p>{W}</p><div class='side effects'><p>{W}</p></div><p class='promo-code-guide'>{W}</p></article>", 90),
+    (f"<article><p>a <button> b {W}</p></article>", 32), (f"<article><p>a</p><select><p>{W}</p></article>", 31), (f"<article><p>a</p><svg class='i'/><p>{W}</p></article>", 31),
+    ("<article><p>Let <math><mi>x</mi></math> be</p></article>", 3), (f"<article><p>a<button>Buy</button> b {W}</p><svg><text>no</text></svg></article>", 32), (f"<article><p>{W}</p><script>var x", 30),
+])
+def test_no_text_of_a_story_is_lost(page, words):
+    assert len(html_extract.main_text(page).split()) == words
+
+
+def test_nesting_takes_linear_time():
+    import time
+
+    def seconds(n):
+        began = time.perf_counter()
+        html_extract.main_text("<div>" * n + "x" + "</nav>" * n + "<button>y" * n)
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(16_000) < 16 * max(seconds(4_000), 0.02)
+
+
+def test_pages_against_another_reading(spark, middle):
+    """The article's paragraphs by the standard library's parser, for the table's pages, which all have one article."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.blocks = False, [""]
+
+        def handle_starttag(self, tag, attributes):
+            self.inside |= tag == "article"
+            self.blocks += [""] if tag in ("h1", "p", "article") else []
+            self.blocks[-1] += " " if tag == "br" else ""
+
+        def handle_endtag(self, tag):
+            self.inside &= tag != "article"
+            self.blocks += [""] if tag in ("h1", "p") else []
+
+        def handle_data(self, data):
+            self.blocks[-1] += data if self.inside else ""
+
+    def read(page):
+        reader = Reader()
+        reader.feed(page)
+        reader.close()
+        return "\n".join(x for b in reader.blocks if (x := " ".join(b.split())))
+
+    rows = html_extract.extracted(spark.read.parquet(f"{middle}/pages.parquet").withColumn("kept", F.col("html"))).collect()
+    assert len(rows) == 250 and all(r.text == read(r.kept) for r in rows)
+
+
+def test_forest_against_a_walk_of_each_row():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 5))
+    y = ((x[:, 0] > 0.2) ^ (x[:, 3] > 0)).astype(float)
+    forest = quality_classifier.grow(x, y, trees=12, depth=3)
+
+    def walk(row):
+        total = forest.bias
+        for feature, limit, value in zip(forest.feature, forest.limit, forest.value):
+            node = 0
+            for _ in range(3):
+                node = 2 * node + (2 if row[feature[node]] > limit[node] else 1)
+            total += value[node - 7]
+        return 1 / (1 + math.exp(-total))
+
+    assert np.allclose(forest.scores(x), [walk(r) for r in x]) and ((forest.scores(x) > 0.5) == y).mean() > 0.95
+    # the first split is the best one of all, by exact counting of gradients
+    p = 1 / (1 + math.exp(-forest.bias))
+    gain = lambda m: sum((p - y[s]).sum() ** 2 / (len(y[s]) * p * (1 - p) + 1) for s in (m, ~m))
+    best = max(gain(x[:, f] <= v) for f in range(5) for v in np.quantile(x[:, f], np.arange(1, 64) / 64))
+    assert gain(x[:, forest.feature[0][0]] <= forest.limit[0][0]) == pytest.approx(best, rel=0.02)
+
+
+def test_toxicity_weights_against_a_dictionary():
+    """FTRL-proximal written for one coordinate at a time."""
+    rng = np.random.default_rng(5)
+    rows = [np.unique(rng.integers(0, 40, 8)).astype(np.uint32) for _ in range(120)]
+    y = np.array([float(3 in r or 7 in r) for r in rows])
+    got = toxicity.fit(rows, y, epochs=2, l1=1.0, least=1)
+    z, n, order = {}, {}, np.random.Generator(np.random.PCG64(3))
+    balance = {1.0: 0.5 / y.mean(), 0.0: 0.5 / (1 - y.mean())}
+
+    def weight(i):
+        shrink = 0.0 if i == "bias" else 1.0
+        zi = z.get(i, 0.0)
+        return 0.0 if abs(zi) <= shrink else (math.copysign(shrink, zi) - zi) / ((toxicity.SMOOTH + math.sqrt(n.get(i, 0.0))) / toxicity.RATE + toxicity.L2)
+
+    for _ in range(2):
+        for k in order.permutation(120):
+            ids = [*rows[k].tolist(), "bias"]
+            w = {i: weight(i) for i in ids}
+            g = (1 / (1 + math.exp(-sum(w.values()))) - y[k]) * balance[y[k]]
+            for i in ids:
+                was = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(was + g * g) - math.sqrt(was)) / toxicity.RATE * w[i]
+                n[i] = was + g * g
+    want = {i: w for i in z if i != "bias" and (w := weight(i))}
+    assert dict(zip(got.hashes.tolist(), got.values)) == pytest.approx(want) and got.bias == pytest.approx(weight("bias"))
+
+
+def test_language_weights_against_a_dictionary():
+    texts = ["der die das und", "the and of to", "el la los que"] * 12
+    rows, y = language_id._sparse(texts), np.arange(36) % 3
+    rows = [(b, v) for b, v in rows]
+    out = np.zeros(36, bool)
+    model = language_id.fit(rows, ["de", "en", "es"], y, out, epochs=1, l1=0.0001)
+    df = Counter(int(b) for bucket, _ in rows for b in bucket)
+    idf = {b: math.log(37 / (c + 1)) + 1 for b, c in df.items()}
+    z, s = defaultdict(lambda: [0.0] * 3), defaultdict(lambda: [0.0] * 3)
+
+    def weight(i):
+        shrink = 0.0001 * 36 if i != "bias" else 0.0
+        return [0.0 if abs(a) <= shrink else (math.copysign(shrink, a) - a) / ((1 + math.sqrt(b)) / language_id.RATE + language_id.L2 * 36) for a, b in zip(z[i], s[i])]
+
+    for r in np.random.Generator(np.random.PCG64(5)).permutation(np.arange(36)):
+        x = {int(b): v * idf[int(b)] * language_id.SCALE for b, v in zip(*rows[r])} | {"bias": 1.0}
+        w = {i: weight(i) for i in x}
+        e = [math.exp(sum(v * w[i][k] for i, v in x.items())) for k in range(3)]
+        for i, v in x.items():
+            for k in range(3):
+                g = v * (e[k] / sum(e) - (k == y[r]))
+                z[i][k] += g - (math.sqrt(s[i][k] + g * g) - math.sqrt(s[i][k])) / language_id.RATE * w[i][k]
+                s[i][k] += g * g
+    for b in df:
+        assert model.weight[model.place[b]].tolist() == pytest.approx([x * idf[b] * language_id.SCALE for x in weight(b)], rel=1e-4, abs=1e-6)
+    assert len(model.weight) < 2000 and model.predict(["und die", "\U00020000", "1"])[0][0] == "de" and model.predict(["\U00020000", "1"])[0][1] == "und"
+    assert model.predict(["\U00020000"])[0][0] != "und"
 
 
 def test_extraction_of_a_table(spark, small):
