@@ -4,6 +4,7 @@ context, relations, masks and what restoring gives. Names come from a table of t
 from __future__ import annotations
 
 from ..functions import fixed_values as fv
+from ..operators import compact as cp
 from . import oracles as o
 
 #: Names of the corpus: as written, confidence, case, gender, nominative, kind of alias, public figure, person.
@@ -129,3 +130,54 @@ FLOWS: dict[str, str] = {
     "x01_sentence_windows": f"""SELECT doc_id, start, (start - length(regexp_extract(substr(text, greatest(start - 220, 0) + 1, start - greatest(start - 220, 0)), '[^.!?\\n]*$')))::INT AS low,
       (start + length(value) + length(regexp_extract(substr(text, start + length(value) + 1, 220), '^[^.!?\\n]*[.!?\\n]?')))::INT AS high FROM ({o._found('documents', '[0-9]+')})""",
 }
+
+
+# --- the compact profile: radii in bytes, by hexadecimal digits ---
+
+
+def _near_bytes(kind: str) -> str:
+    radius, words = cp.NEAR[kind]
+    start, end = "strlen(substr(text, 1, start))", "strlen(substr(text, 1, start + length(value)))"
+    low = f"greatest({start} - {radius}, 0)"
+    window = f"substr(hex(encode(lower(text))), 2 * {low} + 1, 2 * ({end} + {radius} - {low}))"
+    return "(" + " OR ".join(f"contains({window}, '{w.encode().hex().upper()}')" for w in words) + ")"
+
+
+def _compact(kind: str, pattern: str, where: str = "true", value: str = "value") -> str:
+    return f"""SELECT doc_id, text, {kind} AS type, {value} AS value, start, (start + length({value}))::INT AS "end" FROM ({o._found('ru', pattern)}) WHERE {where}"""
+
+
+_P = {k: p.replace(r"\d", "[0-9]") for k, p in cp.PATTERNS.items()}
+_FENCE = o._fenced()
+_CODE = f"CASE WHEN {_near_bytes('CVV')} THEN 'CVV' WHEN length(value) = 4 AND {_near_bytes('PIN')} THEN 'PIN' END"
+_DATE = f"CASE WHEN {_near_bytes('BIRTH_DATE')} THEN 'BIRTH_DATE' WHEN {_near_bytes('PASSPORT_ISSUE_DATE')} THEN 'PASSPORT_ISSUE_DATE' END"
+_LUHN = f"length({o._D}) BETWEEN 13 AND 19 AND {o._luhn(o._D)}"
+_COMPACT = {
+    "g03_compact_inn": _compact("'INN'", _P["inn"], f"{_FENCE} AND {o._inn('value')} AND {_near_bytes('INN')}"),
+    "card": _compact("'CARD_NUMBER'", _P["card"], f"{_FENCE} AND {_LUHN}"),
+    "g04_compact_codes": _compact(_CODE, _P["code"], f"{_FENCE} AND {_CODE} IS NOT NULL"),
+    "g05_compact_dates": " UNION ALL ".join(_compact(_DATE, _P[k], f"{_FENCE} AND {_DATE} IS NOT NULL") for k in ("date", "date_iso", "date_text")),
+    "g06_compact_address": " UNION ALL ".join([*[_compact("'ADDRESS'", _P[k]) for k in ("address_index", "address_words")], _compact("'ADDRESS'", _P["address_compact"], _near_bytes("ADDRESS"))]),
+    "g07_compact_named": " UNION ALL ".join([
+        _compact("'PASSPORT_ISSUER'", _P["issuer"], value="regexp_replace(value, '[ \\t.]+$', '')"), *[_compact("'CITIZENSHIP'", c, _near_bytes("CITIZENSHIP")) for c in cp.CITIZENSHIPS],
+        _compact("'CARDHOLDER'", _P["cardholder"], _near_bytes("CARDHOLDER")),
+    ]),
+}
+FLOWS |= {k: f'WITH {o.RU} SELECT doc_id, type, value, start, "end" FROM ({v})' for k, v in _COMPACT.items() if k != "card"}
+_ANY = lambda words: "(" + " OR ".join(o._hit("w", w) for w in words) + ")"
+FLOWS["g01_compact_decisions"] = f"""WITH RECURSIVE {o.RU}, cand AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, start - "end") AS i FROM ({' UNION ALL '.join(_COMPACT.values())})),
+g AS (SELECT doc_id, i, "end" AS last, [i] AS acc FROM cand WHERE i = 1
+  UNION ALL SELECT g.doc_id, c.i, CASE WHEN c.start >= last THEN c."end" ELSE last END, CASE WHEN c.start >= last THEN list_append(acc, c.i) ELSE acc END FROM g JOIN cand c ON c.doc_id = g.doc_id AND c.i = g.i + 1),
+kept AS (SELECT doc_id, unnest(arg_max(acc, i)) AS i FROM g GROUP BY doc_id),
+chosen AS (SELECT c.*, coalesce(lag("end") OVER w, 0) AS prev, coalesce(lead(start) OVER w, length(text)) AS next FROM cand c JOIN kept USING (doc_id, i) WINDOW w AS (PARTITION BY doc_id ORDER BY start)),
+b AS (SELECT *, greatest(prev, start - length(regexp_extract(substr(text, greatest(start - 220, 0) + 1, start - greatest(start - 220, 0)), '[^.!?\\n]*$'))) AS low,
+  least(next, "end" + length(regexp_extract(substr(text, "end" + 1, 220), '^[^.!?\\n]*[.!?\\n]?'))) AS high FROM chosen),
+w AS (SELECT *, lower(substr(text, low + 1, high - low)) AS w FROM b),
+r AS (SELECT *, CASE WHEN type = 'ADDRESS' THEN CASE WHEN {_ANY(cp.PERSONAL_ADDRESS)} THEN 'personal_address' WHEN {_ANY(cp.ORGANIZATION_ADDRESS)} THEN 'organizational_address' ELSE 'no_context_fail_safe' END
+  WHEN type = 'PIN' AND NOT EXISTS (SELECT 1 FROM w c WHERE c.doc_id = w.doc_id AND c.type = 'CARD_NUMBER'
+    AND strlen(substr(w.text, least(w.start, c.start) + 1, CASE WHEN w.start < c.start THEN c."end" ELSE w."end" END - least(w.start, c.start))) <= {cp.PIN_EXTENT}
+    AND NOT contains(substr(w.text, least(w.start, c.start) + 1, CASE WHEN w.start < c.start THEN c."end" ELSE w."end" END - least(w.start, c.start)), chr(10) || chr(10))) THEN 'relationship_rule_unmet:CARD_NUMBER'
+  ELSE 'personal_by_construction' END AS reason FROM w)
+SELECT doc_id, type, start, "end", CASE WHEN reason IN ('organizational_address', 'relationship_rule_unmet:CARD_NUMBER') THEN 'KEEP' ELSE 'MASK' END AS decision, reason,
+  CASE type WHEN 'CARDHOLDER' THEN array_to_string(list_transform(regexp_split_to_array(trim(value), '\\s+'), lambda w: upper(regexp_extract(w, '\\p{{L}}')) || '.'), ' ')
+  WHEN 'CARD_NUMBER' THEN {_digits(4, 4, True)} WHEN 'INN' THEN {_digits(2, 2, True)} ELSE regexp_replace(value, '[\\p{{L}}\\p{{N}}]', '*', 'g') END AS partial FROM r"""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions import scalars as s
 from ..functions.spans import find_spans
+from ..operators import compact as cp
 from ..operators import decide as dc
 from ..operators import detectors as dt
 from ..operators import entities as en
@@ -224,6 +225,23 @@ def process_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.select("payload_id", "seq", F.coalesce("direction", F.lit("")).alias("direction"), "status", F.sha2(F.coalesce("result", F.lit("")), 256).alias("result"))
 
 
+# --- the compact profile ---
+
+
+def compact_spans(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...]) -> DataFrame:
+    found = cp.detect(src.ru_corpus(spark, sf_dir)).select("doc_id", F.explode("candidates").alias("c"))
+    return found.where(F.col("c.type").isin(*kinds)).select("doc_id", "c.type", "c.value", "c.start", "c.end")
+
+
+def _compact(*kinds: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: compact_spans(spark, sf_dir, kinds)
+
+
+def compact_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = cp.decide(cp.detect(src.ru_corpus(spark, sf_dir))).select("doc_id", F.explode("decisions").alias("d"))
+    return out.select("doc_id", "d.type", "d.start", "d.end", "d.decision", "d.reason", cp.partial_mask(F.col("d.type"), F.col("d.value")).alias("partial"))
+
+
 # --- operations ---
 
 
@@ -321,6 +339,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "x01_sentence_windows": sentence_windows,
     "x03_keyword_hits": keyword_hits,
     "x06_decisions": decisions,
+    "g01_compact_decisions": compact_decisions,
+    "g03_compact_inn": _compact("INN"),
+    "g04_compact_codes": _compact("CVV", "PIN"),
+    "g05_compact_dates": _compact("BIRTH_DATE", "PASSPORT_ISSUE_DATE"),
+    "g06_compact_address": _compact("ADDRESS"),
+    "g07_compact_named": _compact("PASSPORT_ISSUER", "CITIZENSHIP", "CARDHOLDER"),
     "a01_admission_work": admission_work,
     "a02_admission_gate": gate,
     "a03_load_states": load_states,
