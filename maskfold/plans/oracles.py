@@ -79,14 +79,24 @@ g AS (SELECT *, CASE WHEN a <> '' THEN try_strptime(replace(replace(value, '/',
   CASE WHEN {_near(fv.BIRTH_NEAR, 30)} THEN 'BIRTH_DATE' WHEN {_near(fv.ISSUE_NEAR, 30)} THEN 'PASSPORT_ISSUE_DATE' END AS type FROM f)
 SELECT doc_id, type, value, start, (start + length(value))::INT AS "end", 0.85::DOUBLE AS confidence FROM g WHERE day IS NOT NULL AND type IS NOT NULL"""
 
+def _phones(table: str) -> str:
+    """Local numbers, and foreign ones of 8 to 15 digits that no local one overlaps."""
+    local = _out("PHONE", "0.95", _found(table, r"(?:[+]7|8)[\s-]?\(?[0-9]{3}\)?[\s-]?[0-9]{3}[\s-]?[0-9]{2}[\s-]?[0-9]{2}"), _fenced())
+    digits = "length(regexp_replace(value, '[^0-9]', '', 'g')) BETWEEN 8 AND 15"
+    abroad = _out("PHONE", "0.75", _found(table, r"[+][0-9]{1,3}(?:[\s-]?[0-9]{2,4}){2,5}"), _fenced(digits))
+    return f"""{local} UNION ALL SELECT * FROM ({abroad}) x WHERE NOT EXISTS (SELECT 1 FROM ({local}) y WHERE y.doc_id = x.doc_id AND y.start < x."end" AND x.start < y."end")"""
+
+
 _PASSPORT = f"""WITH {RU}, a AS ({_out('PASSPORT', '0.97', _found('ru', '[Сс][Ее][Рр][Ии][Яя] *[0-9]{4} *(?:№|номер)? *[0-9]{6}'))}),
 b AS ({_out('PASSPORT', '0.95', _found('ru', '[0-9]{4} *№ *[0-9]{6}'), _fenced())}),
-d AS ({_out('PASSPORT', '0.7', _found('ru', '[0-9]{4} [0-9]{6}'), _fenced(_near(fv.PASSPORT_NEAR, 40)))}),
+two AS ({_out('PASSPORT', '0.75', _found('ru', '[0-9]{2} [0-9]{2} [0-9]{6}'), _fenced(_near(fv.PASSPORT_NEAR, 40)))}),
+d AS ({_out('PASSPORT', '0.7', _found('ru', '[0-9]{4} [0-9]{6}'), _fenced(_near(fv.PASSPORT_NEAR, 40)))} UNION ALL SELECT * FROM two),
 ab AS (SELECT * FROM a UNION ALL SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.doc_id = b.doc_id AND a.start < b."end" AND b.start < a."end"))
 SELECT * FROM ab UNION ALL SELECT * FROM d WHERE NOT EXISTS (SELECT 1 FROM ab WHERE ab.doc_id = d.doc_id AND ab.start < d."end" AND d.start < ab."end")"""
 
 _LICENSE = f"""WITH {RU}, a AS ({_out('DRIVER_LICENSE', '0.8', _found('ru', '[0-9]{2} [0-9]{2} [0-9]{6}'), _fenced(_near(fv.LICENSE_NEAR, 40)))}),
-c AS ({_out('DRIVER_LICENSE', '0.72', _found('ru', '[0-9]+'), "length(value) = 10 AND " + _near(fv.LICENSE_NEAR, 40))})
+c AS ({_out('DRIVER_LICENSE', '0.72', _found('ru', '[0-9]+'), "length(value) = 10 AND " + _near(fv.LICENSE_NEAR, 40))}
+  UNION ALL {_out('DRIVER_LICENSE', '0.78', _found('ru', '[0-9]{4} [0-9]{6}'), _fenced(_near(fv.LICENSE_NEAR, 40)))})
 SELECT * FROM a UNION ALL SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.doc_id = c.doc_id AND a.start < c."end" AND c.start < a."end")"""
 
 _ADDRESS_PARTS = (
@@ -133,8 +143,7 @@ SELECT doc_id, x.k::VARCHAR AS value, x.s AS start, x.e AS "end" FROM (SELECT do
 
 _TOKENS_FROM = f"""{RU}, docs AS (SELECT (doc_id // 40)::BIGINT AS doc_id, string_agg(text, chr(10) ORDER BY ru.doc_id) AS text FROM ru GROUP BY 1),
 s AS ({_out('EMAIL', '0.95', _found('docs', _EMAIL))}
-  UNION ALL {_out('PHONE', '0.95', _found('docs', '[+]7 900 [0-9]{3}-[0-9]{2}-00'))}
-  UNION ALL {_out('PHONE', '0.75', _found('docs', '[+]44 20 7946 [0-9]{4}'))}
+  UNION ALL {_phones('docs')}
   UNION ALL {_out('INN', '0.9', _found('docs', '[0-9]+'), f"length(value) IN (10, 12) AND {_inn('value')}")}
   UNION ALL {_out('CARD_NUMBER', '0.95', _found('docs', _CARD_RUNS), f"length({_D}) BETWEEN 13 AND 19 AND {_luhn(_D)}")}
   UNION ALL {_out('CITIZENSHIP', '0.85', "SELECT doc_id, text, regexp_extract(value, ': (.*)$', 1) AS value, (start + 13)::INT AS start FROM (" + _found('docs', 'гражданство: [А-ЯЁ][а-яё]+') + ")")}
@@ -197,7 +206,7 @@ ORACLES: dict[str, str] = {
     "c15_seeds": """WITH c AS (SELECT c_custkey, ('0x' || substr(sha256(c_custkey::VARCHAR || ':EMAIL:' || c_name), 1, 16))::UBIGINT::VARCHAR AS seed FROM customer)
       SELECT c_custkey, seed, (('0x' || substr(sha256(seed || ':0'), 1, 16))::UBIGINT % 16)::INT AS draw FROM c""",
     "d01_email": _detector("EMAIL", "0.95", _EMAIL, table="documents"),
-    "d02_phone": f"WITH {RU} {_out('PHONE', '0.95', _found('ru', '[+]7 900 [0-9]{3}-[0-9]{2}-00'))} UNION ALL {_out('PHONE', '0.75', _found('ru', '[+]44 20 7946 [0-9]{4}'))}",
+    "d02_phone": f"WITH {RU} {_phones('ru')}",
     "d04_inn": _detector("INN", "0.9", "[0-9]+", f"length(value) IN (10, 12) AND {_inn('value')}"),
     "d04_inn_documents": _INN_DOCUMENTS,
     "d05_card": f"WITH {RU} {_CARD}",

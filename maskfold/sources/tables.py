@@ -36,10 +36,14 @@ _FORMS = (
     f"'Клиентка Смирнова Мария Ивановна проживает: г. Пермь, ул. Лесная, дом ' || CAST(1 + {_KEY} % 99 AS STRING) || ', квартира ' || CAST(1 + {_KEY} % 300 AS STRING) || '.'",
     f"'Заявка ' || CAST({_KEY} AS STRING) || ': родился 2001-02-' || {_pad(f'1 + {_KEY} % 31', 2)} || ', ИНН ' || {_pad(f'({_KEY} * 1000003) % 1000000000000', 12)} || '.'",
     f"'Договор 770-' || {_pad(f'{_KEY} % 1000', 3)} || ' от 01.02.2020, сумма ' || CAST({_KEY} % 9000 AS STRING) || ' руб.'",
+    f"'Паспорт ' || {_pad(f'{_KEY} % 100', 2)} || ' 10 ' || {_pad(f'({_KEY} * 7919) % 1000000', 6)} || ' утерян, номер бланка 77 ' || {_pad(f'{_KEY} % 100', 2)} || '.'",
+    f"'Предъявлено водительское удостоверение ' || {_pad(f'{_KEY} % 10000', 4)} || ' ' || {_pad(f'({_KEY} * 7919) % 1000000', 6)} || ' категории Б, действует.'",
+    f"'Тел. 8 (900) ' || {_pad(f'{_KEY} % 1000', 3)} || '-45-67, +7-901-' || {_pad(f'{_KEY} % 1000', 3)} || '-43-21, +7(902)' || {_pad(f'{_KEY} % 1000', 3)} || '2233 и 8903' || {_pad(f'{_KEY} % 1000', 3)} || '5566.'",
+    f"'Родился ' || {_pad(f'1 + {_KEY} % 31', 2)} || '/' || {_pad(f'1 + {_KEY} % 12', 2)} || '/1990; паспорт выдан ' || CAST(1 + {_KEY} % 28 AS STRING) || '-11-2010, не ' || CAST(1 + {_KEY} % 28 AS STRING) || '.11/2010.'",
 )
 
 #: Texts made from customers' keys; the statement means the same to Spark and DuckDB.
-RU_CORPUS_SQL = "SELECT c_custkey AS doc_id, CASE CAST(c_custkey % 16 AS INT) " + " ".join(f"WHEN {i} THEN {f}" for i, f in enumerate(_FORMS)) + " END AS text FROM customer"
+RU_CORPUS_SQL = "SELECT c_custkey AS doc_id, CASE CAST(c_custkey % 20 AS INT) " + " ".join(f"WHEN {i} THEN {f}" for i, f in enumerate(_FORMS)) + " END AS text FROM customer"
 
 
 def ru_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
