@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
-from .common import boxed, scan, table, unboxed
+from .common import boxed, lookup, saved, scan, table, unboxed
 from .samples import held_out
 
 SAMPLE = 4_000
@@ -195,11 +195,11 @@ def train(docs: DataFrame, sample: int = SAMPLE, folds: int = FOLDS, fold: int =
     gives it about ``sample`` / languages documents, so that no language is too rare to be learned."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), folds, fold))
     known = known.select("lang", "text", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text").alias("key"))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
-    each = F.greatest(F.lit(sample) / F.greatest(F.lit(counts.count()), F.lit(1)), F.lit(LEAST_SAMPLE))
-    share = counts.select(F.col("lang").alias("_lang"), F.least(each / F.col("n"), F.lit(1.0)).alias("share"))
+    counts = saved(known.groupBy("lang").agg(F.count("*").alias("n")), "langs")
+    each = max(sample / max(1, counts.count()), LEAST_SAMPLE)
+    share = counts.select("lang", F.least(F.lit(float(each)) / F.col("n"), F.lit(1.0)).alias("share"))
     chance = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1 << 32)) / F.lit(float(1 << 32))
-    rows = known.join(share, F.col("lang") == F.col("_lang")).where(chance < F.col("share"))
+    rows = lookup(known, share, ["lang"]).where(chance < F.col("share"))
     rows = rows.groupBy("lang", "key").agg(F.max("text").alias("text"))  # repeated rows once
     got = scan(rows, _sample_features, "key bigint, lang string, part int, bucket binary, value binary").toArrow()
     got = got.sort_by([("lang", "ascending"), ("key", "ascending"), ("part", "ascending")])

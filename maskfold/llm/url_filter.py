@@ -117,11 +117,14 @@ def judge(pages: DataFrame, support: float = MIN_SUPPORT, confidence: float = MI
     parsed = boxed(pages, text="url").withColumn("host", F.coalesce(host_of(F.col("url")), F.lit(""))).withColumn("path", F.coalesce(path_of(F.col("url")), F.lit("")))
     ruled = parsed.withColumn("fit", curated_rule(F.col("host"), F.col("path"))).withColumn("tokens", tokens(F.col("host"), F.col("path")))
     rules = mine(ruled.where("fit is not null").select("tokens", "fit.verdict"), support, confidence)
-    open_ = F.when(F.col("fit").isNull(), F.col("tokens"))
-    blocked = blocked_sets(ruled.where("fit is null").select("tokens").distinct(), rules)
-    out = ruled.join(blocked.select(F.col("tokens").alias("bad")), open_ == F.col("bad"), "left")
-    verdict = F.coalesce("fit.verdict", F.when(F.col("bad").isNotNull(), "block").otherwise("allow"))
-    out = out.select("row", "url", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"))
+    open_ = ruled.where("fit is null")
+    blocked = blocked_sets(open_.select("tokens").distinct(), rules)
+    # urls with a curated rule stay out of the join
+    met = open_.join(blocked.select(F.col("tokens").alias("bad")), F.col("tokens") == F.col("bad"), "left")
+    met = met.withColumn("verdict", F.when(F.col("bad").isNotNull(), "block").otherwise("allow"))
+    fitted = ruled.where("fit is not null").withColumn("verdict", F.col("fit.verdict"))
+    columns = ["row", "url", "host", "path", F.col("fit.rule").alias("rule"), "verdict"]
+    out = met.select(*columns).unionByName(fitted.select(*columns))
     return unboxed(out, pages, *added, without=added, text="url")
 
 
