@@ -40,6 +40,8 @@ MIN_SUPPORT = 0.01
 MIN_CONFIDENCE = 0.8
 MAX_TOKENS = 3
 MAX_SHARE = 0.5
+#: Parts that the urls of one token set are dealt to, as one site may hold a third of all.
+SALTS = 32
 BLOCK = "label=block"
 
 
@@ -120,7 +122,9 @@ def judge(pages: DataFrame, support: float = MIN_SUPPORT, confidence: float = MI
     open_ = ruled.where("fit is null")
     blocked = blocked_sets(open_.select("tokens").distinct(), rules)
     # urls with a curated rule stay out of the join
-    met = open_.join(blocked.select(F.col("tokens").alias("bad")), F.col("tokens") == F.col("bad"), "left")
+    salted = blocked.select(F.col("tokens").alias("bad"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    on = (F.col("tokens") == F.col("bad")) & (F.pmod(F.xxhash64("row", "url"), F.lit(SALTS)) == F.col("salt"))
+    met = open_.join(salted, on, "left")
     met = met.withColumn("verdict", F.when(F.col("bad").isNotNull(), "block").otherwise("allow"))
     fitted = ruled.where("fit is not null").withColumn("verdict", F.col("fit.verdict"))
     columns = ["row", "url", "host", "path", F.col("fit.rule").alias("rule"), "verdict"]
