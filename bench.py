@@ -11,7 +11,10 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-HEADLINES = ("flagship_mask", "d01_email", "d05_card_documents", "c03_fingerprints", "o1_overlaps", "e08_token_entities", "r05_partial_mask_all", "m03_synthetic_round_trip", "x06_decisions", "a02_admission_gate", "t01_process_directions")
+HEADLINES = (
+    "flagship_mask", "d01_email", "d05_card_documents", "c03_fingerprints", "o1_overlaps", "e08_token_entities", "r05_partial_mask_all", "m03_synthetic_round_trip",
+    "x06_decisions", "a02_admission_gate", "t01_process_directions", "g01_compact_decisions",
+)
 
 
 def main() -> None:
