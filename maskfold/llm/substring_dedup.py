@@ -197,6 +197,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     differ = (F.min("run") != F.max("run")) | (F.min("run2") != F.max("run2"))
     anchors = runs.groupBy(F.col("anchor").alias("_a")).agg(F.count("*").alias("n"), differ.alias("mixed")).where("n > 1").select("_a", "mixed")
     anchors = saved(anchors, "anchors")  # so that both sides of the join are dealt anew, and a hot anchor is split
+    release(spark)
     alike = saved(runs.join(anchors, F.col("anchor") == F.col("_a")).drop("_a"), "alike")
     remove(spark, runs, anchors)
     release(spark)
@@ -219,6 +220,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     cores = saved(segments.groupBy(*core).agg(F.count("*").alias("n")).where("n > 1").select(*core), "cores")
     close = saved(segments.join(cores, core), "close")
     remove(spark, segments, cores)
+    release(spark)
     # last digit: all windows of a segment at once, and one by one where segments of one core differ
     form = [*core, "low", "high", "left", "right"]
     forms = saved(close.groupBy(*form).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "_th", "start", "single")).alias("at")), "forms")
@@ -234,7 +236,11 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     start = F.col("at.start") + i
     found = windows.where("n = 1 and at.single").join(twice, window, "left_semi").select("at.doc_id", "at._th", start.alias("first"), start.alias("last"))
     parts = whole.unionByName(full).unionByName(found)
-    return parts.groupBy("doc_id", "_th").agg(F.collect_set(F.struct("first", "last")).alias("_ranges"))
+    ranges = saved(parts.groupBy("doc_id", "_th").agg(F.collect_set(F.struct("first", "last")).alias("_ranges")), "ranges")
+    # what led here goes before the texts are dealt once more
+    remove(spark, whole, close, forms)
+    release(spark)
+    return ranges
 
 
 def spans(ranges: list[dict] | None, n: int, length: int = LENGTH) -> list[tuple[int, int]]:
