@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, language_id, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, toxicity, url_filter
+from . import (
+    conversation_trie,
+    decontaminate,
+    html_extract,
+    language_id,
+    line_dedup,
+    mixing,
+    near_dedup,
+    quality_classifier,
+    quality_rules,
+    substring_dedup,
+    toxicity,
+    url_filter,
+    vector_codes,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +35,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_html_extraction": html_extract.op9_html_extraction,
         "op10_language_id": language_id.op10_language_id,
+        "op11_line_dedup": line_dedup.op11_line_dedup,
+        "op12_conversation_trie": conversation_trie.op12_conversation_trie,
+        "op13_vector_codes": vector_codes.op13_vector_codes,
     }
 
 
@@ -30,4 +47,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_decontamination": decontaminate.ORACLE_SQL,
         "op7_mixing": mixing.ORACLE_SQL,
         "op8_quality_rules": quality_rules.ORACLE_SQL,
+        "op11_line_dedup": line_dedup.ORACLE_SQL,
+        "op12_conversation_trie": conversation_trie.ORACLE_SQL,
+        "op13_vector_codes": vector_codes.ORACLE_SQL,
     }
