@@ -1,8 +1,7 @@
 """Detectors: text to candidate spans.
 
-A detector is a function from a text column to an array of candidates. All but the name detector are built of
-native expressions; names need morphology and run as one Arrow UDF. Detectors are kept in a registry in a fixed
-order, which breaks ties later; own detectors can be registered.
+A detector is a function from a text column to an array of candidates. All are built of native expressions. Detectors are
+kept in a registry in a fixed order, which breaks ties later; own detectors can be registered.
 """
 
 from __future__ import annotations
@@ -192,9 +191,9 @@ def passport_issuer(text: Column) -> Column:
 
 
 def fio(text: Column) -> Column:
-    from .names import name_candidates
+    from .name_runs import name_candidates
 
-    return F.when(text.rlike("[А-ЯЁ]"), name_candidates(text)).otherwise(_none())
+    return F.when(text.rlike("[А-ЯЁ][а-яё]"), name_candidates(text)).otherwise(_none())
 
 
 class Registry:

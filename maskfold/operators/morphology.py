@@ -19,11 +19,13 @@ _MALE = (
     *("Артём", "Арсений", "Богдан", "Борис", "Вадим", "Валентин", "Валерий", "Василий", "Виталий", "Владимир", "Владислав", "Всеволод", "Вячеслав", "Геннадий", "Георгий", "Глеб", "Григорий"),
     *("Даниил", "Денис", "Евгений", "Егор", "Захар", "Игорь", "Илья", "Кирилл", "Константин", "Леонид", "Марк", "Матвей", "Никита", "Олег", "Пётр", "Родион", "Руслан", "Семён", "Станислав"),
     *("Степан", "Тимофей", "Тимур", "Фёдор", "Фома", "Эдуард", "Юлиан", "Яков", "Ярослав", "Антон", "Анатолий", "Аркадий"),
+    *("Марат", "Рустам", "Ринат", "Ильдар", "Дамир", "Камиль", "Рамиль", "Артур", "Герман", "Макар", "Мирон", "Платон", "Савелий", "Святослав", "Филипп", "Давид", "Эльдар"),
 )
 _FEMALE = (
     *FEMALE_FIRST,
     *("Александра", "Алла", "Анастасия", "Валентина", "Валерия", "Варвара", "Вера", "Галина", "Диана", "Евгения", "Елизавета", "Жанна", "Зинаида", "Зоя", "Инна", "Кира", "Кристина"),
     *("Лариса", "Лидия", "Любовь", "Людмила", "Маргарита", "Марина", "Надежда", "Наталия", "Нина", "Оксана", "Раиса", "Софья", "Тамара", "Элла", "Эмма", "Яна"),
+    *("Гульнара", "Алия", "Василиса", "Вероника", "Ева", "Милана", "София", "Таисия", "Ульяна", "Эвелина", "Ангелина", "Алёна", "Карина", "Регина", "Римма"),
 )
 #: Stems of oblique cases where a vowel drops out.
 _SHORT_STEMS = {"Лев": "Льв", "Пётр": "Петр", "Павел": "Павл", "Любовь": "Любов"}
@@ -32,7 +34,10 @@ _NOT_SURNAMES = frozenset(
     "магазин один гражданин господин россиянин хозяин бензин витамин термин причин готов основ слов условий договоров банков клиентов документов паспортов счетов годов часов дней домов городов".split()
 ) | {"магазина", "магазине", "магазину", "господина", "гражданина", "гражданину", "господину", "снова", "основа", "слова", "готова", "причина", "середина", "половина", "единый"}
 #: Words that are never a name, whatever stands beside them: what texts call people.
-COMMON = frozenset((*ROLES, "клиентка", "клиентке", "клиентку", "гражданка", "гражданке", "гражданину", "господин", "госпожа", "уважаемый", "уважаемая", "письмо", "договор", "заявка"))
+COMMON = frozenset((
+    *"завтра сегодня вчера позже потом затем когда если наш наша ваш ваша мой моя его её их он она они мы вы это этот эта тот та как так что где куда откуда вот здесь там теперь сейчас также тоже но или для от из на по при про без до".split(),
+    *"передать письмо договор заявка офис банк отделение компания улица город паспорт карта телефон адрес звоните введите дата место код серия держатель гражданин граждане господа коллега коллеги директор менеджер врач доктор".split(),
+    *"здравствуйте уважаемые дорогой дорогая спасибо прошу просим".split(), *ROLES, "клиентка", "клиентке", "клиентку", "гражданка", "гражданке", "гражданину", "господин", "госпожа", "уважаемый", "уважаемая", "письмо", "договор", "заявка"))
 _OTHER_SURNAMES = {"Шостакович": "noun"}
 
 _BACK = "гкхжчшщ"
@@ -101,6 +106,12 @@ def surname_kind(word: str, gender: str) -> str | None:
     return None
 
 
+def own_surnames() -> tuple[str, ...]:
+    """Surnames on lists, whose paradigm no ending tells."""
+    adjectives = tuple(w.capitalize() for w in PUBLIC_SURNAMES if w.endswith("ой"))
+    return (*_OTHER_SURNAMES, *adjectives)
+
+
 def patronymic_gender(word: str) -> str | None:
     low = word.lower()
     if low.endswith(("ович", "евич", "ьич", "мич", "кич")) and word not in _OTHER_SURNAMES:
@@ -207,13 +218,3 @@ def detect_case(word: str, gender: str | None = None) -> str:
 def inflect_full_name(name: str, case: str, gender: str | None = None) -> str:
     """A nominative full name, word by word, in another case."""
     return " ".join(inflect(w, case, gender) for w in name.split())
-
-
-def undecline(word: str, case: str, gender: str, role: str) -> str:
-    """The nominative of a given name that no list has, if the endings of its gender lead from there to the word; else the word."""
-    if role != NAME or case == "nomn":
-        return word
-    for head in (word[: len(word) - n] + e for n in (0, 1, 2) for e in (("", "й", "ь") if gender == MASC else ("а", "я", "ь"))):
-        if len(head) > 2 and _decline(head, gender, "name")[CASES.index(case)] == word:
-            return head
-    return word

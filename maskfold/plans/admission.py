@@ -7,13 +7,11 @@ the state of one key: a log of any length needs the memory of its open requests.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
+
+from ..operators.folds import folded
 
 # The service's defaults.
 BASE_COST, PER_CHAR = 500.0, 1.0
@@ -55,36 +53,6 @@ def status_of(size: Column, admitted: Column, wait: Column) -> tuple[Column, Col
     return status, F.when(status == 429, F.ceil(wait))
 
 
-def _folded(log: DataFrame, by: str, order: list[str], fields: list[str], start: Callable[[], list], step: Callable[[list, tuple], tuple], schema: T.StructType, last_only: bool = False) -> DataFrame:
-    """``step(state, fields)`` for the events of each key in order, whose results are rows of ``schema`` after the key; of each key
-    only the last one if so wished."""
-    names = [by, *fields]
-    rows = log.select(*[F.col(c) for c in dict.fromkeys([by, *order, *fields])]).repartition(by).sortWithinPartitions(by, *order)
-    out_schema = T.StructType([log.schema[by], *schema.fields])
-    arrow = to_arrow_schema(out_schema)
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nothing = object()
-        key, state, pending = nothing, [], None
-        for b in batches:
-            out = []
-            for now, *event in zip(*[b.column(n).to_pylist() for n in names], strict=True):
-                if now != key:
-                    if pending is not None:
-                        out.append(pending)
-                    key, state, pending = now, start(), None
-                row = (now, *step(state, tuple(event)))
-                if last_only:
-                    pending = row
-                else:
-                    out.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(arrow)], schema=arrow)
-        if pending is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(pending, arrow, strict=True)], schema=arrow)
-
-    return rows.mapInArrow(walk, out_schema)
-
-
 def _fields(**kinds: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in kinds.items()])
 
@@ -103,7 +71,7 @@ def smoothed_rate(log: DataFrame, by: str, ts: str, amount: str, alpha: float =
         return state[0], state[1]
 
     schema = _fields(n=T.IntegerType(), rate=T.DoubleType())
-    return _folded(timed, by, [ts, amount], [ts, amount], lambda: [0, 0.0, None], step, schema, last_only=True)
+    return folded(timed, by, [ts, amount], [ts, amount], lambda: [0, 0.0, None], step, schema, last_only=True)
 
 
 def admission_gate(log: DataFrame, by: str = "worker", max_in_flight: int = MAX_IN_FLIGHT, max_backlog: float = MAX_BACKLOG, rss_limit: float = RSS_LIMIT) -> DataFrame:
@@ -133,7 +101,7 @@ def admission_gate(log: DataFrame, by: str = "worker", max_in_flight: int = MAX_
         return seq, kind, reason is None, reason
 
     schema = _fields(seq=T.LongType(), event=T.StringType(), admitted=T.BooleanType(), reason=T.StringType())
-    return _folded(log, by, ["seq"], ["seq", "event", "request", "payload_size", "rss_mb"], lambda: [{}, 0.0], step, schema)
+    return folded(log, by, ["seq"], ["seq", "event", "request", "payload_size", "rss_mb"], lambda: [{}, 0.0], step, schema)
 
 
 def breaker_states(log: DataFrame, by: str = "backend", failures: int = FAILURES, cooldown: float = COOLDOWN) -> DataFrame:
@@ -149,7 +117,7 @@ def breaker_states(log: DataFrame, by: str = "backend", failures: int = FAILURES
             state[1] = now if state[0] >= failures else since if not ok else None
         return seq, said
 
-    return _folded(timed, by, ["seq"], ["seq", "ts", "ok"], lambda: [0, None], step, _fields(seq=T.LongType(), state=T.StringType()))
+    return folded(timed, by, ["seq"], ["seq", "ts", "ok"], lambda: [0, None], step, _fields(seq=T.LongType(), state=T.StringType()))
 
 
 #: Upper bounds of a Retry-After histogram's buckets. Fixed values.

@@ -251,5 +251,6 @@ ORACLES: dict[str, str] = {
 }
 
 from .oracles_flow import FLOWS  # noqa: E402  it is built from the statements above
+from .oracles_names import N02  # noqa: E402
 
-ORACLES |= FLOWS
+ORACLES |= FLOWS | {"n02_name_forms": N02}

@@ -127,6 +127,15 @@ FLOWS: dict[str, str] = {
       f AS (SELECT *, first_value(payload) OVER (PARTITION BY id, st ORDER BY seq) AS won FROM s),
       a AS (SELECT k, id, seq, CASE WHEN st <> 200 THEN st WHEN payload = won THEN 200 ELSE 409 END AS status, CASE WHEN won = 'another' THEN won ELSE masked_text END AS made FROM f JOIN d USING (k))
       SELECT id AS payload_id, seq, CASE WHEN status IN (200, 409) THEN 'mask' ELSE '' END AS direction, status, sha256(CASE WHEN status = 200 THEN made ELSE '' END) AS result FROM a""",
+    "s06_vault_stream": """WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS payload_id, event_id AS seq, ts, event_type IN ('purchase', 'signup') AS saves, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+      f AS (SELECT payload_id, i, CASE WHEN saves THEN seq END AS seq, CASE WHEN saves THEN 'ACTIVE' END AS state, CASE WHEN saves THEN ts + INTERVAL 3 DAY END AS expires, NULL::TIMESTAMP AS demasked FROM e WHERE i = 1
+        UNION ALL SELECT e.payload_id, e.i, CASE WHEN renew THEN e.seq ELSE f.seq END, CASE WHEN renew THEN 'ACTIVE' WHEN turn THEN 'DEMASKED_GRACE' ELSE f.state END,
+          CASE WHEN renew THEN ts + INTERVAL 3 DAY WHEN turn THEN ts + INTERVAL 6 HOUR ELSE f.expires END, CASE WHEN renew THEN NULL WHEN turn THEN ts ELSE f.demasked END
+        FROM (SELECT e.*, e.saves AND (f.expires IS NULL OR f.expires <= ts) AS renew, NOT e.saves AND f.expires > ts AND f.state = 'ACTIVE' AS turn FROM f JOIN e ON e.payload_id = f.payload_id AND e.i = f.i + 1) e
+        JOIN f ON e.payload_id = f.payload_id AND e.i = f.i + 1),
+      l AS (SELECT payload_id, max(i) AS i FROM f GROUP BY payload_id)
+      SELECT payload_id, seq, state, 'token' AS mode, strftime(expires, '%Y-%m-%d %H:%M:%S.%f') AS expires_at, coalesce(strftime(demasked, '%Y-%m-%d %H:%M:%S.%f'), '') AS demasked_at
+      FROM f JOIN l USING (payload_id, i) WHERE expires > (SELECT max(ts) FROM events)""",
     "x01_sentence_windows": f"""SELECT doc_id, start, (start - length(regexp_extract(substr(text, greatest(start - 220, 0) + 1, start - greatest(start - 220, 0)), '[^.!?\\n]*$')))::INT AS low,
       (start + length(value) + length(regexp_extract(substr(text, start + length(value) + 1, 220), '^[^.!?\\n]*[.!?\\n]?')))::INT AS high FROM ({o._found('documents', '[0-9]+')})""",
 }

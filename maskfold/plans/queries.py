@@ -18,6 +18,9 @@ from ..operators import mask as mk
 from ..operators.demask import restored, restored_tokens
 from ..sources import tables as src
 from ..sources import vault as vt
+from ..sources.names_corpus import names_corpus
+from ..sources.shared import new_path
+from ..sources.vault_sink import VaultSink, vault_stream
 from . import admission as ad
 from . import pipelines as pl
 
@@ -176,11 +179,20 @@ def inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_detected", "n_masked", "masked_text", "demasked", "round_trip_ok", F.size("mappings").alias("n_mappings"))
 
 
-def names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dt.detect(src.ru_corpus(spark, sf_dir), only=("fio",))
+def _name_rows(docs: DataFrame) -> DataFrame:
+    out = dt.detect(docs, only=("fio",))
     return out.select("doc_id", F.explode("candidates").alias("c")).select("doc_id", "c.value", "c.start", "c.end", "c.confidence", "c.meta.gram_case", "c.meta.gender", "c.meta.nominal_form", "c.meta.alias_type", "c.meta.known_public_figure")
 
 
+def names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _name_rows(src.ru_corpus(spark, sf_dir))
+
+
+def name_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names in all orders, cases and genders, with initials, and with surnames that no list knows."""
+    return _name_rows(names_corpus(spark, sf_dir))
+
+
 # --- vault and process ---
 
 
@@ -195,6 +207,29 @@ def vault_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return second.select("payload_id", "original_fingerprint")
 
 
+#: Micro-batches that the log of events is dealt to, and the times to live there, as its users come back after hours.
+LOG_PARTS, LOG_TTL, LOG_GRACE = 6, 3 * 86_400, 6 * 3_600
+
+
+def vault_stream_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of events merged into a vault: purchases and signups save records, other events restore from them. What is live at the end."""
+    e = src.table(spark, sf_dir, "events")
+    save = F.col("event_type").isin("purchase", "signup")
+    log = e.select(F.col("user_id").cast("string").alias("payload_id"), F.col("event_id").alias("seq"), F.when(save, "save").otherwise("demask").alias("op"), F.col("ts").cast("timestamp").alias("at"), F.lit("token").alias("mode"))
+    where, last = new_path(spark, "vault-log"), None
+    for upto in [*log.approxQuantile("seq", [k / LOG_PARTS for k in range(1, LOG_PARTS)], 0.0), None]:
+        part = (F.lit(True) if last is None else F.col("seq") > last) & (F.lit(True) if upto is None else F.col("seq") <= upto)
+        log.where(part).coalesce(1).write.mode("append").parquet(where)
+        last = upto
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(where)
+    sink = VaultSink(spark, new_path(spark, "vault"), LOG_TTL, LOG_GRACE, compact_every=4)
+    vault_stream(stream, sink, new_path(spark, "vault-checkpoint")).awaitTermination(3600)
+    end = e.agg(F.max("ts").cast("timestamp").alias("now"))
+    held = sink.vault().crossJoin(F.broadcast(end)).where("expires_at > now")  # one row
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return held.select("payload_id", "seq", "state", "mode", stamp("expires_at").alias("expires_at"), F.coalesce(stamp("demasked_at"), F.lit("")).alias("demasked_at"))
+
+
 def process_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second round of requests against the first round's records: known, masked, reworded and new texts."""
     now = F.lit("2024-01-01").cast("timestamp")
@@ -324,6 +359,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "d17_citizenship": _detector("citizenship"),
     "d18_passport_issuer": _detector("passport_issuer"),
     "d19_names": names,
+    "n02_name_forms": name_forms,
     "e01_people": people,
     "e08_token_entities": token_entities,
     "m02_token_round_trip": token_round_trip,
@@ -334,6 +370,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "r05_partial_mask_all": partial_mask_all,
     "s02_inspect": inspect,
     "s05_vault_inserts": vault_inserts,
+    "s06_vault_stream": vault_stream_of_events,
     "t01_process_directions": process_directions,
     "t02_process_batch": process_batch,
     "x01_sentence_windows": sentence_windows,
