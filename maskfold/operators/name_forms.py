@@ -54,7 +54,7 @@ def endings() -> tuple[tuple[str, str, str, str, str, int], ...]:
     return tuple((form[1:], head, role, gender, case, least) for role, gender, kind, head, least in _HEADS for case, form in zip(CASES, m._decline(stem + head, gender, kind), strict=True))
 
 
-def _constant(value, kind: str) -> Column:
+def constant(value, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), kind)
 
 
@@ -67,7 +67,7 @@ def _grouped(rows, key) -> dict[str, list]:
 
 def _listed(word: Column) -> Column:
     table = {k: [{"form": f, "role": r, "gender": g, "case": c, "nominal": n} for f, r, g, c, n in v] for k, v in _grouped(forms(), lambda r: r[0][:2]).items()}
-    rows = F.try_element_at(_constant(table, "map<string,array<struct<form:string,role:string,gender:string,case:string,nominal:string>>>"), F.substring(word, 1, 2))
+    rows = F.try_element_at(constant(table, "map<string,array<struct<form:string,role:string,gender:string,case:string,nominal:string>>>"), F.substring(word, 1, 2))
     fits = F.filter(rows, lambda x: x["form"] == word)
     return F.coalesce(F.transform(fits, lambda x: F.struct(x["role"], x["gender"], x["case"], x["nominal"])), F.array()).cast(f"array<{READING}>")
 
@@ -75,7 +75,7 @@ def _listed(word: Column) -> Column:
 def _by_ending(word: Column) -> Column:
     table = {k: [{"head": h, "role": r, "gender": g, "case": c, "least": n} for _, h, r, g, c, n in v] for k, v in _grouped(endings(), lambda r: r[0]).items()}
     sizes = sorted({len(e[0]) for e in endings()})
-    known = _constant(table, "map<string,array<struct<head:string,role:string,gender:string,case:string,least:int>>>")
+    known = constant(table, "map<string,array<struct<head:string,role:string,gender:string,case:string,least:int>>>")
     none = F.array().cast("array<struct<head:string,role:string,gender:string,case:string,least:int>>")
 
     def of(n: Column) -> Column:
@@ -84,23 +84,21 @@ def _by_ending(word: Column) -> Column:
         return F.transform(rows, lambda x: F.struct(x["role"].alias("role"), x["gender"].alias("gender"), x["case"].alias("case"), F.concat(stem, x["head"]).alias("nominal"), x["least"].alias("least")))
 
     found = F.flatten(F.transform(F.array(*[F.lit(n) for n in sizes]), of))
-    refused = F.array(*[F.lit(w) for w in sorted({w.lower() for w in m._NOT_SURNAMES})])
-    own = F.array(*[F.lit(w) for w in m.own_surnames()])
+    refused = F.split(F.lit(",".join(sorted({w.lower() for w in m._NOT_SURNAMES}))), ",")
+    own = F.split(F.lit(",".join(m.own_surnames())), ",")
     surname = lambda x: x["role"] == m.SURNAME
     fits = lambda x: ~F.array_contains(own, x["nominal"]) & (~surname(x) | (F.length(x["nominal"]) >= x["least"]) & ~F.array_contains(refused, F.lower(x["nominal"])) & ~F.array_contains(refused, F.lower(word)))
     return F.transform(F.filter(found, fits), lambda x: F.struct(x["role"], x["gender"], x["case"], x["nominal"])).cast(f"array<{READING}>")
 
 
 def _index(value: Column, values: tuple[str, ...]) -> Column:
-    return F.array_position(F.array(*[F.lit(v) for v in values]), value)
+    return F.array_position(F.split(F.lit(",".join(values)), ","), value)
 
 
 def _plain(word: Column) -> Column:
-    def before(x: Column, y: Column) -> Column:
-        key = lambda r: F.struct(_index(r["role"], (m.PATRONYMIC, m.NAME, m.SURNAME)), _index(r["case"], CASES), r["gender"] == m.FEMN, r["nominal"])
-        return F.when(key(x) < key(y), -1).when(key(x) > key(y), 1).otherwise(0)
-
-    return F.array_sort(F.array_distinct(F.concat(_listed(word), _by_ending(word))), before)
+    roles = (m.PATRONYMIC, m.NAME, m.SURNAME)
+    ranked = F.transform(F.concat(_listed(word), _by_ending(word)), lambda r: F.struct(_index(r["role"], roles).alias("a"), _index(r["case"], CASES).alias("b"), (r["gender"] == m.FEMN).alias("c"), r["nominal"].alias("d"), r.alias("r")))
+    return F.transform(F.array_sort(F.array_distinct(ranked)), lambda x: x["r"])
 
 
 def readings(word: Column) -> Column:

@@ -21,7 +21,7 @@ from ..functions.scalars import let
 from ..functions.spans import find_spans, no_spans
 from . import morphology as m
 from . import names as nm
-from .name_forms import READING, readings
+from .name_forms import READING, constant, readings
 
 _LETTERS = {m.PATRONYMIC: "P", m.NAME: "N", m.SURNAME: "S"}
 _ROLE = {"P": "patronymic", "N": "first", "S": "surname"}
@@ -30,7 +30,7 @@ _WORD = "struct<value:string,start:int,end:int,initials:string,kind:int,read:arr
 
 
 def _literals(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    return F.split(F.lit(",".join(values)), ",")
 
 
 def _label(word: Column, read: Column) -> Column:
@@ -70,7 +70,7 @@ def _role_of(letter: Column) -> Column:
 
 def _undeclined(word: Column, case: Column, gender: Column) -> Column:
     """The nominative of a given name that no list has, by the endings of its gender."""
-    rows = F.array(*[F.struct(F.lit(g).alias("gender"), F.lit(c).alias("case"), F.lit(e).alias("ending"), F.lit(h).alias("head")) for g, c, e, h in nm.UNLISTED])
+    rows = constant([dict(zip(("gender", "case", "ending", "head"), r, strict=True)) for r in nm.UNLISTED], "array<struct<gender:string,case:string,ending:string,head:string>>")
     fits = F.filter(rows, lambda x: (x["gender"] == gender) & (x["case"] == case) & F.endswith(word, x["ending"]) & (F.length(word) - F.length(x["ending"]) + F.length(x["head"]) > 2))
     found = F.get(fits, F.lit(0))
     return F.coalesce(F.concat(F.substr(word, F.lit(1), F.length(word) - F.length(found["ending"])), found["head"]), word)
@@ -176,20 +176,24 @@ def name_candidates(text: Column) -> Column:
     """The names of a text, as candidates. No Python runs."""
     from .detectors import CANDIDATE
 
-    def word(s: Column, kind: int) -> Column:
-        name = F.regexp_extract(s["value"], {0: nm.NAME_WORD, 1: f"{nm.NAME_WORD}$", 2: f"^{nm.NAME_WORD}"}[kind], 0)
-        before = F.substr(s["value"], F.lit(1), F.length(s["value"]) - F.length(name))
-        after = F.substr(s["value"], F.length(name) + 2, F.length(s["value"]))
-        initials = {0: F.lit(""), 1: before, 2: after}[kind]
-        start = s["start"] + F.length(before) if kind == 1 else s["start"]
-        return F.struct(name.alias("value"), start.cast("int").alias("start"), (start + F.length(name)).cast("int").alias("end"), initials.alias("initials"), F.lit(kind).alias("kind"), readings(name).alias("read")).cast(_WORD)
+    def word(s: Column) -> Column:
+        kind = s["kind"]
+        name = F.when(kind == 1, F.regexp_extract(s["value"], f"{nm.NAME_WORD}$", 0)).when(kind == 2, F.regexp_extract(s["value"], f"^{nm.NAME_WORD}", 0)).otherwise(s["value"])
+
+        def built(n: Column) -> Column:
+            before = F.substr(s["value"], F.lit(1), F.length(s["value"]) - F.length(n))
+            initials = F.when(kind == 1, before).when(kind == 2, F.substr(s["value"], F.length(n) + 2, F.length(s["value"]))).otherwise("")
+            start = F.when(kind == 1, s["start"] + F.length(before)).otherwise(s["start"])
+            return F.struct(n.alias("value"), start.cast("int").alias("start"), (start + F.length(n)).cast("int").alias("end"), initials.alias("initials"), kind.alias("kind"), readings(n).alias("read")).cast(_WORD)
+
+        return let(name, built)
+
+    def spans(pattern: str, kind: int, guard: Column | None = None) -> Column:
+        found = find_spans(text, pattern)
+        return F.transform(found if guard is None else F.when(guard, found).otherwise(no_spans()), lambda s: F.struct(s["value"].alias("value"), s["start"].alias("start"), F.lit(kind).alias("kind")))
 
     dotted = F.contains(text, F.lit("."))
-    found = F.concat(
-        F.transform(find_spans(text, nm.NAME_WORD), lambda s: word(s, 0)),
-        F.transform(F.when(dotted, find_spans(text, nm.INITIALS_BEFORE)).otherwise(no_spans()), lambda s: word(s, 1)),
-        F.transform(F.when(dotted, find_spans(text, nm.INITIALS_AFTER)).otherwise(no_spans()), lambda s: word(s, 2)),
-    )
+    found = F.transform(F.concat(spans(nm.NAME_WORD, 0), spans(nm.INITIALS_BEFORE, 1, dotted), spans(nm.INITIALS_AFTER, 2, dotted)), word)
 
     def all_of(words: Column) -> Column:
         runs = let(F.filter(words, lambda w: w["kind"] == 0), lambda w: _runs(text, w))
