@@ -11,8 +11,9 @@ DETECTORS = (
 )
 TOKEN_PREFIXES = {"FULL_NAME": "PERSON", "CARD_NUMBER": "CARD"}
 CASES = ("nomn", "gent", "datv", "accs", "ablt", "loct")
-# Parts of a name that stand side by side in a mention.
-NAME_PAIRS = (("first", "patronymic"), ("first", "surname"), ("surname", "first"))
+
+# Forms in which a person is mentioned. S, F, P: surname, given name and patronymic as words; s, f, p: as initials.
+FORMS = ("SFP", "FPS", "FS", "SF", "FP", "fpS", "Sfp", "fS")
 
 # Weights of the taxpayer number's check digits.
 INN_10 = (2, 4, 10, 3, 5, 9, 4, 6, 8)

@@ -3,13 +3,27 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .fixed_values import INN_10, INN_11, INN_12, TOKEN_PREFIXES
 
 
+_BUILT: dict[tuple, Column] = {}
+
+
+def built(make: Callable[[], Column], *key) -> Column:
+    """``make()``, once for a key in each JVM. An expression over columns of fixed names is the same in every plan, and those of this library have thousands of operators: to put one
+    together takes seconds, each operator some calls to the JVM."""
+    key = (id(SparkContext._gateway), *key)
+    if key not in _BUILT:
+        _BUILT[key] = make()
+    return _BUILT[key]
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once, as lambdas would compute what they mention at every element."""
     return F.element_at(F.transform(F.array(value), body), 1)

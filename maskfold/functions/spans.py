@@ -18,22 +18,25 @@ def no_spans() -> Column:
     return F.array().cast(SPAN)
 
 
-def find_spans(text: Column, pattern: str, guard: Column | None = None, group: int = 0) -> Column:
-    """The matches of a Java pattern. ``group``: the span is that group, which must end where the match ends."""
-    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("rest"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("inner"))
+def find_spans(text: Column, pattern: str | Column, guard: Column | None = None, group: int = 0) -> Column:
+    """The matches of a Java pattern, a constant or a column. ``group``: the span is that group, which must end where the match ends."""
+    p = F.lit(pattern) if isinstance(pattern, str) else pattern
+    inner = [F.regexp_extract_all(text, p, F.lit(group)).alias("inner")] if group else []
+    both = F.struct(F.regexp_extract_all(text, p, F.lit(0)).alias("found"), F.split(text, p, -1).alias("rest"), *inner)
 
     def walk(x: Column) -> Column:
         first = F.struct(F.lit(0).alias("at"), no_spans().alias("out"))
 
         def step(acc: Column, i: Column) -> Column:
-            value, inner = F.get(x["found"], i), F.get(x["inner"], i)
+            value = F.get(x["found"], i)
+            inner = F.get(x["inner"], i) if group else value
             end = acc["at"] + F.length(F.get(x["rest"], i)) + F.length(value)
             span = F.struct(inner.alias("value"), (end - F.length(inner)).alias("start"), end.alias("end"))
             return F.struct(end.alias("at"), F.array_append(acc["out"], span).alias("out"))
 
         return F.when(F.size(x["found"]) == 0, no_spans()).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(x["found"]) - 1), first, step, lambda acc: acc["out"]))
 
-    return F.when(text.rlike(pattern) if guard is None else guard, let(both, walk)).otherwise(no_spans())
+    return F.when(F.regexp_like(text, p) if guard is None else guard, let(both, walk)).otherwise(no_spans())
 
 
 def around(text: Column, start: Column, end: Column, radius: int) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.scalars import let, pinned
+from ..functions.scalars import built, let, pinned
 from ..functions.spans import overlaps
 from .detectors import CANDIDATE
 
@@ -154,7 +154,7 @@ def apply_policy(decisions: Column, mask_types: Column) -> Column:
 def decided(docs: DataFrame, text: str = "text", mask_types: Column | None = None, radius: int = RADIUS, emit_uncertain: bool = False, relations: tuple[tuple[str, str, int], ...] = RELATIONS) -> DataFrame:
     """``docs`` with candidates, from :func:`detect`, to ``docs`` with decisions."""
     t = F.col(text)
-    out = docs.withColumn("candidates", pinned(resolve_overlaps(F.col("candidates"))))
-    out = out.withColumn("decisions", pinned(decide(t, F.col("candidates"), radius, emit_uncertain)))
-    out = out.withColumn("decisions", pinned(apply_relations(t, F.col("decisions"), relations)))
+    out = docs.withColumn("candidates", built(lambda: pinned(resolve_overlaps(F.col("candidates"))), "overlaps"))
+    out = out.withColumn("decisions", built(lambda: pinned(decide(t, F.col("candidates"), radius, emit_uncertain)), "decide", text, radius, emit_uncertain))
+    out = out.withColumn("decisions", built(lambda: pinned(apply_relations(t, F.col("decisions"), relations)), "relations", text, relations))
     return out.withColumn("decisions", pinned(apply_policy(F.col("decisions"), mask_types))) if mask_types is not None else out

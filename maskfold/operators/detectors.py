@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.scalars import digits, inn_valid, let, luhn_valid, normalize_ru_phone, pinned
+from ..functions.scalars import built, digits, inn_valid, let, luhn_valid, normalize_ru_phone, pinned
 from ..functions.spans import apart_from, find_spans, has_any, near, around
 
 META = (
@@ -221,5 +221,6 @@ def default_registry() -> Registry:
 
 def detect(docs: DataFrame, text: str = "text", only: tuple[str, ...] | None = None, registry: Registry | None = None) -> DataFrame:
     """``docs`` with column ``candidates``: an array in the order of the detectors. A null text has none."""
-    found = (registry or default_registry()).detect_all(F.col(text), only)
+    own = lambda: (registry or default_registry()).detect_all(F.col(text), only)
+    found = own() if registry is not None else built(own, "detect", text, only)
     return docs.withColumn("candidates", pinned(F.coalesce(found, _none())))

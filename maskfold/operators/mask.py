@@ -1,6 +1,6 @@
 """Replacing what was decided, and putting it back from the record.
 
-Partial masks and tokens are native from end to end but for the resolution of names; surrogates add one Arrow UDF.
+All of it is native but for the resolution of persons, one Arrow UDF.
 """
 
 from __future__ import annotations
@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import partial_mask, pinned
+from ..functions.scalars import built, partial_mask, pinned
 from . import entities as en
-from .synthesis import synthesize
+from .synthesis import synthesized
 
 OCCURRENCE = "struct<entity_id:string,original_start:int,original_end:int,masked_start:int,masked_end:int,original:string,masked:string>"
 MODES = ("partial", "token", "synthetic")
@@ -56,22 +56,22 @@ def masked(docs: DataFrame, mode: str = "partial", text: str = "text", session:
     pin = pinned
     before = docs.columns
     persons = en.people(F.col("decisions")) if names else en.no_people()
-    out = docs.withColumn("_people", persons).withColumn("_entities", pin(en.entity_ids(F.col("decisions"), F.col("_people"))))
-    made = F.when(F.col("_entities").isNull(), F.array().cast(f"array<{en.MAPPING}>")).otherwise(en.mappings(F.col("_entities"), F.col("_people")))
-    out = out.withColumn("mappings", pin(made))
+    out = docs.withColumn("_people", persons).withColumn("_entities", built(lambda: pin(en.entity_ids(F.col("decisions"), F.col("_people"))), "entities"))
+    made = lambda: F.when(F.col("_entities").isNull(), F.array().cast(f"array<{en.MAPPING}>")).otherwise(en.mappings(F.col("_entities"), F.col("_people")))
+    out = out.withColumn("mappings", built(lambda: pin(made()), "mappings"))
     if mode == "synthetic":
         if session is None:
             raise ValueError("surrogates need a session column")
         out = out.withColumn("_session", pin(F.col(session).cast("string")))
-        made = F.udf(synthesize, f"struct<new:array<string>,mappings:array<{en.MAPPING}>>", useArrow=True).asNondeterministic()(t, F.col("_session"), F.col("_entities"), F.col("mappings"), F.col("_people"))
-        out = out.withColumn("_made", made).withColumn("mappings", F.col("_made.mappings"))
+        surrogates = lambda: pin(synthesized(t, F.col("_session"), F.col("_entities"), F.col("mappings"), F.col("_people")))
+        out = out.withColumn("_made", built(surrogates, "surrogates", text)).withColumn("mappings", F.col("_made.mappings"))
         new = lambda e, i: F.get(F.col("_made.new"), i)
     elif mode == "token":
         new = lambda e, i: F.concat(F.lit("<"), e["entity_id"], F.lit(">"))
     else:
         new = lambda e, i: partial_mask(e["type"], e["value"])
-    spans = F.transform("_entities", lambda e, i: F.struct(e["start"].alias("start"), e["end"].alias("end"), new(e, i).alias("replacement"), e["entity_id"].alias("entity_id")))
-    done = out.withColumn("_done", pin(splice(t, spans)))
+    spans = lambda: F.transform("_entities", lambda e, i: F.struct(e["start"].alias("start"), e["end"].alias("end"), new(e, i).alias("replacement"), e["entity_id"].alias("entity_id")))
+    done = out.withColumn("_done", built(lambda: pin(splice(t, spans())), "splice", text, mode))
     counts = F.size(F.filter("decisions", lambda d: d["decision"] == "MASK"))
     return done.select(
         *[c for c in before if c not in ("masked_text", "occurrences", "mappings", "mode", "n_detected", "n_masked")], F.lit(mode).alias("mode"), F.col("_done.text").alias("masked_text"),

@@ -113,3 +113,49 @@ def readings(word: Column) -> Column:
         return F.when(F.size(r) == 2, F.filter(both, lambda x: x["nominal"].isNotNull())).otherwise(F.get(r, F.lit(0))).cast(f"array<{READING}>")
 
     return let(F.transform(parts, _plain), joined)
+
+
+# --- the other way: a nominative in another case ---
+
+_PARADIGM = "role:string,gender:string,forms:array<string>"
+
+
+def _paradigms() -> tuple[dict[str, list[dict]], dict[str, list[dict]]]:
+    """The six forms of listed nominatives, and the six endings of open paradigms by the nominative's ending."""
+    listed = [(n, r, g) for n, r, g in dict.fromkeys((n, r, g) for _, r, g, _, n in forms())]
+    by_name = _grouped([(n, r, g, [f for c in CASES for f, fr, fg, fc, fn in forms() if (fr, fg, fc, fn) == (r, g, c, n)][:6]) for n, r, g in listed], lambda x: x[0])
+    heads = [(head, role, gender, least, [form[1:] for form in m._decline("Х" + head, gender, kind)]) for role, gender, kind, head, least in _HEADS]
+    return (
+        {n: [{"role": r, "gender": g, "forms": f} for _, r, g, f in rows] for n, rows in by_name.items()},
+        {h: [{"role": r, "gender": g, "least": n, "forms": f} for _, r, g, n, f in rows] for h, rows in _grouped(heads, lambda x: x[0]).items()},
+    )
+
+
+def declined(word: Column, case: Column, gender: Column) -> Column:
+    """A nominative name in a case (its number, 0 for the nominative): a listed given name, a patronymic, a surname of the gender. Unknown words stay as they are;
+    the parts of a hyphenated word are declined one by one."""
+    by_name, by_ending = _paradigms()
+    names = constant(by_name, f"map<string,array<struct<{_PARADIGM}>>>")
+    ends = constant(by_ending, "map<string,array<struct<role:string,gender:string,least:int,forms:array<string>>>>")
+    refused = F.split(F.lit(",".join(sorted({w.lower() for w in m._NOT_SURNAMES}))), ",")
+    sizes = sorted({len(h) for h in by_ending})
+    none = F.array().cast("array<struct<role:string,gender:string,least:int,forms:array<string>>>")
+
+    def one(w: Column) -> Column:
+        def of(n: Column) -> Column:
+            rows = F.coalesce(F.when(F.length(w) > n, F.try_element_at(ends, F.substr(w, F.length(w) - n + 1, n))), none)
+            return F.transform(rows, lambda x: F.struct(x["role"].alias("role"), x["gender"].alias("gender"), x["least"].alias("least"), F.concat(F.substr(w, F.lit(1), F.length(w) - n), F.get(x["forms"], case)).alias("form")))
+
+        def pick(k: Column) -> Column:
+            first = lambda rows, fits: F.get(F.filter(rows, fits), F.lit(0))
+            given, fitting = lambda x: x["role"] == m.NAME, lambda x: gender.isNull() | (x["gender"] == gender)
+            surname = lambda x: (x["role"] == m.SURNAME) & fitting(x)
+            open_ = first(k["open"], lambda x: surname(x) & (F.length(w) >= x["least"]) & ~F.array_contains(refused, F.lower(w)))["form"]
+            return F.coalesce(
+                F.get(first(k["listed"], lambda x: given(x) & (x["gender"] == gender))["forms"], case), F.get(first(k["listed"], given)["forms"], case), F.get(first(k["listed"], surname)["forms"], case),
+                F.when(F.coalesce(F.size(k["listed"]), F.lit(0)) == 0, first(k["open"], lambda x: x["role"] == m.PATRONYMIC)["form"]), F.when(F.coalesce(F.size(k["listed"]), F.lit(0)) == 0, open_), w,
+            )
+
+        return let(F.struct(F.coalesce(F.try_element_at(names, w), F.array().cast(f"array<struct<{_PARADIGM}>>")).alias("listed"), F.flatten(F.transform(F.array(*[F.lit(n) for n in sizes]), of)).alias("open")), pick)
+
+    return F.when(case == 0, word).otherwise(F.array_join(F.transform(F.split(word, "-"), one), "-"))

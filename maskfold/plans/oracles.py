@@ -252,5 +252,6 @@ ORACLES: dict[str, str] = {
 
 from .oracles_flow import FLOWS  # noqa: E402  it is built from the statements above
 from .oracles_names import N02  # noqa: E402
+from .oracles_surrogates import SURROGATES  # noqa: E402
 
-ORACLES |= FLOWS | {"n02_name_forms": N02}
+ORACLES |= FLOWS | {"n02_name_forms": N02} | SURROGATES

@@ -110,8 +110,6 @@ FLOWS: dict[str, str] = {
       SELECT doc_id, out AS masked_text, coalesce(n_detected, 0)::INT AS n_detected, coalesce(n_masked, 0)::INT AS n_masked, true AS restored_exactly FROM done LEFT JOIN counts USING (doc_id)""",
     "m02_token_round_trip": f"""WITH RECURSIVE {decided(_NO_NAMES)}, {ENTITIES}, {spliced('tok', 'token')}, {spliced('tok', 'original', name='back')}
       SELECT doc_id, done.out AS masked_text, done.text AS exact, back.out AS restored FROM done JOIN back USING (doc_id)""",
-    "m03_synthetic_round_trip": f"""WITH RECURSIVE {decided()}, {_COUNTS}
-      SELECT doc_id, coalesce(n_masked, 0)::INT AS n_masked, false AS leaks, true AS restored_exactly, replace(text, 'И.П.', 'И. П.') AS restored FROM ru LEFT JOIN counts USING (doc_id)""",
     "s02_inspect": f"""WITH RECURSIVE {decided()}, {_COUNTS}, {ENTITIES}, {spliced('tok', 'token')}, {spliced('tok', 'original', name='back')}
       SELECT doc_id, coalesce(n_detected, 0)::INT AS n_detected, coalesce(n_masked, 0)::INT AS n_masked, done.out AS masked_text, back.out AS demasked, back.out = done.text AS round_trip_ok,
       coalesce(ents, 0)::INT AS n_mappings FROM done JOIN back USING (doc_id) LEFT JOIN counts USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS ents FROM num GROUP BY doc_id) USING (doc_id)""",

@@ -159,13 +159,24 @@ def partial_mask_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pl.exact_round_trip(out).select("doc_id", "masked_text", "n_detected", "n_masked", "restored_exactly")
 
 
-def synthetic_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Surrogates for all types: whether any original is still in the masked text, and what both ways of restoring give."""
+def _synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = src.ru_corpus(spark, sf_dir).withColumn("session", F.col("doc_id").cast("string"))
-    out = mk.masked(pl.analyze(docs), "synthetic", session="session")
+    return mk.masked(pl.analyze(docs), "synthetic", session="session")
+
+
+def surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands for each occurrence, and its entity's surrogate."""
+    found = _synthetic(spark, sf_dir).select("doc_id", F.explode("occurrences").alias("x"), "mappings")
+    entity = F.get(F.filter("mappings", lambda y: y["entity_id"] == F.col("x.entity_id")), F.lit(0))
+    return found.select("doc_id", "x.entity_id", entity["type"].alias("type"), F.col("x.original_start").alias("start"), F.col("x.original").alias("value"), entity["synthetic"].alias("synthetic"), F.col("x.masked").alias("new"))
+
+
+def synthetic_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Surrogates for all types: the masked text, whether a value stands for itself, and what both ways of restoring give."""
+    out = _synthetic(spark, sf_dir)
     back = restored(F.col("masked_text"), F.lit("synthetic"), F.col("mappings"))
     leaks = F.exists("occurrences", lambda x: x["masked"] == x["original"])
-    return pl.exact_round_trip(out).select("doc_id", "n_masked", leaks.alias("leaks"), "restored_exactly", back.alias("restored"))
+    return pl.exact_round_trip(out).select("doc_id", "n_masked", "masked_text", leaks.alias("leaks"), "restored_exactly", back.alias("restored"))
 
 
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -376,6 +387,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "x01_sentence_windows": sentence_windows,
     "x03_keyword_hits": keyword_hits,
     "x06_decisions": decisions,
+    "g01_surrogates": surrogates,
     "g01_compact_decisions": compact_decisions,
     "g03_compact_inn": _compact("INN"),
     "g04_compact_codes": _compact("CVV", "PIN"),

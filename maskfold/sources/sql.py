@@ -1,4 +1,4 @@
-"""The engine's functions for SQL: native ones as SQL functions, the others as Arrow functions and a table function."""
+"""The engine's functions for SQL: scalar ones as SQL functions, names as a table function."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.demask import restore
 from ..operators.names import find_names
 
 
@@ -28,10 +27,9 @@ NATIVE = (
 
 
 def register(spark: SparkSession) -> None:
-    """Makes pii_fingerprint, pii_token_count, pii_luhn_valid, pii_mask_alnum, pii_restore and pii_names known to a session."""
+    """Makes pii_fingerprint, pii_token_count, pii_luhn_valid, pii_mask_alnum and pii_names known to a session."""
     for f in NATIVE:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {f}")
-    spark.udf.register("pii_restore", F.udf(restore, "string", useArrow=True))
     spark.udtf.register("pii_names", F.udtf(Names, returnType="value string, start int, end int, confidence double, nominal string, gender string"))
 
 

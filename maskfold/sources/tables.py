@@ -6,14 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Whether PySpark notes the line of code of each operator of an expression. Our expressions have thousands of operators, and each note takes several calls to
-#: the JVM, more than the query itself on small tables.
-NOTES = "spark.python.sql.dataFrameDebugging.enabled"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    if spark.conf.get(NOTES, None) is None:
-        spark.conf.set(NOTES, "false")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

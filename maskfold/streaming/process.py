@@ -1,8 +1,8 @@
 """The stateful stream: the first text of a payload_id is masked, later ones are restored.
 
 Detection, decisions and masking run before the state as plain expressions on the stream, so they use all of the
-engine; the state keeps only each key's record, for its time to live. The stateful part compares fingerprints,
-splices and searches. Requests of one key are handled one after the other in the order of ``seq``.
+engine; the state keeps only each key's record, for its time to live. The stateful part compares fingerprints and
+splices; texts that have to be searched for surrogates leave it and are restored by the same expressions as in batch. Requests of one key are handled one after the other in the order of ``seq``.
 
 Two value states hold the record, as a state's time to live is fixed: ``active`` and, after restoring,
 ``grace``. Expiry is honoured whenever a record is read.
@@ -20,12 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.demask import restore
+from ..operators.demask import restored
+from ..operators.entities import MAPPING
 from ..operators.mask import masked
 from ..plans.pipelines import analyze
 from ..sources.vault import GRACE_SECONDS, TTL_SECONDS
 
 ANSWER = "payload_id string, seq bigint, direction string, status int, result string"
+#: Rows of the stateful part: for texts whose needles are still to be searched, the text stands in result, and its record's mode and mappings beside it.
+_OPEN = ANSWER + ", mode string, mappings string"
+SEARCHED = object()
 
 
 def fingerprint(text: str, secret: str | None) -> str:
@@ -41,7 +45,7 @@ def splice(text: str, occurrences: list[dict], start: str, end: str, new: str) -
 
 
 def respond(record: dict | None, row: dict, secret: str | None, allow_demask: bool) -> tuple[dict | None, str, int, str | None]:
-    """(record to keep, direction, status, result) of one request."""
+    """(record to keep, direction, status, result) of one request. A result that has to be searched for in the text is left open (SEARCHED)."""
     text = row["payload"]
     if record is None:
         record = {
@@ -59,7 +63,7 @@ def respond(record: dict | None, row: dict, secret: str | None, allow_demask: bo
         return record, "demask", 200, text
     if print_ == record["masked"]:
         return record | {"grace": True}, "demask", 200, splice(text, record["occurrences"], "masked_start", "masked_end", "original")
-    return record | {"grace": True}, "demask", 200, restore(text, record["mode"], record["mappings"])
+    return record | {"grace": True}, "demask", 200, SEARCHED
 
 
 class Keeper(StatefulProcessor):
@@ -78,13 +82,14 @@ class Keeper(StatefulProcessor):
         out = []
         for row in batch.to_dict("records"):
             record, direction, status, result = respond(record, row, self.secret, self.allow)
-            out.append((key[0], row["seq"], direction, status, result))
+            search = result is SEARCHED
+            out.append((key[0], row["seq"], direction, status, row["payload"] if search else result, record["mode"] if search else None, json.dumps(record["mappings"]) if search else None))
         if not known:
             self.active.update((json.dumps(record | {"answered": True}),))
         if record["grace"] and not was_in_grace:
             self.active.clear()
             self.grace.update((json.dumps(record),))
-        yield pd.DataFrame(out, columns=["payload_id", "seq", "direction", "status", "result"])
+        yield pd.DataFrame(out, columns=["payload_id", "seq", "direction", "status", "result", "mode", "mappings"])
 
     def close(self) -> None:
         pass
@@ -94,7 +99,9 @@ def process_stream(requests: DataFrame, mode: str = "partial", secret: str | Non
     """Answers to a stream of requests (payload_id, seq, payload). It needs the RocksDB state store; see :func:`configure`."""
     done = masked(analyze(requests, "payload"), mode, "payload", session="payload_id")
     ready = done.select("payload_id", "seq", "payload", "mode", "masked_text", F.to_json("mappings").alias("mappings"), F.to_json("occurrences").alias("occurrences"))
-    return ready.groupBy("payload_id").transformWithStateInPandas(Keeper(secret, ttl, grace, allow_demask), ANSWER, "Append", "ProcessingTime")
+    told = ready.groupBy("payload_id").transformWithStateInPandas(Keeper(secret, ttl, grace, allow_demask), _OPEN, "Append", "ProcessingTime")
+    searched = restored(F.col("result"), F.col("mode"), F.from_json("mappings", f"array<{MAPPING}>"))
+    return told.select("payload_id", "seq", "direction", "status", F.when(F.col("mode").isNull(), F.col("result")).otherwise(searched).alias("result"))
 
 
 def configure(spark) -> None:

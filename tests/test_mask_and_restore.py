@@ -1,11 +1,12 @@
 import datetime as dt
+import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from maskfold.operators import entities, synthesis
-from maskfold.operators.demask import restore
+from maskfold.operators.demask import restored
 from maskfold.operators.mask import MODES, masked, put_back
 from maskfold.plans import admission
 from maskfold.plans.pipelines import analyze, inspect, process, process_batch
@@ -21,6 +22,11 @@ def done(spark):
     return {mode: masked(docs, mode, session="id").cache() for mode in MODES}
 
 
+def restore(frame, text, mode="synthetic"):
+    """A text restored by the mappings of the one row of a frame."""
+    return frame.select(restored(F.lit(text), F.lit(mode), F.col("mappings")).alias("back")).first().back
+
+
 @pytest.mark.parametrize("mode", MODES)
 def test_exact_round_trip(done, mode):
     back = done[mode].select("text", put_back(F.col("masked_text"), F.col("occurrences"), True).alias("back"), put_back(F.col("text"), F.col("occurrences"), False).alias("again"), "masked_text")
@@ -35,7 +41,7 @@ def test_tokens_number_entities(done):
 def test_surrogates_are_new_stable_and_reversible(done, spark):
     row = done["synthetic"].where("id = '1'").first()
     assert "Иванов" not in row.masked_text and "4510 123456" not in row.masked_text
-    assert restore(row.masked_text, "synthetic", row.mappings) == TEXT
+    assert restore(done["synthetic"].where("id = '1'"), row.masked_text) == TEXT
     again = masked(analyze(spark.createDataFrame([("1", TEXT), ("9", TEXT)], "id string, text string")), "synthetic", session="id").orderBy("id").collect()
     assert again[0].masked_text == row.masked_text != again[1].masked_text
 
@@ -43,13 +49,20 @@ def test_surrogates_are_new_stable_and_reversible(done, spark):
 def test_reworded_surrogate_is_restored(done):
     row = done["synthetic"].where("id = '1'").first()
     who = row.mappings[0].synthetic_identity
-    assert restore(f"Ответ: {who.first} {who.surname} согласен", "synthetic", row.mappings) == "Ответ: Иван Иванов согласен"
+    said = lambda text: restore(done["synthetic"].where("id = '1'"), text)
+    assert said(f"Ответ: {who.first} {who.surname} согласен") == "Ответ: Иван Иванов согласен"
+    assert said(f"{who.first[0]}. {who.surname}, {who.surname} {who.first[0]}.{who.patronymic[0]}.") == "И. Иванов, Иванов И. П."
+    # whole words only, and a token is put back as well
+    assert said(f"x{who.first} {who.surname}y <PERSON_1>") == f"x{who.first} {who.surname}y Иванов Иван Петрович"
 
 
-def test_restored_text_is_not_replaced_again():
-    rows = [{"token": "<A_1>", "original": "<A_2>"}, {"token": "<A_2>", "original": "x"}]
-    assert restore("<A_1> <A_2>", "token", rows) == "<A_2> x"
-    assert restore("**", "partial", rows) == "**"
+def test_restored_text_is_not_replaced_again(spark):
+    rows = spark.createDataFrame([("<A_1>", "<A_2>"), ("<A_2>", "x")], "token string, original string").selectExpr("collect_list(struct(token, original)) AS pairs")
+    one = "named_struct('entity_id', '', 'type', 'EMAIL', 'original', p.original, 'token', p.token, 'synthetic', p.token, 'partial', '', 'original_nominal', '', 'synthetic_nominal', '', 'grammatical_case', '', 'gender', '', 'aliases', array(''), 'alias_types', array(''), 'original_identity', null, 'synthetic_identity', null, 'synthetic_fallback', '')"
+    rows = rows.select(F.expr(f"transform(pairs, p -> {one})").cast(f"array<{entities.MAPPING}>").alias("mappings"))
+    assert restore(rows, "<A_1> <A_2>", "token") == "<A_2> x"
+    assert restore(rows, "<A_1> <A_2><A_1", "synthetic") == "<A_2> x<A_1"
+    assert restore(rows, "**", "partial") == "**"
 
 
 def mention(start, *parts, gender="masc"):
@@ -68,21 +81,30 @@ def test_resolution_is_cautious():
     assert keys == ["1", "1", "2", "1", "3", "4"]
 
 
-def test_surrogates_of_each_type_keep_their_shape():
-    d = lambda: synthesis.Draws(7)
-    card = synthesis.surrogate("CARD_NUMBER", d(), "0000-0000-0000-0000")
-    assert len(card) == 19 and synthesis.luhn_digit(card.replace("-", "")[:-1]) == card[-1]
-    assert len(synthesis.surrogate("INN", d(), "0" * 12)) == 12
-    assert synthesis.surrogate("PHONE", d(), "+7 900 000-00-00").startswith("+7 ")
-    assert synthesis.surrogate("BIRTH_DATE", d(), "2000-01-02")[4] == "-"
-    with pytest.raises(KeyError):
-        synthesis.surrogate("NOTHING", d(), "x")
+def draw(seed, counter, n):
+    return int.from_bytes(hashlib.sha256(f"{seed}:{counter}".encode()).digest()[:8], "big") % n
+
+
+def test_draws_follow_the_stream(spark):
+    moduli = [2, 10, 1000, 23376, 1 << 30]
+    row = spark.range(1).select(synthesis.draws(F.lit("99"), F.array(*[F.lit(n) for n in moduli]), F.lit(3)).alias("d")).first()
+    assert row.d.xs == [draw(99, 3 + i, n) for i, n in enumerate(moduli)] and row.d.counter == 8
+
+
+def test_surrogates_of_each_type_keep_their_shape(spark):
+    kinds = [("CARD_NUMBER", "0000-0000-0000-0000"), ("INN", "0" * 12), ("PHONE", "+7 900 000-00-00"), ("BIRTH_DATE", "2000-01-02"), ("NOTHING", "x"), ("PASSPORT", "no digit")]
+    frame = spark.createDataFrame(kinds, "kind string, value string")
+    got = {r.kind: r.s for r in frame.select("kind", synthesis.surrogate(F.col("kind"), F.col("value"), F.lit(None).cast("string"), F.lit("7")).alias("s")).collect()}
+    card = got["CARD_NUMBER"].replace("-", "")
+    assert len(got["CARD_NUMBER"]) == 19 and sum(int(c) if i % 2 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(card)) % 10 == 0
+    assert len(got["INN"]) == 12 and got["PHONE"].startswith("+7 ") and got["BIRTH_DATE"][4] == "-"
+    assert got["NOTHING"] is None and got["PASSPORT"] == "no digit"
 
 
-def test_exhausted_pool_gives_the_token():
-    used = {"Россия"} | set(synthesis.fv.COUNTRIES)
-    out = synthesis.choose({"type": "CITIZENSHIP", "original_nominal": "Россия", "gender": None, "token": "<C_1>"}, "k", "s", used, "")
-    assert out["synthetic"] == "<C_1>" and out["synthetic_fallback"] == "token"
+def test_no_free_surrogate_gives_the_token(spark):
+    text = "гражданство: " + ", ".join(synthesis.fv.COUNTRIES)
+    row = masked(analyze(spark.createDataFrame([("1", text)], "id string, text string"), only=("citizenship",)), "synthetic", session="id", names=False).first()
+    assert [(x.synthetic, x.synthetic_fallback) for x in row.mappings] == [("<CITIZENSHIP_1>", "token")] and "<CITIZENSHIP_1>" in row.masked_text
 
 
 def test_inspect(spark):
