@@ -113,6 +113,18 @@ FLOWS: dict[str, str] = {
     "s02_inspect": f"""WITH RECURSIVE {decided()}, {_COUNTS}, {ENTITIES}, {spliced('tok', 'token')}, {spliced('tok', 'original', name='back')}
       SELECT doc_id, coalesce(n_detected, 0)::INT AS n_detected, coalesce(n_masked, 0)::INT AS n_masked, done.out AS masked_text, back.out AS demasked, back.out = done.text AS round_trip_ok,
       coalesce(ents, 0)::INT AS n_mappings FROM done JOIN back USING (doc_id) LEFT JOIN counts USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS ents FROM num GROUP BY doc_id) USING (doc_id)""",
+    "s02_inspect_consumers": f"""WITH RECURSIVE {decided().replace("decided AS (", "judged_all AS (")},
+      asked AS (SELECT doc_id, text, ['token', 'partial', 'bogus', 'token', 'partial'][doc_id % 5 + 1] AS mode, [NULL, 'chat-assistant', 'analytics-pipeline', 'nobody'][(doc_id // 20) % 4 + 1] AS consumer FROM ru),
+      said AS (SELECT *, CASE WHEN mode = 'bogus' THEN 'invalid_mode' WHEN consumer = 'nobody' THEN 'unknown_consumer' ELSE '' END AS error FROM asked),
+      barred AS (SELECT j.*, mode, error, decision = 'MASK' AND coalesce(consumer = 'chat-assistant', false) AND type NOT IN ('FULL_NAME', 'PHONE', 'EMAIL', 'PASSPORT', 'CARD_NUMBER', 'CVV', 'PIN') AS excluded FROM judged_all j JOIN said USING (doc_id)),
+      decided AS (SELECT * REPLACE (CASE WHEN excluded THEN 'KEEP' ELSE decision END AS decision) FROM barred WHERE error = ''),
+      {_COUNTS}, {ENTITIES}, both_modes AS (SELECT tok.*, CASE WHEN mode = 'token' THEN token ELSE {PARTIAL} END AS new, CASE WHEN mode = 'token' THEN original ELSE {PARTIAL} END AS old FROM tok JOIN said USING (doc_id)),
+      {spliced('both_modes', 'new')}, {spliced('both_modes', 'old', name='back')},
+      kinds AS (SELECT doc_id, string_agg(type, ',' ORDER BY start) AS excluded FROM decided WHERE excluded GROUP BY doc_id)
+      SELECT doc_id, mode, CASE error WHEN 'invalid_mode' THEN 422 WHEN 'unknown_consumer' THEN 404 ELSE 200 END AS status, error, CASE WHEN error = '' THEN done.out ELSE '' END AS masked_text,
+      CASE WHEN error <> '' THEN '' ELSE back.out END AS demasked, CASE WHEN error = '' AND mode = 'token' THEN (back.out = done.text)::VARCHAR ELSE '' END AS round_trip_ok,
+      CASE WHEN error <> '' THEN -1 ELSE coalesce(n_detected, 0) END AS n_detected, CASE WHEN error <> '' THEN -1 ELSE coalesce(n_masked, 0) END AS n_masked, coalesce(excluded, '') AS excluded
+      FROM said JOIN done USING (doc_id) JOIN back USING (doc_id) LEFT JOIN counts USING (doc_id) LEFT JOIN kinds USING (doc_id)""",
     "t01_process_directions": f"""WITH {_DOCUMENT_SPANS}, {spliced('t', 'token', 'documents')}, {spliced('t', 'original', 'documents', 'back')},
       q AS (SELECT doc_id, doc_id % 4 AS k, done.text, done.out AS masked, back.out AS content FROM done JOIN back USING (doc_id))
       SELECT CASE WHEN k = 3 THEN 'new' ELSE '' END || doc_id AS payload_id, CASE WHEN k = 3 THEN 'mask' WHEN k = 0 OR k = 1 AND masked = text THEN 'retry_mask' ELSE 'demask' END AS direction,
@@ -121,7 +133,7 @@ FLOWS: dict[str, str] = {
       d AS (SELECT doc_id AS k, text, masked_text FROM documents JOIN masked USING (doc_id)),
       q AS (SELECT k, CASE WHEN k % 7 = 0 THEN '' ELSE k::VARCHAR END AS id, text AS payload, 2 * k AS seq FROM d
         UNION ALL SELECT k, k::VARCHAR, CASE WHEN k % 3 = 0 THEN text ELSE 'another' END, 2 * k + 1 FROM d WHERE k % 3 < 2),
-      s AS (SELECT *, CASE WHEN id = '' THEN 422 WHEN k % 5 = 0 THEN 404 ELSE 200 END AS st FROM q),
+      s AS (SELECT *, CASE WHEN id = '' THEN 422 WHEN length(payload) > 3000 THEN 413 WHEN k % 5 = 0 THEN 403 ELSE 200 END AS st FROM q),
       f AS (SELECT *, first_value(payload) OVER (PARTITION BY id, st ORDER BY seq) AS won FROM s),
       a AS (SELECT k, id, seq, CASE WHEN st <> 200 THEN st WHEN payload = won THEN 200 ELSE 409 END AS status, CASE WHEN won = 'another' THEN won ELSE masked_text END AS made FROM f JOIN d USING (k))
       SELECT id AS payload_id, seq, CASE WHEN status IN (200, 409) THEN 'mask' ELSE '' END AS direction, status, sha256(CASE WHEN status = 200 THEN made ELSE '' END) AS result FROM a""",

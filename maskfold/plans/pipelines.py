@@ -13,11 +13,16 @@ from ..operators.decide import decided
 from ..operators.demask import restored
 from ..operators.detectors import detect
 from ..operators.mask import MODES, masked, put_back
+from ..sources.shared import written
 from ..sources.tables import with_policy
 from ..sources.vault import answer, insert_if_absent, live, mark_demasked, records
 from .admission import MAX_PAYLOAD
 
 
+#: What inspecting a text adds to it.
+ANALYSIS = ("candidates", "decisions", "masked_text", "mappings", "occurrences", "n_detected", "n_masked", "demasked", "round_trip_ok")
+
+
 def analyze(docs: DataFrame, text: str = "text", only: tuple[str, ...] | None = None, mask_types: Column | None = None) -> DataFrame:
     """``docs`` with candidates (disjoint) and decisions."""
     return decided(detect(docs, text, only), text, mask_types)
@@ -32,6 +37,26 @@ def inspect(docs: DataFrame, mode: str = "partial", text: str = "text", mask_typ
     return out.withColumn("round_trip_ok", F.when(F.lit(mode) != "partial", F.col("demasked").eqNullSafe(F.col(text))))
 
 
+def inspect_requests(requests: DataFrame, dimension: DataFrame, text: str = "text") -> DataFrame:
+    """:func:`inspect` for requests that name their own ``mode`` (null: partial) and ``consumer_id`` (null: the default one), whose types alone are masked.
+
+    ``status`` and ``error`` follow: a mode that is none (422) and an unknown consumer (404) come back without an analysis, all its columns null; a disabled one is still explained.
+    """
+    mode = F.coalesce("mode", F.lit("partial"))
+    known = with_policy(requests, dimension)
+    error = F.when(~mode.isin(*MODES), "invalid_mode").when(F.col("error_category") == "not_found", "unknown_consumer")
+    judged = known.withColumn("mode", mode).withColumn("error", error).withColumn("status", F.when(error == "invalid_mode", 422).when(error == "unknown_consumer", 404).otherwise(200))
+    told = [*requests.columns] + ([] if "mode" in requests.columns else ["mode"]) + ["status", "error"]
+    out = []
+    for kind in MODES:
+        # the mode of a request is told by its own column, the analysis has that of the loop
+        mine = judged.where(F.col("error").isNull() & (F.col("mode") == kind))
+        out.append(inspect(mine, kind, text, mask_types=F.col("mask_types")).select(*told, *ANALYSIS))
+    refused = judged.where(F.col("error").isNotNull())
+    empty = [F.lit(None).cast(out[0].schema[c].dataType).alias(c) for c in ANALYSIS]
+    return reduce(DataFrame.unionByName, [*out, refused.select(*told, *empty)])
+
+
 def first_requests(requests: DataFrame, mode: str, now: Column, demask: Column | None = None, secret: str | None = None, only: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
     """(answers, new records) for requests (payload_id, payload) that have no record: surrogates are seeded by the payload_id."""
     names = only is None or "fio" in only
@@ -51,23 +76,23 @@ def process(requests: DataFrame, vault: DataFrame, mode: str, now: Column, secre
     return known.unionByName(reworded).unionByName(new.select(keep))
 
 
-def process_batch(requests: DataFrame, vault: DataFrame, dimension: DataFrame, now: Column, secret: str | None = None, only: tuple[str, ...] | None = None, modes: tuple[str, ...] = MODES) -> tuple[DataFrame, DataFrame]:
+def process_batch(
+    requests: DataFrame, vault: DataFrame, dimension: DataFrame, now: Column, secret: str | None = None, only: tuple[str, ...] | None = None, modes: tuple[str, ...] = MODES, max_payload: int = MAX_PAYLOAD
+) -> tuple[DataFrame, DataFrame]:
     """(answers, vault afterwards) for a batch of requests (payload_id, payload, seq, consumer_id).
 
-    A request without payload_id or payload is rejected (422), one beyond the size limit too (413), as are an unknown (404) and a disabled
+    A request without payload_id or payload is rejected (422), one beyond the size limit too (413), as is one of an unknown or disabled
     consumer (403). Of several first texts of one key the first in ``seq`` makes the record: the same text gets the same answer, another one a
     conflict (409), as nobody has seen the masked text yet. Restored records go over to the grace state. ``modes`` are those that the
-    consumers' policies have; the fewer, the smaller the plan.
+    consumers' policies have; the fewer, the smaller the plan. First texts are masked once, into a table of the shared folder from which both answers and records come.
     """
     mode = F.col("masking_mode")
     policy = with_policy(requests, dimension)
     status = (
         F.when(F.coalesce(F.length("payload_id"), F.lit(0)) == 0, 422)
         .when(F.col("payload").isNull(), 422)
-        .when(F.length("payload") > MAX_PAYLOAD, 413)
-        .when(F.col("error_category") == "not_found", 404)
-        .when(F.col("error_category") == "disabled", 403)
-        .otherwise(200)
+        .when(F.length("payload") > max_payload, status_of_error(F.lit("too_large")))
+        .otherwise(status_of_error(F.col("error_category")))
     )
     judged = policy.withColumn("status", status)
     held = live(vault, now)
@@ -76,15 +101,16 @@ def process_batch(requests: DataFrame, vault: DataFrame, dimension: DataFrame, n
     turn = Window.partitionBy("payload_id").orderBy("seq")
     print_ = fingerprint(F.col("payload"), secret)
     ranked = fresh.withColumn("_print", print_).withColumn("_first", F.first("_print").over(turn)).withColumn("_n", F.row_number().over(turn))
-    made, added = [], []
+    made = []
     for kind in modes:
         winners = ranked.where((F.col("_n") == 1) & (F.coalesce("asked_mode", F.lit("partial")) == kind)).select("payload_id", "payload", "mask_types", "allow_demask")
         names = only is None or "fio" in only
         out = masked(analyze(winners, "payload", only, mask_types=F.col("mask_types")), kind, "payload", session="payload_id", names=names)
-        made.append(out.select("payload_id", F.col("masked_text").alias("_masked")))
-        added.append(records(out, "payload", now, F.col("allow_demask"), secret))
-    first, new = reduce(DataFrame.unionByName, made), reduce(DataFrame.unionByName, added)
-    firsts = ranked.join(first, "payload_id").withColumn("status", F.when(F.col("_print") == F.col("_first"), 200).otherwise(409))
+        both = records(out.withColumn("_masked", F.col("masked_text")), "payload", now, F.col("allow_demask"), secret, also=("_masked",))
+        made.append(both)
+    masks = written(reduce(DataFrame.unionByName, made), "masked")
+    first, new = masks.select("payload_id", "_masked"), masks.drop("_masked")
+    firsts = ranked.join(first, "payload_id").withColumn("status", F.when(F.col("_print") == F.col("_first"), 200).otherwise(status_of_error(F.lit("conflict"))))
     fields = ["payload_id", "seq", "direction", "status", "result"]
     answers = firsts.withColumn("result", F.when(F.col("status") == 200, F.col("_masked"))).select(fields)
     known = told.where("way in ('retry_mask', 'echo', 'demask_exact')").withColumn("status", F.lit(200)).select(fields)

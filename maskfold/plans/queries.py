@@ -19,7 +19,7 @@ from ..operators.demask import restored, restored_tokens
 from ..sources import tables as src
 from ..sources import vault as vt
 from ..sources.names_corpus import names_corpus
-from ..sources.shared import new_path
+from ..sources.shared import new_path, written
 from ..sources.vault_sink import VaultSink, vault_stream
 from . import admission as ad
 from . import pipelines as pl
@@ -190,6 +190,20 @@ def inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_detected", "n_masked", "masked_text", "demasked", "round_trip_ok", F.size("mappings").alias("n_mappings"))
 
 
+def inspect_consumers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts explained for several consumers and modes, some of which there are not."""
+    k = F.col("doc_id")
+    mode = F.get(F.array(F.lit("token"), F.lit("partial"), F.lit("bogus"), F.lit("token"), F.lit(None)), (k % 5).cast("int"))
+    consumer = F.get(F.array(F.lit(None), F.lit("chat-assistant"), F.lit("analytics-pipeline"), F.lit("nobody")), (F.floor(k / 20) % 4).cast("int"))
+    out = pl.inspect_requests(src.ru_corpus(spark, sf_dir).withColumn("mode", mode).withColumn("consumer_id", consumer), src.policies(spark))
+    kept = F.array_join(F.transform(F.filter("decisions", lambda d: F.array_contains(d["reasons"], "consumer_policy_excludes_type")), lambda d: d["type"]), ",")
+    none = F.lit("")
+    return out.select(
+        "doc_id", "mode", "status", F.coalesce("error", none).alias("error"), F.coalesce("masked_text", none).alias("masked_text"), F.coalesce("demasked", none).alias("demasked"),
+        F.coalesce(F.col("round_trip_ok").cast("string"), none).alias("round_trip_ok"), F.coalesce("n_detected", F.lit(-1)).alias("n_detected"), F.coalesce("n_masked", F.lit(-1)).alias("n_masked"), F.coalesce(kept, none).alias("excluded"),
+    )
+
+
 def _name_rows(docs: DataFrame) -> DataFrame:
     out = dt.detect(docs, only=("fio",))
     return out.select("doc_id", F.explode("candidates").alias("c")).select("doc_id", "c.value", "c.start", "c.end", "c.confidence", "c.meta.gram_case", "c.meta.gender", "c.meta.nominal_form", "c.meta.alias_type", "c.meta.known_public_figure")
@@ -245,7 +259,7 @@ def process_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second round of requests against the first round's records: known, masked, reworded and new texts."""
     now = F.lit("2024-01-01").cast("timestamp")
     docs = src.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("payload_id"), F.col("text").alias("payload"))
-    done = mk.masked(pl.analyze(docs, "payload", only=FLAGSHIP), "token", "payload", names=False)
+    done = written(mk.masked(pl.analyze(docs, "payload", only=FLAGSHIP), "token", "payload", names=False), "masked")
     vault = vt.records(done, "payload", now)
     k = F.col("payload_id").cast("bigint") % 4
     again = done.select(
@@ -257,8 +271,12 @@ def process_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("payload_id", "direction", F.sha2("result", 256).alias("result"))
 
 
+#: Characters that a payload may have in this batch.
+MOST = 3_000
+
+
 def process_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A batch of first requests with repeats, conflicts, missing ids and unknown consumers."""
+    """A batch of first requests with repeats, conflicts, missing ids, long payloads and unknown consumers."""
     now = F.lit("2024-01-01").cast("timestamp")
     docs, k = src.table(spark, sf_dir, "documents"), F.col("doc_id")
     base = docs.select(k.cast("string").alias("id"), F.col("text").alias("payload"), k.alias("k"))
@@ -267,7 +285,7 @@ def process_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     two = base.where("k % 3 < 2").select(F.col("id").alias("payload_id"), F.when(F.col("k") % 3 == 0, F.col("payload")).otherwise(F.lit("another")).alias("payload"), (2 * F.col("k") + 1).alias("seq"), consumer.alias("consumer_id"))
     requests = one.unionByName(two)
     vault = spark.createDataFrame([], f"payload_id string, {vt.RECORD}")
-    answers, _ = pl.process_batch(requests, vault, src.policies(spark), now, only=FLAGSHIP, modes=("partial",))
+    answers, _ = pl.process_batch(requests, vault, src.policies(spark), now, only=FLAGSHIP, modes=("partial",), max_payload=MOST)
     return answers.select("payload_id", "seq", F.coalesce("direction", F.lit("")).alias("direction"), "status", F.sha2(F.coalesce("result", F.lit("")), 256).alias("result"))
 
 
@@ -380,6 +398,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p04_consumer_policies": consumer_policies,
     "r05_partial_mask_all": partial_mask_all,
     "s02_inspect": inspect,
+    "s02_inspect_consumers": inspect_consumers,
     "s05_vault_inserts": vault_inserts,
     "s06_vault_stream": vault_stream_of_events,
     "t01_process_directions": process_directions,

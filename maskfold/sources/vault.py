@@ -19,12 +19,12 @@ RECORD = (
 )
 
 
-def records(masked: DataFrame, text: str, now: Column, demask: Column | None = None, secret: str | None = None, ttl: int = TTL_SECONDS) -> DataFrame:
-    """payload_id and record columns for masked documents that have a payload_id."""
+def records(masked: DataFrame, text: str, now: Column, demask: Column | None = None, secret: str | None = None, ttl: int = TTL_SECONDS, also: tuple[str, ...] = ()) -> DataFrame:
+    """payload_id and record columns for masked documents that have a payload_id; and columns ``also`` of theirs."""
     return masked.select(
         "payload_id", F.lit(VERSION).alias("version"), F.lit(ACTIVE).alias("state"), "mode", fingerprint(F.col(text), secret).alias("original_fingerprint"),
         fingerprint(F.col("masked_text"), secret).alias("transformed_fingerprint"), (F.size("mappings") == 0).alias("no_pii"), (F.lit(True) if demask is None else demask).alias("demask_enabled"),
-        "mappings", "occurrences", now.alias("created_at"), F.lit(None).cast("timestamp").alias("demasked_at"), (now + F.make_dt_interval(secs=F.lit(ttl))).alias("expires_at"),
+        "mappings", "occurrences", now.alias("created_at"), F.lit(None).cast("timestamp").alias("demasked_at"), (now + F.make_dt_interval(secs=F.lit(ttl))).alias("expires_at"), *also,
     )
 
 
