@@ -2,8 +2,8 @@
 
 Features are the distinct words, pairs of neighbours and pairs with one word between them of the whole text,
 lower-cased (A-Z) and hashed to 32 bits. Training runs on a bounded sample of labelled rows (``SAMPLE``, half of
-them toxic as far as there are so many); of each of them at most ``FEATURES`` features come to the driver, those with the least hashes
-(so the same ones of every text), 100 MB in all at most. Per-coordinate rates and an
+them toxic as far as there are so many), of which all features of the whole texts are taken. The documents that have a feature are counted on the
+executors; those in fewer than ``LEAST_DOCS`` of them are never learned and stay there, and all others come to the driver, four bytes each. Per-coordinate rates and an
 L1 penalty leave some hundreds of weights; these are broadcast and looked up by a vectorised scan of whole texts.
 
 Defined results: null and empty texts have no features and score the bias; very long texts are scored whole; without labels of
@@ -24,12 +24,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
-from .common import boxed, scan, table, unboxed
+from .common import boxed, remove, saved, scan, table, unboxed
 from .samples import held_out, labelled, texts_of
 
 SAMPLE = 6_000
-#: Features that a text of the sample brings to the driver at most; one of up to some 1,300 words brings all.
-FEATURES = 4_096
 FOLDS, FOLD = 5, 0
 THRESHOLD = 0.5
 RATE, SMOOTH, L1, L2, EPOCHS = 1.0, 1.0, 30.0, 0.1, 16
@@ -59,10 +57,33 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             both = np.unique(of.astype(np.uint64) << np.uint64(32) | found)
             cut = np.searchsorted(both >> np.uint64(32), np.arange(j - i + 1))
             low = both.astype(np.uint32)
-            packed += [low[s:e][:FEATURES].tobytes() for s, e in zip(cut[:-1], cut[1:], strict=True)]
+            packed += [low[s:e].tobytes() for s, e in zip(cut[:-1], cut[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(packed, pa.binary())], names=["doc_id", "y", "x"])
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of a batch's documents have each feature."""
+    for b in batches:
+        found, n = np.unique(np.frombuffer(b"".join(b.column("x").to_pylist()), np.uint32), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+
+def _only(often: np.ndarray):
+    """Rows whose features are those of a sorted array alone."""
+
+    def known(x: bytes) -> bytes:
+        own = np.frombuffer(x, np.uint32)
+        place = np.minimum(np.searchsorted(often, own), max(len(often) - 1, 0))
+        return own[often[place] == own].tobytes() if len(often) else b""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = pa.array([known(x) for x in b.column("x").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), rows], names=["doc_id", "y", "x"])
+
+    return keep
+
+
 @dataclass
 class Weights:
     """Sorted feature hashes and their weights."""
@@ -126,7 +147,12 @@ def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, rate: float
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = FOLDS, fold: int = FOLD) -> Weights:
     rows = texts_of(docs, labelled(labels, "toxic", sample, folds, fold, balanced=True))
-    got = scan(rows.select("doc_id", "y", "text"), _sample_features, "doc_id bigint, y int, x binary").toArrow().sort_by("doc_id")
+    kind = "doc_id bigint, y int, x binary"
+    packed = saved(scan(rows.select("doc_id", "y", "text"), _sample_features, kind), "sample-features")
+    often = scan(packed.select("x"), _counted, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCS)
+    often = np.sort(often.select("h").toArrow().column("h").to_numpy()).astype(np.uint32)
+    got = scan(packed, _only(often), kind).toArrow().sort_by("doc_id")
+    remove(docs.sparkSession, packed)
     return fit([np.frombuffer(x, np.uint32) for x in got.column("x").to_pylist()], got.column("y").to_numpy().astype(float))
 
 
