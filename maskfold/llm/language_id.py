@@ -3,8 +3,8 @@
 Texts are lower-cased, everything but letters becomes one kind of gap, and n-grams of one to three code
 points are hashed to ``BUCKETS``. A text's features are n-gram shares times inverse document
 frequencies. Weights are learned by follow-the-regularised-leader steps with an elastic-net penalty from a bounded
-sample: some ``SAMPLE`` documents, dealt evenly over the languages (a language of few documents gives all of them), and a short piece
-of each, so that short texts are known as well. Of each text at most ``FEATURES`` features, the largest, come to the driver. A
+sample: some ``SAMPLE`` documents, dealt evenly over the ``MOST_LANGS`` languages that most documents have (a language of few documents gives all of them), and a short piece
+of each, so that short texts are known as well. All features of the whole texts are learned from; there are ``BUCKETS`` at most. A
 temperature calibrates the probabilities; it is fitted on a tenth of the sampled documents, whole texts and pieces, that training never sees.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; if nothing could be learned,
@@ -30,7 +30,7 @@ from .samples import held_out
 
 SAMPLE = 4_000
 LEAST_SAMPLE = 20  # documents of a language, however many languages there are
-FEATURES = 4_096
+MOST_LANGS = 128  # languages that are learned: those of most documents, of equally many the first in code-point order
 FOLDS, FOLD = 4, 2
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -146,9 +146,6 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             piece = _sparse([t[(at := len(t) // 3) : at + PIECE] for t in texts[i:j]])
             for k in range(i, j):
                 for n, (bucket, value) in enumerate((whole[k - i], piece[k - i])):
-                    if len(value) > FEATURES:
-                        most = np.sort(np.argsort(-value, kind="stable")[:FEATURES])
-                        bucket, value = bucket[most], value[most]
                     rows.append((k, n, bucket.astype(np.uint16).tobytes(), value.astype(np.float32).tobytes()))
         keys = b.select(["key", "lang"]).take(pa.array([r[0] for r in rows], pa.int64()))
         yield pa.RecordBatch.from_arrays([*keys.columns, pa.array([r[1] for r in rows], pa.int32()), *[pa.array([r[k] for r in rows], pa.binary()) for k in (2, 3)]], names=["key", "lang", "part", "bucket", "value"])
@@ -195,11 +192,11 @@ def train(docs: DataFrame, sample: int = SAMPLE, folds: int = FOLDS, fold: int =
     gives it about ``sample`` / languages documents, so that no language is too rare to be learned."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), folds, fold))
     known = known.select("lang", "text", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text").alias("key"))
-    counts = saved(known.groupBy("lang").agg(F.count("*").alias("n")), "langs")
+    counts = saved(known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS), "langs")
     each = max(sample / max(1, counts.count()), LEAST_SAMPLE)
     share = counts.select("lang", F.least(F.lit(float(each)) / F.col("n"), F.lit(1.0)).alias("share"))
     chance = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1 << 32)) / F.lit(float(1 << 32))
-    rows = lookup(known, share, ["lang"]).where(chance < F.col("share"))
+    rows = lookup(known, share, ["lang"]).where(chance < F.col("share"))  # languages that are not learned have no share
     rows = rows.groupBy("lang", "key").agg(F.max("text").alias("text"))  # repeated rows once
     got = scan(rows, _sample_features, "key bigint, lang string, part int, bucket binary, value binary").toArrow()
     got = got.sort_by([("lang", "ascending"), ("key", "ascending"), ("part", "ascending")])

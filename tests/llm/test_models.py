@@ -1,13 +1,16 @@
 """Classifiers by held-out accuracy, extraction on fixtures, and the pipeline."""
 
 import math
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from maskfold.llm import html_extract, language_id, quality_classifier, toxicity
+from maskfold.llm import textkit as tk
 
 MIDDLE = "/root/testdata/sf0.01"
 
@@ -224,3 +227,27 @@ def test_extraction_of_a_table(spark, small):
     assert out.count() == spark.read.parquet(f"{small}/pages.parquet").count() and out.where("n_chars <> length(text)").count() == 0
     odd = spark.createDataFrame([(1, None, "x"), (None, "<article>a</article>", "y")], "page_id long, html string, text string")
     assert {(r.page_id, r.text) for r in html_extract.extracted(odd).collect()} == {(1, ""), (None, "a")}
+
+
+def test_long_texts_bring_all_their_features(spark):
+    """A text of 20,000 distinct words: what is learned from it does not depend on where its words hash to."""
+    long = " ".join(f"word{i}" for i in range(20_000))
+    docs = [(i, f"{long} {'vile' if i % 2 else 'kind'}{i % 3} end") for i in range(12)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id bigint, toxic int")
+    data, at = tk.utf8(pa.array([t for _, t in docs]))
+    found, of = toxicity.features(data, at)
+    rows = [np.unique(found[of == i]) for i in range(len(docs))]
+    y = np.array([i % 2 for i, _ in docs], float)
+    keep = [i for i, _ in docs if zlib.crc32(str(i).encode()) % 5]
+    want = toxicity.fit([rows[i] for i in keep], y[keep])
+    got = toxicity.train(frame, labels)
+    assert min(len(r) for r in rows) > 50_000
+    assert (got.hashes == want.hashes).all() and np.allclose(got.values, want.values) and np.isclose(got.bias, want.bias)
+
+
+def test_languages_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_LANGS", 2)
+    rows = [(i, "der die das und ist nicht" if i % 2 else "the and of that is not", "de" if i % 2 else "en") for i in range(80)] + [(1000 + i, "qqq", f"dirty{i}") for i in range(60)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert model.langs == ["de", "en"]
