@@ -6,6 +6,8 @@ Types: taxpayer numbers and codes by keywords nearby, dates without a calendar,
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from ..functions.scalars import inn_valid, let, luhn_valid, mask_alnum, mask_dig
 from ..functions.spans import find_spans
 from .decide import hits, sentence_bounds
 
+_NAME_WORD = "[А-ЯЁ][а-яё]+"
 _TOWN = "[А-ЯЁ][а-яё]+(?:-[А-ЯЁа-яё][а-яё]+)?"
 # What each type looks like, and the keywords that must be near, with their radius in bytes.
 PATTERNS = {
@@ -71,6 +74,102 @@ def _typed(spans: Column, kind: Column | str | object, keep=None) -> Column:
     return F.filter(out, lambda s: s["type"].isNotNull()).cast(f"array<{SPAN}>")
 
 
+# The profile's own name words. Given names in the nominative, forms that no ending leads back, endings of patronymics and surnames, and words that are no names.
+GIVEN = {
+    "masc": "иван александр дмитрий алексей сергей михаил николай андрей павел максим антон юрий петр пётр лев роман виктор олег игорь владимир евгений илья егор тимур марат матвей глеб марк степан никита артем артём денис кирилл богдан руслан родион демид ярослав вячеслав станислав григорий".split(),
+    "femn": "анна мария елена ольга наталья екатерина ирина алина дарья светлана татьяна юлия полина виктория ксения вера алиса инна ева лада жанна надежда любовь галина валентина маргарита".split(),
+}
+OBLIQUE = "павла павлу павлом павле льва льву львом льве петра петру петром петре пётра марка марку марком".split()
+PATRONYMIC_ENDS = "овичу евичу овичем евичем овиче евиче ович евич ичем ичу иче овича евича ьича ича ыча ьичем ьичу ьиче ьич ич ыч овне евне овною евною овной евной овну евну овна евна ичной ичны ична ичне ичну овны евны".split()
+SURNAME_ENDS = (
+    "овым евым иным ыным овой евой иной ыной скому цкому ского цкого ским цким ском цком ову еву ину ыну ова ева ина ына ове еве ине ыне ской цкой ская цкая скую цкую ов ев ин ын ский цкий ко ук юк енко ой ая ую ого ому ым".split()
+)
+GIVEN_ENDS = "ой ем ём ом ей ии ию ья ье ью ы у ю а я е и".split()
+NOMINAL_ENDS = "ого ому ой ем ём ом ей ую ая ым ье ья ью ы у ю е и а я".split()
+TAILS = ("", "а", "я", "й", "ий", "ь")
+STEM_ENDS = "ов ев ин ын вич вн".split()
+ADJECTIVE_STEMS = "ст цк ск".split()
+NO_NAMES = "клиент банк заявитель договор паспорт россия москва отдел улица город".split()
+#: Runs of two or three name words with a given name or patronymic among them, as signs: a space or a bar before each word, and its letter.
+NAME_RUN = "(?:[NP] [NPS](?: [NPS])?|S [NP](?: [NPS])?|S S [NP])"
+GAP_BYTES = 3
+
+
+def _ends(word: Column, ends: list[str]) -> Column:
+    """Whether a word has one of the endings and two letters at least before it."""
+    return F.exists(F.split(F.lit(",".join(ends)), ","), lambda e: F.endswith(word, e) & (F.length(word) > F.length(e) + 1))
+
+
+def names_of_word(word: Column) -> Column:
+    """struct(letter, gender, nominal) of a lower-case word: N, P, S for a given name, patronymic or surname by list and endings, else null; and the form that its mentions share."""
+    given = {w: g for g, words in GIVEN.items() for w in words} | {w: "masc" for w in OBLIQUE}
+    known = lambda w: F.try_element_at(F.from_json(F.lit(json.dumps(given, ensure_ascii=False)), "map<string,string>"), w)
+    tails = F.split(F.lit("|".join(TAILS)), r"\|")
+
+    def bases(ends: list[str], least: int) -> Column:
+        fits = F.filter(F.split(F.lit(",".join(ends)), ","), lambda e: F.endswith(word, e) & (F.length(word) > F.length(e) + least))
+        return F.transform(fits, lambda e: F.substr(word, F.lit(1), F.length(word) - F.length(e)))
+
+    listed = lambda base: F.filter(F.transform(tails, lambda t: F.concat(base, t)), lambda w: known(w).isNotNull())
+
+    def nominal_of(base: Column) -> Column:
+        stem = lambda ends: F.exists(F.split(F.lit(",".join(ends)), ","), lambda e: F.endswith(base, e))
+        own = _ends(base, SURNAME_ENDS) | _ends(base, PATRONYMIC_ENDS) | stem(STEM_ENDS)
+        return F.coalesce(F.get(listed(base), F.lit(0)), F.when(own, base), F.when(stem(ADJECTIVE_STEMS), F.concat(base, F.lit("ой"))))
+
+    first = lambda words: F.get(F.filter(words, lambda w: w.isNotNull()), F.lit(0))
+    inflected = F.get(F.flatten(F.transform(bases(GIVEN_ENDS, 1), listed)), F.lit(0))
+    nominal = F.when(known(word).isNotNull(), word).otherwise(F.coalesce(first(F.transform(bases(NOMINAL_ENDS, 1), nominal_of)), word))
+    gender = F.coalesce(known(word), known(inflected))
+    patronymic, surname = _ends(word, PATRONYMIC_ENDS), _ends(word, SURNAME_ENDS)
+    woman = lambda: F.get(F.filter(F.split(F.lit(",".join(PATRONYMIC_ENDS)), ","), lambda e: F.endswith(word, e) & (F.length(word) > F.length(e) + 1)), F.lit(0)).rlike("вн|чн")
+    last = F.get(F.filter(F.split(F.lit(",".join(SURNAME_ENDS)), ","), lambda e: F.endswith(word, e) & (F.length(word) > F.length(e) + 1)), F.lit(0))
+    letter = F.when(gender.isNotNull(), "N").when(patronymic, "P").when(surname, "S")
+    sex = F.when(gender.isNotNull(), gender).when(patronymic, F.when(woman(), "femn").otherwise("masc")).when(surname, F.when(last.rlike("а$|ая$"), F.lit(None)).otherwise("masc"))
+    return F.struct(letter.alias("letter"), sex.alias("gender"), nominal.alias("nominal"))
+
+
+def names(text: Column) -> Column:
+    """Runs of name words no more than ``GAP_BYTES`` bytes of white space apart, and surnames with initials, as struct(type, value, start, end, identity_key, gender)."""
+    kind = "array<struct<type:string,value:string,start:int,end:int,identity_key:string,gender:string>>"
+    told = F.transform(find_spans(text, f"{_NAME_WORD}(?:-{_NAME_WORD})?"), lambda s: let(names_of_word(F.lower(s["value"])), lambda r: F.struct(s["value"].alias("value"), s["start"].alias("start"), s["end"].alias("end"), F.when(~F.lower(s["value"]).isin(*NO_NAMES), r["letter"]).alias("letter"), r["gender"].alias("gender"), r["nominal"].alias("nominal"))))
+
+    def runs(w: Column) -> Column:
+        def sign(x: Column, i: Column) -> Column:
+            before = F.get(w, i - 1)["end"]
+            gap = F.substr(text, before + 1, x["start"] - before)
+            near = (i > 0) & gap.rlike(r"(?U)^\s*$") & (F.octet_length(gap) <= GAP_BYTES)
+            return F.concat(F.when(near, F.lit(" ")).otherwise("|"), F.coalesce(x["letter"], F.lit("-")))
+
+        def one(span: Column) -> Column:
+            inner = F.slice(w, ((span["start"] - 1) / 2).cast("int") + 1, ((F.length(span["value"]) + 1) / 2).cast("int"))
+
+            def built(p: Column) -> Column:
+                start, end = F.get(p, F.lit(0))["start"], F.element_at(p, -1)["end"]
+                gender = F.get(F.filter(F.transform(p, lambda x: x["gender"]), lambda g: g.isNotNull()), F.lit(0))
+                value = F.substr(text, start + 1, end - start)
+                # words that stand together without white space are one word to the key
+                words = F.transform(F.filter(F.split(value, r"(?U)\s+"), lambda x: x != ""), lambda x: names_of_word(F.lower(x))["nominal"])
+                return F.struct(F.lit("FULL_NAME"), value, start, end, F.concat(F.lit("person:"), F.array_join(words, " ")), gender)
+
+            return let(inner, built)
+
+        return F.transform(find_spans(F.array_join(F.transform(w, sign), ""), NAME_RUN), one)
+
+    def short(pattern: str) -> Column:
+        def one(s: Column) -> Column:
+            value = F.regexp_replace(s["value"], " +$", "")
+            word = F.element_at(F.filter(F.split(value, r"(?U)\s+"), lambda x: F.length(x) > 2), -1)
+            surname = F.coalesce(_ends(F.lower(word), SURNAME_ENDS), F.lit(False))
+            return F.when(surname, F.struct(F.lit("FULL_NAME"), value, s["start"], (s["start"] + F.length(value)).cast("int"), F.concat(F.lit("person:"), names_of_word(F.lower(word))["nominal"]), F.lit(None).cast("string")).cast(kind[6:-1]))
+
+        longest = lambda s: F.size(F.filter(F.split(s["value"], r"(?U)\s+"), lambda x: F.length(x) > 2)) > 0
+        return F.filter(F.transform(F.filter(find_spans(text, pattern), longest), one), lambda c: c.isNotNull())
+
+    initials = r"(?:[А-ЯЁ]\.\s?)"
+    return F.coalesce(F.concat(let(told, runs).cast(kind), short(rf"{initials}{{1,2}}{_NAME_WORD}").cast(kind), short(rf"{_NAME_WORD}\s{initials}{{2}}").cast(kind)), F.array().cast(kind))
+
+
 def detect(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with spans: the chosen candidates, in order of start."""
     t = F.col(text)

@@ -200,3 +200,78 @@ r AS (SELECT *, CASE WHEN type = 'ADDRESS' THEN CASE WHEN {_ANY(cp.PERSONAL_ADDR
 SELECT doc_id, type, start, "end", CASE WHEN reason IN ('organizational_address', 'relationship_rule_unmet:CARD_NUMBER') THEN 'KEEP' ELSE 'MASK' END AS decision, reason,
   CASE type WHEN 'CARDHOLDER' THEN array_to_string(list_transform(regexp_split_to_array(trim(value), '\\s+'), lambda w: upper(regexp_extract(w, '\\p{{L}}')) || '.'), ' ')
   WHEN 'CARD_NUMBER' THEN {_digits(4, 4, True)} WHEN 'INN' THEN {_digits(2, 2, True)} ELSE regexp_replace(value, '[\\p{{L}}\\p{{N}}]', '*', 'g') END AS partial FROM r"""
+
+
+# --- the compact profile's names, surrogates and restoring ---
+
+from ..sources import names_corpus as nc  # noqa: E402
+from . import oracles_surrogates as osr  # noqa: E402
+
+
+def _all(words: tuple[str, ...] | list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _with_end(word: str, ends: list[str]) -> str:
+    return f"list_filter({_all(ends)}, lambda e: ends_with({word}, e) AND length({word}) > length(e) + 1)"
+
+
+def _bases(word: str, ends: list[str]) -> str:
+    return f"list_transform({_with_end(word, ends)}, lambda e: left({word}, length({word}) - length(e)))"
+
+
+_GIVEN = {w: g for g, words in cp.GIVEN.items() for w in words} | {w: "masc" for w in cp.OBLIQUE}
+_LISTED = lambda b: f"list_filter(list_transform({_all(cp.TAILS)}, lambda t: {b} || t), lambda x: list_contains({_all(tuple(_GIVEN))}, x))"
+_STEM = lambda b, ends: f"len(list_filter({_all(ends)}, lambda e: ends_with({b}, e))) > 0"
+_NOMINAL = f"CASE WHEN len({_LISTED('b')}) > 0 THEN {_LISTED('b')}[1] WHEN len({_with_end('b', cp.SURNAME_ENDS)}) > 0 OR len({_with_end('b', cp.PATRONYMIC_ENDS)}) > 0 OR {_STEM('b', cp.STEM_ENDS)} THEN b WHEN {_STEM('b', cp.ADJECTIVE_STEMS)} THEN b || 'ой' END"
+_OF_WORD = f"""given(w, g) AS (VALUES {', '.join(f"('{w}', '{g}')" for w, g in _GIVEN.items())}),
+heard AS (SELECT DISTINCT word, lower(word) AS lw FROM spoken_words),
+classed AS (SELECT word, lw, coalesce(a.g, b.g) AS known, {_with_end('lw', cp.PATRONYMIC_ENDS)} AS patr, {_with_end('lw', cp.SURNAME_ENDS)} AS surn,
+  CASE WHEN a.g IS NOT NULL THEN lw ELSE coalesce(list_filter(list_transform({_bases('lw', cp.NOMINAL_ENDS)}, lambda b: {_NOMINAL}), lambda x: x IS NOT NULL)[1], lw) END AS nominal
+  FROM heard LEFT JOIN given a ON a.w = lw LEFT JOIN given b ON b.w = flatten(list_transform({_bases('lw', cp.GIVEN_ENDS)}, lambda x: {_LISTED('x')}))[1]),
+letters AS (SELECT word, nominal, CASE WHEN known IS NOT NULL THEN 'N' WHEN len(patr) > 0 THEN 'P' WHEN len(surn) > 0 THEN 'S' ELSE '-' END AS letter,
+  CASE WHEN known IS NOT NULL THEN known WHEN len(patr) > 0 THEN CASE WHEN contains(patr[1], 'вн') OR contains(patr[1], 'чн') THEN 'femn' ELSE 'masc' END WHEN len(surn) > 0 AND NOT ends_with(surn[1], 'а') AND NOT ends_with(surn[1], 'ая') THEN 'masc' END AS gender,
+  len(surn) > 0 AS by_end FROM classed)"""
+_LAYOUTS = {0: ("surname", "first", "patronymic"), 1: ("first", "patronymic", "surname"), 2: ("first", "surname"), 3: ("surname", "first"), 4: ("first", "patronymic"), 7: ("unlisted", "first", "patronymic")}
+FLOWS["g08_compact_names"] = f"""WITH w AS ({nc.WORDS_SQL}), t AS (SELECT *, {nc.MENTION} AS value FROM w),
+spoken_words AS ({' UNION ALL '.join(f"SELECT doc_id, {i} AS pos, {c} AS word FROM w WHERE layout = {k}" for k, cs in _LAYOUTS.items() for i, c in enumerate(cs))}
+  UNION ALL SELECT doc_id, 0, CASE WHEN layout = 8 THEN unlisted ELSE surname END FROM w WHERE layout IN (5, 6, 8)), {_OF_WORD},
+signs AS (SELECT doc_id, string_agg(CASE WHEN pos = 0 THEN '|' ELSE ' ' END || letter, '' ORDER BY pos) AS s, list(word ORDER BY pos) AS words, list(nominal ORDER BY pos) AS nominals, list(gender ORDER BY pos) AS genders
+  FROM spoken_words JOIN letters USING (word) GROUP BY doc_id),
+runs AS (SELECT doc_id, words, nominals, genders, regexp_extract(s, '{cp.NAME_RUN}') AS r, (instr(s, regexp_extract(s, '{cp.NAME_RUN}')) // 2)::INT AS i, (length(regexp_extract(s, '{cp.NAME_RUN}')) + 1) // 2 AS n FROM signs WHERE regexp_matches(s, '{cp.NAME_RUN}')),
+found AS (SELECT t.doc_id, array_to_string(words[i:i + n - 1], ' ') AS v, length(prefix) + length(array_to_string(words[1:i - 1], ' ')) + CASE WHEN i > 1 THEN 1 ELSE 0 END AS start, 'person:' || array_to_string(nominals[i:i + n - 1], ' ') AS identity_key,
+    coalesce(list_filter(genders[i:i + n - 1], lambda g: g IS NOT NULL)[1], '') AS gender FROM runs JOIN t USING (doc_id) WHERE layout NOT IN (5, 6, 8)
+  UNION ALL SELECT doc_id, value, length(prefix), 'person:' || nominal, '' FROM t JOIN letters ON word = CASE WHEN layout = 8 THEN unlisted ELSE surname END WHERE layout IN (5, 6, 8) AND by_end)
+SELECT doc_id, v AS value, start::INT AS start, (start + length(v))::INT AS "end", identity_key, gender FROM found"""
+
+_X = osr._x
+_CITY_OF = lambda i: osr._pick(_all(fv.CITIES), i)
+_SHORT = f"array_to_string(list_transform(string_split(original, ''), lambda c, i: CASE WHEN c >= '0' AND c <= '9' THEN (hs[{{0}} + len(regexp_replace(substr(original, 1, i), '[^0-9]', '', 'g'))] % 10)::VARCHAR ELSE c END), '')"
+_BODY = f"('4' || {osr._digit_run(0, 14)})"
+_COMPACT_VALUE = f"""CASE WHEN type = 'CARDHOLDER' THEN CASE WHEN len(string_split(original, ' ')) >= 3 THEN {osr._pick(_all(fv.MALE_LAST[:10]), 0)} || ' ' || {osr._pick(_all(fv.MALE_FIRST[:10]), 1)} || ' ' || {osr._pick(_all(fv.MALE_PATRONYMIC), 2)}
+    ELSE {osr._pick(_all(fv.MALE_FIRST[:10]), 1)} || ' ' || {osr._pick(_all(fv.MALE_LAST[:10]), 0)} END
+  WHEN type = 'INN' THEN CASE WHEN length(original) = 12 THEN {osr._INN_11} || {osr._weighted(osr._INN_11, fv.INN_12)} ELSE {osr._INN_10} END
+  WHEN type = 'CARD_NUMBER' THEN number
+  WHEN type IN ('BIRTH_DATE', 'PASSPORT_ISSUE_DATE') THEN lpad(({_X(0, 28)} + 1)::VARCHAR, 2, '0') || '.' || lpad(({_X(1, 12)} + 1)::VARCHAR, 2, '0') || '.' || ({_X(2, 55)} + 1950)::VARCHAR
+  WHEN type = 'CITIZENSHIP' THEN {osr._pick(_all(("Россия", "Беларусь", "Казахстан", "Армения", "Узбекистан", "Грузия")), 0)}
+  WHEN type = 'PASSPORT_ISSUER' THEN 'ГУ МВД России по г. ' || {_CITY_OF(0)}
+  WHEN type = 'ADDRESS' THEN lpad(({_X(0, 599_999)} + 100000)::VARCHAR, 6, '0') || ', г. ' || {_CITY_OF(1)} || ', ул. ' || {osr._pick(_all(fv.STREETS), 2)} || ', д. ' || ({_X(3, 250)} + 1)::VARCHAR || ', кв. ' || ({_X(4, 500)} + 1)::VARCHAR
+  WHEN type IN ('CVV', 'PIN') THEN CASE WHEN {_SHORT.format(0)} <> original THEN {_SHORT.format(0)} ELSE {_SHORT.format("length(original)")} END END"""
+FLOWS["g12_compact_surrogates"] = f"""WITH RECURSIVE {o.RU}, picked AS ({FLOWS["g01_compact_decisions"].replace(f"WITH RECURSIVE {o.RU}, ", "WITH RECURSIVE ", 1)}),
+c AS (SELECT p.doc_id, p.type, p.start, p."end" AS stop, substr(text, p.start + 1, p."end" - p.start) AS value, text, CASE p.type WHEN 'CARD_NUMBER' THEN 'CARD' ELSE p.type END AS prefix FROM picked p JOIN ru USING (doc_id) WHERE p.decision = 'MASK'),
+e AS (SELECT doc_id, prefix, type, lower(trim(value)) AS k, min(start) AS first, arg_min(value, start) AS original FROM c GROUP BY ALL),
+n AS (SELECT *, prefix || '_' || row_number() OVER (PARTITION BY doc_id, prefix ORDER BY first) AS entity_id FROM e),
+seeds AS (SELECT *, ((('0x' || substr(sha256(doc_id::VARCHAR || ':' || type || ':' || k), 1, 16))::UBIGINT & 9223372036854775807) + attempt)::VARCHAR AS seed FROM n, (SELECT unnest(range(6)) AS attempt)),
+drawn AS (SELECT *, list_transform(range({osr.DRAWS}), lambda i: ('0x' || substr(sha256(seed || ':' || i::VARCHAR), 1, 16))::UBIGINT) AS hs FROM seeds),
+bodies AS (SELECT *, {_BODY} AS body FROM drawn), numbers AS (SELECT *, {osr._NUMBER} AS number FROM bodies),
+tries AS (SELECT doc_id, entity_id, type, k, first, original, attempt, {_COMPACT_VALUE} AS v FROM numbers),
+made AS (SELECT doc_id, entity_id, type, k, first, original, arg_min(v, attempt) AS synthetic FROM tries WHERE v <> original GROUP BY ALL),
+spoken_words AS (SELECT value, unnest(string_split(value, ' ')) AS word FROM c WHERE type = 'CARDHOLDER'), {_OF_WORD},
+oblique AS (SELECT DISTINCT value FROM spoken_words JOIN letters USING (word) WHERE length(word) > 2 AND nominal <> lower(word)),
+said AS (SELECT c.doc_id, c.start, c.stop, CASE WHEN o.value IS NOT NULL THEN '<' || entity_id || '>' ELSE synthetic END AS new FROM c JOIN made m ON m.doc_id = c.doc_id AND m.type = c.type AND m.k = lower(trim(c.value)) LEFT JOIN oblique o ON c.type = 'CARDHOLDER' AND o.value = c.value), {spliced('said', 'new')},
+pairs AS (SELECT doc_id, list_concat(list(struct_pack(n := '<' || entity_id || '>', o := original) ORDER BY first), list(struct_pack(n := regexp_replace(synthetic, '([.-])', '\\\\\\1', 'g'), o := original) ORDER BY first)) AS ps FROM made GROUP BY doc_id),
+steps AS (SELECT doc_id, 0 AS i, 'Re: ' || out AS t, ps FROM done LEFT JOIN pairs USING (doc_id)
+  UNION ALL SELECT doc_id, i + 1, CASE WHEN starts_with(ps[i + 1].n, '<') THEN replace(t, ps[i + 1].n, ps[i + 1].o)
+    ELSE regexp_replace(t, CASE WHEN regexp_matches(ps[i + 1].n, '^[A-Za-z0-9_]') THEN '\\b' ELSE '' END || ps[i + 1].n || CASE WHEN regexp_matches(ps[i + 1].n, '[A-Za-z0-9_]$') THEN '\\b' ELSE '' END, ps[i + 1].o, 'g') END, ps FROM steps WHERE i < len(ps)),
+told AS (SELECT doc_id, arg_max(t, i) AS restored FROM steps GROUP BY doc_id)
+SELECT doc_id, out AS masked_text, restored FROM done JOIN told USING (doc_id)"""

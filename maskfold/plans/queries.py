@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions import scalars as s
+from ..functions.scalars import built
 from ..functions.spans import find_spans
 from ..operators import compact as cp
+from ..operators import compact_masks as cm
 from ..operators import decide as dc
 from ..operators import detectors as dt
 from ..operators import entities as en
@@ -306,6 +308,18 @@ def compact_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "d.type", "d.start", "d.end", "d.decision", "d.reason", cp.partial_mask(F.col("d.type"), F.col("d.value")).alias("partial"))
 
 
+def compact_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = names_corpus(spark, sf_dir).select("doc_id", F.explode(built(lambda: cp.names(F.col("text")), "compact names")).alias("c"))
+    return found.select("doc_id", "c.value", "c.start", "c.end", "c.identity_key", F.coalesce("c.gender", F.lit("")).alias("gender"))
+
+
+def compact_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The compact profile's surrogates, and what its restoring makes of a reworded text, one replacement after the other."""
+    out = cm.masked(cp.decide(cp.detect(src.ru_corpus(spark, sf_dir))), "synthetic")
+    again = F.concat(F.lit("Re: "), "masked_text")
+    return out.select("doc_id", "masked_text", cm.restored(again, "synthetic", F.col("mappings")).alias("restored"))
+
+
 # --- operations ---
 
 
@@ -408,6 +422,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "x06_decisions": decisions,
     "g01_surrogates": surrogates,
     "g01_compact_decisions": compact_decisions,
+    "g08_compact_names": compact_names,
+    "g12_compact_surrogates": compact_surrogates,
     "g03_compact_inn": _compact("INN"),
     "g04_compact_codes": _compact("CVV", "PIN"),
     "g05_compact_dates": _compact("BIRTH_DATE", "PASSPORT_ISSUE_DATE"),
