@@ -6,6 +6,7 @@ kept in a registry in a fixed order, which breaks ties later; own detectors can
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -196,6 +197,23 @@ def fio(text: Column) -> Column:
     return F.when(text.rlike("[А-ЯЁ][а-яё]"), name_candidates(text)).otherwise(_none())
 
 
+def python_detector(find: Callable[[str], list[tuple[int, int]]], kind: str, name: str, confidence: float = 0.9) -> Callable[[Column], Column]:
+    """A detector from a Python function that gives the (start, end) of what it finds in a text, for :meth:`Registry.register`. It runs as an Arrow function; where it fails on a text, that
+    text has no candidates of it and the failure is logged, and the other detectors go on."""
+
+    def safe(text: str | None) -> list[tuple[str, int, int]]:
+        if text is None:
+            return []
+        try:
+            return [(text[a:b], a, b) for a, b in find(text)]
+        except Exception:
+            logging.getLogger(__name__).exception("detector %s failed", name)
+            return []
+
+    found = F.udf(safe, "array<struct<value:string,start:int,end:int>>", useArrow=True).asNondeterministic()
+    return lambda text: candidates(found(text), kind, name, confidence)
+
+
 class Registry:
     """Detectors by name, in order."""
 

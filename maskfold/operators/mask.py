@@ -5,6 +5,8 @@ All of it is native but for the resolution of persons, one Arrow UDF.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,18 @@ from .synthesis import synthesized
 
 OCCURRENCE = "struct<entity_id:string,original_start:int,original_end:int,masked_start:int,masked_end:int,original:string,masked:string>"
 MODES = ("partial", "token", "synthetic")
+#: What stands for an occurrence (a struct with type, value and entity_id) in the modes that need nothing else.
+STRATEGIES: dict[str, Callable[[Column], Column]] = {
+    "partial": lambda e: partial_mask(e["type"], e["value"]),
+    "token": lambda e: F.concat(F.lit("<"), e["entity_id"], F.lit(">")),
+}
+
+
+def register_strategy(mode: str, replacement: Callable[[Column], Column]) -> None:
+    """Makes an own mode known to :func:`masked`. Its texts are restored exactly from their occurrences, as with every mode."""
+    if mode in MODES:
+        raise ValueError(f"{mode} is built in")
+    STRATEGIES[mode] = replacement
 
 
 def splice(text: Column, spans: Column) -> Column:
@@ -50,8 +64,8 @@ def masked(docs: DataFrame, mode: str = "partial", text: str = "text", session:
     ``session`` names the column that seeds surrogates (the document's own key). ``names`` may be off where the name
     detector was not run; no Python is started then, except for surrogates.
     """
-    if mode not in MODES:
-        raise ValueError(f"mode must be one of {MODES}")
+    if mode not in MODES and mode not in STRATEGIES:
+        raise ValueError(f"mode must be one of {sorted({*MODES, *STRATEGIES})}")
     t = F.col(text)
     pin = pinned
     before = docs.columns
@@ -66,12 +80,10 @@ def masked(docs: DataFrame, mode: str = "partial", text: str = "text", session:
         surrogates = lambda: pin(synthesized(t, F.col("_session"), F.col("_entities"), F.col("mappings"), F.col("_people")))
         out = out.withColumn("_made", built(surrogates, "surrogates", text)).withColumn("mappings", F.col("_made.mappings"))
         new = lambda e, i: F.get(F.col("_made.new"), i)
-    elif mode == "token":
-        new = lambda e, i: F.concat(F.lit("<"), e["entity_id"], F.lit(">"))
     else:
-        new = lambda e, i: partial_mask(e["type"], e["value"])
+        new = lambda e, i: STRATEGIES[mode](e)
     spans = lambda: F.transform("_entities", lambda e, i: F.struct(e["start"].alias("start"), e["end"].alias("end"), new(e, i).alias("replacement"), e["entity_id"].alias("entity_id")))
-    done = out.withColumn("_done", built(lambda: pin(splice(t, spans())), "splice", text, mode))
+    done = out.withColumn("_done", built(lambda: pin(splice(t, spans())), "splice", text, mode, STRATEGIES.get(mode)))
     counts = F.size(F.filter("decisions", lambda d: d["decision"] == "MASK"))
     return done.select(
         *[c for c in before if c not in ("masked_text", "occurrences", "mappings", "mode", "n_detected", "n_masked")], F.lit(mode).alias("mode"), F.col("_done.text").alias("masked_text"),
