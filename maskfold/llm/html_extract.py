@@ -3,11 +3,12 @@
 A page is cut into flat text blocks at block-level tags. Each block has its word count and link density, those of its
 neighbours and of the container it stands in, and what its tags say. A decision tree grown on a small table of labelled
 blocks (:func:`labelled`, made of the pages in ``labelled_pages``) says which blocks belong to the main text. Class names are one
-feature among others, and count only if a whole name is one that is used for such things (``sidebar``, not ``has-sidebar``).
+feature among others, and count only if a whole name is one that is used for such things (``sidebar``, not ``has-sidebar``). Half of the labelled pages have no article tags, so that
+the tree has to go by the other features as well.
 
 Defined results: null and empty html have the text ''; very long pages are read whole, in time that grows with their length whatever is nested or
 left open in them; unclosed, stray and nested tags are taken as they come; only script, style, title and textarea run to the end of a page if they are not
-closed; whatever is not a tag is text; repeated rows give equal results; an empty table gives an empty result; other columns stay, but for those named text and n_chars.
+closed; a link that is not closed before the next one is none; splits of equal worth go to the first feature and the least limit, a leaf with as many labels of either kind is main text; whatever is not a tag is text; repeated rows give equal results; an empty table gives an empty result; other columns stay, but for those named text and n_chars.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from .labelled_pages import MAIN, pages
 
 FEATURES = (
     "words", "links", "words_before", "links_before", "words_after", "links_after", "words_around", "links_around", "blocks_around",
-    "heading", "item", "in_story", "in_side", "named_side", "page_has_story", "page_words",
+    "heading", "item", "in_story", "in_side", "named_side", "page_words",
 )
 
 
@@ -77,18 +78,22 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _SELF_ENDING = frozenset("p li dt dd tr td th option thead tbody tfoot caption h1 h2 h3 h4 h5 h6 pre".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ITEMS = frozenset("li dt dd td th option".split())
+#: Items that may hold blocks.
+_HOLDING = frozenset("li dt dd td th tr".split())
 _SIDES = frozenset("nav aside form menu dialog fieldset head footer".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
 #: Whole class or id names of what is not main text.
 _NAMED = re.compile(
     r"(?:ads?|advert(?:isement|ising)?s?|banner|sponsor(?:ed)?|promo(?:tion)?)(?:[-_](?:box|slot|unit|container|wrapper|banner|block|\d+))?"
-    r"|comments?(?:[-_](?:list|section|form|thread|area|body))?|replies|disqus_thread|sidebar(?:[-_]\w+)?|rail|related(?:[-_]\w+)?|recommend(?:ed|ations)"
-    r"|menu|nav(?:bar|igation)?|breadcrumbs?|masthead|topbar|(?:site|page)[-_]?(?:header|footer|nav)|(?:cookies?|consent|gdpr)(?:[-_](?:notice|banner|bar|popup|consent|message))?|notice"
-    r"|alert|popup|modal|newsletter(?:[-_](?:signup|box|form))?|subscribe|signup|login|shar(?:e|ing)(?:[-_]\w+)?|social(?:[-_]\w+)?|widget|toolbar|pagination|pager|search(?:[-_]form)?|copyright|skip[-_]link",
+    r"|comments?(?:[-_](?:list|section|form|thread|area|body|respond|reply|wrap(?:per)?|box|\d+))?|respond|repl(?:y|ies)|disqus_thread|sidebar(?:[-_]\w+)?|rail|related(?:[-_]\w+)?|recommend(?:ed|ations)"
+    r"|menu|nav(?:bar|igation)?|breadcrumbs?|masthead|topbar|(?:site|page)[-_]?(?:header|footer|nav)|(?:cookies?|consent|gdpr)(?:[-_](?:notice|banner|bar|popup|consent|message))?|notice|disclaimer"
+    r"|alert|popup|modal|(?:newsletter|subscri(?:be|ption))(?:[-_](?:signup|box|form|banner))?|signup|login|shar(?:e|ing)(?:[-_]\w+)?|social(?:[-_]\w+)?|widget|toolbar|pagination|pager|search(?:[-_]form)?|copyright|skip[-_]link",
     re.I,
 )
 _STORY = re.compile(r"(?:article|article-?body|post-?body|entry-?content|post-?content|main-?content|story-?body|story)", re.I)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|style|hidden|aria-hidden)(?![\w-])(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_LINK = re.compile(r"<a[\s>]", re.I)
 _WORD = re.compile(r"\S+")
 PLAIN, STORY, SIDE, NAMED = range(4)
 
@@ -102,7 +107,8 @@ def _kind(name: str, attributes: str, in_story: bool) -> int:
         return out
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if key == "role" and value.lower() in _ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
+        unseen = key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _UNSEEN.search(value)
+        if unseen or key == "role" and value.lower() in _ROLES:
             return SIDE
         if key in ("class", "id"):
             names = value.split()
@@ -131,7 +137,7 @@ class _Closings:
     """Where each dropped element's closing tags are, found once for a page."""
 
     def __init__(self, page: str):
-        self.page, self.at = page, {}
+        self.page, self.at, self.links = page, {}, None
 
     def after(self, name: str, position: int) -> int | None:
         """The end of the next closing tag."""
@@ -142,6 +148,13 @@ class _Closings:
         k = bisect_left(starts, position)
         return ends[k] if k < len(ends) else None
 
+    def closed(self, position: int) -> bool:
+        """Whether a link that opens before ``position`` is closed before the next one opens: it may then hold whole blocks."""
+        if self.links is None:
+            self.links = [m.start() for m in _LINK.finditer(self.page)]
+        k, end = bisect_left(self.links, position), self.after("a", position)
+        return end is not None and (k == len(self.links) or end <= self.links[k])
+
 
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order. A container is the innermost element that is no paragraph, heading or item."""
@@ -149,13 +162,14 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, int, int]] = []  # name, kind with what is above, container
     opened: Counter = Counter()
     closings, containers = _Closings(page), 0
-    now, link, marked = Block(), 0, PLAIN
+    now, link = Block(), 0
+    held: tuple[str, int, int] | None = None  # an item or paragraph that says what its text is: name, kind, depth
 
     def end() -> None:
         nonlocal now
         if now.words:
             above = stack[-1] if stack else ("", PLAIN, 0)
-            now.container, now.place = above[2], marked if marked in (SIDE, NAMED) else above[1]
+            now.container, now.place = above[2], held[1] if held else above[1]
             out.append(now)
         now = Block()
 
@@ -182,22 +196,22 @@ def blocks(page: str) -> list[Block]:
                 now.pieces.append(" ")
             continue
         if name == "a":
-            link = 0 if closing else 1
+            link = int(not closing and closings.closed(at))
         if name == "br":
             now.pieces.append(" ")
         if name in _INLINE or name in _DROPPED or name in _RAW:
             continue
         end()
-        link, marked = 0, PLAIN
         tag = "" if closing else name
+        # it may never be closed: another one of its kind ends it, the end of what it stands in, and a paragraph any block
+        if held and len(stack) <= held[2] and (held[0] == name or held[0] not in _HOLDING and name not in _VOID):
+            held = None
         if name in _VOID:
             continue
         above = stack[-1] if stack else ("", PLAIN, 0)
         if name in _SELF_ENDING:
-            # it may never be closed, so it says something about the next block alone
-            if not closing and m[3]:
-                said = _kind(name, m[3], True)
-                marked = said if said in (SIDE, NAMED) else PLAIN
+            if not closing and m[3] and not held and (said := _kind(name, m[3], True)) in (SIDE, NAMED):
+                held = (name, said, len(stack))
             continue
         if closing:
             if opened[name]:
@@ -206,6 +220,8 @@ def blocks(page: str) -> list[Block]:
                     opened[top[0]] -= 1
                     if top[0] == name:
                         break
+                if held and len(stack) < held[2]:
+                    held = None
         else:
             said = _kind(name, m[3], above[1] == STORY)
             kind = above[1] if said == PLAIN or above[1] == SIDE else said
@@ -226,7 +242,6 @@ def features(found: list[Block]) -> list[tuple[float, ...]]:
         words[b.container] += b.words
         linked[b.container] += b.linked
         n[b.container] += 1
-    story = float(any(b.place == STORY for b in found))
     total = float(sum(b.words for b in found))
     share = [b.linked / b.words for b in found]
     rows = []
@@ -236,7 +251,7 @@ def features(found: list[Block]) -> list[tuple[float, ...]]:
         c = b.container
         rows.append((
             b.words, share[k], *before, *after, words[c], linked[c] / words[c], n[c], float(b.tag in _HEADINGS), float(b.tag in _ITEMS),
-            float(b.place == STORY), float(b.place == SIDE), float(b.place == NAMED), story, total,
+            float(b.place == STORY), float(b.place == SIDE), float(b.place == NAMED), total,
         ))
     return rows
 

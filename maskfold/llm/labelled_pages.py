@@ -60,7 +60,7 @@ def _plain(s: Sizes) -> list[str]:
     """A menu, an advert, an article and a footer."""
     foot = _FOOT.format(text(s.body()))
     return [
-        f"<body>{nav(3 + s.below(6))}{aside(s.body(), 'div', mark)}<article>{s.story()}</article>{foot}</body>" for mark in (" class='ad'", " class='ad'", "")
+        f"<body>{nav(3 + s.below(6))}{aside(s.body(), 'div', mark)}<article>{s.story()}</article>{foot}</body>" for mark in (" class='ad'", " id='ad-slot'")
     ] + [f"<div class='page'>{nav(2 + s.below(9))}<main>{s.story()}</main></div>{foot}"]
 
 
@@ -114,5 +114,62 @@ def _bare(s: Sizes) -> list[str]:
     ]
 
 
-def pages(rounds: int = 8) -> list[str]:
-    return [page for k in range(rounds) for made in (_plain, _dressed, _misleading, _bare) for page in made(Sizes(k))]
+def _dense(s: Sizes) -> list[str]:
+    """Blocks and lists of links, and links around whole blocks."""
+    return [
+        "<div>" + " ".join(f"<a href='/{i}'>{text(1 + s.below(4))}</a>" for i in range(8 + s.below(20))) + "</div>", f"<div>{links(6 + s.below(12), 2 + s.below(5), 'p')}</div>",
+        f"<ul>{links(5 + s.below(12), 1 + s.below(6))}</ul>", f"<a href='/'><div>{text(20 + s.below(160))}</div></a>", f"<div><a href='/'><h3>{text(1 + s.below(4))}</h3><p>{text(15 + s.below(40))}</p></a></div>",
+    ]
+
+
+def _linked(s: Sizes) -> list[str]:
+    """Articles with paragraphs that are links alone, and with blocks and lists of links that are no part of them."""
+    link = lambda: f"<p><a href='x'>{MAIN}{text(s.short())}</a></p>"
+    mixed = lambda: f"<p>{MAIN}{text(1 + s.below(9))} <a href='x'>{text(1 + s.below(9))}</a></p>"
+    return [
+        f"{nav(4)}<article>{s.story()}{mixed()}{p(s.body())}{mixed()}{mixed()}</article><ul>{links(5, 3)}</ul>", f"<article>{p(s.short(), 'h1')}{mixed()}{p(s.short())}{mixed()}</article>",
+        f"{nav(4)}<article>{s.story()}{link()}{p(s.body())}{link()}</article><ul>{links(5, 3)}</ul>",
+        f"<main>{p(s.short(), 'h1')}{link()}{p(s.body())}{link()}{link()}</main><div>{links(4, 2, 'p')}</div>{_FOOT.format(text(s.body()))}",
+        *[f"{nav(3)}<article>{s.story()}{x}{p(s.body())}</article>" for x in _dense(s)], *[f"<main><div>{s.story()}</div>{x}</main>" for x in _dense(s)],
+    ]
+
+
+def _open(s: Sizes) -> list[str]:
+    """A story in plain containers, with one long block of something else beside it, before or after; and a short last paragraph."""
+    long = lambda: 20 + s.below(160)
+    short = lambda: 1 + s.below(4)
+    said = lambda: aside(long()) if s.below(2) else aside(long(), "div")
+    beside = [
+        f"<footer>{said()}</footer>", f"<footer>{text(long())}</footer>", f"<aside>{said()}{said()}</aside>", f"<aside>{text(long())}</aside>", f"<nav>{said()}</nav>", f"<form>{said()}<input></form>",
+        *[f"<div class='{c}'>{said()}</div>" for c in ("cookie-notice", "ad", "sidebar", "newsletter-box", "disclaimer", "related", "promo")],
+        f"<div id='comments'>{said()}{said()}</div>", f"<div id='respond' class='comment-respond'>{said()}</div>", f"<section class='comments'>{said()}{aside(short())}{said()}</section>",
+        f"<div style='display:none'>{said()}</div>", f"<div role='complementary'>{said()}</div>", f"<ul><li class='ad'><div>{text(long())}</div></li></ul>",
+        *_dense(s),
+    ]
+    out = []
+    for k, other in enumerate(beside):
+        heading = p(s.short(), ("h1", "h2", "div")[s.below(3)])
+        linked = f"<p>{MAIN}{text(5 + s.below(30))} <a href='x'>{text(1 + s.below(20))}</a> {text(s.short())}</p>"
+        story = heading + "".join(p(long() if s.below(4) else s.short()) for _ in range(2 + s.below(4))) + (linked if s.below(2) else "") + p(long()) + p(short())
+        box = f"<div>{story}</div>" if s.below(2) else story
+        out.append(f"{nav(4)}{box}{other}" if k % 2 else f"{other}{box}{aside(short(), 'footer')}")
+        if k % 3 == 0:  # the same inside the story
+            out.append(f"<div>{heading}{p(long())}{p(long())}{other}{p(long())}{p(short())}</div>")
+    return out
+
+
+def untagged(page: str) -> str:
+    """The page with its article tags and names taken off."""
+    for name in ("article", "main"):
+        page = page.replace(f"<{name}>", "<div>").replace(f"</{name}>", "</div>")
+    return page.replace("<article class='story legal'>", "<div class='legal'>").replace("class='story-body'", "class='body'")
+
+
+def pages(rounds: int = 6) -> list[str]:
+    out = []
+    for k in range(rounds):
+        plain, dressed = _plain(Sizes(k)), _dressed(Sizes(k))
+        out += [*plain, *dressed, *_misleading(Sizes(k)), *_bare(Sizes(k)), *_linked(Sizes(k)), *_open(Sizes(k)), *_open(Sizes(k + rounds))]
+        # without tags nobody can tell the last dressed page's list of links from a menu: it stays out
+        out += [untagged(x) for x in (*plain, *dressed[:4], *_misleading(Sizes(k)))]
+    return out
