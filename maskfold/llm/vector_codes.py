@@ -73,15 +73,19 @@ class Cells:
         assert dims == self.low.shape[1]
 
     def bounds(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds of the squared distances of each row of x to each entry."""
-        under = np.zeros((len(x), len(self.book)), np.int64)
+        """Lower and upper bounds of the squared distances of each row of x to each entry, as (entries, rows): a cell's line of a table is taken whole for each entry in it."""
+        widest = max(int(np.abs(self.high - x.min(axis=0)).max()), int(np.abs(x.max(axis=0) - self.low).max())) if x.size else 0
+        # 32 bits where the sums fit into them
+        kind = np.int32 if widest * widest * max(1, x.shape[1]) < 1 << 31 else np.int64
+        low, high, x = self.low.astype(kind), self.high.astype(kind), np.ascontiguousarray(x.T.astype(kind))
+        under = np.zeros((len(self.book), x.shape[1]), kind)
         over = np.zeros_like(under)
-        for j in range(x.shape[1]):
-            below, above = self.low[:, j] - x[:, j, None], x[:, j, None] - self.high[:, j]
+        for j in range(len(x)):
+            below, above = low[:, j, None] - x[j], x[j] - high[:, j, None]
             least = np.maximum(np.maximum(below, above), 0)
             most = np.maximum(np.abs(below), np.abs(above))
-            under += np.take(least * least, self.cell[:, j], axis=1)
-            over += np.take(most * most, self.cell[:, j], axis=1)
+            under += (least * least)[self.cell[:, j]]
+            over += (most * most)[self.cell[:, j]]
         return under, over
 
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +94,8 @@ class Cells:
         for i in range(0, len(x), AT_ONCE):
             part = x[i : i + AT_ONCE]
             under, over = self.bounds(part)
-            row, entry = np.nonzero(under <= over.min(axis=1)[:, None])  # in order of rows, then entries; at least one each
+            near = np.ascontiguousarray((under <= over.min(axis=0)).T)
+            row, entry = np.nonzero(near)  # in order of rows, then entries; at least one each
             exact = ((part[row] - self.book[entry]) ** 2).sum(axis=1)
             begin = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
             best = np.minimum.reduceat(exact, begin)

@@ -201,7 +201,9 @@ def test_bounds_enclose_the_distances():
     cells = vector_codes.Cells(book)
     exact = ((x[:, None] - book[None]) ** 2).sum(axis=2)
     under, over = cells.bounds(x)
-    assert (under <= exact).all() and (exact <= over).all()
+    assert (under.T <= exact).all() and (exact <= over.T).all()
+    wide = vector_codes.Cells(book * 10**6)
+    assert (wide.nearest(x * 10**6)[0] == exact.argmin(axis=1)).all() and wide.bounds(x * 10**6)[0].dtype == np.int64 and under.dtype == np.int32
     index, distance = cells.nearest(x)
     assert (index == exact.argmin(axis=1)).all() and (distance == exact.min(axis=1)).all()
-    assert (under <= over.min(axis=1)[:, None]).mean() < 0.6  # the filter leaves out what cannot be nearest
+    assert (under <= over.min(axis=0)).mean() < 0.6  # the filter leaves out what cannot be nearest
