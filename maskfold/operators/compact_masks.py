@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.scalars import entity_seed, let, mask_alnum, mask_digits, mask_name, pinned, token_prefix
+from ..functions.scalars import entity_seed, let, mask_alnum, mask_digits, mask_name, pinned
 from . import morphology as m
 from .compact import names_of_word
+from .entities import firsts, numbered
 from .mask import splice
 from .synthesis import ATTEMPTS, NAMES, _n_digits, _numbers, _pool, _text, _weighted, draws
 
@@ -117,22 +118,11 @@ def _entities(decisions: Column) -> Column:
     own = lambda d: F.concat(d["type"], F.lit(":"), F.lower(F.trim(d["value"])))
     keyed = F.transform(F.filter(decisions, lambda d: d["decision"] == "MASK"), lambda d: F.struct(d["start"], d["end"], d["type"], d["value"], F.coalesce(d["identity_key"], own(d)).alias("key"), d["gender"]))
 
-    def numbered(k: Column) -> Column:
-        first = F.filter(k, lambda d, i: (i == 0) | ~F.exists(F.slice(k, F.lit(1), i), lambda o: o["key"] == d["key"]))
-
-        def number(d: Column, f: Column) -> Column:
-            upto = F.get(F.filter(f, lambda o: o["key"] == d["key"]), F.lit(0))["start"]
-            n = F.size(F.filter(f, lambda o: (token_prefix(o["type"]) == token_prefix(d["type"])) & (o["start"] <= upto)))
-            return d.withField("entity_id", F.concat(token_prefix(d["type"]), F.lit("_"), n.cast("string")))
-
-        return let(first, lambda f: F.transform(k, lambda d: number(d, f)))
-
     return let(keyed, numbered)
 
 
 def _mappings(entities: Column, session: Column) -> Column:
     """One mapping for each entity, in order of appearance, with a surrogate that is new among those of its type, if ``ATTEMPTS`` seeds give one."""
-    first = F.filter(entities, lambda e, i: (i == 0) | ~F.exists(F.slice(entities, F.lit(1), i), lambda o: o["entity_id"] == e["entity_id"]))
     start = F.struct(F.array().cast("array<string>").alias("used"), F.array().cast(f"array<{MAPPING}>").alias("out"))
 
     def step(acc: Column, e: Column) -> Column:
@@ -151,7 +141,7 @@ def _mappings(entities: Column, session: Column) -> Column:
 
         return let(chosen, put)
 
-    return F.aggregate(first, start, step, lambda acc: acc["out"])
+    return F.aggregate(firsts(entities), start, step, lambda acc: acc["out"])
 
 
 def nominative(value: Column) -> Column:

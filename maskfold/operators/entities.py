@@ -120,22 +120,46 @@ def identity_key(d: Column, persons: Column) -> Column:
     return F.coalesce(F.when(d["type"] == "FULL_NAME", own), d["meta"]["identity_key"], F.concat(d["type"], F.lit(":"), F.lower(F.trim(d["value"]))))
 
 
-def entity_ids(decisions: Column, persons: Column) -> Column:
-    """array of struct(start, end, type, value, key, entity_id) for the masked decisions: entities are numbered
-    within their type's prefix, in order of first appearance."""
-    keyed = F.transform(personal(decisions), lambda d: F.struct(d["start"].alias("start"), d["end"].alias("end"), d["type"].alias("type"), d["value"].alias("value"), identity_key(d, persons).alias("key"), d["meta"].alias("meta")))
+def numbered(keyed: Column) -> Column:
+    """Structs with type and key, and entity_id after them: keys are numbered within their type's prefix, in order of first appearance. Each key is looked up
+    in a map of the distinct ones, so that a text of thousands of entities is not gone through for each of them in an expression."""
+    name = lambda prefix, key: F.concat_ws(" ", prefix, key)
+    distinct = F.array_distinct(F.transform(keyed, lambda d: F.struct(token_prefix(d["type"]).alias("prefix"), d["key"].alias("key"))))
+
+    def ids(u: Column) -> Column:
+        of = lambda p: F.transform(F.filter(u, lambda x: x["prefix"] == p), lambda x, i: F.struct(name(p, x["key"]).alias("k"), F.concat(p, F.lit("_"), (i + 1).cast("string")).alias("v")))
+        return F.map_from_entries(F.flatten(F.transform(F.array_distinct(F.transform(u, lambda x: x["prefix"])), of)))
+
+    return let(let(distinct, ids), lambda known: F.transform(keyed, lambda d: d.withField("entity_id", F.try_element_at(known, name(token_prefix(d["type"]), d["key"])))))
+
+
+def firsts(entities: Column) -> Column:
+    """The first of each entity's occurrences, in order."""
+    ids = F.transform(entities, lambda e: e["entity_id"])
+    return let(ids, lambda x: F.filter(entities, lambda e, i: F.array_position(x, e["entity_id"]) == i + 1))
+
 
-    def numbered(k: Column) -> Column:
-        first = F.filter(k, lambda d, i: (i == 0) | ~F.exists(F.slice(k, F.lit(1), i), lambda o: o["key"] == d["key"]))
+def grouped(entities: Column) -> Column:
+    """Each entity's occurrences as an array of their own, in order of first appearance: sorted by entity, and cut where the next one begins."""
+    ordered = F.array_sort(F.transform(entities, lambda e: F.struct(e["entity_id"].alias("id"), e["start"].alias("start"), e.alias("e"))))
 
-        def number(d: Column, f: Column) -> Column:
-            upto = F.get(F.filter(f, lambda o: o["key"] == d["key"]), F.lit(0))["start"]
-            prefix = token_prefix(d["type"])
-            n = F.size(F.filter(f, lambda o: (token_prefix(o["type"]) == token_prefix(d["type"])) & (o["start"] <= upto)))
-            return F.struct(d["start"], d["end"], d["type"], d["value"], d["key"], F.concat(prefix, F.lit("_"), n.cast("string")).alias("entity_id"), d["meta"])
+    def cut(o: Column) -> Column:
+        def groups(ids: Column) -> Column:
+            def at(begin: Column) -> Column:
+                end = lambda i: F.coalesce(F.get(begin, i + 1), F.size(o) + 1)
+                return F.transform(begin, lambda b, i: F.slice(o, b, (end(i) - b).cast("int")))
 
-        return let(first, lambda f: F.transform(k, lambda d: number(d, f)))
+            return let(F.transform(F.array_distinct(ids), lambda x: F.array_position(ids, x).cast("int")), at)
 
+        return let(F.transform(o, lambda x: x["id"]), groups)
+
+    by_start = F.array_sort(F.transform(let(ordered, cut), lambda g: F.struct(F.get(g, F.lit(0))["start"].alias("start"), g.alias("g"))))
+    return F.transform(by_start, lambda x: F.transform(x["g"], lambda y: y["e"]))
+
+
+def entity_ids(decisions: Column, persons: Column) -> Column:
+    """array of struct(start, end, type, value, key, meta, entity_id) for the masked decisions."""
+    keyed = F.transform(personal(decisions), lambda d: F.struct(d["start"].alias("start"), d["end"].alias("end"), d["type"].alias("type"), d["value"].alias("value"), identity_key(d, persons).alias("key"), d["meta"].alias("meta")))
     return F.when(F.size(keyed) > 0, let(keyed, numbered))
 
 
@@ -143,8 +167,7 @@ def mappings(entities: Column, persons: Column) -> Column:
     """One mapping for each entity, in order of appearance; without surrogates, which :mod:`synthesis` adds."""
     null = F.lit(None).cast("string")
 
-    def one(e: Column) -> Column:
-        same = F.filter(entities, lambda o: o["entity_id"] == e["entity_id"])
+    def told_by(e: Column, same: Column) -> Column:
         person = F.get(F.filter(persons, lambda p: p["start"] == e["start"]), F.lit(0))
         # what the first mention does not tell comes from the first that does
         told = lambda field: F.get(F.filter(F.transform(same, lambda o: o["meta"][field]), lambda x: x.isNotNull()), F.lit(0))
@@ -159,7 +182,4 @@ def mappings(entities: Column, persons: Column) -> Column:
             F.lit(None).cast("struct<surname:string,first:string,patronymic:string,gender:string>").alias("synthetic_identity"), null.alias("synthetic_fallback"),
         ).cast(MAPPING)
 
-    first = F.filter(entities, lambda e, i: (i == 0) | ~F.exists(F.slice(entities, F.lit(1), i), lambda o: o["entity_id"] == e["entity_id"]))
-    return F.coalesce(F.transform(first, one), F.array().cast(f"array<{MAPPING}>"))
-
-
+    return F.coalesce(F.transform(grouped(entities), lambda same: told_by(F.get(same, F.lit(0)), same)), F.array().cast(f"array<{MAPPING}>"))

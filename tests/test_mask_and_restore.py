@@ -1,6 +1,7 @@
 import datetime as dt
 import hashlib
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -233,3 +234,14 @@ def test_policies_of_a_file(spark, tmp_path):
     path.write_text("default: {masking_mode: token}\nconsumers:\n  a: {enabled: false, mask_types: [EMAIL]}\n  b: {mask_types: []}\n")
     rows = {r.consumer_id: (r.enabled, r.demask, r.masking_mode, r.mask_types) for r in tables.policies_from_yaml(spark, str(path)).collect()}
     assert rows == {"default": (True, True, "token", None), "a": (False, True, "partial", ["EMAIL"]), "b": (True, True, "partial", [])}
+
+
+def test_long_document_with_thousands_of_entities(spark):
+    """190,000 characters as one row: numbering and grouping of its entities go through sorted arrays and maps."""
+    text = " ".join(f"Текст номер {i} почта u{i % 2500}@ex.com и слова, слова до конца." for i in range(3200))
+    assert len(text) > 190_000
+    began = time.perf_counter()
+    done = masked(analyze(spark.createDataFrame([("1", text)], "id string, text string"), only=("email",)), "token", names=False)
+    row = done.select("mappings", F.size("occurrences").alias("n"), (put_back(F.col("masked_text"), F.col("occurrences"), True) == F.col("text")).alias("exact")).first()
+    assert row.n == 3200 and row.exact and len(row.mappings) == 2500 and row.mappings[2499].token == "<EMAIL_2500>" and row.mappings[7].original == "u7@ex.com"
+    assert time.perf_counter() - began < 90
