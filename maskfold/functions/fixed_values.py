@@ -1,10 +1,6 @@
 """Values that results depend on: types, keyword lists, name pools, weights. Fixed values, stated as they are."""
 
-# Types in the order of their detectors, and the prefix of each type's tokens.
-TYPES = (
-    "FULL_NAME", "BIRTH_DATE", "BIRTH_PLACE", "PASSPORT", "CITIZENSHIP", "PASSPORT_ISSUER", "DEPARTMENT_CODE", "PASSPORT_ISSUE_DATE", "DRIVER_LICENSE",
-    "ADDRESS", "EMAIL", "PHONE", "INN", "CARD_NUMBER", "CVV", "PIN", "CARDHOLDER",
-)
+# Detectors in their order, and the prefix of each type's tokens.
 DETECTORS = (
     "email", "fio", "phone", "inn", "card", "passport", "department_code", "cvv", "pin", "driver_license", "date", "cardholder", "address", "birth_place",
     "citizenship", "passport_issuer",

@@ -73,10 +73,6 @@ def _none() -> Column:
     return F.array().cast(f"array<{CANDIDATE}>")
 
 
-def _any_digit(text: Column, n: int) -> Column:
-    return text.rlike(rf"(?U)\d(?:[ -]?\d){{{n - 1}}}")
-
-
 def email(text: Column) -> Column:
     return candidates(find_spans(text, PATTERNS["email"], F.contains(text, F.lit("@"))), "EMAIL", "email", 0.95)
 

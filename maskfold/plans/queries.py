@@ -251,8 +251,8 @@ def vault_stream_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(where)
     sink = VaultSink(spark, new_path(spark, "vault"), LOG_TTL, LOG_GRACE, compact_every=4)
     vault_stream(stream, sink, new_path(spark, "vault-checkpoint")).awaitTermination(3600)
-    end = e.agg(F.max("ts").cast("timestamp").alias("now"))
-    held = sink.vault().crossJoin(F.broadcast(end)).where("expires_at > now")  # one row
+    now = e.agg(F.max("ts").cast("timestamp").alias("now")).first().now
+    held = sink.vault().where(F.col("expires_at") > F.lit(now))
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
     return held.select("payload_id", "seq", "state", "mode", stamp("expires_at").alias("expires_at"), F.coalesce(stamp("demasked_at"), F.lit("")).alias("demasked_at"))
 

@@ -79,10 +79,16 @@ def policies_from_yaml(spark: SparkSession, path: str) -> DataFrame:
     return policies(spark, rows)
 
 
+#: Rows of a dimension that are broadcast; one of more is joined by a shuffle.
+BROADCAST_ROWS = 100_000
+
+
 def with_policy(requests: DataFrame, dimension: DataFrame) -> DataFrame:
     """``requests`` with their consumer's policy and ``error_category``: not_found, disabled or null. No consumer means the default."""
     p = dimension.withColumnRenamed("consumer_id", "_consumer")
-    joined = requests.join(F.broadcast(p), F.coalesce("consumer_id", F.lit("default")) == F.col("_consumer"), "left")  # one row a consumer, a config file
+    if dimension.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        p = F.broadcast(p)
+    joined = requests.join(p, F.coalesce("consumer_id", F.lit("default")) == F.col("_consumer"), "left")
     return joined.withColumn("error_category", F.when(F.col("_consumer").isNull(), "not_found").when(~F.col("enabled"), "disabled")).drop("_consumer")
 
 
