@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from maskfold.llm import decontaminate, mixing, near_dedup, quality_rules, substring_dedup
-from maskfold.llm.common import saved, table
+from maskfold.llm.common import remove, saved, table
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +57,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents, one after the other."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = saved(docs, f"pipeline-{name}")
+            remove(spark, before)  # the stage's input, if it was a table of ours
     return docs
