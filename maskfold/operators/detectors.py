@@ -31,7 +31,8 @@ PATTERNS = {
     "phone_ru": r"(?U)(?<!\d)(?:\+7|8)[\s\-]?\(?\d{3}\)?[\s\-]?\d{3}[\s\-]?\d{2}[\s\-]?\d{2}(?!\d)",
     "phone": r"(?U)(?<!\d)\+\d{1,3}(?:[\s\-]?\d{2,4}){2,5}(?!\d)",
     "inn": r"(?U)(?<!\d)(?:\d{10}|\d{12})(?!\d)",
-    "card": r"(?U)(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
+    # a group of 13 digits or more is a number of its own and never joined with its neighbours; shorter groups are
+    "card": r"(?U)(?<!\d)(?:\d{13,19}|(?!\d{13})\d(?:\d|[ -](?!\d{13})\d){12,18})(?!\d)",
     "passport_series": r"(?iuU)серия\s*\d{4}\s*(?:№|номер)?\s*\d{6}",
     "passport_sign": r"(?U)(?<!\d)\d{4}\s*№\s*\d{6}(?!\d)",
     "two_two_six": r"(?U)(?<!\d)\d{2}[ ]\d{2}[ ]\d{6}(?!\d)",
