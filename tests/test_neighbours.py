@@ -36,6 +36,10 @@ def test_cards_beside_numbers(spark, neighbours):
     _equal(spark, neighbours, "d05_card_documents")
 
 
+def test_masks_beside_numbers(spark, neighbours):
+    _equal(spark, neighbours, "flagship_mask")
+
+
 def test_cards_of_short_groups_are_still_joined(spark):
     from maskfold.operators.detectors import detect
 
