@@ -40,6 +40,10 @@ def test_masks_beside_numbers(spark, neighbours):
     _equal(spark, neighbours, "flagship_mask")
 
 
+def test_process_directions_beside_numbers(spark, neighbours):
+    _equal(spark, neighbours, "t01_process_directions")
+
+
 def test_cards_of_short_groups_are_still_joined(spark):
     from maskfold.operators.detectors import detect
 
