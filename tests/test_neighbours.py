@@ -44,6 +44,10 @@ def test_process_directions_beside_numbers(spark, neighbours):
     _equal(spark, neighbours, "t01_process_directions")
 
 
+def test_process_batch_beside_numbers(spark, neighbours):
+    _equal(spark, neighbours, "t02_process_batch")
+
+
 def test_cards_of_short_groups_are_still_joined(spark):
     from maskfold.operators.detectors import detect
 
