@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed_values import CASES
 from ..operators import morphology as m
-from .tables import table
+from .tables import spread, table
 
 SURNAMES = {
     m.MASC: ("Кузнецов", "Белинский", "Шевченко", "Лукин", "Чехов", "Черных", "Воробьёв"),
@@ -57,7 +57,7 @@ WORDS_SQL = "SELECT c_custkey AS doc_id, " + ", ".join(f"{e} AS {n}" for n, e in
 
 def names_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text): one name in each text."""
-    words = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), *[F.expr(e).alias(n) for n, e in PARTS.items()])
+    words = spread(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select(F.col("c_custkey").alias("doc_id"), *[F.expr(e).alias(n) for n, e in PARTS.items()])
     return words.select("doc_id", F.expr(f"prefix || {MENTION} || ' (копия).'").alias("text"))
 
 

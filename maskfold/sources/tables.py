@@ -10,6 +10,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that a task of :func:`spread` gets at least, where there are few, and at most, where there are many.
+LEAST_ROWS, MOST_ROWS = 500, 20_000
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` dealt over tasks by ``key``, for work that takes a millisecond a row. A file is read by as many tasks as it has row groups, and one of narrow rows holds a million in each: all
+    the work would be done by one core. Few rows stay where they are."""
+    spark = rows.sparkSession
+    n = rows.count()
+    cores = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = max(min(2 * cores, n // LEAST_ROWS), -(-n // MOST_ROWS))
+    return rows.repartition(tasks, key) if tasks > 1 else rows
+
+
 def _pad(expression: str, n: int) -> str:
     return f"lpad(CAST({expression} AS STRING), {n}, '0')"
 
@@ -48,7 +62,7 @@ RU_CORPUS_SQL = "SELECT c_custkey AS doc_id, CASE CAST(c_custkey % 20 AS INT) "
 
 def ru_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     expression = RU_CORPUS_SQL.removeprefix("SELECT c_custkey AS doc_id, ").removesuffix(" AS text FROM customer")
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.expr(expression).alias("text"))
+    return spread(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select(F.col("c_custkey").alias("doc_id"), F.expr(expression).alias("text"))
 
 
 # consumers' policies. Null types mean all.
