@@ -10,6 +10,7 @@ from maskfold.plans.queries import QUERIES
 ROWS = 2_000
 SPREAD = (
     "r05_partial_mask_all",
+    "s02_inspect",
 )
 
 
