@@ -11,6 +11,7 @@ ROWS = 2_000
 SPREAD = (
     "r05_partial_mask_all",
     "s02_inspect",
+    "g08_compact_names",
 )
 
 
