@@ -12,6 +12,7 @@ SPREAD = (
     "r05_partial_mask_all",
     "s02_inspect",
     "g08_compact_names",
+    "x06_decisions",
 )
 
 
