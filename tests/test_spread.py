@@ -13,6 +13,7 @@ SPREAD = (
     "s02_inspect",
     "g08_compact_names",
     "x06_decisions",
+    "m03_synthetic_round_trip",
 )
 
 
