@@ -14,6 +14,7 @@ SPREAD = (
     "g08_compact_names",
     "x06_decisions",
     "m03_synthetic_round_trip",
+    "g12_compact_surrogates",
 )
 
 
