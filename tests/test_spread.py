@@ -15,6 +15,7 @@ SPREAD = (
     "x06_decisions",
     "m03_synthetic_round_trip",
     "g12_compact_surrogates",
+    "s02_inspect_consumers",
 )
 
 
