@@ -16,6 +16,7 @@ SPREAD = (
     "m03_synthetic_round_trip",
     "g12_compact_surrogates",
     "s02_inspect_consumers",
+    "g01_surrogates",
 )
 
 
