@@ -17,6 +17,7 @@ SPREAD = (
     "g12_compact_surrogates",
     "s02_inspect_consumers",
     "g01_surrogates",
+    "n02_name_forms",
 )
 
 
