@@ -18,6 +18,7 @@ SPREAD = (
     "s02_inspect_consumers",
     "g01_surrogates",
     "n02_name_forms",
+    "e01_people",
 )
 
 
