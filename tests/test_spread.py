@@ -19,6 +19,7 @@ SPREAD = (
     "g01_surrogates",
     "n02_name_forms",
     "e01_people",
+    "g01_compact_decisions",
 )
 
 
