@@ -20,6 +20,7 @@ SPREAD = (
     "n02_name_forms",
     "e01_people",
     "g01_compact_decisions",
+    "g03_compact_inn",
 )
 
 
