@@ -1,9 +1,12 @@
 """Tables of narrow rows come as few row groups: the work on them must still be dealt over tasks, with the rows of SQL."""
 
+import os
+
 import duckdb
 import pytest
 
 from conftest import same_rows
+from maskfold.plans import queries
 from maskfold.plans.oracles import ORACLES
 from maskfold.plans.queries import QUERIES
 
@@ -39,3 +42,12 @@ def test_one_row_group_is_dealt_over_tasks(spark, one_group, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW customer AS SELECT * FROM '{one_group}/customer.parquet/*.parquet'")
     same_rows(done, con.sql(ORACLES[name]))
+
+
+def test_log_of_a_stream_is_dealt_over_files(spark, small, duck, monkeypatch):
+    made, real = {}, queries.new_path
+    monkeypatch.setattr(queries, "new_path", lambda session, what: made.setdefault(what, real(session, what)))
+    done = QUERIES["s06_vault_stream"](spark, small)
+    written = [f for f in os.listdir(made["vault-log"].removeprefix("file://")) if f.endswith(".parquet")]
+    assert len(written) > queries.LOG_PARTS
+    same_rows(done, duck.sql(ORACLES["s06_vault_stream"]))
