@@ -18,7 +18,7 @@ def drawn_twice(spark, tmp_path_factory):
     return where
 
 
-@pytest.mark.parametrize("name", ["g01_surrogates"])
+@pytest.mark.parametrize("name", ["g01_surrogates", "m03_synthetic_round_trip"])
 def test_original_drawn_twice(spark, drawn_twice, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW customer AS SELECT * FROM '{drawn_twice}/customer.parquet/*.parquet'")
