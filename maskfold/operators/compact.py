@@ -6,8 +6,6 @@ Types: taxpayer numbers and codes by keywords nearby, dates without a calendar,
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,13 +95,15 @@ GAP_BYTES = 3
 
 def _ends(word: Column, ends: list[str]) -> Column:
     """Whether a word has one of the endings and two letters at least before it."""
-    return F.exists(F.split(F.lit(",".join(ends)), ","), lambda e: F.endswith(word, e) & (F.length(word) > F.length(e) + 1))
+    return word.rlike(rf"(?s)..(?:{'|'.join(ends)})\z")
 
 
 def names_of_word(word: Column) -> Column:
-    """struct(letter, gender, nominal) of a lower-case word: N, P, S for a given name, patronymic or surname by list and endings, else null; and the form that its mentions share."""
+    """struct(letter, gender, nominal) of a lower-case word: N, P, S for a given name, patronymic or surname by list and endings, else null; and the form that its mentions share.
+    The word is mentioned many times: it should be a column, or what a lambda is given."""
     given = {w: g for g, words in GIVEN.items() for w in words} | {w: "masc" for w in OBLIQUE}
-    known = lambda w: F.try_element_at(F.from_json(F.lit(json.dumps(given, ensure_ascii=False)), "map<string,string>"), w)
+    # sets, as a map is searched from its first key on
+    known = lambda w: F.when(w.isin(*[x for x, g in given.items() if g == "masc"]), "masc").when(w.isin(*[x for x, g in given.items() if g == "femn"]), "femn")
     tails = F.split(F.lit("|".join(TAILS)), r"\|")
 
     def bases(ends: list[str], least: int) -> Column:
@@ -113,26 +113,37 @@ def names_of_word(word: Column) -> Column:
     listed = lambda base: F.filter(F.transform(tails, lambda t: F.concat(base, t)), lambda w: known(w).isNotNull())
 
     def nominal_of(base: Column) -> Column:
-        stem = lambda ends: F.exists(F.split(F.lit(",".join(ends)), ","), lambda e: F.endswith(base, e))
+        stem = lambda ends: base.rlike(rf"(?:{'|'.join(ends)})\z")
         own = _ends(base, SURNAME_ENDS) | _ends(base, PATRONYMIC_ENDS) | stem(STEM_ENDS)
         return F.coalesce(F.get(listed(base), F.lit(0)), F.when(own, base), F.when(stem(ADJECTIVE_STEMS), F.concat(base, F.lit("ой"))))
 
     first = lambda words: F.get(F.filter(words, lambda w: w.isNotNull()), F.lit(0))
-    inflected = F.get(F.flatten(F.transform(bases(GIVEN_ENDS, 1), listed)), F.lit(0))
-    nominal = F.when(known(word).isNotNull(), word).otherwise(F.coalesce(first(F.transform(bases(NOMINAL_ENDS, 1), nominal_of)), word))
-    gender = F.coalesce(known(word), known(inflected))
-    patronymic, surname = _ends(word, PATRONYMIC_ENDS), _ends(word, SURNAME_ENDS)
-    woman = lambda: F.get(F.filter(F.split(F.lit(",".join(PATRONYMIC_ENDS)), ","), lambda e: F.endswith(word, e) & (F.length(word) > F.length(e) + 1)), F.lit(0)).rlike("вн|чн")
-    last = F.get(F.filter(F.split(F.lit(",".join(SURNAME_ENDS)), ","), lambda e: F.endswith(word, e) & (F.length(word) > F.length(e) + 1)), F.lit(0))
-    letter = F.when(gender.isNotNull(), "N").when(patronymic, "P").when(surname, "S")
-    sex = F.when(gender.isNotNull(), gender).when(patronymic, F.when(woman(), "femn").otherwise("masc")).when(surname, F.when(last.rlike("а$|ая$"), F.lit(None)).otherwise("masc"))
-    return F.struct(letter.alias("letter"), sex.alias("gender"), nominal.alias("nominal"))
+    ending = lambda ends: F.get(F.filter(F.split(F.lit(",".join(ends)), ","), lambda e: F.endswith(word, e) & (F.length(word) > F.length(e) + 1)), F.lit(0))
+
+    def told(own: Column) -> Column:
+        inflected = F.get(F.flatten(F.transform(bases(GIVEN_ENDS, 1), listed)), F.lit(0))
+        nominal = F.when(own.isNotNull(), word).otherwise(F.coalesce(first(F.transform(bases(NOMINAL_ENDS, 1), nominal_of)), word))
+        kind = lambda gender: F.when(gender.isNotNull(), "N").when(_ends(word, PATRONYMIC_ENDS), "P").when(_ends(word, SURNAME_ENDS), "S")
+
+        def sexed(x: Column) -> Column:
+            woman, last = ending(PATRONYMIC_ENDS).rlike("вн|чн"), ending(SURNAME_ENDS)
+            sex = F.when(x["letter"] == "N", x["gender"]).when(x["letter"] == "P", F.when(woman, "femn").otherwise("masc")).when(x["letter"] == "S", F.when(last.rlike("а$|ая$"), F.lit(None)).otherwise("masc"))
+            return F.struct(x["letter"].alias("letter"), sex.alias("gender"), nominal.alias("nominal"))
+
+        return let(let(F.coalesce(own, known(inflected)), lambda gender: F.struct(gender.alias("gender"), kind(gender).alias("letter"))), sexed)
+
+    return let(known(word), told)
 
 
 def names(text: Column) -> Column:
     """Runs of name words no more than ``GAP_BYTES`` bytes of white space apart, and surnames with initials, as struct(type, value, start, end, identity_key, gender)."""
     kind = "array<struct<type:string,value:string,start:int,end:int,identity_key:string,gender:string>>"
-    told = F.transform(find_spans(text, f"{_NAME_WORD}(?:-{_NAME_WORD})?"), lambda s: let(names_of_word(F.lower(s["value"])), lambda r: F.struct(s["value"].alias("value"), s["start"].alias("start"), s["end"].alias("end"), F.when(~F.lower(s["value"]).isin(*NO_NAMES), r["letter"]).alias("letter"), r["gender"].alias("gender"), r["nominal"].alias("nominal"))))
+
+    def word(s: Column) -> Column:
+        named = lambda w, r: F.struct(s["value"].alias("value"), s["start"].alias("start"), s["end"].alias("end"), F.when(~w.isin(*NO_NAMES), r["letter"]).alias("letter"), r["gender"].alias("gender"), r["nominal"].alias("nominal"))
+        return let(F.lower(s["value"]), lambda w: let(names_of_word(w), lambda r: named(w, r)))
+
+    told = F.transform(find_spans(text, f"{_NAME_WORD}(?:-{_NAME_WORD})?"), word)
 
     def runs(w: Column) -> Column:
         def sign(x: Column, i: Column) -> Column:
@@ -149,7 +160,7 @@ def names(text: Column) -> Column:
                 gender = F.get(F.filter(F.transform(p, lambda x: x["gender"]), lambda g: g.isNotNull()), F.lit(0))
                 value = F.substr(text, start + 1, end - start)
                 # words that stand together without white space are one word to the key
-                words = F.transform(F.filter(F.split(value, r"(?U)\s+"), lambda x: x != ""), lambda x: names_of_word(F.lower(x))["nominal"])
+                words = F.transform(F.filter(F.split(value, r"(?U)\s+"), lambda x: x != ""), lambda x: let(F.lower(x), names_of_word)["nominal"])
                 return F.struct(F.lit("FULL_NAME"), value, start, end, F.concat(F.lit("person:"), F.array_join(words, " ")), gender)
 
             return let(inner, built)
@@ -159,12 +170,16 @@ def names(text: Column) -> Column:
     def short(pattern: str) -> Column:
         def one(s: Column) -> Column:
             value = F.regexp_replace(s["value"], " +$", "")
-            word = F.element_at(F.filter(F.split(value, r"(?U)\s+"), lambda x: F.length(x) > 2), -1)
-            surname = F.coalesce(_ends(F.lower(word), SURNAME_ENDS), F.lit(False))
-            return F.when(surname, F.struct(F.lit("FULL_NAME"), value, s["start"], (s["start"] + F.length(value)).cast("int"), F.concat(F.lit("person:"), names_of_word(F.lower(word))["nominal"]), F.lit(None).cast("string")).cast(kind[6:-1]))
+            longest = F.element_at(F.filter(F.split(value, r"(?U)\s+"), lambda x: F.length(x) > 2), -1)
+
+            def of(word: Column) -> Column:
+                surname = F.coalesce(_ends(word, SURNAME_ENDS), F.lit(False))
+                return F.when(surname, F.struct(F.lit("FULL_NAME"), value, s["start"], (s["start"] + F.length(value)).cast("int"), F.concat(F.lit("person:"), names_of_word(word)["nominal"]), F.lit(None).cast("string")).cast(kind[6:-1]))
+
+            return let(F.lower(longest), of)
 
-        longest = lambda s: F.size(F.filter(F.split(s["value"], r"(?U)\s+"), lambda x: F.length(x) > 2)) > 0
-        return F.filter(F.transform(F.filter(find_spans(text, pattern), longest), one), lambda c: c.isNotNull())
+        some = lambda s: F.size(F.filter(F.split(s["value"], r"(?U)\s+"), lambda x: F.length(x) > 2)) > 0
+        return F.filter(F.transform(F.filter(find_spans(text, pattern), some), one), lambda c: c.isNotNull())
 
     initials = r"(?:[А-ЯЁ]\.\s?)"
     return F.coalesce(F.concat(let(told, runs).cast(kind), short(rf"{initials}{{1,2}}{_NAME_WORD}").cast(kind), short(rf"{_NAME_WORD}\s{initials}{{2}}").cast(kind)), F.array().cast(kind))
