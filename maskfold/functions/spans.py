@@ -46,10 +46,15 @@ def around(text: Column, start: Column, end: Column, radius: int) -> Column:
 
 
 def has_any(text: Column, words: tuple[str, ...]) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out = out | F.contains(text, F.lit(w))
-    return out
+    """Whether the text, computed once, has one of the words."""
+
+    def any_of(t: Column) -> Column:
+        out = F.lit(False)
+        for w in words:
+            out = out | F.contains(t, F.lit(w))
+        return out
+
+    return let(text, any_of)
 
 
 def near(text: Column, words: tuple[str, ...], radius: int):

@@ -144,27 +144,39 @@ def driver_license(text: Column) -> Column:
 
 def _real_date(value: Column) -> Column:
     """Whether the day is in the calendar (years 1 to 9999), for each of the three forms."""
-    lowered = F.lower(value)
-    month = F.lit(None).cast("int")
-    for i, m in enumerate(fv.MONTHS, 1):
-        month = F.when(F.contains(lowered, F.lit(m)), i).otherwise(month)
-    # the longest run of digits is the year
-    iso = value.rlike(r"(?U)^\d{4}-")
-    number = lambda i: F.element_at(F.regexp_extract_all(value, F.lit(r"(?U)\d+"), F.lit(0)), i).cast("int")
-    year = F.when(iso, number(1)).otherwise(number(-1))
-    day = F.when(iso, number(-1)).otherwise(number(1))
-    mon = F.when(month.isNotNull(), month).otherwise(number(2))
-    return F.try_to_date(F.format_string("%04d-%02d-%02d", year, mon, day), "yyyy-MM-dd").isNotNull() & (year > 0)
+
+    def months(lowered: Column) -> Column:
+        month = F.lit(None).cast("int")
+        for i, m in enumerate(fv.MONTHS, 1):
+            month = F.when(F.contains(lowered, F.lit(m)), i).otherwise(month)
+        return month
+
+    def real(x: Column) -> Column:
+        # the longest run of digits is the year
+        number = lambda i: F.element_at(x["numbers"], i).cast("int")
+        year = F.when(x["iso"], number(1)).otherwise(number(-1))
+        day = F.when(x["iso"], number(-1)).otherwise(number(1))
+        mon = F.coalesce(x["month"], number(2))
+        return let(F.struct(year.alias("year"), mon.alias("month"), day.alias("day")), in_calendar)
+
+    def in_calendar(x: Column) -> Column:
+        # counted, as a parser throws at each day that there is not
+        y, mon = x["year"], x["month"]
+        leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
+        last = F.when(mon == 2, F.when(leap, 29).otherwise(28)).when(mon.isin(4, 6, 9, 11), 30).otherwise(31)
+        return (y > 0) & mon.between(1, 12) & (x["day"] >= 1) & (x["day"] <= last)
+
+    parts = F.struct(let(F.lower(value), months).alias("month"), value.rlike(r"(?U)^\d{4}-").alias("iso"), F.regexp_extract_all(value, F.lit(r"(?U)\d+"), F.lit(0)).alias("numbers"))
+    return let(parts, real)
 
 
 def date(text: Column) -> Column:
     def role(s: Column) -> Column:
-        local = F.lower(around(text, s["start"], s["end"], 30))
-        return F.when(has_any(local, fv.BIRTH_NEAR), "BIRTH_DATE").when(has_any(local, fv.ISSUE_NEAR), "PASSPORT_ISSUE_DATE")
+        return let(F.lower(around(text, s["start"], s["end"], 30)), lambda local: F.when(has_any(local, fv.BIRTH_NEAR), "BIRTH_DATE").when(has_any(local, fv.ISSUE_NEAR), "PASSPORT_ISSUE_DATE"))
 
     guard = has_any(F.lower(text), (*fv.BIRTH_NEAR, *fv.ISSUE_NEAR))
-    found = F.concat(*[find_spans(text, PATTERNS[p], guard) for p in ("date", "date_iso", "date_text")])
-    return candidates(F.filter(found, lambda s: _real_date(s["value"])), role, "date", 0.85)
+    found = F.concat(*[find_spans(text, PATTERNS[p]) for p in ("date", "date_iso", "date_text")])
+    return F.when(guard, candidates(F.filter(found, lambda s: _real_date(s["value"])), role, "date", 0.85)).otherwise(_none())
 
 
 def cardholder(text: Column) -> Column:
