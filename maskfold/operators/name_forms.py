@@ -73,22 +73,27 @@ def _listed(word: Column) -> Column:
 
 
 def _by_ending(word: Column) -> Column:
-    table = {k: [{"head": h, "role": r, "gender": g, "case": c, "least": n} for _, h, r, g, c, n in v] for k, v in _grouped(endings(), lambda r: r[0]).items()}
+    # by the last letter and then by the ending, as a map is searched from its first key on
+    entry = "array<struct<head:string,role:string,gender:string,case:string,least:int>>"
+    rows = lambda found: [{"head": h, "role": r, "gender": g, "case": c, "least": n} for _, h, r, g, c, n in found]
+    table = {letter: {k: rows(v) for k, v in _grouped(found, lambda r: r[0]).items()} for letter, found in _grouped(endings(), lambda r: r[0][-1:]).items()}
     sizes = sorted({len(e[0]) for e in endings()})
-    known = constant(table, "map<string,array<struct<head:string,role:string,gender:string,case:string,least:int>>>")
-    none = F.array().cast("array<struct<head:string,role:string,gender:string,case:string,least:int>>")
-
-    def of(n: Column) -> Column:
-        stem = F.substr(word, F.lit(1), F.length(word) - n)
-        rows = F.coalesce(F.when(F.length(word) > n, F.try_element_at(known, F.substr(word, F.length(word) - n + 1, n))), none)
-        return F.transform(rows, lambda x: F.struct(x["role"].alias("role"), x["gender"].alias("gender"), x["case"].alias("case"), F.concat(stem, x["head"]).alias("nominal"), x["least"].alias("least")))
-
-    found = F.flatten(F.transform(F.array(*[F.lit(n) for n in sizes]), of))
+    none = F.array().cast(entry)
     refused = F.split(F.lit(",".join(sorted({w.lower() for w in m._NOT_SURNAMES}))), ",")
     own = F.split(F.lit(",".join(m.own_surnames())), ",")
-    surname = lambda x: x["role"] == m.SURNAME
-    fits = lambda x: ~F.array_contains(own, x["nominal"]) & (~surname(x) | (F.length(x["nominal"]) >= x["least"]) & ~F.array_contains(refused, F.lower(x["nominal"])) & ~F.array_contains(refused, F.lower(word)))
-    return F.transform(F.filter(found, fits), lambda x: F.struct(x["role"], x["gender"], x["case"], x["nominal"])).cast(f"array<{READING}>")
+
+    def found(x: Column) -> Column:
+        def of(n: Column) -> Column:
+            stem = lambda w: F.substr(w, F.lit(1), F.length(word) - n)
+            rows = F.coalesce(F.when(F.length(word) > n, F.try_element_at(x["known"], F.substr(word, F.length(word) - n + 1, n))), none)
+            return F.transform(rows, lambda y: F.struct(y["role"].alias("role"), y["gender"].alias("gender"), y["case"].alias("case"), F.concat(stem(word), y["head"]).alias("nominal"), F.concat(stem(x["lowered"]), y["head"]).alias("low"), y["least"].alias("least")))
+
+        surname = lambda y: y["role"] == m.SURNAME
+        fits = lambda y: ~F.array_contains(own, y["nominal"]) & (~surname(y) | (F.length(y["nominal"]) >= y["least"]) & ~F.array_contains(refused, y["low"]) & ~F.array_contains(refused, x["lowered"]))
+        return F.transform(F.filter(F.flatten(F.transform(F.array(*[F.lit(n) for n in sizes]), of)), fits), lambda y: F.struct(y["role"], y["gender"], y["case"], y["nominal"])).cast(f"array<{READING}>")
+
+    by_letter = F.try_element_at(constant(table, f"map<string,map<string,{entry}>>"), F.substr(word, F.length(word), F.lit(1)))
+    return let(F.struct(by_letter.alias("known"), F.lower(word).alias("lowered")), found)
 
 
 def _index(value: Column, values: tuple[str, ...]) -> Column:

@@ -36,7 +36,7 @@ def _literals(values) -> Column:
 def _label(word: Column, read: Column) -> Column:
     """The letter of a word's role: patronymic before given name before surname; u where nothing is known and a name is possible."""
     has = lambda role: F.exists(read, lambda r: r["role"] == role)
-    out = F.when(F.array_contains(_literals(sorted(m.COMMON)), F.lower(word)) & (F.size(read) == 0), "-")
+    out = F.when((F.size(read) == 0) & F.array_contains(_literals(sorted(m.COMMON)), F.lower(word)), "-")
     for role in (m.PATRONYMIC, m.NAME, m.SURNAME):
         out = out.when(has(role), _LETTERS[role])
     return out.otherwise("u")
