@@ -104,11 +104,27 @@ def personal(decisions: Column) -> Column:
     return F.filter(decisions, lambda d: d["decision"] == "MASK")
 
 
+def _alone(d: Column) -> Column:
+    """The row of :data:`PERSON` of a name that is the only one of its text: what :func:`resolve` makes of it."""
+    parts = d["meta"]["name_parts"]
+
+    def told(known: Column) -> Column:
+        key = F.concat(F.lit("person:"), F.concat_ws("|", *[F.coalesce(known[r], F.lit("")) for r in _ORDER]), F.lit("#1"))
+        cap = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2), F.length(w)))
+        alias = F.when(F.length(d["meta"]["alias_type"]) > 0, d["meta"]["alias_type"]).otherwise("FULL")
+        return F.struct(d["start"], key, d["meta"]["gender"], *[cap(known[r]) for r in _ORDER], F.array(alias), F.transform(parts, lambda p: p["role"])).cast(PERSON)
+
+    said = lambda role: F.get(F.filter(parts, lambda p: (p["kind"] == "word") & (p["role"] == role) & (F.length(p["normalized"]) > 0)), F.lit(0))["normalized"]
+    return let(F.struct(*[said(r).alias(r) for r in _ORDER]), told)
+
+
 def people(decisions: Column) -> Column:
-    """Resolved persons of the name decisions that are masked."""
+    """Resolved persons of the name decisions that are masked. A name that is alone needs no resolution; only texts of several send them to Python."""
     names = F.filter(personal(decisions), lambda d: (d["type"] == "FULL_NAME") & (F.size(d["meta"]["name_parts"]) > 0))
+    several = let(names, lambda n: F.slice(n, F.lit(1), F.when(F.size(n) > 1, F.size(n)).otherwise(0)))
+    alone = let(names, lambda n: F.when(F.size(n) == 1, F.transform(n, _alone)))
     # marked so that the optimizer computes it once, in a projection of its own
-    return F.udf(resolve, f"array<{PERSON}>", useArrow=True).asNondeterministic()(names)
+    return F.coalesce(alone, F.udf(resolve, f"array<{PERSON}>", useArrow=True).asNondeterministic()(several))
 
 
 def no_people() -> Column:
