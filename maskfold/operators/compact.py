@@ -6,12 +6,14 @@ Types: taxpayer numbers and codes by keywords nearby, dates without a calendar,
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.scalars import inn_valid, let, luhn_valid, mask_alnum, mask_digits, mask_name, pinned
-from ..functions.spans import find_spans
+from ..functions.scalars import built, inn_valid, let, luhn_valid, mask_alnum, mask_digits, mask_name, pinned
+from ..functions.spans import find_spans, has_any
 from .decide import hits, sentence_bounds
 
 _NAME_WORD = "[А-ЯЁ][а-яё]+"
@@ -46,17 +48,26 @@ PIN_EXTENT = 300
 SPAN = "struct<type:string,value:string,start:int,end:int>"
 
 
-def near_bytes(text: Column, s: Column, kind: str) -> Column:
-    """Whether a keyword of the type stands within its radius of a span, in bytes and in any case."""
+def near_bytes(text: Column, s: Column, kind: str, raw: Column | None = None) -> Column:
+    """Whether a keyword of the type stands within its radius of a span, in bytes and in any case. ``raw``: the bytes of the lower-case text, where they are known."""
     radius, words = NEAR[kind]
-    raw = F.encode(F.lower(text), "utf-8")
+    raw = F.encode(F.lower(text), "utf-8") if raw is None else raw
     start, end = F.octet_length(F.substr(text, F.lit(1), s["start"])), F.octet_length(F.substr(text, F.lit(1), s["end"]))
-    low = F.greatest(start - radius, F.lit(0))
-    window = F.substr(raw, low + 1, end + radius - low)
-    out = F.lit(False)
-    for w in words:
-        out = out | F.contains(window, F.encode(F.lit(w), "utf-8"))
-    return out
+
+    def any_of(window: Column) -> Column:
+        out = F.lit(False)
+        for w in words:
+            out = out | F.contains(window, F.encode(F.lit(w), "utf-8"))
+        return out
+
+    window = lambda b: F.substr(raw, b["low"] + 1, b["high"] - b["low"])
+    bounds = F.struct(F.greatest(start - radius, F.lit(0)).alias("low"), (end + radius).alias("high"))
+    return let(let(bounds, window), any_of)
+
+
+def has_keyword(lowered: Column, *kinds: str) -> Column:
+    """Whether a lower-case text has a keyword of one of the types at all: without one, none is near any span and no pattern need be searched."""
+    return has_any(lowered, tuple(dict.fromkeys(w for kind in kinds for w in NEAR[kind][1])))
 
 
 def fenced(text: Column, s: Column) -> Column:
@@ -185,25 +196,41 @@ def names(text: Column) -> Column:
     return F.coalesce(F.concat(let(told, runs).cast(kind), short(rf"{initials}{{1,2}}{_NAME_WORD}").cast(kind), short(rf"{_NAME_WORD}\s{initials}{{2}}").cast(kind)), F.array().cast(kind))
 
 
-def detect(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with spans: the chosen candidates, in order of start."""
-    t = F.col(text)
-    spans = {k: find_spans(t, p) for k, p in PATTERNS.items()}
-    code = lambda s: F.when(near_bytes(t, s, "CVV"), "CVV").when((F.length(s["value"]) == 4) & near_bytes(t, s, "PIN"), "PIN")
-    date = lambda s: F.when(near_bytes(t, s, "BIRTH_DATE"), "BIRTH_DATE").when(near_bytes(t, s, "PASSPORT_ISSUE_DATE"), "PASSPORT_ISSUE_DATE")
-    ok = lambda s: fenced(t, s)
-    trimmed = F.transform(spans["issuer"], lambda s: F.struct(F.regexp_replace(s["value"], r"[ \t.]+$", "").alias("value"), s["start"].alias("start"), (s["start"] + F.length(F.regexp_replace(s["value"], r"[ \t.]+$", ""))).alias("end")))
-    found = F.concat(
-        _typed(spans["inn"], "INN", lambda s: fenced(t, s) & inn_valid(s["value"]) & near_bytes(t, s, "INN")),
-        _typed(spans["card"], "CARD_NUMBER", lambda s: fenced(t, s) & luhn_valid(s["value"])),
-        _typed(spans["code"], code, ok),
-        *[_typed(spans[k], date, ok) for k in ("date", "date_iso", "date_text")],
-        *[_typed(spans[k], "ADDRESS") for k in ("address_index", "address_words")],
-        _typed(spans["address_compact"], "ADDRESS", lambda s: near_bytes(t, s, "ADDRESS")),
-        *[_typed(find_spans(t, c, F.contains(t, F.lit(c))), "CITIZENSHIP", lambda s: near_bytes(t, s, "CITIZENSHIP")) for c in CITIZENSHIPS],
-        _typed(trimmed, "PASSPORT_ISSUER"),
-        _typed(spans["cardholder"], "CARDHOLDER", lambda s: near_bytes(t, s, "CARDHOLDER")),
-    )
+def _candidates(t: Column, only: tuple[str, ...] | None) -> Column:
+    """All candidates of the types in ``only`` (all if there is none), in the order of the patterns."""
+    none = F.array().cast(f"array<{SPAN}>")
+    spans = lambda k, guard=None: find_spans(t, PATTERNS[k], guard)
+    issuers = has_any(t, ("МВД", "УФМС", "ОВД"))
+
+    def of(x: Column) -> Column:
+        lowered, raw = x["lowered"], x["raw"]
+        near = lambda s, kind: near_bytes(t, s, kind, raw)
+        code = lambda s: F.when(near(s, "CVV"), "CVV").when((F.length(s["value"]) == 4) & near(s, "PIN"), "PIN")
+        date = lambda s: F.when(near(s, "BIRTH_DATE"), "BIRTH_DATE").when(near(s, "PASSPORT_ISSUE_DATE"), "PASSPORT_ISSUE_DATE")
+        ok = lambda s: fenced(t, s)
+        trim = lambda s: let(F.regexp_replace(s["value"], r"[ \t.]+$", ""), lambda v: F.struct(v.alias("value"), s["start"].alias("start"), (s["start"] + F.length(v)).alias("end")))
+        dated = has_keyword(lowered, "BIRTH_DATE", "PASSPORT_ISSUE_DATE")
+        made: list[tuple[tuple[str, ...], Callable[[], Column]]] = [
+            (("INN",), lambda: _typed(spans("inn", has_keyword(lowered, "INN")), "INN", lambda s: fenced(t, s) & inn_valid(s["value"]) & near(s, "INN"))),
+            (("CARD_NUMBER",), lambda: _typed(spans("card"), "CARD_NUMBER", lambda s: fenced(t, s) & luhn_valid(s["value"]))),
+            (("CVV", "PIN"), lambda: _typed(spans("code", has_keyword(lowered, "CVV", "PIN")), code, ok)),
+            *[(("BIRTH_DATE", "PASSPORT_ISSUE_DATE"), lambda k=k: _typed(spans(k, dated), date, ok)) for k in ("date", "date_iso", "date_text")],
+            *[(("ADDRESS",), lambda k=k: _typed(spans(k), "ADDRESS")) for k in ("address_index", "address_words")],
+            (("ADDRESS",), lambda: _typed(spans("address_compact", has_keyword(lowered, "ADDRESS")), "ADDRESS", lambda s: near(s, "ADDRESS"))),
+            (("CITIZENSHIP",), lambda: F.when(has_keyword(lowered, "CITIZENSHIP"), F.concat(*[_typed(find_spans(t, c, F.contains(t, F.lit(c))), "CITIZENSHIP", lambda s: near(s, "CITIZENSHIP")) for c in CITIZENSHIPS])).otherwise(none)),
+            (("PASSPORT_ISSUER",), lambda: _typed(F.transform(spans("issuer", issuers), trim), "PASSPORT_ISSUER")),
+            (("CARDHOLDER",), lambda: _typed(spans("cardholder", has_keyword(lowered, "CARDHOLDER")), "CARDHOLDER", lambda s: near(s, "CARDHOLDER"))),
+        ]
+        return F.concat(*[make() for kinds, make in made if only is None or set(only) & set(kinds)])
+
+    found = let(let(F.lower(t), lambda low: F.struct(low.alias("lowered"), F.encode(low, "utf-8").alias("raw"))), of)
+    return found if only is None else F.filter(found, lambda c: c["type"].isin(*only))
+
+
+def detect(docs: DataFrame, text: str = "text", only: tuple[str, ...] | None = None) -> DataFrame:
+    """``docs`` with candidates and spans: the chosen candidates, in order of start. ``only``: the types that are wanted; the patterns of others are not searched, and only those
+    wanted compete for places."""
+    found = built(lambda: _candidates(F.col(text), only), "compact", text, only)
     return docs.withColumn("candidates", pinned(F.coalesce(found, F.array().cast(f"array<{SPAN}>")))).withColumn("spans", pinned(first_and_longest(F.col("candidates"))))
 
 

@@ -299,8 +299,8 @@ def process_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def compact_spans(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...]) -> DataFrame:
-    found = cp.detect(src.ru_corpus(spark, sf_dir)).select("doc_id", F.explode("candidates").alias("c"))
-    return found.where(F.col("c.type").isin(*kinds)).select("doc_id", "c.type", "c.value", "c.start", "c.end")
+    found = cp.detect(src.ru_corpus(spark, sf_dir), only=kinds).select("doc_id", F.explode("candidates").alias("c"))
+    return found.select("doc_id", "c.type", "c.value", "c.start", "c.end")
 
 
 def _compact(*kinds: str) -> Callable[[SparkSession, str], DataFrame]:
