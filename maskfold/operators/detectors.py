@@ -203,7 +203,7 @@ def passport_issuer(text: Column) -> Column:
 def fio(text: Column) -> Column:
     from .name_runs import name_candidates
 
-    return F.when(text.rlike("[А-ЯЁ][а-яё]"), name_candidates(text)).otherwise(_none())
+    return name_candidates(text)
 
 
 def python_detector(find: Callable[[str], list[tuple[int, int]]], kind: str, name: str, confidence: float = 0.9) -> Callable[[Column], Column]:

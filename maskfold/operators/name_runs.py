@@ -172,6 +172,15 @@ def _with_initials(word: Column, text: Column) -> Column:
     return F.when(known | unknown, made)
 
 
+def neighboured(text: Column) -> Column:
+    """The capitalised words with nothing but white space before or behind them and another one there. All others can be in no run and give none of their neighbours a role, so that they need not be looked up."""
+
+    def joined(a: Column, b: Column) -> Column:
+        return F.coalesce(F.substr(text, a["end"] + 1, b["start"] - a["end"]).rlike(r"(?U)^\s*$"), F.lit(False))
+
+    return let(find_spans(text, nm.NAME_WORD), lambda s: F.filter(s, lambda x, i: joined(F.get(s, i - 1), x) | joined(x, F.get(s, i + 1))))
+
+
 def name_candidates(text: Column) -> Column:
     """The names of a text, as candidates. No Python runs."""
     from .detectors import CANDIDATE
@@ -188,16 +197,17 @@ def name_candidates(text: Column) -> Column:
 
         return let(name, built)
 
-    def spans(pattern: str, kind: int, guard: Column | None = None) -> Column:
-        found = find_spans(text, pattern)
-        return F.transform(found if guard is None else F.when(guard, found).otherwise(no_spans()), lambda s: F.struct(s["value"].alias("value"), s["start"].alias("start"), F.lit(kind).alias("kind")))
+    def spans(found: Column, kind: int) -> Column:
+        return F.transform(found, lambda s: F.struct(s["value"].alias("value"), s["start"].alias("start"), F.lit(kind).alias("kind")))
 
     dotted = F.contains(text, F.lit("."))
-    found = F.transform(F.concat(spans(nm.NAME_WORD, 0), spans(nm.INITIALS_BEFORE, 1, dotted), spans(nm.INITIALS_AFTER, 2, dotted)), word)
+    short = lambda pattern: F.when(dotted, find_spans(text, pattern)).otherwise(no_spans())
+    found = F.transform(F.concat(spans(neighboured(text), 0), spans(short(nm.INITIALS_BEFORE), 1), spans(short(nm.INITIALS_AFTER), 2)), word)
 
     def all_of(words: Column) -> Column:
         runs = let(F.filter(words, lambda w: w["kind"] == 0), lambda w: _runs(text, w))
         short = F.filter(F.transform(F.filter(words, lambda w: w["kind"] > 0), lambda w: _with_initials(w, text)), lambda c: c.isNotNull())
         return F.concat(runs.cast(f"array<{CANDIDATE}>"), short.cast(f"array<{CANDIDATE}>"))
 
-    return F.coalesce(let(found, all_of), F.array().cast(f"array<{CANDIDATE}>"))
+    none = F.array().cast(f"array<{CANDIDATE}>")
+    return F.when(text.rlike(nm.POSSIBLE), F.coalesce(let(found, all_of), none)).otherwise(none)
